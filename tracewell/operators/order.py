@@ -125,7 +125,8 @@ def first_events(log: DataFrame, k: int) -> DataFrame:
     huge case sends k rows per task and needs no special path.
     """
     window = W.partitionBy(CASE).orderBy(TS, ORDER_KEY)
-    return log.withColumn(POS, F.row_number().over(window)).filter(F.col(POS) <= k)
+    first = log.withColumn(POS, F.row_number().over(window)).filter(F.col(POS) <= k)
+    return first.withColumn(POS, F.col(POS).cast("long"))
 
 
 def exact_quantiles(
