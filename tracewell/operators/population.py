@@ -110,14 +110,16 @@ def eligible_cases(eligible_flags: DataFrame) -> DataFrame:
     )
 
 
-def safe_prefix(log: DataFrame, eligible_flags: DataFrame, k: int) -> DataFrame:
-    """Events 1..k of the eligible cases.
+def safe_prefix(
+    log: DataFrame, eligible_flags: DataFrame, k: int, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """Events 1..k of the eligible cases, optionally with case columns such as `target`.
 
     Takes the unordered log: only k rows per case and input task are shuffled with their full
     width, while the labels come from the narrow branch behind `eligible_flags`.
     """
-    keep = eligible_flags.filter("eligible").select(CASE)
-    return first_events(log, k).join(keep, CASE, "left_semi")
+    keep = eligible_flags.filter("eligible").select(CASE, *carry)
+    return first_events(log, k).join(keep, CASE, "inner" if carry else "left_semi")
 
 
 def future_suffix(ordered: DataFrame, eligible_flags: DataFrame, k: int) -> DataFrame:

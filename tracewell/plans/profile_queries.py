@@ -66,7 +66,8 @@ def _xes(s, d):
     path = scratch_path(s, "log-xes")
     write_xes(l1_ordered(s, d), path, ["event_type", "resource"], ["segment"])
     log = read_xes(s, path, {"segment": "string"},
-                   {"event_type": "string", "resource": "string", "order_key": "int"})
+                   {"event_type": "string", "resource": "string", "order_key": "int"},
+                   trace_per_line=True)
     return _us(log.select(F.col("case_id").cast("long").alias("case_id"), "activity", "ts", "order_key",
                           "segment", "event_type", "resource"), "ts")
 

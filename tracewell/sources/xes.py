@@ -46,16 +46,21 @@ def read_xes(
     path: str,
     case_attributes: Mapping[str, str],
     event_attributes: Mapping[str, str],
+    trace_per_line: bool = False,
 ) -> DataFrame:
     """XES files -> one row per event, the case attributes repeated on every event.
 
-    Traces are split across tasks by the XML reader. An event's place in its trace becomes the
-    order key unless an `order_key` attribute is named.
+    An ordinary document is streamed by one task per file. Files of `write_xes` hold a trace per
+    line without a root element, so `trace_per_line` lets Spark split them. A malformed trace
+    fails the read. An event's place in its trace becomes the order key unless an `order_key`
+    attribute is named.
     """
     raw = (
         spark.read.format("xml")
         .option("rowTag", "trace")
         .option("attributePrefix", "_")
+        .option("mode", "FAILFAST")
+        .option("multiLine", str(not trace_per_line).lower())
         .schema(trace_schema())
         .load(path)
     )
