@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewell.functions.columns import scalar
 from tracewell.session import cut_lineage
 from tracewell.spec import CASE, ORDER_KEY, POS, TS
 
@@ -36,12 +35,18 @@ def _range_parts(df: DataFrame, sort_cols: Sequence[str]) -> DataFrame:
 def _add_offsets(
     local: DataFrame, totals: DataFrame, keys: Sequence[str], running: Sequence[str]
 ) -> DataFrame:
-    """Add to each range's own running values the sum of the ranges before it."""
+    """Add to each range's own running values the sum of the ranges before it.
+
+    `totals` has one row per range and key, so its windows are small; they also give the key's
+    grand total as `total_*`.
+    """
     before = W.partitionBy(*keys).orderBy(_PART).rowsBetween(W.unboundedPreceding, -1)
+    everywhere = W.partitionBy(*keys)
     offsets = totals.select(
         *keys,
         _PART,
         *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__before_{c}") for c in running],
+        *[F.sum(c).over(everywhere).alias(f"__total_{c}") for c in running],
     )
     on = [F.col(f"l.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
     on.append(F.col(f"l.{_PART}") == F.col(f"o.{_PART}"))
@@ -53,6 +58,7 @@ def _add_offsets(
     return joined.select(
         *[F.col(f"l.{c}").alias(c) for c in kept],
         *[(F.col(f"l.{c}") + F.col(f"o.__before_{c}")).alias(c) for c in running],
+        *[F.col(f"o.__total_{c}").alias(c.replace("cum_", "total_")) for c in running if c.startswith("cum_")],
     )
 
 
@@ -62,7 +68,8 @@ def ordered_cumsum(
     sums: Mapping[str, Column],
     keys: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per (keys, order value) with each sum and its inclusive running total `cum_*`.
+    """One row per (keys, order value) with each sum, its inclusive running total `cum_*` and the
+    key's grand total `total_*`.
 
     `sums` maps an output name to the expression that is summed. Works the same for one key
     holding every row as for many small keys.
@@ -141,14 +148,9 @@ def exact_quantiles(
     keys = list(keys)
     clean = df.select(*keys, F.col(value).cast("double").alias("__v")).dropna()
     cum = ordered_cumsum(clean, ["__v"], {"n": F.lit(1)}, keys)
-    if keys:
-        totals = cum.groupBy(*keys).agg(F.sum("n").alias("__total"))
-        cum = cum.join(totals, keys)
-    else:
-        cum = cum.withColumn("__total", scalar(cum, F.sum("n")))
     aggs = []
     for name, p in probs.items():
-        h = (F.col("__total") - 1) * F.lit(float(p))
+        h = (F.col("total_n") - 1) * F.lit(float(p))
         lo = F.min(F.when(F.col("cum_n") >= F.floor(h) + 1, F.col("__v")))
         hi = F.min(F.when(F.col("cum_n") >= F.ceil(h) + 1, F.col("__v")))
         frac = F.max(h - F.floor(h))
