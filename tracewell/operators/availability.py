@@ -18,6 +18,7 @@ from tracewell.functions.columns import count_where, mapped, n_rows, percent, sc
 from tracewell.operators.contracts import ContractError
 from tracewell.operators.order import exact_quantiles
 from tracewell.operators.profile import attribute_location
+from tracewell.session import cut_lineage
 from tracewell.spec import ACTIVITY, CASE, POS, TS
 
 
@@ -60,8 +61,7 @@ def first_seen_distribution(log: DataFrame, attributes: Sequence[str]) -> DataFr
     return long.groupBy(feature, "first_seen_event").agg(n_rows("case_count"))
 
 
-def _median_first_seen(log: DataFrame, attributes: Sequence[str]) -> DataFrame:
-    per_case = first_seen(log, attributes)
+def _median_first_seen(per_case: DataFrame, attributes: Sequence[str]) -> DataFrame:
     names = [f"{a}__first" for a in attributes]
     long = per_case.unpivot([], names, "n", "p").select(
         F.regexp_replace("n", "__first$", "").alias("feature"), "p"
@@ -85,8 +85,10 @@ def _availability(log: DataFrame, attributes: Sequence[str], k: int) -> DataFram
         "missing_at_event_1": lambda a: count_where(F.coalesce(first(a) != 1, F.lit(True))),
         "zero_at_event_1": lambda a: count_where(F.col(f"{a}__zero1")),
     }
-    rows = _per_attribute(first_seen(log, attributes), attributes, measures)
-    return rows.join(_median_first_seen(log, attributes), "feature", "left")
+    # The per-case table feeds two aggregations; the log behind it is ordered only once.
+    per_case = cut_lineage(first_seen(log, attributes))
+    rows = _per_attribute(per_case, attributes, measures)
+    return rows.join(_median_first_seen(per_case, attributes), "feature", "left")
 
 
 def case_attr_availability(elog: DataFrame, attributes: Sequence[str], k: int) -> DataFrame:

@@ -203,22 +203,22 @@ def finite_check(cells: DataFrame) -> DataFrame:
 
 # --- vectors for Spark ML ---------------------------------------------------------------
 
-def dictionary_rows(dictionary: DataFrame) -> list:
-    """The dictionary on the driver in index order, after a size check: a model has a
-    coefficient per feature, so its vocabulary must fit the driver anyway."""
-    rows = dictionary.orderBy("feature_index").limit(MAX_MODEL_FEATURES + 1).collect()
+def frozen_dictionary(dictionary: DataFrame) -> DataFrame:
+    """The dictionary as a small fixed table, after a size check: a model has a coefficient per
+    feature, so its vocabulary must fit the driver anyway."""
+    rows = dictionary.limit(MAX_MODEL_FEATURES + 1).collect()
     if len(rows) > MAX_MODEL_FEATURES:
         raise ContractError(f"more than {MAX_MODEL_FEATURES} features; prune the vocabulary first")
-    return rows
+    return dictionary.sparkSession.createDataFrame(sorted(rows), dictionary.schema)
 
 
 def assemble(features: DataFrame, dictionary: DataFrame, spec: EncodeSpec, keep: Sequence[str]) -> DataFrame:
     """`features` vector per case in dictionary order, built by Spark ML on the JVM.
 
     Categories and repeated map keys become tokens that a count vectorizer with the fixed
-    vocabulary turns into sparse counts; unknown tokens are ignored.
+    vocabulary turns into sparse counts; unknown tokens are ignored. `dictionary` is frozen.
     """
-    names = [r["feature_name"] for r in dictionary_rows(dictionary)]
+    names = [r["feature_name"] for r in sorted(dictionary.collect())]
     tokens_vocab = names[len(spec.numeric):]
     if len(set(tokens_vocab)) != len(tokens_vocab):
         raise ContractError("feature names are not unique")

@@ -19,17 +19,24 @@ from tracewell.spec import CASE, ORDER_KEY, POS, TS
 # A key with more rows than this is ordered by ranges instead of in one task.
 MAX_ROWS_PER_TASK = 5_000_000
 
-_PART = "__range"
+# Range totals up to this many rows are broadcast; more are joined by shuffle.
+MAX_BROADCAST_ROWS = 200_000
 
+_PART = "__range"
 
-def _range_parts(df: DataFrame, sort_cols: Sequence[str]) -> DataFrame:
-    """Rows in sorted ranges with the range number kept.
 
-    Range bounds come from a sample, so the result is checkpointed: every later use must see
-    the same ranges.
-    """
+def _with_range_number(df: DataFrame, sort_cols: Sequence[str]) -> DataFrame:
+    """Rows spread over sorted ranges of `sort_cols`, with the number of the range."""
     ranged = df.repartitionByRange(*[F.col(c) for c in sort_cols])
-    return cut_lineage(ranged.withColumn(_PART, F.spark_partition_id()))
+    return ranged.withColumn(_PART, F.spark_partition_id())
+
+
+def _small_or_same(df: DataFrame) -> DataFrame:
+    """A broadcast copy of a table measured to be small, otherwise the table itself."""
+    rows = df.limit(MAX_BROADCAST_ROWS + 1).collect()
+    if len(rows) > MAX_BROADCAST_ROWS:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def _add_offsets(
@@ -42,17 +49,15 @@ def _add_offsets(
     """
     before = W.partitionBy(*keys).orderBy(_PART).rowsBetween(W.unboundedPreceding, -1)
     everywhere = W.partitionBy(*keys)
-    offsets = totals.select(
+    offsets = _small_or_same(totals.select(
         *keys,
         _PART,
         *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__before_{c}") for c in running],
         *[F.sum(c).over(everywhere).alias(f"__total_{c}") for c in running],
-    )
-    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
-    on.append(F.col(f"l.{_PART}") == F.col(f"o.{_PART}"))
-    condition = on[0]
-    for c in on[1:]:
-        condition = condition & c
+    ))
+    condition = F.col(f"l.{_PART}") == F.col(f"o.{_PART}")
+    for k in keys:
+        condition = condition & F.col(f"l.{k}").eqNullSafe(F.col(f"o.{k}"))
     joined = local.alias("l").join(offsets.alias("o"), condition)
     kept = [c for c in local.columns if c not in running and c != _PART]
     return joined.select(
@@ -72,21 +77,23 @@ def ordered_cumsum(
     key's grand total `total_*`.
 
     `sums` maps an output name to the expression that is summed. Works the same for one key
-    holding every row as for many small keys.
+    holding every row as for many small keys. Range bounds come from a sample, so the sums
+    inside the ranges are checkpointed: totals and rows must see the same ranges.
     """
     keys, order_cols = list(keys), list(order_cols)
     merged = df.groupBy(*keys, *order_cols).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
-    parts = _range_parts(merged, keys + order_cols)
     inside = (
         W.partitionBy(_PART, *keys)
         .orderBy(*order_cols)
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
     running = [f"cum_{n}" for n in sums]
-    local = parts.select(
-        "*", *[F.sum(n).over(inside).alias(f"cum_{n}") for n in sums]
+    local = cut_lineage(
+        _with_range_number(merged, keys + order_cols).select(
+            "*", *[F.sum(n).over(inside).alias(f"cum_{n}") for n in sums]
+        )
     )
-    totals = parts.groupBy(_PART, *keys).agg(*[F.sum(n).alias(f"cum_{n}") for n in sums])
+    totals = local.groupBy(_PART, *keys).agg(*[F.sum(n).alias(f"cum_{n}") for n in sums])
     return _add_offsets(local, totals, keys, running)
 
 
@@ -95,17 +102,19 @@ def ranged_row_number(
 ) -> DataFrame:
     """`row_number` per key for keys too large for one task; `order_cols` must be unique."""
     keys, order_cols = list(keys), list(order_cols)
-    parts = _range_parts(df, keys + order_cols)
     inside = W.partitionBy(_PART, *keys).orderBy(*order_cols)
-    local = parts.withColumn(name, F.row_number().over(inside).cast("long"))
-    totals = parts.groupBy(_PART, *keys).agg(F.count(F.lit(1)).alias(name))
+    local = cut_lineage(
+        _with_range_number(df, keys + order_cols).withColumn(name, F.row_number().over(inside).cast("long"))
+    )
+    totals = local.groupBy(_PART, *keys).agg(F.count(F.lit(1)).alias(name))
     return _add_offsets(local, totals, keys, [name])
 
 
-def oversized_keys(df: DataFrame, key: str, max_rows: int) -> list:
-    """Keys with more than `max_rows` rows: at most rows / max_rows of them reach the driver."""
+def oversized_keys(df: DataFrame, key: str, max_rows: int) -> DataFrame | None:
+    """Keys with more than `max_rows` rows, or None. There are at most rows / max_rows of them."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return [r[0] for r in counts.filter(F.col("n") > max_rows).select(key).collect()]
+    hot = counts.filter(F.col("n") > max_rows).select(key).collect()
+    return df.sparkSession.createDataFrame(hot, counts.select(key).schema) if hot else None
 
 
 def order_events(log: DataFrame, max_case_rows: int = MAX_ROWS_PER_TASK) -> DataFrame:
@@ -117,11 +126,10 @@ def order_events(log: DataFrame, max_case_rows: int = MAX_ROWS_PER_TASK) -> Data
     window = W.partitionBy(CASE).orderBy(TS, ORDER_KEY)
     position = F.row_number().over(window).cast("long")
     hot = oversized_keys(log, CASE, max_case_rows)
-    if not hot:
+    if hot is None:
         return log.withColumn(POS, position)
-    is_hot = F.col(CASE).isin(hot)
-    small = log.filter(~is_hot).withColumn(POS, position)
-    large = ranged_row_number(log.filter(is_hot), [TS, ORDER_KEY], [CASE], POS)
+    small = log.join(F.broadcast(hot), CASE, "left_anti").withColumn(POS, position)
+    large = ranged_row_number(log.join(F.broadcast(hot), CASE, "left_semi"), [TS, ORDER_KEY], [CASE], POS)
     return small.unionByName(large)
 
 

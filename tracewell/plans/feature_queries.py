@@ -18,7 +18,7 @@ from tracewell.operators.population import safe_prefix
 from tracewell.plans import sql
 from tracewell.plans.tables import (
     L1_CREATE, L1_K, L1_LINK, L1_OUTCOMES, L1_SPARSE, L1_STATES, L1_STATIC, L2_STATIC, WINDOWS,
-    l1, l1_cases, l1_ordered, l1_prefix, l2,
+    flags, l1, l1_cases, l1_ordered, l1_prefix, l2,
 )
 from tracewell.session import cut_lineage
 
@@ -62,7 +62,8 @@ def _us(df, *cols):
 
 
 def elog(s, d):
-    return A.eligible_log(l1_ordered(s, d), l1_cases(s, d))
+    ordered = l1_ordered(s, d)
+    return A.eligible_log(ordered, flags(ordered))
 
 
 def case_features(s, d) -> DataFrame:
@@ -85,26 +86,29 @@ def _flat(features: DataFrame) -> DataFrame:
 
 
 def _matrix(s, d, strict=True):
-    log, prefix = elog(s, d), l1_prefix(s, d)
-    case_level = A.case_attr_availability(log, ["segment", "credit_limit"], L1_K)
-    sparse = A.sparse_availability(log, ["amount", "rating", "selected"], L1_K)
+    # Case-level and sparse attributes share one pass; the prefix is k rows per case.
+    measured = A.sparse_availability(elog(s, d), ["segment", "credit_limit", "amount", "rating", "selected"], L1_K)
+    measured = measured.select("feature", "available_by_k", "available_by_k_pct")
+    prefix = cut_lineage(l1_prefix(s, d))
+    is_static = F.col("feature").isin(L1_STATIC)
     events = A.event_completeness(prefix, ["activity", "resource", "ts"])
     ids = A.identifier_audit(prefix, ["order_key"])
     return A.availability_matrix({
-        "case-level": case_level.select("feature", "available_by_k", "availability_percentage"),
+        "case-level": measured.filter(is_static),
         "event-process": events.select("feature", "cases_with_value", "case_coverage_percentage"),
-        "offer-sparse": sparse.select("feature", "available_by_k", "available_by_k_pct"),
+        "offer-sparse": measured.filter(~is_static),
         "identifier": ids.select("feature", "cases_with_value", "case_coverage_percentage"),
     }, A.decision_table(s, DECISIONS), strict)
 
 
-def _linked(s, d):
-    return A.link_next_event(l1_ordered(s, d), L1_CREATE, L1_LINK, "item_id", ["accepted", "selected"])
+def _linked(ordered):
+    return A.link_next_event(ordered, L1_CREATE, L1_LINK, "item_id", ["accepted", "selected"])
 
 
 def _later(s, d):
-    states = A.lifecycle_first_state(l1_ordered(s, d), "item_id", L1_STATES)
-    return A.later_state(_linked(s, d), states, "item_id", STATES)
+    ordered = l1_ordered(s, d)
+    states = A.lifecycle_first_state(ordered, "item_id", L1_STATES)
+    return A.later_state(_linked(ordered), states, "item_id", STATES)
 
 
 def _relationship(s, d):
@@ -207,7 +211,7 @@ QUERIES = {
     "outcome_value_pattern": lambda s, d: A.outcome_value_pattern(
         elog(s, d), l1_cases(s, d), L1_CREATE, ["accepted", "selected"], OUTS),
     "offer_multiplicity": lambda s, d: A.item_multiplicity(elog(s, d), L1_CREATE, ["accepted", "selected"]),
-    "link_next_event": lambda s, d: _linked(s, d).drop("accepted", "selected"),
+    "link_next_event": lambda s, d: _linked(l1_ordered(s, d)).drop("accepted", "selected"),
     "lifecycle_first_state": lambda s, d: A.lifecycle_first_state(l1_ordered(s, d), "item_id", L1_STATES),
     "later_state": lambda s, d: _later(s, d).select("case_id", "event_pos", *[f"later_{x}" for x in STATES]),
     "lifecycle_relationship": lambda s, d: rounded(_relationship(s, d)),

@@ -68,27 +68,32 @@ def _check_close(s, d):
 
 # --- models on case features ----------------------------------------------------------------
 
-def _vectors(s, d):
+KEEP = ["case_id", "target"]
+
+
+def _encoded_split(s, d):
     train, test = split_features(s, d)
-    dictionary = N.vocabulary_fit(train, ENCODE)
-    keep = ["case_id", "target"]
-    linear = [N.assemble(N.scale_numeric(train, x, ENCODE.numeric), dictionary, ENCODE, keep) for x in (train, test)]
-    tree = [N.assemble(x, dictionary, ENCODE, keep) for x in (train, test)]
-    return dictionary, linear, tree
+    return N.frozen_dictionary(N.vocabulary_fit(train, ENCODE)), train, test
 
 
 def _logistic(s, d):
-    dictionary, (train, test), _ = _vectors(s, d)
-    return dictionary, K.fit_logistic(train), test
+    dictionary, train, test = _encoded_split(s, d)
+    linear = [N.assemble(N.scale_numeric(train, x, ENCODE.numeric), dictionary, ENCODE, KEEP) for x in (train, test)]
+    return dictionary, K.fit_logistic(linear[0]), linear[1]
+
+
+def _tree_vectors(s, d):
+    dictionary, train, test = _encoded_split(s, d)
+    return dictionary, *[N.assemble(x, dictionary, ENCODE, KEEP) for x in (train, test)]
 
 
 def _forest(s, d):
-    dictionary, _, (train, test) = _vectors(s, d)
+    dictionary, train, test = _tree_vectors(s, d)
     return dictionary, K.fit_forest(train, **FOREST), train, test
 
 
 def _refit(s, d):
-    dictionary, _, (train, test) = _vectors(s, d)
+    dictionary, train, test = _tree_vectors(s, d)
     return K.refit_equality(lambda x: K.fit_forest(x, **FOREST), train, test, dictionary)
 
 

@@ -74,9 +74,13 @@ def l1_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_events(l1(spark, sf_dir))
 
 
-def l1_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+def flags(ordered: DataFrame) -> DataFrame:
     """Case labels with the eligibility flags."""
-    return eligibility(case_outcomes(l1_ordered(spark, sf_dir), L1_OUTCOMES), L1_K)
+    return eligibility(case_outcomes(ordered, L1_OUTCOMES), L1_K)
+
+
+def l1_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flags(l1_ordered(spark, sf_dir))
 
 
 def l1_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
