@@ -3,6 +3,7 @@
 import os
 import sys
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -11,28 +12,34 @@ from tracewell.plans import registry  # noqa: E402
 from tracewell.session import local_session  # noqa: E402
 
 
+def run_one(spark, name: str, sf_dir: str) -> tuple[str, str, float, str]:
+    """(name, kind, seconds, problem); queries without SQL must give rows."""
+    query, sql = registry.queries()[name], registry.oracle_sql().get(name)
+    start = time.time()
+    try:
+        if sql is not None:
+            kind, problem = "sql", compare(spark, name, query, sql, sf_dir)
+        else:
+            kind, problem = "rows", "" if query(spark, sf_dir).collect() else "no rows"
+    except Exception as e:  # noqa: BLE001
+        kind, problem = "error", f"{type(e).__name__}: {str(e)[:600]}"
+    return name, kind, time.time() - start, problem
+
+
+def run_all(spark, names, sf_dir: str, threads: int = 6):
+    """Spark runs the jobs of several queries at once; results come in order."""
+    with ThreadPoolExecutor(threads) as pool:
+        yield from pool.map(lambda n: run_one(spark, n, sf_dir), names)
+
+
 def main() -> int:
     sf = sys.argv[1] if len(sys.argv) > 1 else "sf0.01"
-    names = sys.argv[2:]
-    spark = local_session()
-    sf_dir = f"{TESTDATA}/{sf}"
-    sqls = registry.oracle_sql()
+    wanted = sys.argv[2:]
+    names = [n for n in registry.queries() if not wanted or n in wanted]
     bad = 0
-    for name, query in registry.queries().items():
-        if names and not any(n == name or (n.endswith("*") and name.startswith(n[:-1])) for n in names):
-            continue
-        start = time.time()
-        try:
-            if name in sqls:
-                problem = compare(spark, name, query, sqls[name], sf_dir)
-                kind = "sql"
-            else:
-                problem = "" if query(spark, sf_dir).collect() else "no rows"
-                kind = "rows"
-        except Exception as e:  # noqa: BLE001
-            problem, kind = f"{type(e).__name__}: {str(e)[:600]}", "error"
+    for name, kind, seconds, problem in run_all(local_session(), names, f"{TESTDATA}/{sf}"):
         bad += bool(problem)
-        print(f"{'FAIL' if problem else 'ok':4} {kind:5} {time.time() - start:6.2f}s {name} {problem}", flush=True)
+        print(f"{'FAIL' if problem else 'ok':4} {kind:5} {seconds:6.2f}s {name} {problem}", flush=True)
     print("failures:", bad)
     return 1 if bad else 0
 

@@ -340,7 +340,7 @@ def global_importance(attributions: DataFrame) -> DataFrame:
     everything = W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     return means.select(
         F.row_number().over(w).cast("long").alias("rank"), "feature", "mean_abs_shap",
-        (F.col("mean_abs_shap") / F.sum("mean_abs_shap").over(everything)).alias("share_of_total_importance"),
+        F.try_divide(F.col("mean_abs_shap"), F.sum("mean_abs_shap").over(everything)).alias("share_of_total_importance"),
     )
 
 

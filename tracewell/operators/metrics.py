@@ -86,11 +86,12 @@ def average_precision(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def roc_curve(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """A point per distinct score, and the start (infinity, 0, 0) of each group."""
+    """A point per distinct score, and the start (infinity, 0, 0) of each group; the rate of a
+    class the group lacks is null."""
     t = score_table(df, keys)
     points = t.select(
         *keys, F.col("y_prob").alias("threshold"),
-        (F.col("fp") / F.col("total_neg")).alias("fpr"), (F.col("tp") / F.col("total_pos")).alias("tpr"),
+        F.try_divide("fp", "total_neg").alias("fpr"), F.try_divide("tp", "total_pos").alias("tpr"),
     )
     start = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
     first = start.select(*keys, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
@@ -103,7 +104,7 @@ def pr_curve(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return t.select(
         *keys, F.col("y_prob").alias("threshold"),
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
-        (F.col("tp") / F.col("total_pos")).alias("recall"),
+        F.try_divide("tp", "total_pos").alias("recall"),
         (F.col("total_pos") / (F.col("total_pos") + F.col("total_neg"))).alias("prevalence"),
     )
 

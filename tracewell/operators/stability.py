@@ -117,7 +117,7 @@ def window_group_importance(importance: DataFrame, groups: DataFrame) -> DataFra
     total = F.sum("group_total_importance").over(W.partitionBy("window"))
     return sums.withColumns({
         "group_mean_importance_per_feature": F.col("group_total_importance") / F.col("feature_count"),
-        "share_of_total_importance": F.col("group_total_importance") / total,
+        "share_of_total_importance": F.try_divide(F.col("group_total_importance"), total),
     })
 
 

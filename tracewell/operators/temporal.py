@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -37,15 +36,20 @@ def find_boundaries(cases: DataFrame, start: str, fractions: Sequence[float]) ->
     Only one row per boundary reaches the driver; the cumulative counts stay distributed.
     """
     cum = start_counts(cases, start)
-    total = cum.agg(F.max("cum_n")).first()[0] or 0
-    nominals = [math.floor(total * f + 1e-9) for f in fractions]
+    wanted = [F.floor(F.col("total_n") * F.lit(float(f)) + 1e-9) for f in fractions]
+    valid = F.col("cum_n") < F.col("total_n")
+    picks = cum.agg(
+        F.max("total_n").alias("total"),
+        *[F.max(n).alias(f"n{i}") for i, n in enumerate(wanted)],
+        *[
+            F.min(F.when(valid, F.struct(F.abs(F.col("cum_n") - n).alias("d"), F.col("cum_n").alias("p"), "start")))
+            .alias(f"b{i}") for i, n in enumerate(wanted)
+        ],
+    ).first()
+    total = picks["total"] or 0
+    nominals = [picks[f"n{i}"] or 0 for i in range(len(wanted))]
     if any(not 0 < n < total for n in nominals):
         raise ContractError(f"a boundary would leave an empty part: {nominals} of {total}")
-    valid = cum.filter(F.col("cum_n") < total)
-    picks = valid.agg(*[
-        F.min(F.struct(F.abs(F.col("cum_n") - n).alias("d"), F.col("cum_n").alias("p"), "start")).alias(f"b{i}")
-        for i, n in enumerate(nominals)
-    ]).first()
     if picks["b0"] is None:
         raise ContractError("all cases share one start time; no strict cut exists")
     positions = [picks[f"b{i}"]["p"] for i in range(len(nominals))]

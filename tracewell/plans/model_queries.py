@@ -357,10 +357,10 @@ SQL = {
     "roc_auc": _S1 + _cum("s", "source") + f"SELECT k AS source, {_r('roc_auc')} FROM r",
     "roc_auc_overall": _S1 + _cum("s", "1") + f"SELECT {_r('roc_auc')} FROM r",
     "average_precision": _S1 + _cum("s", "source") + f"SELECT k AS source, {_r('average_precision')} FROM r",
-    "roc_curve": _S1 + _cum("s", "lang") + """SELECT k AS lang, round(y_prob, 6) AS threshold, round(fp / n, 6) AS fpr,
-  round(tp / p, 6) AS tpr FROM c UNION ALL SELECT DISTINCT k, 'infinity'::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM c""",
+    "roc_curve": _S1 + _cum("s", "lang") + """SELECT k AS lang, round(y_prob, 6) AS threshold,
+  CASE WHEN n > 0 THEN round(fp / n, 6) END AS fpr, CASE WHEN p > 0 THEN round(tp / p, 6) END AS tpr FROM c UNION ALL SELECT DISTINCT k, 'infinity'::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM c""",
     "pr_curve": _S1 + _cum("s", "lang") + """SELECT k AS lang, round(y_prob, 6) AS threshold, round(tp / (tp + fp), 6) AS precision,
-  round(tp / p, 6) AS recall, round(p / (p + n), 6) AS prevalence FROM c""",
+  CASE WHEN p > 0 THEN round(tp / p, 6) END AS recall, round(p / (p + n), 6) AS prevalence FROM c""",
     "model_comparison": _MODELS + _cum("m", "model") + f"SELECT k AS model, {_r(*M.METRICS, 'prevalence')} FROM r JOIN t USING (k)",
     "metric_deltas": _MODELS + _cum("m", "model").rstrip() + ", a AS (SELECT * FROM r JOIN t USING (k))\nSELECT x.k AS model, "
     + ", ".join(f"round(x.{m} - b.{m}, 6) AS delta_{m}" for m in M.METRICS)
