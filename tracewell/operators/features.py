@@ -7,7 +7,7 @@ one aggregation by case.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -20,16 +20,21 @@ from tracewell.spec import CASE, ORDER_KEY, POS, TS
 
 @dataclass(frozen=True)
 class FeatureSpec:
-    """statics: source -> output name; count_maps: source -> namespace; uniques: output -> source."""
+    """statics: source -> output name; count_maps: source -> namespace; uniques: output -> source;
+    map_names: namespace -> map column, where it is not `<namespace>_counts`."""
 
     statics: Mapping[str, str]
     count_maps: Mapping[str, str]
     uniques: Mapping[str, str]
+    map_names: Mapping[str, str] = field(default_factory=dict)
+
+    def map_column(self, namespace: str) -> str:
+        return self.map_names.get(namespace, f"{namespace}_counts")
 
     @property
     def map_columns(self) -> dict[str, str]:
         """Map column -> namespace."""
-        return {f"{ns}_counts": ns for ns in self.count_maps.values()}
+        return {self.map_column(ns): ns for ns in self.count_maps.values()}
 
     @property
     def numeric_summary(self) -> list[str]:
@@ -136,7 +141,7 @@ def case_features(prefix: DataFrame, spec: FeatureSpec) -> DataFrame:
     timed = _with_timing(per_case.withColumn("target", F.coalesce(guard, F.col("target"))))
     return timed.select(
         CASE, "case_start_time", "target", "__static.*",
-        *[_count_map(_complete(F.col(f"__{ns}"), s)).alias(f"{ns}_counts") for s, ns in spec.count_maps.items()],
+        *[_count_map(_complete(F.col(f"__{ns}"), s)).alias(spec.map_column(ns)) for s, ns in spec.count_maps.items()],
         *spec.numeric_summary,
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.functions.columns import count_where, n_rows
+from tracewell.functions.columns import count_where, mapped, n_rows
 from tracewell.operators.contracts import check_not_null, check_required_columns, check_unique, enforce, union_checks
 from tracewell.spec import ACTIVITY, CASE, ORDER_KEY, TS, LogSpec
 
@@ -45,6 +45,12 @@ def core_contract(log: DataFrame) -> DataFrame:
     ])
 
 
+def with_source_names(df: DataFrame, spec: LogSpec, column: str = "feature") -> DataFrame:
+    """Show the source's own names for the canonical core columns in a report column."""
+    names = {CASE: spec.case, ACTIVITY: spec.activity, TS: spec.ts, ORDER_KEY: spec.order_key}
+    return df.withColumn(column, F.coalesce(mapped(F.col(column), names), F.col(column)))
+
+
 def normalization_summary(log: DataFrame) -> DataFrame:
     """Rows and null counts of the core columns in one pass."""
     return log.agg(
