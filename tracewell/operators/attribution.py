@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.columns import count_where, mapped, n_rows, scalar
 from tracewell.operators.contracts import ContractError
-from tracewell.session import scratch_path
+from tracewell.session import cut_lineage, scratch_path
 
 # --- exact interventional Shapley values of a forest ---------------------------------------
 
@@ -28,6 +28,8 @@ MAX_FOREST_NODES = 20_000_000
 MAX_BACKGROUND_CELLS = 50_000_000
 # Rows explained together; bounds the row x background pairs held at once.
 ROWS_PER_BLOCK = 1024
+# Tasks of one batch run; more batches than this share tasks.
+MAX_BATCH_TASKS = 20_000
 
 
 @dataclass
@@ -109,6 +111,10 @@ def _codes(x: np.ndarray, leaf: Leaf) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(bits, return_inverse=True)
 
 
+def _bits(codes: np.ndarray, d: int) -> np.ndarray:
+    return ((codes[:, None] >> np.arange(d, dtype=np.uint64)) & np.uint64(1)).astype(float)
+
+
 def forest_shapley(leaves: Sequence[Leaf], trees: int, x: np.ndarray, background: np.ndarray) -> np.ndarray:
     """Exact interventional Shapley values, rows x features, averaged over background and trees.
 
@@ -132,14 +138,18 @@ def forest_shapley(leaves: Sequence[Leaf], trees: int, x: np.ndarray, background
         bg_codes, bg_of = _codes(background, leaf)
         weight = np.bincount(bg_of) * (leaf.value * scale)
         i, j = np.nonzero((row_codes[:, None] | bg_codes[None, :]) == full)
-        only_row = row_codes[i] & ~bg_codes[j]
-        only_bg = bg_codes[j] & ~row_codes[i]
-        u, v = np.bitwise_count(only_row), np.bitwise_count(only_bg)
-        shift = np.arange(d, dtype=np.uint64)
-        gain = (w_in[u, v] * weight[j])[:, None] * ((only_row[:, None] >> shift) & np.uint64(1))
-        loss = (w_out[u, v] * weight[j])[:, None] * ((only_bg[:, None] >> shift) & np.uint64(1))
+        if not len(i):
+            continue
+        u = np.bitwise_count(row_codes[i] & ~bg_codes[j])
+        v = np.bitwise_count(bg_codes[j] & ~row_codes[i])
+        row_bits, bg_bits = _bits(row_codes, d), _bits(bg_codes, d)
+        # Pairs come ordered by row code, so each code's sum does not depend on the other rows.
+        first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+        met = i[first]
+        gain = np.add.reduceat((w_in[u, v] * weight[j])[:, None] * (1.0 - bg_bits)[j], first, axis=0)
+        loss = np.add.reduceat((w_out[u, v] * weight[j])[:, None] * bg_bits[j], first, axis=0)
         per_code = np.zeros((len(row_codes), d))
-        np.add.at(per_code, i, gain - loss)
+        per_code[met] = row_bits[met] * gain - (1.0 - row_bits[met]) * loss
         phi[:, leaf.features] += per_code[row_of]
     return phi
 
@@ -169,52 +179,74 @@ class ForestExplainer:
         b = np.array([r[0] for r in background.select(vector_to_array("features")).collect()])
         return cls(forest_leaves(model, positive), model.getNumTrees, b)
 
+    def part(self, index: int, count: int) -> ForestExplainer:
+        """Every count-th leaf: the parts' values add up to the whole forest's."""
+        return self if count == 1 else ForestExplainer(self.leaves[index::count], self.trees, self.background)
+
     @property
     def base_value(self) -> float:
         return float(forest_probability(self.leaves, self.trees, self.background).mean())
 
 
-_OUT = "case_id {kind}, phi array<double>, base_value double, seconds double"
+def _kernel_schema(data: DataFrame, *extra: str) -> str:
+    kind = dict(data.dtypes)["case_id"]
+    return ", ".join([f"case_id {kind}", *extra, "x array<double>", "phi array<double>", "seconds double"])
 
 
-def tree_attribution(explainer: ForestExplainer, data: DataFrame, dictionary: DataFrame) -> DataFrame:
+def tree_attribution(
+    explainer: ForestExplainer, data: DataFrame, dictionary: DataFrame, slices: int | None = None
+) -> DataFrame:
     """(case_id, feature, feature_value, shap_value, base_value) for every row of `data`.
 
-    Cases are spread over the tasks; forest and background travel once per executor.
+    The values are sums over leaves, so few rows are spread by slices of the forest and many
+    rows by blocks; each task holds one block and one slice. Forest and background travel once
+    per executor.
     """
     spark = data.sparkSession
+    blocks = max(1, -(-data.count() // ROWS_PER_BLOCK))
+    if slices is None:
+        slices = max(1, spark.sparkContext.defaultParallelism // blocks)
     shared = spark.sparkContext.broadcast(explainer)
-    base = explainer.base_value
-    kind = dict(data.dtypes)["case_id"]
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = shared.value
         for pdf in batches:
-            if len(pdf):
-                yield _explain_frame(e, pdf, base)
-
-    rows = data.select("case_id", vector_to_array("features").alias("x")).repartition("case_id")
-    out = rows.mapInPandas(explain, _OUT.format(kind=kind).replace("phi", "x array<double>, phi"))
-    return _long(out, dictionary).drop("seconds")
-
-
-def _explain_frame(e: ForestExplainer, pdf: pd.DataFrame, base: float) -> pd.DataFrame:
+            for part, rows in pdf.groupby("slice"):
+                yield _explain_frame(shared.value.part(int(part), slices), rows.drop(columns=["slice", "slot"]))
+
+    block = F.pmod(F.xxhash64("case_id"), F.lit(blocks))
+    rows = data.select("case_id", vector_to_array("features").alias("x"), block.alias("block"),
+                       F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    slot = (F.col("block") * slices + F.col("slice")).cast("int").alias("slot")
+    placed = rows.select("case_id", "x", "slice", slot).repartitionById(blocks * slices, "slot")
+    cells = _cells(placed.mapInPandas(explain, _kernel_schema(data)))
+    if slices > 1:
+        cells = cells.groupBy("case_id", "feature_index").agg(
+            F.max("feature_value").alias("feature_value"), F.sum("shap_value").alias("shap_value")
+        )
+    return _named(cells, dictionary).drop("seconds").withColumn("base_value", F.lit(explainer.base_value))
+
+
+def _explain_frame(e: ForestExplainer, pdf: pd.DataFrame) -> pd.DataFrame:
     start = time.perf_counter()
     phi = forest_shapley(e.leaves, e.trees, np.stack(pdf["x"].to_list()), e.background)
-    out = pdf.assign(phi=list(phi), base_value=base)
-    return out.assign(seconds=(time.perf_counter() - start) / len(pdf))
+    return pdf.assign(phi=list(phi), seconds=(time.perf_counter() - start) / len(pdf))
 
 
-def _long(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
+def _cells(rows: DataFrame) -> DataFrame:
+    """One row per case and feature from the arrays of values and contributions."""
     cells = F.explode(F.transform(
-        F.arrays_zip("x", "phi"), lambda c, i: F.struct(i.cast("long").alias("feature_index"), c["x"].alias("v"), c["phi"].alias("p"))
+        F.arrays_zip("x", "phi"),
+        lambda c, i: F.struct(i.cast("long").alias("feature_index"), c["x"].alias("v"), c["phi"].alias("p")),
     )).alias("c")
     keep = [c for c in rows.columns if c not in ("x", "phi")]
-    flat = rows.select(*keep, cells).select(
+    return rows.select(*keep, cells).select(
         *keep, "c.feature_index", F.col("c.v").alias("feature_value"), F.col("c.p").alias("shap_value")
     )
+
+
+def _named(cells: DataFrame, dictionary: DataFrame) -> DataFrame:
     names = dictionary.select("feature_index", F.col("feature_name").alias("feature"))
-    return flat.join(names, "feature_index").drop("feature_index")
+    return cells.join(names, "feature_index").drop("feature_index")
 
 
 def attribution_batches(
@@ -223,12 +255,10 @@ def attribution_batches(
     """Attribute in fixed-size batches below `path`, resuming after a stop.
 
     `data` has `sample_order`. A batch is done when the ledger holds it with the fingerprint of
-    the same input; only missing batches are computed, each as one bounded group, and a rerun
-    replaces what an interrupted run left. Returns all batches as read back.
+    the same input; only missing batches are computed, and a rerun replaces what an
+    interrupted run left. Returns all batches as read back.
     """
     spark = data.sparkSession
-    kind = dict(data.dtypes)["case_id"]
-    base = explainer.base_value
     shared = spark.sparkContext.broadcast(explainer)
     rows = data.select(
         "case_id", "sample_order", vector_to_array("features").alias("x"),
@@ -238,23 +268,29 @@ def attribution_batches(
     prints = rows.groupBy("batch").agg(
         n_rows("case_count"), F.sum(digest.cast("decimal(20,0)")).cast("string").alias("fingerprint")
     )
-    ledger_schema = "batch int, case_count long, fingerprint string"
     ledger_path, data_path = f"{path}/ledger", f"{path}/attributions"
-    done = _read_if_present(spark, ledger_path, ledger_schema)
-    todo = prints.join(done, ["batch", "case_count", "fingerprint"], "left_anti")
-    pending = rows.join(todo.select("batch"), "batch", "left_semi")
-
-    def explain(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _explain_frame(shared.value, pdf, base)
-
-    schema = f"case_id {kind}, sample_order long, x array<double>, batch int, phi array<double>, base_value double, seconds double"
-    result = pending.groupBy("batch").applyInPandas(explain, schema)
-    if todo.limit(1).count():
-        done_now = todo.collect()  # one row per pending batch, fixed before the batches are written
-        result.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(data_path)
-        spark.createDataFrame(done_now, prints.schema).write.mode("append").parquet(ledger_path)
+    done = _read_if_present(spark, ledger_path, "batch int, case_count long, fingerprint string")
+    # Fixed before the batches are written; a row per batch, so it stays a distributed table.
+    todo = cut_lineage(prints.join(done, ["batch", "case_count", "fingerprint"], "left_anti"))
+    schema = _kernel_schema(data, "sample_order long", "batch int")
+    waiting = todo.count()
+    if waiting:
+
+        def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for _, group in pdf.groupby("batch"):
+                    yield _explain_frame(shared.value, group)
+
+        tasks = min(waiting, MAX_BATCH_TASKS)
+        pending = rows.join(todo.select("batch"), "batch", "left_semi").select(
+            "case_id", "sample_order", "batch", "x"
+        )
+        placed = pending.withColumn("slot", F.pmod("batch", F.lit(tasks))).repartitionById(tasks, "slot").drop("slot")
+        placed.mapInPandas(explain, schema).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(data_path)
+        todo.write.mode("append").parquet(ledger_path)
     stored = spark.read.schema(schema).parquet(data_path)
-    return _long(stored, dictionary)
+    return _named(_cells(stored), dictionary).withColumn("base_value", F.lit(explainer.base_value))
 
 
 def _read_if_present(spark, path: str, schema: str) -> DataFrame:
