@@ -9,6 +9,7 @@ from __future__ import annotations
 import time
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -183,7 +184,7 @@ class ForestExplainer:
         """Every count-th leaf: the parts' values add up to the whole forest's."""
         return self if count == 1 else ForestExplainer(self.leaves[index::count], self.trees, self.background)
 
-    @property
+    @cached_property
     def base_value(self) -> float:
         return float(forest_probability(self.leaves, self.trees, self.background).mean())
 
