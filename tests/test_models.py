@@ -43,6 +43,25 @@ def test_vector_equals_long_cells(spark):
     assert vec == long == {4: [5.0, 0.0, 0.0, 1.0, 0.0], 5: [0.0, 1.0, 0.0, 0.0, 3.0]}
 
 
+def test_partial_layouts(spark):
+    train = features(spark, TRAIN)
+    for spec, width in ((N.EncodeSpec(["amount"], [], {}), 1), (N.EncodeSpec([], ["color"], {}), 2),
+                        (N.EncodeSpec([], [], {"act_counts": "act"}), 2)):
+        dic = N.vocabulary_fit(train, spec)
+        assert dic.count() == width
+        assert {r.feature_index for r in N.encode_tree(train, dic, spec).collect()} == set(range(width))
+
+
+def test_large_dictionary_joins_by_shuffle(spark, monkeypatch):
+    import tracewell.functions.tables as tables
+
+    train = features(spark, TRAIN)
+    dic = N.vocabulary_fit(train, SPEC)
+    small = sorted(map(tuple, N.encode_tree(train, dic, SPEC).collect()))
+    monkeypatch.setattr(tables, "MAX_BROADCAST_ROWS", 1)
+    assert sorted(map(tuple, N.encode_tree(train, dic, SPEC).collect())) == small
+
+
 def test_scaling_uses_population_variance_and_guards_constants(spark):
     train = features(spark, TRAIN)
     got = {r.case_id: r.amount for r in N.scale_numeric(train, train, ["amount"]).collect()}

@@ -32,9 +32,9 @@ def test_ordered_cumsum_equals_window(spark):
 
 
 def test_ordered_cumsum_without_keys_and_with_shuffled_totals(spark, monkeypatch):
-    import tracewell.operators.order as order
+    import tracewell.functions.tables as tables
 
-    monkeypatch.setattr(order, "MAX_BROADCAST_ROWS", 1)  # the way beyond the size bound
+    monkeypatch.setattr(tables, "MAX_BROADCAST_ROWS", 1)  # the way beyond the size bound
     df = skewed(spark)
     got = [tuple(r) for r in ordered_cumsum(df, ["v"], {"n": F.lit(1)}).select("v", "cum_n").orderBy("v").collect()]
     counts = np.bincount([r.v for r in df.collect()])

@@ -64,6 +64,13 @@ def test_no_cross_joins_in_any_sql_free_profile(spark):
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
+def test_cells_are_encoded_without_a_shuffle(spark):
+    train, test = Q.split_features(spark, SF)
+    dictionary = N.vocabulary_fit(train, Q.ENCODE)
+    text = plan(N.encode_tree(test, dictionary, Q.ENCODE))
+    assert "Exchange hashpartitioning" not in text and "BroadcastHashJoin" in text
+
+
 def test_metrics_stay_on_the_jvm(spark):
     for df in (M.ranking_metrics(TB.scores(spark, SF), ["lang"]), Q.case_features(spark, SF)):
         assert "Python" not in plan(df) and "Arrow" not in plan(df)

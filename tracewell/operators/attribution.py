@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.functions.columns import count_where, mapped, n_rows, scalar
+from tracewell.functions.tables import measured_broadcast
 from tracewell.operators.contracts import ContractError
 from tracewell.session import cut_lineage, scratch_path
 
@@ -247,7 +248,7 @@ def _cells(rows: DataFrame) -> DataFrame:
 
 def _named(cells: DataFrame, dictionary: DataFrame) -> DataFrame:
     names = dictionary.select("feature_index", F.col("feature_name").alias("feature"))
-    return cells.join(names, "feature_index").drop("feature_index")
+    return cells.join(measured_broadcast(names), "feature_index").drop("feature_index")
 
 
 def attribution_batches(

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.columns import count_where, n_rows, ratio, scalar
+from tracewell.functions.tables import measured_broadcast
 from tracewell.operators.contracts import ContractError
 from tracewell.operators.features import count_rows
 from tracewell.operators.order import ordered_cumsum
@@ -76,7 +78,8 @@ def _cells(spec: EncodeSpec, numeric: Mapping[str, Column]) -> Column:
         return F.transform(F.map_entries(column), lambda e: cell(
             F.lit(f"structured_map::{namespace}"), F.concat(F.lit(f"{namespace}::"), e["key"]), last, e["value"]))
 
-    return F.concat(F.array(*single), *[map_cells(m, ns) for m, ns in spec.maps.items()])
+    parts = [F.array(*single)] if single else []
+    return F.concat(*parts, *[map_cells(m, ns) for m, ns in spec.maps.items()])
 
 
 def long_cells(features: DataFrame, spec: EncodeSpec) -> DataFrame:
@@ -99,25 +102,41 @@ def vocabulary_fit(train: DataFrame, spec: EncodeSpec) -> DataFrame:
     )
 
 
+def _tokens(features: DataFrame, spec: EncodeSpec) -> DataFrame:
+    """Category and map cells only."""
+    return long_cells(features, EncodeSpec([], spec.categorical, spec.maps))
+
+
+def _unseen(train: DataFrame, test: DataFrame, spec: EncodeSpec) -> DataFrame:
+    """Distinct test-only values. Both sides are merged to distinct values before they meet, so
+    a value of most rows is one row here."""
+    key = ["source_group", "feature_name"]
+    return _tokens(test, spec).select(*key).distinct().join(
+        _tokens(train, spec).select(*key).distinct(), key, "left_anti"
+    )
+
+
 def unknown_values(train: DataFrame, test: DataFrame, spec: EncodeSpec) -> DataFrame:
     """Test-only categories and map keys with the number of test cases that have them."""
-    seen = long_cells(train, spec).select("source_group", "feature_name").distinct()
-    rows = long_cells(test, spec).filter("source_group <> 'numeric'")
-    unseen = rows.join(seen, ["source_group", "feature_name"], "left_anti")
-    return unseen.groupBy("source_group", "feature_name").agg(F.count_distinct(CASE).alias("test_rows"))
+    unseen = measured_broadcast(_unseen(train, test, spec))
+    rows = _tokens(test, spec).join(unseen, ["source_group", "feature_name"], "left_semi")
+    # A case holds a value once: categories are single and map keys unique.
+    return rows.groupBy("source_group", "feature_name").agg(n_rows("test_rows"))
 
 
 def unknown_audit(train: DataFrame, test: DataFrame, spec: EncodeSpec) -> DataFrame:
     """Per source: training vocabulary size, test-only values, test cases affected."""
-    seen = long_cells(train, spec).filter("source_group <> 'numeric'").select("source_group", "feature_name").distinct()
+    seen = _tokens(train, spec).select("source_group", "feature_name").distinct()
     sizes = seen.groupBy("source_group").agg(n_rows("train_vocabulary_size"))
-    unseen = long_cells(test, spec).filter("source_group <> 'numeric'").join(
-        seen, ["source_group", "feature_name"], "left_anti"
-    )
-    # Values are merged per (source, case) and per (source, value) before they are counted.
-    values = unseen.select("source_group", "feature_name").distinct().groupBy("source_group").agg(n_rows("test_only_count"))
-    cases = unseen.select("source_group", CASE).distinct().groupBy("source_group").agg(n_rows("test_rows_affected"))
-    return sizes.join(values, "source_group", "left").join(cases, "source_group", "left").na.fill(0)
+    unseen = measured_broadcast(_unseen(train, test, spec))
+    values = unseen.groupBy("source_group").agg(n_rows("test_only_count"))
+    rows = _tokens(test, spec).join(unseen, ["source_group", "feature_name"], "left_semi")
+    cases = rows.select("source_group", CASE).distinct().groupBy("source_group").agg(n_rows("test_rows_affected"))
+    # A source may occur in the test rows only.
+    sources = sizes.select("source_group").unionByName(values.select("source_group")).distinct()
+    for part in (sizes, values, cases):
+        sources = sources.join(part, "source_group", "left")
+    return sources.na.fill(0)
 
 
 def numeric_stats(train: DataFrame, numeric: Sequence[str]) -> DataFrame:
@@ -150,25 +169,37 @@ def scale_numeric(train: DataFrame, df: DataFrame, numeric: Sequence[str]) -> Da
     return df.withColumns({c: scaled[c] for c in numeric})
 
 
-def _encode(cells: DataFrame, dictionary: DataFrame) -> DataFrame:
-    known = cells.join(dictionary, ["source_group", "feature_name"])
-    return known.filter("value <> 0").select(CASE, "feature_index", "value")
+def _numeric_cells(features: DataFrame, spec: EncodeSpec) -> DataFrame:
+    """Numeric columns come first in the dictionary, so their index needs no join: their cells
+    would all meet on a handful of keys."""
+    cells = F.array(*[
+        F.struct(F.lit(i).cast("long").alias("feature_index"), F.col(c).cast("double").alias("value"))
+        for i, c in enumerate(spec.numeric)
+    ])
+    return features.select(CASE, F.explode(cells).alias("c")).select(CASE, "c.*")
+
+
+def _token_cells(features: DataFrame, dictionary: DataFrame, spec: EncodeSpec) -> DataFrame:
+    known = _tokens(features, spec).join(measured_broadcast(dictionary), ["source_group", "feature_name"])
+    return known.select(CASE, "feature_index", "value")
 
 
 def one_hot(features: DataFrame, dictionary: DataFrame, spec: EncodeSpec) -> DataFrame:
     """Category cells only; an unknown category has no cell."""
-    only = EncodeSpec([], spec.categorical, {})
-    return _encode(long_cells(features, only), dictionary)
+    return _token_cells(features, dictionary, EncodeSpec([], spec.categorical, {}))
 
 
 def encode_tree(features: DataFrame, dictionary: DataFrame, spec: EncodeSpec) -> DataFrame:
     """Non-zero cells with raw numeric values."""
-    return _encode(long_cells(features, spec), dictionary)
+    parts = [_numeric_cells(features, spec)] if spec.numeric else []
+    if spec.categorical or spec.maps:
+        parts.append(_token_cells(features, dictionary, spec))
+    return reduce(DataFrame.unionByName, parts).filter("value <> 0")
 
 
 def encode_linear(train: DataFrame, features: DataFrame, dictionary: DataFrame, spec: EncodeSpec) -> DataFrame:
     """Non-zero cells with numeric values scaled by the training statistics."""
-    return _encode(long_cells(scale_numeric(train, features, spec.numeric), spec), dictionary)
+    return encode_tree(scale_numeric(train, features, spec.numeric), dictionary, spec)
 
 
 def matrix_stats(cells: DataFrame, cases: DataFrame, dictionary: DataFrame) -> DataFrame:

@@ -13,15 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewell.functions.tables import measured_broadcast
 from tracewell.session import cut_lineage
-from tracewell.spec import CASE, ORDER_KEY, POS, TS
+from tracewell.spec import ACTIVITY, CASE, ORDER_KEY, POS, TS
 
 # A key with more rows than this is ordered by ranges instead of in one task.
 MAX_ROWS_PER_TASK = 5_000_000
 
-# Range totals up to this many rows are broadcast; more are joined by shuffle.
-MAX_BROADCAST_ROWS = 200_000
-
 _PART = "__range"
 
 
@@ -31,14 +29,6 @@ def _with_range_number(df: DataFrame, sort_cols: Sequence[str]) -> DataFrame:
     return ranged.withColumn(_PART, F.spark_partition_id())
 
 
-def _small_or_same(df: DataFrame) -> DataFrame:
-    """A broadcast copy of a table measured to be small, otherwise the table itself."""
-    rows = df.limit(MAX_BROADCAST_ROWS + 1).collect()
-    if len(rows) > MAX_BROADCAST_ROWS:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
 def _add_offsets(
     local: DataFrame, totals: DataFrame, keys: Sequence[str], running: Sequence[str]
 ) -> DataFrame:
@@ -49,7 +39,7 @@ def _add_offsets(
     """
     before = W.partitionBy(*keys).orderBy(_PART).rowsBetween(W.unboundedPreceding, -1)
     everywhere = W.partitionBy(*keys)
-    offsets = _small_or_same(totals.select(
+    offsets = measured_broadcast(totals.select(
         *keys,
         _PART,
         *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__before_{c}") for c in running],
@@ -133,6 +123,11 @@ def order_events(log: DataFrame, max_case_rows: int = MAX_ROWS_PER_TASK) -> Data
     return small.unionByName(large)
 
 
+def core_columns(log: DataFrame) -> DataFrame:
+    """The four columns that labels and positions need."""
+    return log.select(CASE, ACTIVITY, TS, ORDER_KEY)
+
+
 def first_events(log: DataFrame, k: int) -> DataFrame:
     """The first k events of every case with `event_pos`.
 

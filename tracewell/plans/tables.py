@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.operators.order import order_events
+from tracewell.operators.order import core_columns, order_events
 from tracewell.operators.population import case_outcomes, eligibility, safe_prefix
 from tracewell.sources.logs import normalize_log
 from tracewell.spec import LogSpec, OutcomeSpec
@@ -80,7 +80,7 @@ def flags(ordered: DataFrame) -> DataFrame:
 
 
 def l1_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flags(l1_ordered(spark, sf_dir))
+    return flags(order_events(core_columns(l1(spark, sf_dir))))
 
 
 def l1_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
