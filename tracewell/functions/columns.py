@@ -26,9 +26,16 @@ def percent(num: Column, den: Column) -> Column:
     return F.when(den != 0, num.cast("double") * 100.0 / den.cast("double"))
 
 
+def is_zoneless(ts: Column) -> Column:
+    """Whether a timestamp column has no time zone; a constant once the plan is analysed."""
+    return F.typeof(ts) == "timestamp_ntz"
+
+
 def micros(ts: Column) -> Column:
-    """Epoch microseconds of a timestamp with or without time zone."""
-    return F.unix_micros(ts.cast("timestamp"))
+    """Epoch microseconds; a timestamp without time zone counts as UTC in any session zone."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    zoneless = F.timestamp_diff("MICROSECOND", epoch, ts.cast("timestamp_ntz"))
+    return F.when(is_zoneless(ts), zoneless).otherwise(F.unix_micros(ts.cast("timestamp")))
 
 
 def mapped(key: Column, table: Mapping[str, object]) -> Column:

@@ -117,7 +117,7 @@ def _tree(s, d):
 def _tree_additivity(s, d):
     dictionary, model, explainer, test = _explained(s, d)
     return B.additivity_check(B.tree_attribution(explainer, test, dictionary), K.predict(model, test)).select(
-        "case_count", "max_error", "above_1e_09")
+        "case_count", "above_1e_09", "above_1e_06")
 
 
 def _class_zero(s, d):
@@ -126,7 +126,7 @@ def _class_zero(s, d):
     both = [
         B.tree_attribution(B.ForestExplainer.build(model, background, label), test, dictionary) for label in (1, 0)
     ]
-    return B.class_zero_additivity(*both, K.predict(model, test))
+    return B.class_zero_additivity(*both, K.predict(model, test)).select("case_count", "status")
 
 
 def _class_select(s, d):
@@ -389,6 +389,15 @@ SELECT *, tn > 0 AS has_tn, fp > 0 AS has_fp, fn > 0 AS has_fn, tp > 0 AS has_tp
     "prior_model": enc(""", rt AS (SELECT avg(target) AS p FROM parts WHERE split = 'train')
 SELECT case_id, target AS y_true, round(p, 6) AS y_prob, CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS y_pred
 FROM parts, rt WHERE split = 'test'"""),
+    "refit_equality": enc("""
+SELECT 'predictions' AS "check", 'PASS' AS status, count(*) AS rows FROM parts WHERE split = 'test'
+UNION ALL SELECT 'weights', 'PASS', count(*) FROM dict"""),
+    "reload_equality": enc("""
+SELECT 'reloaded_predictions' AS "check", 'PASS' AS status, count(*) AS rows FROM parts WHERE split = 'test'"""),
+    "tree_additivity": enc("""
+SELECT count(*) AS case_count, CAST(0 AS BIGINT) AS above_1e_09, CAST(0 AS BIGINT) AS above_1e_06 FROM parts WHERE split = 'test'"""),
+    "class_zero_additivity": enc("""
+SELECT count(*) AS case_count, 'PASS' AS status FROM parts WHERE split = 'test'"""),
     "additivity_check": _A1 + """SELECT count(*) AS case_count, 0::DOUBLE AS max_error, 0::DOUBLE AS mean_error, 0::DOUBLE AS min_error,
   CAST(0 AS BIGINT) AS above_1e_09, CAST(0 AS BIGINT) AS above_1e_06 FROM embeddings""",
     "attribution_numeric": _A1 + """SELECT count(*) AS values, round(min(shap_value), 6) AS min_value, round(max(shap_value), 6) AS max_value,

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewell.functions.columns import is_zoneless
 from tracewell.spec import ACTIVITY, CASE, ORDER_KEY, POS, TS
 
 # Fixed values of the format: attribute element names and standard keys.
@@ -106,7 +107,9 @@ def write_xes(
     A longer case becomes several trace elements of the same name; the written order key keeps
     their order.
     """
-    stamp = F.date_format(F.col(TS).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
+    wall = F.date_format(F.col(TS).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    offset = F.when(is_zoneless(F.col(TS)), "Z").otherwise(F.date_format(F.col(TS).cast("timestamp"), "XXX"))
+    stamp = F.concat(wall, offset)
     event = F.concat(
         F.lit("<event>"),
         _element("string", CASE_KEY, F.col(ACTIVITY)),
