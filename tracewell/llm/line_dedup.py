@@ -91,6 +91,16 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
         dropped.alias("n_dropped"), kept.alias("kept"))
 
 
+def without_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: str = "n_chars", **how) -> DataFrame:
+    """The documents with foreign lines left out of their text, and its length in `length` where it changed."""
+    found = dedup_lines(docs, doc_id, text, **how)
+    changed = F.col("n_dropped") > 0
+    new = {text: F.when(changed, F.col("kept")).otherwise(F.col(f"doc.`{text}`"))}
+    if length in docs.columns:
+        new[length] = F.when(changed, F.length("kept").cast("long")).otherwise(F.col(f"doc.`{length}`"))
+    return found.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
+
+
 def line_report(docs: DataFrame) -> DataFrame:
     """One row per document: lines, dropped lines, and a digest of what is kept."""
     return dedup_lines(docs.select("doc_id", "text")).select(

@@ -225,6 +225,11 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", folds:
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that the classifier does not reject; all columns stay."""
+    return classify(docs, labels, keep=tuple(docs.columns)).where("predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held = (bucket_of_id(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out")
     return classify(docs, labels).select("doc_id", held, "score", "predicted")

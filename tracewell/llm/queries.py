@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import decontaminate, jpeg, line_dedup, packing, pii, quality, simhash, toxicity
+from tracewell.llm import decontaminate, html, jpeg, line_dedup, lm, packing, pii, quality, simhash, toxicity
+from tracewell.llm import sql as oracle
 from tracewell.llm.common import table
 
 
@@ -12,10 +13,18 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.page_report(table(spark, sf_dir, "pages"))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_report(table(spark, sf_dir, "documents"))
 
@@ -42,6 +51,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (op1_line_dedup, op3_toxicity, op5_simhash_dedup, op6_media, op7_decontaminate, op8_pii, op9_quality, op10_pack)
+    for q in (op1_line_dedup, op2_lm_score, op3_toxicity, op4_html_extract, op5_simhash_dedup, op6_media, op7_decontaminate,
+              op8_pii, op9_quality, op10_pack)
 }
-SQL: dict[str, str] = {}
+SQL = {"op1_line_dedup": oracle.LINES, "op7_decontaminate": oracle.LEAKS, "op8_pii": oracle.PII}

@@ -11,7 +11,8 @@ agree on one block, and each fingerprint enters the node of each of its blocks.
 an unbounded node and no link is lost. Inside a node linked members are joined to one representative
 each, so what leaves a task is linear in its members. Links are merged to components by contraction.
 
-Nulls: a null text has no words, hence fingerprint zero; a null id counts as largest.
+Nulls: a null text has no words, hence fingerprint zero; null ids take part in links but never name a
+component, unless all ids of a component are null. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -54,17 +55,18 @@ def fingerprint(data: bytes, words_per_shingle: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words_per_shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row."""
+    """(doc_id, row, fp): the fingerprint of every row; `row` is a hash of its text."""
     small_batches(docs.sparkSession)
+    body = text_of(F.col(f"`{text}`"))
 
     def run(batches):
         for batch in batches:
-            found = [fingerprint(t.as_py(), words_per_shingle) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            found = [fingerprint(t.as_py(), words_per_shingle) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], names=["doc_id", "row", "fp"])
 
     id_type = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_of(F.col(f"`{text}`")).cast("binary").alias("t")).mapInArrow(
-        run, f"doc_id {id_type}, fp bigint")
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(body).alias("row"), body.cast("binary").alias("t")).mapInArrow(
+        run, f"doc_id {id_type}, row bigint, fp bigint")
 
 
 # ---- top nodes: masked patterns ----
@@ -278,14 +280,23 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS,
                     words_per_shingle: int = SHINGLE_WORDS, max_node: int = MAX_NODE) -> DataFrame:
-    """(doc_id, fp, component_id) for every row; component_id is the smallest id that links reach."""
+    """(doc_id, row, fp, component_id) for every row; component_id is the smallest id that links reach."""
     marked = staged(fingerprints(docs, doc_id, text, words_per_shingle), "fingerprints")
     distinct = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
     named = components(node_links(top_nodes(distinct, radius, max_node), radius))
     per_fp = distinct.join(named.select(F.col("v").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     per_root = per_fp.groupBy("root").agg(F.min("least_id").alias("component_id"))
     per_fp = per_fp.join(per_root, "root").select("fp", "component_id")
-    return marked.join(per_fp, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(per_fp, "fp").select("doc_id", "row", "fp", "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The rows whose id is the smallest of their component; rows equal in id and text count once. All columns stay."""
+    groups = near_duplicates(docs.select(doc_id, text), doc_id, text, **how)
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("row").alias("__stay")).distinct()
+    marked = docs.withColumn("__row", F.xxhash64(text_of(F.col(f"`{text}`"))))
+    kept = marked.join(staged(stay, "representatives"), F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__stay")), "left_semi")
+    return kept.dropDuplicates([doc_id, "__row"]).drop("__row")
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:

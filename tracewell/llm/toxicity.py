@@ -34,7 +34,7 @@ WINDOW = 12
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 120, 40
 MAX_LABELLED = 8_000
 ROUNDS = 3
-HARD_LANDMARKS = 60  # clean windows added in each round
+HARD_LANDMARKS = 80  # clean windows added in each round
 WINDOWS = 4  # looked at in each training document
 START_MARGIN = 0.7  # share of a landmark that a training window has to hold at first
 FOLDS, HELD_OUT = 4, 2
@@ -209,7 +209,7 @@ class Landmarks:
         return Machine(self.codes, (self.phi[: self.n_toxic] / self.length[: self.n_toxic]).max(0).astype(np.float32), -START_MARGIN)
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit_svm(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
     """Linear machine by Newton steps on the squared hinge loss; both classes weigh the same."""
     z, t = np.column_stack([x, np.ones(len(x))]), np.where(y > 0, 1.0, -1.0)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
@@ -267,6 +267,20 @@ def choose_landmarks(train: DataFrame) -> tuple[list[str], int]:
     return toxic + [w for w in clean if w not in toxic], len(toxic)
 
 
+def fit_windows(windows: dict[bytes, int], marks: Landmarks) -> tuple[Machine, Landmarks]:
+    """Machine over labelled windows. Clean windows that come closest become landmarks, to be told apart."""
+    strings = [np.frombuffer(w, np.uint8) for w in windows] + marks.disguised()
+    y = np.concatenate([np.array(list(windows.values())), np.ones(len(strings) - len(windows), int)])
+    for step in range(2):
+        x = marks.features(strings)
+        weights, bias = fit_svm(x, y)
+        if step == 0:
+            order = np.argsort(np.where(y == 0, -(x @ weights), np.inf), kind="stable")[: min(HARD_LANDMARKS, int((y == 0).sum()))]
+            known = {t.tobytes() for t in marks.strings}
+            marks = Landmarks(marks.strings + [strings[i] for i in order if strings[i].tobytes() not in known], marks.n_toxic)
+    return marks.machine(weights, bias), marks
+
+
 def train_machine(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, max_labelled: int) -> Machine | None:
     sample = labelled_sample(labels.select("doc_id", label), label, folds, held_out, max_labelled)
     train = docs.select("doc_id", text_of(F.col("text")).cast("binary").alias("t")).join(F.broadcast(sample), "doc_id")  # bounded
@@ -276,7 +290,7 @@ def train_machine(docs: DataFrame, labels: DataFrame, label: str, folds: int, he
     words, n_toxic = choose_landmarks(train)
     marks = Landmarks([symbols(w.encode()) for w in words], n_toxic)
     machine = marks.start()
-    windows: dict[tuple[bytes, int], float] = {}
+    windows: dict[bytes, int] = {}
     for _ in range(ROUNDS):
         def worst(batches, machine=machine):
             tables = machine.tables()
@@ -289,15 +303,9 @@ def train_machine(docs: DataFrame, labels: DataFrame, label: str, folds: int, he
 
         # a clean document's best window is held against the machine; of a toxic one, the best and all that pass
         rows = train.select("y", "t").mapInArrow(worst, "y int, nth int, score double, window binary").where(
-            "nth = 0 or (y = 1 and score > 0)").distinct().orderBy("window", "y").collect()
-        windows |= {(bytes(r["window"]), r["y"]): r["score"] for r in rows}
-        # the clean windows that come closest become landmarks, so that the machine can tell them apart
-        close = sorted((v, w) for (w, y), v in windows.items() if y == 0)[-HARD_LANDMARKS:]
-        known = {t.tobytes() for t in marks.strings}
-        marks = Landmarks(marks.strings + [np.frombuffer(w, np.uint8) for _, w in close if w not in known], n_toxic)
-        strings = [np.frombuffer(w, np.uint8) for w, _ in windows] + marks.disguised()
-        y = np.concatenate([np.array([y for _, y in windows]), np.ones(len(strings) - len(windows), int)])
-        machine = marks.machine(*fit_svm(marks.features(strings), y))
+            "nth = 0 or (y = 1 and score > 0)").groupBy("window").agg(F.min("y").alias("y")).orderBy("window").collect()
+        windows |= {bytes(r["window"]): r["y"] for r in rows}
+        machine, marks = fit_windows(windows, marks)
 
     def judge(batches):
         tables = machine.tables()
