@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +36,12 @@ _CHUNK = 200_000
 # Words as the tokenizer's own splitting rule finds them, for text within Latin-1, whose letters, numbers
 # and white space are written out.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t\n\x0b\x0c\r\x85\xa0"
-_WORDS = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_WORDS = re.compile(rf" ?[{_L}]+| ?[{_N}]+|'(?:[sdmt]|ll|ve|re)| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 # Characters whose class differs between libraries.
 _UNSURE = re.compile("[\x1c-\x1f\x85\xa0]")
+# The vocabulary writes bytes as letters: printable ones as themselves, the others as U+0100 on, in turn.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
 _CUT = re.compile(rf"(?<=[^{_S}]) (?=[^{_S}])")
 
 
@@ -60,6 +65,7 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.merge = self.tokenizer.model.tokenize
         self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
@@ -77,13 +83,19 @@ class _Encoder:
             if len(self.known) + len(new) > CACHE_WORDS:
                 self.known.clear()
                 new = list(set(words))
-            if new:
-                for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                    self.known[word] = np.array(e.ids, "<u4").tobytes()
+            for word in new:
+                letters = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                self.known[word] = array("I", [t.id for t in self.merge(letters)]).tobytes()
             out.append(b"".join(map(self.known.__getitem__, words)))
         return b"".join(out)
 
 
+@cache
+def _encoder(name: str) -> _Encoder:
+    """One for each Python worker, with what it has learned in earlier tasks."""
+    return _Encoder(_tokenizer_path(name))
+
+
 def _tokenizer_path(name: str) -> str:
     if "/" in name:
         return name
@@ -103,10 +115,7 @@ def token_pieces(docs: DataFrame, size: int = SIZE, tokenizer: str = TOKENIZER,
     schema = f"doc_id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
 
     def run(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = _Encoder(_tokenizer_path(tokenizer))
+        encoder = _encoder(tokenizer)
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
             out: list[list] = [[] for _ in range(5 + with_ids)]
