@@ -138,7 +138,8 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, similarity: floa
     found = []
     for n in ks:
         hashed = split.select("doc", "row", shingle_hashes(F.col("words"), n).alias("hs"))
-        each = hashed.select("doc", "row", F.size("hs").alias("n"), F.posexplode("hs").alias("pos", "h"))
+        # outer: otherwise a filter on the array's size is pushed below and computes it again
+        each = hashed.select("doc", "row", F.size("hs").alias("n"), F.posexplode_outer("hs").alias("pos", "h"))
         found.append(each.join(grams.where(F.col("k") == n).drop("k"), "h").withColumn("k", F.lit(n)).select("doc", "row", "n", "pos", "k", "size", "m"))
     hits = reduce(DataFrame.unionByName, found)
     first, last = F.greatest(F.lit(0), F.col("pos") - F.col("m") + 1), F.least("pos", F.greatest(F.lit(0), F.col("n") - F.col("m")))
@@ -155,7 +156,7 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, similarity: floa
         own = joined.select("doc", "row", "windows", shingle_hashes(F.col("words"), n).alias("hs")).select("doc", "row", "hs", F.explode("windows").alias("w"))
         built.append(own.where(F.col("w.k") == n).select("doc", "row", "w.size", "w.start", F.slice("hs", F.col("w.start") + 1, F.col("w.m")).alias("window_hashes")))
     longest = shape["longest"] or 1
-    marked = simhash(reduce(DataFrame.unionByName, built), "window_hashes", "window_fp", longest)
+    marked = staged(simhash(reduce(DataFrame.unionByName, built), "window_hashes", "window_fp", longest), "window-fingerprints")
     filed = measured_broadcast(_filed(simhash(items, "item_hashes", "item_fp", longest), radius, blocks))
     near = _probes(marked, blocks).join(filed, ["size", "block", "value"])
     near = near.where(F.bit_count(F.col("window_fp").bitwiseXOR(F.col("item_fp"))) <= radius)

@@ -32,7 +32,7 @@ def _identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def _line_hashes(identified: DataFrame, min_chars: int) -> DataFrame:
     key = ascii_lower(F.btrim(F.col("line"), F.lit(BLANK)))
-    lines = identified.select(*ID, F.posexplode(F.split("__body", "\n", -1)).alias("pos", "line")).select(*ID, "pos", key.alias("key"))
+    lines = identified.select(*ID, F.posexplode_outer(F.split("__body", "\n", -1)).alias("pos", "line")).select(*ID, "pos", key.alias("key"))
     return lines.where(F.length("key") >= min_chars).select(
         *ID, "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
 

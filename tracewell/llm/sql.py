@@ -20,11 +20,11 @@ FROM judged GROUP BY doc_id
 # Windows of an item's size; shingles of five words; weighted Jaccard similarity of at least 0.8.
 LEAKS = r"""
 WITH d AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-         '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents
 ), i AS (
-  SELECT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-         '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM benchmark
+  SELECT item_id, [x FOR x IN regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM benchmark
 ), ds AS (
   SELECT doc_id, unnest(range(len(w) - 4)) AS pos, len(w) - 4 AS n, w FROM d WHERE len(w) >= 5
 ), dsh AS (
@@ -39,11 +39,11 @@ WITH d AS (
 ), starts AS (
   SELECT DISTINCT doc_id, item_id, n, m, unnest(range(greatest(0, pos - m + 1), least(pos, greatest(0, n - m)) + 1)) AS start FROM hits
 ), shared AS (
-  SELECT s.doc_id, s.item_id, s.start, s.n, s.m, h.sh, least(count(*), any_value(h.times)) AS both
+  SELECT s.doc_id, s.item_id, s.start, s.n, s.m, h.sh, least(count(*), any_value(h.times)) AS shared_times
   FROM starts s JOIN hits h ON h.doc_id = s.doc_id AND h.item_id = s.item_id AND h.pos BETWEEN s.start AND s.start + s.m - 1
   GROUP BY ALL
 ), scored AS (
-  SELECT doc_id, item_id, start, sum(both) / (any_value(least(m, n) + m) - sum(both)) AS similarity
+  SELECT doc_id, item_id, start, sum(shared_times) / (any_value(least(m, n) + m) - sum(shared_times)) AS similarity
   FROM shared GROUP BY doc_id, item_id, start
 )
 SELECT doc_id, item_id, arg_max(start, (similarity, -start))::BIGINT AS word_start, round(max(similarity), 6) AS similarity
