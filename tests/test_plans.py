@@ -74,3 +74,48 @@ def test_cells_are_encoded_without_a_shuffle(spark):
 def test_metrics_stay_on_the_jvm(spark):
     for df in (M.ranking_metrics(TB.scores(spark, SF), ["lang"]), Q.case_features(spark, SF)):
         assert "Python" not in plan(df) and "Arrow" not in plan(df)
+
+
+def test_running_sums_shuffle_once_after_the_merge(spark):
+    from pyspark.sql import functions as F
+
+    from tracewell.operators.order import _with_range_number, ordered_cumsum
+
+    rows = spark.range(5000).select((F.col("id") % 10 != 0).cast("int").alias("k"), F.col("id").alias("v"))
+    ranged = _with_range_number(rows, ["k", "v"])  # one key has nine rows in ten
+    sizes = [r["count"] for r in ranged.groupBy("__range").count().collect()]
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(sizes) == ranges and max(sizes) < 1.5 * 5000 / ranges
+    text = plan(ordered_cumsum(rows, ["v"], {"n": F.lit(1)}, ["k"]))
+    wide = [line for line in text.splitlines() if "Exchange" in line and "v#" in line]
+    assert sum("Exchange" in line for line in text.splitlines()) <= 4 and text.count("shufflepartitionidpassthrough") <= 2, wide
+
+
+def test_windows_join_cases_before_they_are_spread(spark):
+    from tracewell.plans import model_queries as MQ
+
+    text = logical(MQ._a1_windowed(spark, SF))
+    assert text.index("Generate") < text.index("Join")
+
+
+def test_a_document_is_read_by_several_tasks(spark):
+    import os
+    import tempfile
+
+    from tracewell.sources.xes import read_xes
+
+    folder = tempfile.mkdtemp(prefix="tracewell-xes-")
+    event = '<event><string key="concept:name" value="a"/><date key="time:timestamp" value="2024-01-01T00:00:00.123456Z"/></event>'
+    with open(os.path.join(folder, "log.xes"), "w") as f:
+        f.write('<?xml version="1.0"?>\n<log>\n')
+        for i in range(4000):
+            f.write(f'<trace><string key="concept:name" value="c{i}"/>{event * 3}</trace>\n')
+        f.write("</log>\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        log = read_xes(spark, folder, {}, {})
+        assert log.rdd.getNumPartitions() > 3
+        assert log.count() == 12_000 and log.select("case_id").distinct().count() == 4000
+        assert log.first().ts.microsecond == 123456
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

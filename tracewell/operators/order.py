@@ -1,7 +1,7 @@
 """Total order at scale: positions in a case, running sums over a global order, quantiles.
 
 A window without a partition key, or with one huge key, runs in one task. The helpers here
-range-partition the rows instead, sum inside each range, and add the total of the ranges
+give the rows to ranges instead, sum inside each range, and add the total of the ranges
 before it. Equal order values are merged first, so a tie never spans two ranges.
 """
 
@@ -21,12 +21,43 @@ from tracewell.spec import ACTIVITY, CASE, ORDER_KEY, POS, TS
 MAX_ROWS_PER_TASK = 5_000_000
 
 _PART = "__range"
+# Ranges of a global order at most, and sampled rows for each when their bounds are chosen.
+MAX_RANGES, SAMPLED = 512, 100
+
+
+def _range_of(key: Column, cuts: Sequence, lit) -> Column:
+    """Number of cuts at or below the key, by halving."""
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key < lit(cuts[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
+
+    return search(0, len(cuts))
 
 
 def _with_range_number(df: DataFrame, sort_cols: Sequence[str]) -> DataFrame:
-    """Rows spread over sorted ranges of `sort_cols`, with the number of the range."""
-    ranged = df.repartitionByRange(*[F.col(c) for c in sort_cols])
-    return ranged.withColumn(_PART, F.spark_partition_id())
+    """Rows spread over sorted ranges of `sort_cols`, with the number of the range, by one shuffle.
+
+    The bounds are literals from a sample of SAMPLED rows a range, so a range is a function of
+    the row's own values and the same in every run of the plan; each range is a task of its own.
+    """
+    spark = df.sparkSession
+    ranges = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_RANGES)
+    narrow = df.select(*[F.col(f"`{c}`") for c in sort_cols])
+    rows = narrow.count()
+    sample = narrow.sample(min(1.0, SAMPLED * ranges / max(rows, 1)), 7) if rows > SAMPLED * ranges else narrow
+    ordered = sample.orderBy(*sort_cols).collect()
+    step = len(ordered) / ranges
+    cuts = list(dict.fromkeys(ordered[int(i * step)] for i in range(1, ranges))) if ordered else []
+    kinds = [f.dataType for f in narrow.schema.fields]
+
+    def literal(row):
+        return F.struct(*[F.lit(v).cast(kind) for v, kind in zip(row, kinds)])
+
+    # structs compare field by field with nulls first, as the sort does
+    number = _range_of(F.struct(*[F.col(f"`{c}`") for c in sort_cols]), cuts, literal)
+    return df.withColumn(_PART, number.cast("int")).repartitionById(ranges, _PART)
 
 
 def _add_offsets(
@@ -67,21 +98,19 @@ def ordered_cumsum(
     key's grand total `total_*`.
 
     `sums` maps an output name to the expression that is summed. Works the same for one key
-    holding every row as for many small keys. Range bounds come from a sample, so the sums
-    inside the ranges are checkpointed: totals and rows must see the same ranges.
+    holding every row as for many small keys. The merged rows are checkpointed, since bounds,
+    totals and rows all look at them.
     """
     keys, order_cols = list(keys), list(order_cols)
-    merged = df.groupBy(*keys, *order_cols).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
+    merged = cut_lineage(df.groupBy(*keys, *order_cols).agg(*[F.sum(e).alias(n) for n, e in sums.items()]))
     inside = (
         W.partitionBy(_PART, *keys)
         .orderBy(*order_cols)
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
     running = [f"cum_{n}" for n in sums]
-    local = cut_lineage(
-        _with_range_number(merged, keys + order_cols).select(
-            "*", *[F.sum(n).over(inside).alias(f"cum_{n}") for n in sums]
-        )
+    local = _with_range_number(merged, keys + order_cols).select(
+        "*", *[F.sum(n).over(inside).alias(f"cum_{n}") for n in sums]
     )
     totals = local.groupBy(_PART, *keys).agg(*[F.sum(n).alias(f"cum_{n}") for n in sums])
     return _add_offsets(local, totals, keys, running)
@@ -93,9 +122,7 @@ def ranged_row_number(
     """`row_number` per key for keys too large for one task; `order_cols` must be unique."""
     keys, order_cols = list(keys), list(order_cols)
     inside = W.partitionBy(_PART, *keys).orderBy(*order_cols)
-    local = cut_lineage(
-        _with_range_number(df, keys + order_cols).withColumn(name, F.row_number().over(inside).cast("long"))
-    )
+    local = _with_range_number(df, keys + order_cols).withColumn(name, F.row_number().over(inside).cast("long"))
     totals = local.groupBy(_PART, *keys).agg(F.count(F.lit(1)).alias(name))
     return _add_offsets(local, totals, keys, [name])
 
