@@ -1,3 +1,4 @@
+import glob
 import itertools
 import math
 
@@ -43,6 +44,15 @@ def test_vector_equals_long_cells(spark):
     assert vec == long == {4: [5.0, 0.0, 0.0, 1.0, 0.0], 5: [0.0, 1.0, 0.0, 0.0, 3.0]}
 
 
+def test_a_null_numeric_value_is_an_error_in_both_forms(spark):
+    train = features(spark, TRAIN)
+    dic = N.frozen_dictionary(N.vocabulary_fit(train, SPEC))
+    holed = features(spark, [(9, 1, None, "red", {"x": 1})])
+    for df in (N.encode_tree(holed, dic, SPEC), N.assemble(holed, dic, SPEC, ["case_id"])):
+        with pytest.raises(Exception, match="null"):
+            df.collect()
+
+
 def test_partial_layouts(spark):
     train = features(spark, TRAIN)
     for spec, width in ((N.EncodeSpec(["amount"], [], {}), 1), (N.EncodeSpec([], ["color"], {}), 2),
@@ -141,8 +151,9 @@ def test_forest_shapley_equals_brute_force(four):
     rows, bg = x[:4], x[4:]
     got = B.forest_shapley(leaves, 6, rows, bg)
     for i, r in enumerate(rows):
-        want = brute_shapley(lambda z: B.forest_probability(leaves, 6, z[None, :])[0], r, bg)
-        assert np.abs(got[i] - want).max() < 1e-12
+        for label in (0, 1):
+            want = brute_shapley(lambda z: B.forest_probability(leaves, 6, z[None, :])[0, label], r, bg)
+            assert np.abs(got[i, :, label] - want).max() < 1e-12
 
 
 def test_tree_attribution_adds_up(spark, four):
@@ -153,7 +164,9 @@ def test_tree_attribution_adds_up(spark, four):
     assert out.count() == 300 * 4
     r = B.additivity_check(out, K.predict(model, df)).first()
     assert r.case_count == 300 and r.max_error < 1e-9 and r.above_1e_09 == 0
-    other = B.tree_attribution(B.ForestExplainer.build(model, df.limit(40), positive=0), df, dic)
+    both = B.tree_attribution(e, df, dic, labels=(0, 1))
+    assert both.count() == 300 * 4 * 2
+    other = both.filter("label = 0")
     assert B.class_zero_additivity(out, other, K.predict(model, df)).first().status == "PASS"
 
 
@@ -166,20 +179,62 @@ def test_blocks_do_not_change_values(four, monkeypatch):
     assert np.allclose(B.forest_shapley(leaves, 3, x, x[:20]), whole, atol=0, rtol=0)
 
 
-def test_batches_resume(spark, four):
+def _batches(spark, four, trees=3):
     df, dic = four
-    model = K.fit_forest(df, num_trees=3, max_depth=4)
-    e = B.ForestExplainer.build(model, df.limit(10))
+    model = K.fit_forest(df, num_trees=trees, max_depth=4)
     data = df.filter("case_id < 95").withColumn("sample_order", F.col("case_id").cast("long"))
-    path = scratch_path(spark, "resume")
+    return model, B.ForestExplainer.build(model, df.limit(10)), data, dic, scratch_path(spark, "resume")
+
+
+def _entries(spark, path):
+    return spark.read.parquet(*glob.glob(f"{path}/*/ledger"))
+
+
+def test_batches_resume(spark, four):
+    model, e, data, dic, path = _batches(spark, four)
     first = B.attribution_batches(e, data.filter("case_id < 50"), dic, path, 25)
     seconds = {r.case_id: r.seconds for r in first.collect()}
     again = B.attribution_batches(e, data, dic, path, 25)
     rows = again.collect()
     assert len(rows) == 95 * 4 and len({r.case_id for r in rows}) == 95
     assert all(r.seconds == seconds[r.case_id] for r in rows if r.case_id < 50)  # not computed again
-    assert spark.read.parquet(f"{path}/ledger").count() == 4
+    assert _entries(spark, path).count() == 4
     assert B.batch_runtime(again).first().batches == 4
+    # a smaller input gives its own batches only
+    assert {r.case_id for r in B.attribution_batches(e, data.filter("case_id < 25"), dic, path, 25).collect()} == set(range(25))
+
+
+def test_batches_of_another_model_or_background_are_not_reused(spark, four):
+    df, _ = four
+    model, e, data, dic, path = _batches(spark, four)
+    B.attribution_batches(e, data, dic, path, 25)
+    other = K.fit_forest(df, num_trees=3, max_depth=3)
+    for m, x in ((other, B.ForestExplainer.build(other, df.limit(10))), (model, B.ForestExplainer.build(model, df.filter("case_id > 200")))):
+        out = B.attribution_batches(x, data, dic, path, 25)
+        assert B.additivity_check(out, K.predict(m, data)).first().max_error < 1e-9
+
+
+def test_batches_follow_a_changed_and_a_reverted_input(spark, four):
+    model, e, data, dic, path = _batches(spark, four)
+    before = {(r.case_id, r.feature): r.shap_value for r in B.attribution_batches(e, data, dic, path, 25).collect()}
+    changed = data.withColumn("x", F.transform("x", lambda v: 1 - v)).withColumn("features", array_to_vector("x"))
+    out = B.attribution_batches(e, changed, dic, path, 25)
+    assert B.additivity_check(out, K.predict(model, changed)).first().max_error < 1e-9
+    after = {(r.case_id, r.feature): r.shap_value for r in B.attribution_batches(e, data, dic, path, 25).collect()}
+    assert after == before
+
+
+def test_a_batch_that_does_not_add_up_is_not_done(spark, four):
+    from dataclasses import replace
+
+    from tracewell.operators.contracts import ContractError
+
+    _, e, data, dic, path = _batches(spark, four)
+    broken = replace(e)
+    broken.__dict__["base_values"] = e.base_values + 0.01
+    with pytest.raises(ContractError, match="do not add up"):
+        B.attribution_batches(broken, data, dic, path, 25)
+    assert B.attribution_batches(e, data, dic, path, 25).select("case_id").distinct().count() == 95
 
 
 def test_refit_and_reload(spark, four):

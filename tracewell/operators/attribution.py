@@ -6,7 +6,9 @@ explained case.
 
 from __future__ import annotations
 
+import hashlib
 import time
+import uuid
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import cached_property
@@ -21,27 +23,41 @@ from pyspark.sql import functions as F
 from tracewell.functions.columns import count_where, mapped, n_rows, scalar
 from tracewell.functions.tables import measured_broadcast
 from tracewell.operators.contracts import ContractError
+from tracewell.operators.order import exact_quantiles
 from tracewell.session import cut_lineage, scratch_path
 
 # --- exact interventional Shapley values of a forest ---------------------------------------
 
-# The forest and the background rows are sent to every executor, so both are bounded.
-MAX_FOREST_NODES = 20_000_000
-MAX_BACKGROUND_CELLS = 50_000_000
+# The forest and the background rows are sent to every executor, so their bytes are bounded.
+MAX_EXPLAINER_BYTES = 2 << 30
 # Rows explained together; bounds the row x background pairs held at once.
 ROWS_PER_BLOCK = 1024
-# Tasks of one batch run; more batches than this share tasks.
-MAX_BATCH_TASKS = 20_000
+# Tasks of one run; more blocks than this share tasks.
+MAX_TASKS = 20_000
+# Largest gap between base value plus contributions and the forest's own probability in a batch that counts as done.
+BATCH_TOLERANCE = 1e-9
 
 
 @dataclass
-class Leaf:
-    """A leaf as the box of its path: low < x[feature] <= high for every path feature."""
+class Leaves:
+    """All leaves of a forest in flat arrays: leaf i is the box low < x[feature] <= high over the
+    conditions offsets[i] to offsets[i + 1], with a probability per label."""
 
     features: np.ndarray
     low: np.ndarray
     high: np.ndarray
-    value: float
+    offsets: np.ndarray
+    values: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.values)
+
+    def box(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        part = slice(self.offsets[i], self.offsets[i + 1])
+        return self.features[part], self.low[part], self.high[part]
+
+    def arrays(self) -> list[np.ndarray]:
+        return [self.features, self.low, self.high, self.offsets, self.values]
 
 
 def forest_nodes(model) -> DataFrame:
@@ -57,39 +73,47 @@ def forest_nodes(model) -> DataFrame:
     )
 
 
-def forest_leaves(model, positive: int = 1) -> list[Leaf]:
-    """All leaves of a fitted Spark forest with the probability of the `positive` label.
+def _tree_leaves(nodes: pd.DataFrame) -> pd.DataFrame:
+    """One tree's leaves as packed arrays. Conditions on one feature along a path merge into one
+    interval; a row goes left when its value is at most the threshold."""
+    nodes = nodes.set_index("id")
+    left, right, feature, threshold = (nodes[c].to_dict() for c in ("left", "right", "feature", "threshold"))
+    stats = nodes["stats"].to_dict()
+    features, low, high, lengths, values = [], [], [], [], []
+    stack = [(0, {})]
+    while stack:
+        node, box = stack.pop()
+        if left[node] < 0:
+            for f in sorted(box):
+                features.append(f)
+                low.append(box[f][0])
+                high.append(box[f][1])
+            lengths.append(len(box))
+            values.append(np.asarray(stats[node]) / sum(stats[node]))
+            continue
+        f, t = feature[node], threshold[node]
+        lo, hi = box.get(f, (-np.inf, np.inf))
+        stack.append((left[node], {**box, f: (lo, min(hi, t))}))
+        stack.append((right[node], {**box, f: (max(lo, t), hi)}))
+    packed = [np.array(features, "<i4"), np.array(low, "<f8"), np.array(high, "<f8"), np.array(lengths, "<i4"), np.array(values, "<f8")]
+    return pd.DataFrame({"tree": [int(nodes["tree"].iloc[0])], **{c: [x.tobytes()] for c, x in zip("abcde", packed)}})
+
+
+def forest_leaves(model) -> Leaves:
+    """All leaves of a fitted Spark forest with the probabilities of all labels.
 
-    The number of nodes is checked before the table comes to the driver, where the model is
-    anyway. Conditions on one feature along a path merge into one interval; a row goes left
-    when its value is at most the threshold.
+    Executors pack the leaves tree by tree; the size is checked before they come to the driver,
+    where the model is anyway.
     """
-    table = forest_nodes(model)
-    count = table.count()
-    if count > MAX_FOREST_NODES:
-        raise ContractError(f"forest has {count} nodes, more than {MAX_FOREST_NODES}")
-    by_tree: dict[int, dict[int, tuple]] = {}
-    for r in table.collect():
-        by_tree.setdefault(r.tree, {})[r.id] = (r.left, r.right, r.feature, r.threshold, r.stats)
-    leaves: list[Leaf] = []
-    for nodes in by_tree.values():
-        stack = [(0, {})]
-        while stack:
-            node, box = stack.pop()
-            left, right, f, threshold, stats = nodes[node]
-            if left < 0:
-                feats = sorted(box)
-                leaves.append(Leaf(
-                    np.array(feats, dtype=np.int64),
-                    np.array([box[i][0] for i in feats]),
-                    np.array([box[i][1] for i in feats]),
-                    stats[positive] / sum(stats),
-                ))
-                continue
-            lo, hi = box.get(f, (-np.inf, np.inf))
-            stack.append((left, {**box, f: (lo, min(hi, threshold))}))
-            stack.append((right, {**box, f: (max(lo, threshold), hi)}))
-    return leaves
+    trees = cut_lineage(forest_nodes(model).groupBy("tree").applyInPandas(
+        _tree_leaves, "tree int, a binary, b binary, c binary, d binary, e binary"))
+    size = trees.agg(F.sum(sum(F.octet_length(c) for c in "abcde"))).first()[0]
+    if size > MAX_EXPLAINER_BYTES:
+        raise ContractError(f"forest of {size} bytes, more than {MAX_EXPLAINER_BYTES}")
+    rows = trees.orderBy("tree").collect()
+    flat = [np.frombuffer(b"".join(r[c] for r in rows), kind) for c, kind in zip("abcde", ("<i4", "<f8", "<f8", "<i4", "<f8"))]
+    offsets = np.concatenate([[0], np.cumsum(flat[3], dtype=np.int64)])
+    return Leaves(flat[0], flat[1], flat[2], offsets, flat[4].reshape(len(flat[3]), -1))
 
 
 def _shapley_weights(depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,10 +129,11 @@ def _shapley_weights(depth: int) -> tuple[np.ndarray, np.ndarray]:
     return w_in, w_out
 
 
-def _codes(x: np.ndarray, leaf: Leaf) -> tuple[np.ndarray, np.ndarray]:
+def _codes(x: np.ndarray, box: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Which path conditions each row meets, as one integer per row; distinct codes first."""
-    part = x[:, leaf.features]
-    met = (part > leaf.low) & (part <= leaf.high)
+    features, low, high = box
+    part = x[:, features]
+    met = (part > low) & (part <= high)
     bits = (met.astype(np.uint64) << np.arange(met.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
     return np.unique(bits, return_inverse=True)
 
@@ -117,28 +142,30 @@ def _bits(codes: np.ndarray, d: int) -> np.ndarray:
     return ((codes[:, None] >> np.arange(d, dtype=np.uint64)) & np.uint64(1)).astype(float)
 
 
-def forest_shapley(leaves: Sequence[Leaf], trees: int, x: np.ndarray, background: np.ndarray) -> np.ndarray:
-    """Exact interventional Shapley values, rows x features, averaged over background and trees.
+def forest_shapley(leaves: Leaves, trees: int, x: np.ndarray, background: np.ndarray) -> np.ndarray:
+    """Exact interventional Shapley values, rows x features x labels, averaged over background and
+    trees.
 
     For a row and a background row only the conditions met by one and not the other matter: U
     met by the row alone, V by the background alone. A condition met by neither closes the
-    leaf. Rows with the same met conditions share the work.
+    leaf. Rows with the same met conditions share the work, and so do the labels.
     """
     if len(x) > ROWS_PER_BLOCK:
         blocks = [x[i:i + ROWS_PER_BLOCK] for i in range(0, len(x), ROWS_PER_BLOCK)]
         return np.concatenate([forest_shapley(leaves, trees, b, background) for b in blocks])
-    phi = np.zeros((x.shape[0], x.shape[1]))
-    depth = max((len(leaf.features) for leaf in leaves), default=0)
-    w_in, w_out = _shapley_weights(depth)
+    labels = leaves.values.shape[1]
+    phi = np.zeros((x.shape[0], x.shape[1], labels))
+    w_in, w_out = _shapley_weights(int(np.diff(leaves.offsets).max(initial=0)))
     scale = 1.0 / (background.shape[0] * trees)
-    for leaf in leaves:
-        d = len(leaf.features)
-        if d == 0 or leaf.value == 0.0:
+    for leaf in range(len(leaves)):
+        box = leaves.box(leaf)
+        d = len(box[0])
+        if d == 0:
             continue
         full = np.uint64((1 << d) - 1)
-        row_codes, row_of = _codes(x, leaf)
-        bg_codes, bg_of = _codes(background, leaf)
-        weight = np.bincount(bg_of) * (leaf.value * scale)
+        row_codes, row_of = _codes(x, box)
+        bg_codes, bg_of = _codes(background, box)
+        weight = np.bincount(bg_of) * scale
         i, j = np.nonzero((row_codes[:, None] | bg_codes[None, :]) == full)
         if not len(i):
             continue
@@ -152,15 +179,20 @@ def forest_shapley(leaves: Sequence[Leaf], trees: int, x: np.ndarray, background
         loss = np.add.reduceat((w_out[u, v] * weight[j])[:, None] * bg_bits[j], first, axis=0)
         per_code = np.zeros((len(row_codes), d))
         per_code[met] = row_bits[met] * gain - (1.0 - row_bits[met]) * loss
-        phi[:, leaf.features] += per_code[row_of]
+        rows = per_code[row_of]
+        for k in range(labels):
+            if leaves.values[leaf, k]:
+                phi[:, box[0], k] += rows * leaves.values[leaf, k]
     return phi
 
 
-def forest_probability(leaves: Sequence[Leaf], trees: int, x: np.ndarray) -> np.ndarray:
-    out = np.zeros(x.shape[0])
-    for leaf in leaves:
-        part = x[:, leaf.features]
-        out += leaf.value * ((part > leaf.low) & (part <= leaf.high)).all(axis=1)
+def forest_probability(leaves: Leaves, trees: int, x: np.ndarray) -> np.ndarray:
+    """Probabilities, rows x labels."""
+    out = np.zeros((x.shape[0], leaves.values.shape[1]))
+    for leaf in range(len(leaves)):
+        features, low, high = leaves.box(leaf)
+        part = x[:, features]
+        out += ((part > low) & (part <= high)).all(axis=1)[:, None] * leaves.values[leaf]
     return out / trees
 
 
@@ -168,40 +200,60 @@ def forest_probability(leaves: Sequence[Leaf], trees: int, x: np.ndarray) -> np.
 class ForestExplainer:
     """A forest and its background, ready to explain rows anywhere."""
 
-    leaves: list[Leaf]
+    leaves: Leaves
     trees: int
     background: np.ndarray
 
     @classmethod
-    def build(cls, model, background: DataFrame, positive: int = 1) -> ForestExplainer:
+    def build(cls, model, background: DataFrame) -> ForestExplainer:
         """`background` is a bounded sample with a `features` vector; its size is checked."""
         rows = background.count()
-        if rows == 0 or rows * model.numFeatures > MAX_BACKGROUND_CELLS:
+        if rows == 0 or rows * model.numFeatures * 8 > MAX_EXPLAINER_BYTES:
             raise ContractError(f"background of {rows} rows x {model.numFeatures} features is empty or too large")
         b = np.array([r[0] for r in background.select(vector_to_array("features")).collect()])
-        return cls(forest_leaves(model, positive), model.getNumTrees, b)
+        return cls(forest_leaves(model), model.getNumTrees, b)
 
     def part(self, index: int, count: int) -> ForestExplainer:
         """Every count-th leaf: the parts' values add up to the whole forest's."""
-        return self if count == 1 else ForestExplainer(self.leaves[index::count], self.trees, self.background)
+        if count == 1:
+            return self
+        e, lengths = self.leaves, np.diff(self.leaves.offsets)[index::count]
+        offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        at = np.repeat(e.offsets[:-1][index::count] - offsets[:-1], lengths) + np.arange(offsets[-1])
+        return ForestExplainer(Leaves(e.features[at], e.low[at], e.high[at], offsets, e.values[index::count]), self.trees, self.background)
+
+    @cached_property
+    def base_values(self) -> np.ndarray:
+        """Mean probability of each label over the background."""
+        return forest_probability(self.leaves, self.trees, self.background).mean(axis=0)
 
     @cached_property
-    def base_value(self) -> float:
-        return float(forest_probability(self.leaves, self.trees, self.background).mean())
+    def digest(self) -> str:
+        """Fingerprint of forest and background."""
+        h = hashlib.sha256(str(self.trees).encode())
+        for x in [*self.leaves.arrays(), self.background]:
+            h.update(str(x.shape).encode() + np.ascontiguousarray(x).tobytes())
+        return h.hexdigest()
 
 
 def _kernel_schema(data: DataFrame, *extra: str) -> str:
     kind = dict(data.dtypes)["case_id"]
-    return ", ".join([f"case_id {kind}", *extra, "x array<double>", "phi array<double>", "seconds double"])
+    return ", ".join([f"case_id {kind}", *extra, "label int, x array<double>", "phi array<double>", "seconds double, probability double"])
+
+
+def _base_of(e: ForestExplainer) -> Column:
+    """The label's base value."""
+    return F.element_at(F.array(*[F.lit(float(v)) for v in e.base_values]), F.col("label") + 1)
 
 
 def tree_attribution(
-    explainer: ForestExplainer, data: DataFrame, dictionary: DataFrame, slices: int | None = None
+    explainer: ForestExplainer, data: DataFrame, dictionary: DataFrame, slices: int | None = None, labels: Sequence[int] = (1,)
 ) -> DataFrame:
-    """(case_id, feature, feature_value, shap_value, base_value) for every row of `data`.
+    """(case_id, label, feature, feature_value, shap_value, base_value) for every row of `data` and
+    each of `labels`, all from one pass.
 
     The values are sums over leaves, so few rows are spread by slices of the forest and many
-    rows by blocks; each task holds one block and one slice. Forest and background travel once
+    rows by blocks; each task holds blocks and one slice. Forest and background travel once
     per executor.
     """
     spark = data.sparkSession
@@ -209,29 +261,36 @@ def tree_attribution(
     if slices is None:
         slices = max(1, spark.sparkContext.defaultParallelism // blocks)
     shared = spark.sparkContext.broadcast(explainer)
+    wanted = list(labels)
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for part, rows in pdf.groupby("slice"):
-                yield _explain_frame(shared.value.part(int(part), slices), rows.drop(columns=["slice", "slot"]))
+                yield _explain_frame(shared.value.part(int(part), slices), rows.drop(columns="slice"), wanted, False)
 
     block = F.pmod(F.xxhash64("case_id"), F.lit(blocks))
     rows = data.select("case_id", vector_to_array("features").alias("x"), block.alias("block"),
                        F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
-    slot = (F.col("block") * slices + F.col("slice")).cast("int").alias("slot")
-    placed = rows.select("case_id", "x", "slice", slot).repartitionById(blocks * slices, "slot")
+    tasks = min(blocks * slices, MAX_TASKS)
+    slot = F.pmod(F.col("block") * slices + F.col("slice"), F.lit(tasks)).cast("int").alias("slot")
+    placed = rows.select("case_id", "x", "slice", slot).repartitionById(tasks, "slot").drop("slot")
     cells = _cells(placed.mapInPandas(explain, _kernel_schema(data)))
     if slices > 1:
-        cells = cells.groupBy("case_id", "feature_index").agg(
+        cells = cells.groupBy("case_id", "label", "feature_index").agg(
             F.max("feature_value").alias("feature_value"), F.sum("shap_value").alias("shap_value")
         )
-    return _named(cells, dictionary).drop("seconds").withColumn("base_value", F.lit(explainer.base_value))
+    return _named(cells, dictionary).drop("seconds", "probability").withColumn("base_value", _base_of(explainer))
 
 
-def _explain_frame(e: ForestExplainer, pdf: pd.DataFrame) -> pd.DataFrame:
+def _explain_frame(e: ForestExplainer, pdf: pd.DataFrame, labels: Sequence[int], whole: bool) -> pd.DataFrame:
+    """Contributions of the rows for each label; for the whole forest also its probability."""
     start = time.perf_counter()
-    phi = forest_shapley(e.leaves, e.trees, np.stack(pdf["x"].to_list()), e.background)
-    return pdf.assign(phi=list(phi), seconds=(time.perf_counter() - start) / len(pdf))
+    x = np.stack(pdf["x"].to_list())
+    phi = forest_shapley(e.leaves, e.trees, x, e.background)
+    probability = forest_probability(e.leaves, e.trees, x) if whole else np.full((len(x), phi.shape[2]), np.nan)
+    seconds = (time.perf_counter() - start) / len(pdf)
+    return pd.concat([
+        pdf.assign(label=np.int32(k), phi=list(phi[:, :, k]), seconds=seconds, probability=probability[:, k]) for k in labels])
 
 
 def _cells(rows: DataFrame) -> DataFrame:
@@ -252,50 +311,69 @@ def _named(cells: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def attribution_batches(
-    explainer: ForestExplainer, data: DataFrame, dictionary: DataFrame, path: str, batch_size: int = 50
+    explainer: ForestExplainer, data: DataFrame, dictionary: DataFrame, path: str, batch_size: int = 50, label: int = 1
 ) -> DataFrame:
     """Attribute in fixed-size batches below `path`, resuming after a stop.
 
-    `data` has `sample_order`. A batch is done when the ledger holds it with the fingerprint of
-    the same input; only missing batches are computed, and a rerun replaces what an
-    interrupted run left. Returns all batches as read back.
+    `data` has `sample_order`. A run is named by a hash of forest, background, dictionary, label
+    and batch size, so another model never meets these files. A batch is done when the run's
+    ledger holds it with the fingerprint of the same input; only missing batches are computed.
+    Before a batch enters the ledger its values are read back: all finite, and base value plus
+    contributions within BATCH_TOLERANCE of the forest's probability; otherwise the call fails
+    after entering the good ones. Returns the batches of this call's input.
     """
     spark = data.sparkSession
     shared = spark.sparkContext.broadcast(explainer)
+    features = sorted((r["feature_index"], r["feature_name"]) for r in dictionary.select("feature_index", "feature_name").collect())
+    run = hashlib.sha256(f"{explainer.digest}{features}{label}{batch_size}".encode()).hexdigest()[:32]
     rows = data.select(
         "case_id", "sample_order", vector_to_array("features").alias("x"),
         F.floor(F.col("sample_order") / batch_size).cast("int").alias("batch"),
     )
-    digest = F.conv(F.substring(F.md5(F.concat_ws(",", "case_id", F.col("x").cast("string"))), 1, 8), 16, 10)
-    prints = rows.groupBy("batch").agg(
+    digest = F.conv(F.substring(F.md5(F.concat_ws(",", "case_id", "sample_order", F.col("x").cast("string"))), 1, 12), 16, 10)
+    prints = cut_lineage(rows.groupBy("batch").agg(
         n_rows("case_count"), F.sum(digest.cast("decimal(20,0)")).cast("string").alias("fingerprint")
-    )
-    ledger_path, data_path = f"{path}/ledger", f"{path}/attributions"
-    done = _read_if_present(spark, ledger_path, "batch int, case_count long, fingerprint string")
-    # Fixed before the batches are written; a row per batch, so it stays a distributed table.
-    todo = cut_lineage(prints.join(done, ["batch", "case_count", "fingerprint"], "left_anti"))
-    schema = _kernel_schema(data, "sample_order long", "batch int")
+    ))
+    ledger_path, data_path = f"{path}/{run}/ledger", f"{path}/{run}/attributions"
+    entry = ["batch", "case_count", "fingerprint"]
+    schema = _kernel_schema(data, "sample_order long", "batch int", "fingerprint string")
+    todo = prints.join(_ledger(spark, ledger_path), entry, "left_anti")
     waiting = todo.count()
     if waiting:
+        attempt = uuid.uuid4().hex
+        tasks = min(waiting, MAX_TASKS)
+        pending = rows.join(todo.select("batch", "fingerprint"), "batch").withColumn("slot", F.pmod("batch", F.lit(tasks)))
 
         def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for _, group in pdf.groupby("batch"):
-                    yield _explain_frame(shared.value, group)
-
-        tasks = min(waiting, MAX_BATCH_TASKS)
-        pending = rows.join(todo.select("batch"), "batch", "left_semi").select(
-            "case_id", "sample_order", "batch", "x"
-        )
-        placed = pending.withColumn("slot", F.pmod("batch", F.lit(tasks))).repartitionById(tasks, "slot").drop("slot")
-        placed.mapInPandas(explain, schema).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(data_path)
-        todo.write.mode("append").parquet(ledger_path)
-    stored = spark.read.schema(schema).parquet(data_path)
-    return _named(_cells(stored), dictionary).withColumn("base_value", F.lit(explainer.base_value))
-
-
-def _read_if_present(spark, path: str, schema: str) -> DataFrame:
+                    yield _explain_frame(shared.value, group, [label], True)
+
+        placed = pending.repartitionById(tasks, "slot").drop("slot")
+        written = f"{data_path}/attempt={attempt}"
+        placed.select("case_id", "sample_order", "batch", "fingerprint", "x").mapInPandas(explain, schema).write.parquet(written)
+        bad = _faulty_batches(spark.read.schema(schema).parquet(written), float(explainer.base_values[label]))
+        good = todo.join(bad, "batch", "left_anti").withColumn("attempt", F.lit(attempt))
+        good.write.mode("append").parquet(ledger_path)
+        faults = bad.limit(20).collect()
+        if faults:
+            raise ContractError(f"batches whose values do not add up: {[tuple(r) for r in faults]}")
+    current = prints.join(_ledger(spark, ledger_path), entry).groupBy("batch", "fingerprint").agg(F.max("attempt").alias("attempt"))
+    stored = spark.read.schema(f"{schema}, attempt string").parquet(data_path).join(current, ["batch", "fingerprint", "attempt"])
+    kept = stored.drop("fingerprint", "attempt")
+    return _named(_cells(kept), dictionary).withColumn("base_value", F.lit(float(explainer.base_values[label])))
+
+
+def _faulty_batches(rows: DataFrame, base: float) -> DataFrame:
+    """(batch, faults): rows of a batch that are not finite or miss the probability."""
+    total = F.aggregate("phi", F.lit(base), lambda acc, v: acc + v)
+    gap = F.abs(total - F.col("probability"))
+    return rows.groupBy("batch").agg(count_where(~F.coalesce(gap <= BATCH_TOLERANCE, F.lit(False)) | F.isnan(gap)).alias("faults")).filter(
+        F.col("faults") > 0)
+
+
+def _ledger(spark, path: str) -> DataFrame:
+    schema = "batch int, case_count long, fingerprint string, attempt string"
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         return spark.createDataFrame([], schema)
@@ -332,12 +410,13 @@ def additivity_check(
     attributions: DataFrame, predictions: DataFrame, thresholds: Sequence[float] = (1e-9, 1e-6)
 ) -> DataFrame:
     """Size and spread of the additivity error and how many cases exceed each threshold."""
-    r = reconstruction(attributions, predictions)
+    r = cut_lineage(reconstruction(attributions, predictions).select("absolute_error"))
     e = F.col("absolute_error")
-    return r.agg(
+    out = r.agg(
         n_rows("case_count"), F.max(e).alias("max_error"), F.avg(e).alias("mean_error"), F.min(e).alias("min_error"),
         *[count_where(e > t).alias(f"above_{t:.0e}".replace("-", "_")) for t in thresholds],
     )
+    return out.withColumn("median_error", scalar(exact_quantiles(r, "absolute_error", {"median": 0.5}), "median"))
 
 
 def class_zero_additivity(

@@ -171,9 +171,14 @@ def scale_numeric(train: DataFrame, df: DataFrame, numeric: Sequence[str]) -> Da
 
 def _numeric_cells(features: DataFrame, spec: EncodeSpec) -> DataFrame:
     """Numeric columns come first in the dictionary, so their index needs no join: their cells
-    would all meet on a handful of keys."""
+    would all meet on a handful of keys. A missing value is an error, as it is for vectors: it
+    would read as 0."""
+    def present(c: str) -> Column:
+        value = F.col(c).cast("double")
+        return F.when(value.isNull(), F.raise_error(F.lit(f"numeric feature {c} is null"))).otherwise(value)
+
     cells = F.array(*[
-        F.struct(F.lit(i).cast("long").alias("feature_index"), F.col(c).cast("double").alias("value"))
+        F.struct(F.lit(i).cast("long").alias("feature_index"), present(c).alias("value"))
         for i, c in enumerate(spec.numeric)
     ])
     return features.select(CASE, F.explode(cells).alias("c")).select(CASE, "c.*")

@@ -51,7 +51,7 @@ def fit_forest(
     return RandomForestClassifier(
         labelCol=target, numTrees=num_trees, impurity="gini", featureSubsetStrategy="sqrt",
         minInstancesPerNode=1, maxDepth=max_depth, maxBins=max_bins, seed=seed, subsamplingRate=1.0,
-        maxMemoryInMB=512,
+        maxMemoryInMB=512, cacheNodeIds=True, checkpointInterval=10,
     ).fit(train)
 
 
@@ -113,9 +113,12 @@ def _equal_tables(name: str, a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
-def refit_equality(fit, train: DataFrame, test: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Fit twice; predictions and importances (or coefficients) must agree exactly."""
-    first, second = fit(train), fit(train)
+def refit_equality(fit, train: DataFrame, test: DataFrame, dictionary: DataFrame, again: DataFrame | None = None) -> DataFrame:
+    """Fit twice; predictions and importances (or coefficients) must agree exactly.
+
+    `again` is handed to the second fit instead of the same rows.
+    """
+    first, second = fit(train), fit(train if again is None else again)
     weights = logistic_coefficients if isinstance(first, LogisticRegressionModel) else forest_importance
     return _equal_tables("predictions", predict(first, test), predict(second, test)).unionByName(
         _equal_tables("weights", weights(first, dictionary), weights(second, dictionary))
