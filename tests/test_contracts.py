@@ -87,3 +87,53 @@ def test_ambiguous_order_is_refused(spark):
         normalize_log(src, spec, strict=True)
     with pytest.raises(Exception):
         normalize_log(src.withColumn("t", F.lit("not a time")), spec).collect()
+
+
+def test_fingerprint_tells_borders_and_nulls_apart(spark):
+    one = lambda *rows: C.table_fingerprint(spark.createDataFrame(list(rows), "a string, b string")).first()
+    assert one(("a|b", "c")) != one(("a", "b|c")) and one((None, "x")) != one(("~null~", "x")) and one((None, "x")) != one(("n", "x"))
+
+
+def test_text_times_without_a_zone_are_utc_in_any_session_zone(spark):
+    from tracewell.spec import LogSpec
+
+    df = spark.createDataFrame([("c", "a", "2024-01-01 00:00:00.5", 1), ("c", "a", "2024-01-01T02:00:00+02:00", 2)],
+                               "c string, a string, t string, k long")
+    spec = LogSpec(case="c", activity="a", ts="t", order_key="k")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got = [r.u for r in normalize_log(df, spec).selectExpr("unix_micros(ts) as u").collect()]
+            assert got == [1704067200500000, 1704067200000000]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_a_csv_header_with_other_names_is_refused(spark):
+    from tracewell.sources.logs import read_csv
+
+    path = scratch_path(spark, "csv")
+    spark.createDataFrame([("1", "x")], "id string, name string").write.option("header", True).csv(path)
+    assert read_csv(spark, path, "id string, name string").count() == 1
+    with pytest.raises(Exception, match="(?i)header"):
+        read_csv(spark, path, "id string, other string").collect()
+
+
+def test_inherited_windows_are_one_to_one(spark):
+    sample = spark.createDataFrame([(1,), (2,), (3,)], "case_id int")
+    windows = spark.createDataFrame([(1, "T1"), (1, "T1"), (2, "T1"), (2, "T2")], "case_id int, window string")
+    got = {r.case_id: (r.window, r.matched) for r in window_inherit(sample, windows, "case_id").collect()}
+    assert got == {1: ("T1", True), 2: (None, False), 3: (None, False)}
+    for kept, what in ((sample.filter("case_id <> 3"), "two windows"), (sample.filter("case_id <> 2"), "no window")):
+        with pytest.raises(C.ContractError, match=what):
+            window_inherit(kept, windows if what == "two windows" else windows.filter("case_id = 1"), "case_id", strict=True)
+
+
+def test_stored_predictions_are_compared_row_by_row(spark):
+    from tracewell.operators.metrics import stored_predictions_audit
+
+    ours = spark.createDataFrame([(1, 1, 0.9), (2, 0, 0.1), (3, 0, 0.2)], "case_id int, y_pred int, y_prob double")
+    stored = spark.createDataFrame([(1, 0, 0.9), (2, 0, 0.3), (4, 0, 0.1)], "case_id int, y_pred int, y_prob double")
+    r = stored_predictions_audit(ours, stored).first()
+    assert (r.cases, r.not_stored, r.not_recomputed, r.label_differences, r.probability_differences) == (4, 1, 1, 1, 1)

@@ -94,7 +94,7 @@ def test_availability_matrix_and_policy(spark, log):
     }, A.decision_table(spark, L.loan_decisions()), strict=True)
     counts = {r.availability_decision: r.features for r in A.decision_counts(matrix).collect()}
     assert counts == {"Available": 11, "Conditionally Available": 7, "Leakage Risk": 1}
-    policy = {r.handling: r.n for r in A.feature_policy(matrix, strict=True).groupBy("handling").agg(F.count("*").alias("n")).collect()}
+    policy = {r.handling: r.n for r in A.feature_policy(matrix, L.HANDLING_POLICY, strict=True).groupBy("handling").agg(F.count("*").alias("n")).collect()}
     assert policy == {"raw_static": 3, "count_map": 5, "timing": 1, "identifier_only": 2, "conditional_omitted": 7,
                       "leakage_risk_omitted": 1}
 
@@ -116,6 +116,6 @@ def test_long_case_is_written_in_parts(spark, log, monkeypatch):
     monkeypatch.setattr(xes, "EVENTS_PER_TRACE", 5)
     path = scratch_path(spark, "xes")
     write_xes(order_events(log), path, ["EventID"], [])
-    back = read_xes(spark, path, {}, {"EventID": "string", "order_key": "int"}, trace_per_line=True)
+    back = read_xes(spark, path, {}, {"EventID": "string", "order_key": "int"})
     assert back.count() == log.count()
     assert back.select("case_id", "activity", "ts", "EventID").exceptAll(log.select("case_id", "activity", "ts", "EventID")).count() == 0

@@ -51,6 +51,14 @@ def check_required_columns(df: DataFrame, columns: Sequence[str], exact: bool =
     )
 
 
+def check_stored_columns(spark, path: str, columns: Sequence[str], exact: bool = False) -> DataFrame:
+    """The columns of a written table, and that all its files can be read with them."""
+    back = spark.read.parquet(path)
+    named = check_required_columns(back, columns, exact)
+    one = back.agg(n_rows("n"))
+    return union_checks([named, _row(one, "readable_rows", F.col("n") > 0, F.col("n"), F.lit("some"))])
+
+
 def check_not_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     nulls = df.agg(*[count_where(F.col(c).isNull()).alias(c) for c in columns])
     long = nulls.unpivot([], list(columns), "column", "n")
@@ -181,11 +189,12 @@ def check_equal_total(df: DataFrame, name: str, total: Column, expected: DataFra
 def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Order-insensitive content hash: row count and two sums over the md5 of each row.
 
-    The sums are decimals, so they cannot overflow at any realistic row count.
+    A field is written as its length and text, null as `n`, so different rows have different
+    texts. The sums are decimals, so they cannot overflow at any realistic row count.
     """
-    cols = list(columns or df.columns)
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~null~")) for c in cols])
-    digest = F.md5(text)
+    cols = [F.col(c).cast("string") for c in (columns or df.columns)]
+    fields = [F.when(c.isNull(), "n").otherwise(F.concat(F.length(c).cast("string"), F.lit(":"), c)) for c in cols]
+    digest = F.md5(F.concat_ws("|", *fields))
     return df.select(digest.alias("d")).agg(
         n_rows("row_count"),
         F.coalesce(F.sum(F.conv(F.substring("d", 1, 8), 16, 10).cast("decimal(20,0)")), F.lit(0))

@@ -99,14 +99,19 @@ def roc_curve(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def pr_curve(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Precision and recall per distinct score with the group's prevalence."""
+    """Precision and recall per distinct score with the group's prevalence, closed by the point
+    (recall 0, precision 1) beyond all scores."""
     t = score_table(df, keys)
-    return t.select(
+    prevalence = F.col("total_pos") / (F.col("total_pos") + F.col("total_neg"))
+    points = t.select(
         *keys, F.col("y_prob").alias("threshold"),
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
         F.try_divide("tp", "total_pos").alias("recall"),
-        (F.col("total_pos") / (F.col("total_pos") + F.col("total_neg"))).alias("prevalence"),
+        prevalence.alias("prevalence"),
     )
+    ends = points.groupBy(*keys).agg(F.max("prevalence").alias("prevalence"))
+    return points.unionByName(ends.select(
+        *keys, F.lit(float("inf")).alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"), "prevalence"))
 
 
 def _join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -182,6 +187,20 @@ def prediction_audit(predictions: Mapping[str, DataFrame], population: DataFrame
     return per_key.agg(*aggs).select(F.explode(F.array(*[f"r{i}" for i in range(len(names))])).alias("r")).select("r.*")
 
 
+def stored_predictions_audit(recomputed: DataFrame, stored: DataFrame, key: str = "case_id", tolerance: float = 1e-12) -> DataFrame:
+    """What a stored prediction table gets wrong against a recomputed one: rows on one side only,
+    other labels, other probabilities."""
+    sides = [df.select(key, F.struct("y_pred", "y_prob").alias(n)) for df, n in ((recomputed, "r"), (stored, "s"))]
+    both = sides[0].join(sides[1], key, "full_outer")
+    r, s = F.col("r"), F.col("s")
+    close = F.coalesce(F.abs(r["y_prob"] - s["y_prob"]) <= tolerance, F.lit(False))
+    return both.agg(
+        n_rows("cases"), count_where(s.isNull()).alias("not_stored"), count_where(r.isNull()).alias("not_recomputed"),
+        count_where(r.isNotNull() & s.isNotNull() & ~r["y_pred"].eqNullSafe(s["y_pred"])).alias("label_differences"),
+        count_where(r.isNotNull() & s.isNotNull() & ~close).alias("probability_differences"),
+    )
+
+
 # --- windows ----------------------------------------------------------------------------
 
 def window_metrics(df: DataFrame, window: str = "window", strict: bool = False) -> DataFrame:

@@ -62,8 +62,9 @@ def target_mapping(cases: DataFrame, outcomes: OutcomeSpec, strict: bool = False
     return out
 
 
-def contradictory_outcomes(ordered: DataFrame, outcomes: OutcomeSpec, limit: int | None = 10) -> DataFrame:
-    """Cases with more than one distinct outcome, their sorted labels joined by ' | '."""
+def contradictory_outcomes(ordered: DataFrame, outcomes: OutcomeSpec, limit: int | None = None) -> DataFrame:
+    """Cases with more than one distinct outcome, their sorted labels joined by ' | '; all of
+    them, or the first `limit` by case."""
     sets = (
         ordered.filter(F.col(ACTIVITY).isin(outcomes.activities))
         .groupBy(CASE)

@@ -162,9 +162,24 @@ def boundary_table(cases: DataFrame, start: str, cuts: Sequence[Boundary], names
     )
 
 
-def window_inherit(sample: DataFrame, windows: DataFrame, key: str) -> DataFrame:
-    """The sample with the window of each key; `matched` is false where the population lacks it."""
-    right = windows.select(key, "window", F.lit(True).alias("matched"))
+def window_inherit(sample: DataFrame, windows: DataFrame, key: str, strict: bool = False) -> DataFrame:
+    """The sample with the window of each key; `matched` is false where the population lacks it.
+
+    A key has one window: rows that repeat it count once, and a key with two windows is refused
+    by strict mode and left unmatched otherwise. Strict mode also refuses a missing key.
+    """
+    per_key = windows.groupBy(key).agg(F.min("window").alias("window"), F.max("window").alias("__last"))
+    one = F.col("window").eqNullSafe(F.col("__last"))
+    right = per_key.filter(one).select(key, "window", F.lit(True).alias("matched"))
+    if strict:
+        problems = {
+            "two windows": per_key.filter(~one),
+            "no window": sample.join(per_key, key, "left_anti"),
+        }
+        for what, rows in problems.items():
+            bad = [r[0] for r in rows.select(key).limit(20).collect()]
+            if bad:
+                raise ContractError(f"{what}: {bad}")
     return sample.join(right, key, "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
 
 

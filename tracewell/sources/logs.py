@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.functions.columns import count_where, mapped, n_rows
+from tracewell.functions.columns import count_where, mapped, micros, n_rows
 from tracewell.operators.contracts import check_not_null, check_required_columns, check_unique, enforce, union_checks
 from tracewell.spec import ACTIVITY, CASE, ORDER_KEY, TS, LogSpec
 
@@ -23,7 +23,7 @@ def normalize_log(source: DataFrame, spec: LogSpec, strict: bool = False) -> Dat
         enforce(check_required_columns(source, [spec.case, spec.activity, spec.ts, spec.order_key]))
     ts: Column = F.col(spec.ts)
     if dict(source.dtypes)[spec.ts] == "string":
-        ts = F.to_timestamp(ts)
+        ts = parsed_time(ts)
     log = source.select(
         F.col(spec.case).alias(CASE),
         F.col(spec.activity).alias(ACTIVITY),
@@ -37,6 +37,13 @@ def normalize_log(source: DataFrame, spec: LogSpec, strict: bool = False) -> Dat
     return log
 
 
+def parsed_time(text: Column) -> Column:
+    """A text time as a timestamp; without a zone it is UTC, in any session zone."""
+    zoned = text.rlike(r"([Zz]|[+-][0-9]{2}:?[0-9]{2}|UTC|GMT)\s*$")
+    utc = F.timestamp_micros(micros(F.to_timestamp_ntz(text)))
+    return F.when(zoned, F.to_timestamp(text)).otherwise(F.when(~zoned, utc))
+
+
 def core_contract(log: DataFrame) -> DataFrame:
     """Core columns complete and the order within a case unambiguous."""
     return union_checks([
@@ -60,8 +67,9 @@ def normalization_summary(log: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """CSV with an explicit schema: ids stay strings, nothing is inferred."""
-    return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
+    """CSV with an explicit schema: ids stay strings, nothing is inferred, and a header that names
+    other columns fails the read."""
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("escape", '"').csv(path)
 
 
 def write_checked(df: DataFrame, path: str, key: Sequence[str], fmt: str = "parquet") -> DataFrame:
@@ -73,10 +81,11 @@ def write_checked(df: DataFrame, path: str, key: Sequence[str], fmt: str = "parq
     writer = df.write.mode("errorifexists")
     if fmt == "parquet":
         writer.parquet(path)
-        back = spark.read.parquet(path)
+        back = written = spark.read.parquet(path)
     elif fmt == "csv":
         writer.option("header", True).option("escape", '"').csv(path)
         back = read_csv(spark, path, df.schema)
+        written = spark.read.option("header", True).csv(path)
     else:
         raise ValueError(f"unknown format: {fmt}")
     sides = df.select(*key, F.lit(1).alias("w")).unionByName(back.select(*key, F.lit(-1).alias("w")))
@@ -88,7 +97,7 @@ def write_checked(df: DataFrame, path: str, key: Sequence[str], fmt: str = "parq
         F.lit("0").alias("expected"),
     )
     return union_checks([
-        check_required_columns(back, df.columns, exact=True),
+        check_required_columns(written, df.columns, exact=True),
         same_keys,
         check_unique(back, key),
     ])

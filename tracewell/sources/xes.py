@@ -1,4 +1,4 @@
-"""XES event logs through Spark's XML source."""
+"""XES event logs through Spark's XML functions."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from tracewell.spec import ACTIVITY, CASE, ORDER_KEY, POS, TS
 ATTRIBUTE_TAGS = ("string", "date", "int", "float", "boolean", "id")
 CASE_KEY = "concept:name"
 TIME_KEY = "time:timestamp"
+TRACE_END = "</trace>"
 
 # Events per written trace element, so that no task holds a whole huge case.
 EVENTS_PER_TRACE = 1000
@@ -47,24 +48,18 @@ def read_xes(
     path: str,
     case_attributes: Mapping[str, str],
     event_attributes: Mapping[str, str],
-    trace_per_line: bool = False,
 ) -> DataFrame:
     """XES files -> one row per event, the case attributes repeated on every event.
 
-    An ordinary document is streamed by one task per file. Files of `write_xes` hold a trace per
-    line without a root element, so `trace_per_line` lets Spark split them. A malformed trace
-    fails the read. An event's place in its trace becomes the order key unless an `order_key`
-    attribute is named.
+    The text is cut at the end of each trace, so Spark splits a document of any size over many
+    tasks, with or without a root element. A malformed trace fails the read. An event's place in
+    its trace becomes the order key unless an `order_key` attribute is named.
     """
-    raw = (
-        spark.read.format("xml")
-        .option("rowTag", "trace")
-        .option("attributePrefix", "_")
-        .option("mode", "FAILFAST")
-        .option("multiLine", str(not trace_per_line).lower())
-        .schema(trace_schema())
-        .load(path)
-    )
+    pieces = spark.read.option("lineSep", TRACE_END).text(path)
+    start = F.regexp_instr("value", F.lit(r"<trace[\s>]"))
+    xml = pieces.filter(start > 0).select(F.concat(F.substring("value", start, F.length("value")), F.lit(TRACE_END)).alias("xml"))
+    parsed = F.from_xml("xml", trace_schema(), {"attributePrefix": "_", "mode": "FAILFAST"})
+    raw = xml.select(parsed.alias("t")).select("t.*")
     traces = raw.select(_attribute_map().alias("case_map"), "event")
     events = traces.select("case_map", F.posexplode("event").alias("place", "e"))
     rows = events.select("case_map", "place", "e.*").select(
@@ -88,7 +83,8 @@ def read_xes(
 
 def _escaped(c: Column) -> Column:
     text = F.replace(c.cast("string"), F.lit("&"), F.lit("&amp;"))
-    for raw, safe in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+    pairs = (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#10;"), ("\r", "&#13;"), ("\t", "&#9;"))
+    for raw, safe in pairs:
         text = F.replace(text, F.lit(raw), F.lit(safe))
     return text
 
@@ -107,7 +103,7 @@ def write_xes(
     A longer case becomes several trace elements of the same name; the written order key keeps
     their order.
     """
-    wall = F.date_format(F.col(TS).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    wall = F.date_format(F.col(TS).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     offset = F.when(is_zoneless(F.col(TS)), "Z").otherwise(F.date_format(F.col(TS).cast("timestamp"), "XXX"))
     stamp = F.concat(wall, offset)
     event = F.concat(
