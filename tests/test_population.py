@@ -121,7 +121,7 @@ def test_policy_refuses_unknown_handling(spark):
                                    "feature string, feature_group string, availability_decision string, "
                                    "model_handling string, reason string")
     with pytest.raises(ContractError):
-        A.feature_policy(matrix, strict=True)
+        A.feature_policy(matrix, {}, strict=True)
 
 
 def test_target_distribution_counts_cases_not_events(spark):

@@ -384,16 +384,8 @@ def case_frequency(prefix: DataFrame, eligible_flags: DataFrame, k: int) -> Data
 
 # --- decisions --------------------------------------------------------------------------
 
-# Decision names, and the handling class of an available attribute by
-# (group, handling text).
+# Decision names.
 DECISIONS = ("Available", "Conditionally Available", "Leakage Risk")
-HANDLING_POLICY = {
-    ("case-level", "Candidate model feature"): "raw_static",
-    ("event-process", "Prefix-safe encoding or aggregation"): "count_map",
-    ("event-process", "Evaluate raw-resource generalization separately"): "count_map",
-    ("event-process", "Use prefix-derived temporal features only"): "timing",
-    ("identifier", "Exclude as a raw identifier"): "identifier_only",
-}
 DECISION_COLUMNS = [
     "feature", "practically_available", "future_dependency", "availability_decision", "model_handling",
     "reason", "notes",
@@ -434,12 +426,13 @@ def decision_counts(matrix: DataFrame) -> DataFrame:
     return matrix.groupBy("availability_decision").agg(n_rows("features"))
 
 
-def feature_policy(matrix: DataFrame, strict: bool = False) -> DataFrame:
-    """Handling class of every attribute; strict mode refuses an unknown (group, handling)."""
+def feature_policy(matrix: DataFrame, rules: Mapping[tuple[str, str], str], strict: bool = False) -> DataFrame:
+    """Handling class of every attribute; `rules` maps (group, handling) of available ones to a
+    class, and strict mode refuses a pair that it lacks."""
     decision = F.col("availability_decision")
     policy = mapped(
         F.concat_ws("|", "feature_group", "model_handling"),
-        {"|".join(pair): name for pair, name in HANDLING_POLICY.items()},
+        {"|".join(pair): name for pair, name in rules.items()},
     )
     handling = (
         F.when(decision == "Available", policy)

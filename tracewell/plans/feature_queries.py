@@ -20,7 +20,8 @@ from tracewell.plans.tables import (
     L1_CREATE, L1_K, L1_LINK, L1_OUTCOMES, L1_SPARSE, L1_STATES, L1_STATIC, L2_STATIC, WINDOWS,
     flags, l1, l1_cases, l1_ordered, l1_prefix, l2,
 )
-from tracewell.session import cut_lineage
+from tracewell.presets import HANDLING_POLICY
+from tracewell.session import cut_lineage, scratch_path
 
 OUTS = L1_OUTCOMES.activities
 STATES = list(L1_STATES.values())
@@ -101,6 +102,71 @@ def _matrix(s, d, strict=True):
     }, A.decision_table(s, DECISIONS), strict)
 
 
+def _with_measured(matrix, make):
+    """A table by feature beside the measured availability."""
+    matrix = cut_lineage(matrix)
+    return make(matrix).join(matrix.select("feature", "availability_at_k"), "feature")
+
+
+def _policy(s, d):
+    return _with_measured(_matrix(s, d), lambda m: A.feature_policy(m, HANDLING_POLICY, strict=True).select("feature", "handling"))
+
+
+def _stored_columns(s, d):
+    """Columns of a written prefix: as they are, with one missing, and in another order."""
+    path = scratch_path(s, "prefix")
+    l1_prefix(s, d).select("case_id", "event_pos", "activity").write.parquet(path)
+    wanted = {"stored": ["case_id", "event_pos", "activity"], "missing": ["case_id", "outcome"]}
+    checks = [_named(C.check_stored_columns(s, path, cols), name) for name, cols in wanted.items()]
+    return C.union_checks([*checks, _named(C.check_stored_columns(s, path, ["activity", "case_id", "event_pos"], exact=True), "order")])
+
+
+def _named(checks, name):
+    return checks.withColumn("check", F.concat(F.lit(f"{name}:"), "check"))
+
+
+def _disjoint(s, d):
+    """The split's parts, and two sets of cases that share every sixth."""
+    starts = _l2_starts(s, d)
+    return C.union_checks([
+        C.check_disjoint(*_contracts(s, d)[2:], "case_id"),
+        _named(C.check_disjoint(starts.filter("case_id % 2 = 0"), starts.filter("case_id % 3 = 0"), "case_id"), "sixths")])
+
+
+def _cover(s, d):
+    """The split's parts, and parts that leave out cases and repeat others."""
+    starts = _l2_starts(s, d)
+    parts = [starts.filter("case_id % 2 = 0"), starts.filter("case_id % 3 = 0")]
+    return C.union_checks([
+        C.check_cover(_contracts(s, d)[2:], starts, "case_id"), _named(C.check_cover(parts, starts, "case_id"), "gaps")])
+
+
+def _time_order(s, d):
+    split, windows = _split(s, d)[0], _windows(s, d)[0]
+    by_case = _l2_starts(s, d).withColumn("part", F.when(F.col("case_id") % 2 == 0, "even").otherwise("odd"))
+    return C.union_checks([
+        C.check_strict_time_order(split, "split", "case_start_time", ["train", "test"]),
+        C.check_strict_time_order(windows, "window", "case_start_time", WINDOWS),
+        C.check_strict_time_order(by_case, "part", "case_start_time", ["even", "odd"])])
+
+
+def _leaks(s, d):
+    """The prefix as it is, and judged as if it ended a place earlier and views were outcomes."""
+    prefix = l1_prefix(s, d)
+    return C.union_checks([
+        C.check_leakage(prefix, OUTS, L1_K, ["target", "outcome_position"]),
+        _named(C.check_leakage(prefix, ["view"], L1_K - 1, ["ts", "target"]), "stricter")])
+
+
+def _counts(s, d):
+    prefix = l1_prefix(s, d)
+    per_case = prefix.groupBy("case_id").agg(n_rows())
+    views = F.count(F.when(F.col("activity") == "view", 1))
+    return C.union_checks([
+        C.check_counts(per_case, {"rows_per_case": (F.max("n"), L1_K), "short_cases": (F.count(F.when(F.col("n") < L1_K, 1)), 0)}),
+        C.check_counts(prefix, {"views": (views, 0), "rows": (F.count(F.lit(1)), -1)})])
+
+
 def _linked(ordered):
     return A.link_next_event(ordered, L1_CREATE, L1_LINK, "item_id", ["accepted", "selected"])
 
@@ -223,10 +289,10 @@ QUERIES = {
     "identifier_audit": lambda s, d: rounded(A.identifier_audit(l1_prefix(s, d), ["order_key", "case_id"])),
     "case_frequency": lambda s, d: A.case_frequency(l1_prefix(s, d), l1_cases(s, d), L1_K),
     "availability_matrix": lambda s, d: rounded(_matrix(s, d).drop("reason", "notes", "model_handling")),
-    "decision_counts": lambda s, d: A.decision_counts(_matrix(s, d)),
-    "feature_policy": lambda s, d: A.feature_policy(_matrix(s, d), strict=True).select("feature", "handling"),
-    "feature_manifest": lambda s, d: A.feature_manifest(A.feature_policy(_matrix(s, d))).select(
-        "feature", "source", "status"),
+    "decision_counts": lambda s, d: A.decision_counts(_matrix(s, d).filter("availability_pct >= 0.5")),
+    "feature_policy": _policy,
+    "feature_manifest": lambda s, d: _with_measured(_matrix(s, d), lambda m: A.feature_manifest(
+        A.feature_policy(m, HANDLING_POLICY)).select("feature", "source", "status")),
     # case features
     "static_features": lambda s, d: X.static_features(l1_prefix(s, d), FEATURES.statics, strict=True),
     "count_maps": lambda s, d: X.count_rows(X.count_maps(l1_prefix(s, d), FEATURES.count_maps), FEATURES.map_columns),
@@ -243,7 +309,7 @@ QUERIES = {
     "window_summary": _window_summary,
     "window_boundaries": _window_bounds,
     "window_inherit": lambda s, d: T.window_inherit(
-        _sample(s, d), _windows(s, d)[0], "case_id").select("case_id", "sample_order", "window", "matched"),
+        _sample(s, d), _windows(s, d)[0].filter("window <> 'T3'"), "case_id").select("case_id", "sample_order", "window", "matched"),
     "seeded_sample": lambda s, d: _sample(s, d).select("case_id", "sample_order", "target"),
     "sample_distribution": _sample_distribution,
     "split_leakage": _leakage,
@@ -262,23 +328,18 @@ QUERIES = {
     "constant_features": lambda s, d: N.constant_features(*_encoded(s, d, "tree", "train")),
     "finite_check": lambda s, d: N.finite_check(_encoded(s, d, "linear", "train")[0]),
     # contracts
-    "check_required_columns": lambda s, d: C.union_checks([
-        C.check_required_columns(l1(s, d), ["case_id", "activity", "ts"]),
-        C.check_required_columns(l1_prefix(s, d).select("case_id", "event_pos"), ["case_id", "event_pos"], exact=True)]),
+    "check_required_columns": _stored_columns,
     "check_not_null": lambda s, d: C.check_not_null(l1(s, d), ["case_id", "activity", "ts", "amount"]),
     "check_unique": lambda s, d: C.union_checks([
         C.check_unique(l1_cases(s, d), ["case_id"]), C.check_unique(l2(s, d), ["case_id", "ts"])]),
-    "check_disjoint": lambda s, d: C.check_disjoint(*_contracts(s, d)[2:], "case_id"),
-    "check_cover": lambda s, d: C.check_cover(_contracts(s, d)[2:], _l2_starts(s, d), "case_id"),
-    "check_strict_time_order": lambda s, d: C.union_checks([
-        C.check_strict_time_order(_split(s, d)[0], "split", "case_start_time", ["train", "test"]),
-        C.check_strict_time_order(_windows(s, d)[0], "window", "case_start_time", WINDOWS)]),
+    "check_disjoint": _disjoint,
+    "check_cover": _cover,
+    "check_strict_time_order": _time_order,
     "check_domain": lambda s, d: C.union_checks([
         C.check_domain(l1_cases(s, d).filter("eligible"), "target", values=[0, 1]),
         C.check_domain(l1(s, d), "value", low=0, high=100)]),
-    "check_leakage": lambda s, d: C.check_leakage(l1_prefix(s, d), OUTS, L1_K, ["target", "outcome_position"]),
-    "check_counts": lambda s, d: C.check_counts(l1_prefix(s, d).groupBy("case_id").agg(n_rows()), {
-        "rows_per_case": (F.max("n"), L1_K), "short_cases": (F.count(F.when(F.col("n") < L1_K, 1)), 0)}),
+    "check_leakage": _leaks,
+    "check_counts": _counts,
     "table_fingerprint": lambda s, d: C.table_fingerprint(
         l1_prefix(s, d), ["case_id", "event_pos", "activity", "resource", "item_id"]),
 }
@@ -286,6 +347,12 @@ QUERIES = {
 
 # --- SQL --------------------------------------------------------------------------------
 
+def _verdict(counts: str) -> str:
+    """Check rows from counted violations (c, x)."""
+    return f"""SELECT c AS "check", CASE WHEN x = 0 THEN 'PASS' ELSE 'FAIL' END AS status, CAST(x AS VARCHAR) AS observed,
+  '0' AS expected FROM ({counts})"""
+
+
 def _union(parts) -> str:
     return "\nUNION ALL ".join(parts)
 
@@ -344,6 +411,9 @@ FROM later GROUP BY {f}"""
 _DECISION_SQL = "(VALUES " + ", ".join(
     "('{feature}', '{practically_available}', '{future_dependency}', '{availability_decision}')".format(**r)
     for r in DECISIONS) + ") d(feature, practically_available, future_dependency, availability_decision)"
+_HANDLING_SQL = """CASE WHEN availability_decision = 'Conditionally Available' THEN 'conditional_omitted'
+  WHEN availability_decision = 'Leakage Risk' THEN 'leakage_risk_omitted' WHEN feature_group = 'case-level' THEN 'raw_static'
+  WHEN feature_group = 'identifier' THEN 'identifier_only' WHEN m.feature = 'ts' THEN 'timing' ELSE 'count_map' END"""
 _GROUPS = {"segment": "case-level", "credit_limit": "case-level", "activity": "event-process",
            "resource": "event-process", "ts": "event-process", "amount": "offer-sparse",
            "rating": "offer-sparse", "selected": "offer-sparse", "order_key": "identifier"}
@@ -485,17 +555,14 @@ WHERE activity IN ('purchase','click','view','signup') AND case_id IN
   min(n) = 3 AND max(n) = 3 AND count(*) = (SELECT count(*) FROM cases WHERE eligible) AS every_case_occurs_k_times
 FROM (SELECT count(*) AS n FROM prefix GROUP BY case_id)"""),
     "availability_matrix": sql.l1(_MATRIX + f"SELECT m.*, d.* EXCLUDE (feature) FROM m JOIN {_DECISION_SQL} ON d.feature = m.feature"),
-    "decision_counts": f"""SELECT availability_decision, count(*) AS features FROM {_DECISION_SQL}
-GROUP BY availability_decision""",
-    "feature_policy": """SELECT * FROM (VALUES ('segment', 'raw_static'), ('credit_limit', 'raw_static'),
-  ('activity', 'count_map'), ('resource', 'count_map'), ('ts', 'timing'), ('amount', 'conditional_omitted'),
-  ('rating', 'conditional_omitted'), ('selected', 'leakage_risk_omitted'), ('order_key', 'identifier_only'))
-v(feature, handling)""",
-    "feature_manifest": """SELECT * FROM (VALUES ('segment', 'case-level', 'included'), ('credit_limit', 'case-level', 'included'),
-  ('activity', 'event-process', 'included'), ('resource', 'event-process', 'included'), ('ts', 'event-process', 'included'),
-  ('amount', 'offer-sparse', 'conditional_omitted'), ('rating', 'offer-sparse', 'conditional_omitted'),
-  ('selected', 'offer-sparse', 'leakage_risk_omitted'), ('order_key', 'identifier', 'excluded_identifier'))
-v(feature, source, status)""",
+    "decision_counts": sql.l1(_MATRIX + f"""SELECT availability_decision, count(*) AS features
+FROM m JOIN {_DECISION_SQL} ON d.feature = m.feature WHERE availability_pct >= 0.5 GROUP BY availability_decision"""),
+    "feature_policy": sql.l1(_MATRIX + f"""SELECT m.feature, {_HANDLING_SQL} AS handling, availability_at_k
+FROM m JOIN {_DECISION_SQL} ON d.feature = m.feature"""),
+    "feature_manifest": sql.l1(_MATRIX + f"""SELECT m.feature, feature_group AS source, availability_at_k,
+  CASE WHEN h IN ('raw_static', 'count_map', 'timing') THEN 'included' WHEN h = 'identifier_only' THEN 'excluded_identifier'
+  ELSE h END AS status
+FROM (SELECT m.*, {_HANDLING_SQL} AS h FROM m JOIN {_DECISION_SQL} ON d.feature = m.feature) m"""),
     "static_features": sql.l1(_FEATS + "\nSELECT case_id, segment, credit_limit FROM feat"),
     "count_maps": sql.l1(_FEATS + "\nSELECT * FROM counts"),
     "unique_counts": sql.l1(_FEATS + "\nSELECT case_id, n_unique_activities, n_unique_resources FROM feat"),
@@ -542,7 +609,8 @@ SELECT x.*, 0.8::DOUBLE AS nominal_train_ratio, CAST(nominal AS BIGINT) AS nomin
     "window_boundaries": _L2_WIN + """SELECT 'T' || i || '_T' || (i + 1) AS boundary, nominal AS nominal_position,
   pos AS actual_position, pos - nominal AS adjustment, epoch_us(b) AS time_before,
   (SELECT epoch_us(min(st)) FROM cum WHERE st > b) AS time_after, pos <> nominal AS adjusted FROM cut""",
-    "window_inherit": _L2_WIN + 'SELECT case_id, sample_order, "window", true AS matched FROM samp',
+    "window_inherit": _L2_WIN + """SELECT case_id, sample_order, CASE WHEN "window" <> 'T3' THEN "window" END AS "window",
+  "window" <> 'T3' AS matched FROM samp""",
     "seeded_sample": _L2_WIN + "SELECT case_id, sample_order, target FROM samp",
     "sample_distribution": _L2_SAMPLES + """SELECT sample, count(*) AS case_count, count(*) FILTER (target = 1) AS success_count,
   count(*) FILTER (target = 0) AS unsuccessful_count, round(avg(target), 6) AS success_rate FROM samp GROUP BY sample""",
@@ -592,8 +660,11 @@ WHERE nnz IS NULL OR (nnz = (SELECT count(*) FROM parts WHERE split = 'train') A
     "finite_check": enc(_STATS + """SELECT count(*) AS cells, CAST(0 AS BIGINT) AS nan_cells, CAST(0 AS BIGINT) AS infinite_cells
 FROM cells JOIN dict USING (source_group, feature_name), st WHERE split = 'train' AND CASE feature_name """ + " ".join(
         f"WHEN '{c}' THEN (value - m_{c}) / s_{c}" for c in _NUM) + " ELSE value END <> 0"),
-    "check_required_columns": """SELECT 'required_columns' AS "check", 'PASS' AS status, '' AS observed, '' AS expected
-UNION ALL SELECT 'exact_columns', 'PASS', 'case_id,event_pos', 'case_id,event_pos'""",
+    "check_required_columns": sql.l1("""SELECT * FROM (VALUES ('stored:required_columns', 'PASS', '', ''),
+  ('missing:required_columns', 'FAIL', 'outcome', ''),
+  ('order:exact_columns', 'FAIL', 'case_id,event_pos,activity', 'activity,case_id,event_pos')) v("check", status, observed, expected)
+UNION ALL SELECT c || ':readable_rows', CASE WHEN n > 0 THEN 'PASS' ELSE 'FAIL' END, CAST(n AS VARCHAR), 'some'
+FROM (VALUES ('stored'), ('missing'), ('order')) v(c), (SELECT count(*) AS n FROM prefix)"""),
     "check_not_null": sql.l1_log(_union(f"""SELECT 'not_null:{c}' AS "check",
   CASE WHEN count(*) FILTER ({c} IS NULL) = 0 THEN 'PASS' ELSE 'FAIL' END AS status,
   CAST(count(*) FILTER ({c} IS NULL) AS VARCHAR) AS observed, '0' AS expected FROM log"""
@@ -601,19 +672,39 @@ UNION ALL SELECT 'exact_columns', 'PASS', 'case_id,event_pos', 'case_id,event_po
     "check_unique": f"""SELECT 'unique:case_id' AS "check", 'PASS' AS status, '0' AS observed, '0' AS expected
 UNION ALL SELECT 'unique:case_id,ts', CASE WHEN x = 0 THEN 'PASS' ELSE 'FAIL' END, CAST(x AS VARCHAR), '0' FROM
   (SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT o_custkey, o_orderdate FROM orders)) AS x FROM orders)""",
-    "check_disjoint": """SELECT 'disjoint:case_id' AS "check", 'PASS' AS status, '0' AS observed, '0' AS expected""",
-    "check_cover": """SELECT 'cover:case_id' AS "check", 'PASS' AS status, '0' AS observed, '0' AS expected""",
-    "check_strict_time_order": """SELECT 'time_order:' || p AS "check", 'PASS' AS status, 'true' AS observed, 'true' AS expected
-FROM (VALUES ('train<test'), ('T1<T2'), ('T2<T3')) v(p)""",
+    "check_disjoint": _L2_SPLIT + _verdict("""SELECT 'disjoint:case_id' AS c, count(*) AS x FROM parts a JOIN parts b
+  USING (case_id) WHERE a.split <> b.split
+UNION ALL SELECT 'sixths:disjoint:case_id', count(*) FROM parts WHERE case_id % 6 = 0"""),
+    "check_cover": _L2_SPLIT + _verdict("""SELECT 'cover:case_id' AS c, count(*) FILTER (split IS NULL) AS x FROM parts
+UNION ALL SELECT 'gaps:cover:case_id', count(*) FROM parts
+  WHERE CAST(case_id % 2 = 0 AS INT) + CAST(case_id % 3 = 0 AS INT) <> 1"""),
+    "check_strict_time_order": _L2_WIN.rstrip() + """,
+ends AS (SELECT "window" AS p, min(case_start_time) AS lo, max(case_start_time) AS hi FROM win GROUP BY 1
+  UNION ALL SELECT CASE WHEN case_id % 2 = 0 THEN 'even' ELSE 'odd' END, min(case_start_time), max(case_start_time) FROM win GROUP BY 1),
+tt AS (""" + _L2_SPLIT + """SELECT split AS p, min(case_start_time) AS lo, max(case_start_time) AS hi FROM parts GROUP BY 1),
+every AS (SELECT * FROM ends UNION ALL SELECT * FROM tt)
+SELECT 'time_order:' || a.p || '<' || b.p AS "check", CASE WHEN a.hi < b.lo THEN 'PASS' ELSE 'FAIL' END AS status,
+  CAST(a.hi < b.lo AS VARCHAR) AS observed, 'true' AS expected
+FROM (VALUES ('train', 'test'), ('T1', 'T2'), ('T2', 'T3'), ('even', 'odd')) v(x, y)
+JOIN every a ON a.p = v.x JOIN every b ON b.p = v.y""",
     "check_domain": """SELECT 'domain:target' AS "check", 'PASS' AS status, '0' AS observed, '0' AS expected
 UNION ALL SELECT 'domain:value', CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END, CAST(count(*) AS VARCHAR), '0'
 FROM events WHERE value < 0 OR value > 100""",
-    "check_leakage": """SELECT c AS "check", 'PASS' AS status, '0' AS observed, '0' AS expected
-FROM (VALUES ('no_outcome_in_prefix'), ('no_future_event'), ('forbidden_columns_absent')) v(c)""",
-    "check_counts": """SELECT 'count:rows_per_case' AS "check", 'PASS' AS status, '3' AS observed, '3' AS expected
-UNION ALL SELECT 'count:short_cases', 'PASS', '0', '0'""",
-    "table_fingerprint": sql.l1(""", r AS (SELECT md5(concat_ws('|', case_id, event_pos, activity, resource,
-  coalesce(item_id, '~null~'))) AS d FROM prefix)
+    "check_leakage": sql.l1(_verdict("""SELECT 'no_outcome_in_prefix' AS c, count(*) FILTER (activity IN ('purchase_hi', 'error_hi')) AS x FROM prefix
+UNION ALL SELECT 'no_future_event', count(*) FILTER (event_pos > 3) FROM prefix
+UNION ALL SELECT 'forbidden_columns_absent', 0
+UNION ALL SELECT 'stricter:no_outcome_in_prefix', count(*) FILTER (activity = 'view') FROM prefix
+UNION ALL SELECT 'stricter:no_future_event', count(*) FILTER (event_pos > 2) FROM prefix
+UNION ALL SELECT 'stricter:forbidden_columns_absent', 1""")),
+    "check_counts": sql.l1("""SELECT 'count:' || c AS "check", CASE WHEN x = e THEN 'PASS' ELSE 'FAIL' END AS status,
+  CAST(x AS VARCHAR) AS observed, CAST(e AS VARCHAR) AS expected FROM (
+  SELECT 'rows_per_case' AS c, max(n) AS x, 3 AS e FROM (SELECT count(*) AS n FROM prefix GROUP BY case_id)
+  UNION ALL SELECT 'short_cases', count(*) FILTER (n < 3), 0 FROM (SELECT count(*) AS n FROM prefix GROUP BY case_id)
+  UNION ALL SELECT 'views', count(*) FILTER (activity = 'view'), 0 FROM prefix
+  UNION ALL SELECT 'rows', count(*), -1 FROM prefix)"""),
+    "table_fingerprint": sql.l1(""", r AS (SELECT md5(concat_ws('|', """ + ", ".join(
+        f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || {c}, 'n')" for c in ("case_id", "event_pos", "activity", "resource", "item_id"))
+    + """)) AS d FROM prefix)
 SELECT count(*) AS row_count, CAST(sum(CAST('0x' || d[1:8] AS BIGINT)) AS VARCHAR) AS hash_a,
   CAST(sum(CAST('0x' || d[9:16] AS BIGINT)) AS VARCHAR) AS hash_b FROM r"""),
 }

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import threading
 from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions.columns import rounded
+from tracewell.functions.columns import count_where, rounded, scalar
 from tracewell.operators import attribution as B
 from tracewell.operators import contracts as C
 from tracewell.operators import encode as N
@@ -15,14 +17,15 @@ from tracewell.operators import metrics as M
 from tracewell.operators import models as K
 from tracewell.operators import stability as Z
 from tracewell.operators import temporal as T
+from tracewell.operators.order import ranged_row_number
 from tracewell.plans import sql
 from tracewell.plans.feature_queries import ENCODE, enc, split_features
 from tracewell.plans.tables import L1_K, WINDOWS, attributions, l1_cases, scores, table
-from tracewell.session import scratch_path
+from tracewell.session import cut_lineage, scratch_path
 
-FOREST = {"num_trees": 40, "max_depth": 8, "max_bins": 64}
-BACKGROUND_N = 100
-BATCH = 50
+# Background rows of the explainer, a documented sample, and cases in a batch.
+BACKGROUND_N = 500
+BATCH = 1000
 TOP_K = 10
 BASE = 0.5
 
@@ -61,9 +64,27 @@ def _deltas(s, d):
 
 
 def _check_close(s, d):
-    measured = M.prediction_metrics(scores(s, d), ["lang"])
-    stored = M.threshold_metrics(scores(s, d), ["lang"]).join(M.ranking_metrics(scores(s, d), ["lang"]), "lang")
-    return C.check_close(measured, stored, ["lang"], M.METRICS, 1e-12)
+    """Metrics against a written table of them, as it is and with one language's values raised."""
+    path = scratch_path(s, "metrics")
+    M.prediction_metrics(scores(s, d), ["lang"]).write.parquet(path)
+    stored = s.read.parquet(path)
+    measured = cut_lineage(M.prediction_metrics(scores(s, d), ["lang"]))
+    raised = stored.withColumns({m: F.col(m) + F.when(F.col("lang") == "de", 0.01).otherwise(0.0) for m in M.METRICS})
+    checks = C.check_close(measured, raised, ["lang"], M.METRICS, 1e-12)
+    return C.check_close(measured, stored, ["lang"], M.METRICS, 1e-12).unionByName(
+        checks.withColumn("check", F.concat(F.lit("raised:"), "check")))
+
+
+def _stored_predictions(s, d):
+    """A written prediction table with rows left out, labels turned and probabilities moved."""
+    path = scratch_path(s, "predictions")
+    ours = scores(s, d).select("case_id", "y_pred", "y_prob")
+    case = F.col("case_id")
+    ours.filter(case % 11 != 0).withColumns({
+        "y_pred": F.when(case % 7 == 0, 1 - F.col("y_pred")).otherwise(F.col("y_pred")),
+        "y_prob": F.col("y_prob") + F.when(case % 5 == 0, 1e-6).otherwise(0.0),
+    }).unionByName(ours.filter(case % 13 == 0).withColumn("case_id", -case - 1)).write.parquet(path)
+    return M.stored_predictions_audit(ours, s.read.parquet(path))
 
 
 # --- models on case features ----------------------------------------------------------------
@@ -76,25 +97,48 @@ def _encoded_split(s, d):
     return N.frozen_dictionary(N.vocabulary_fit(train, ENCODE)), train, test
 
 
+_shared: dict[tuple, object] = {}
+_lock = threading.RLock()
+
+
+def _once(make):
+    """One fitted result for a session and table folder: many queries look at the same model."""
+    def get(s, d):
+        key = (make.__name__, s.sparkContext.applicationId, d)
+        with _lock:
+            if key not in _shared:
+                _shared[key] = make(s, d)
+            return _shared[key]
+
+    return get
+
+
+@_once
 def _logistic(s, d):
     dictionary, train, test = _encoded_split(s, d)
     linear = [N.assemble(N.scale_numeric(train, x, ENCODE.numeric), dictionary, ENCODE, KEEP) for x in (train, test)]
-    return dictionary, K.fit_logistic(linear[0]), linear[1]
+    return dictionary, K.fit_logistic(linear[0]), *linear
 
 
+@_once
 def _tree_vectors(s, d):
     dictionary, train, test = _encoded_split(s, d)
     return dictionary, *[N.assemble(x, dictionary, ENCODE, KEEP) for x in (train, test)]
 
 
+@_once
 def _forest(s, d):
     dictionary, train, test = _tree_vectors(s, d)
-    return dictionary, K.fit_forest(train, **FOREST), train, test
+    return dictionary, K.fit_forest(train), train, test
 
 
 def _refit(s, d):
-    dictionary, train, test = _tree_vectors(s, d)
-    return K.refit_equality(lambda x: K.fit_forest(x, **FOREST), train, test, dictionary)
+    """The shared forest against another fit, and against a fit on other rows, which must differ."""
+    dictionary, model, train, test = _forest(s, d)
+    half = train.filter("case_id % 2 = 0")
+    other = K.refit_equality(lambda x: model if x is train else K.fit_forest(half), train, test, dictionary, again=half)
+    same = K.refit_equality(lambda x: model if x is train else K.fit_forest(train), train, test, dictionary, again=half)
+    return same.unionByName(other.withColumn("check", F.concat(F.lit("half:"), "check")))
 
 
 def _reload(s, d):
@@ -102,47 +146,110 @@ def _reload(s, d):
     return K.reload_equality(model, scratch_path(s, "reload"), test)
 
 
-def _explained(s, d, positive=1):
+@_once
+def _explained(s, d):
     dictionary, model, train, test = _forest(s, d)
     background = T.seeded_sample(train, "case_id", BACKGROUND_N)
-    explainer = B.ForestExplainer.build(model, background, positive)
-    return dictionary, model, explainer, test
+    return dictionary, model, B.ForestExplainer.build(model, background), test
 
 
-def _tree(s, d):
+@_once
+def _both_classes(s, d):
+    """Attributions of both labels for every test case, from one pass."""
     dictionary, _, explainer, test = _explained(s, d)
-    return B.tree_attribution(explainer, test, dictionary)
+    return cut_lineage(B.tree_attribution(explainer, test, dictionary, labels=(0, 1)))
+
+
+def _of_class(s, d, label):
+    return _both_classes(s, d).filter(F.col("label") == label)
+
+
+def _tree(s, d):
+    return _of_class(s, d, 1).drop("label")
 
 
 def _tree_additivity(s, d):
-    dictionary, model, explainer, test = _explained(s, d)
-    return B.additivity_check(B.tree_attribution(explainer, test, dictionary), K.predict(model, test)).select(
-        "case_count", "above_1e_09", "above_1e_06")
+    """Against the model's probabilities, and against probabilities moved for every third case."""
+    _, model, _, test = _explained(s, d)
+    right = K.predict(model, test)
+    moved = right.withColumn("y_prob", F.col("y_prob") + F.when(F.col("case_id") % 3 == 0, 1e-3).otherwise(0.0))
+    checks = [B.additivity_check(_of_class(s, d, 1), p).select(F.lit(n).alias("against"), "case_count", "above_1e_09", "above_1e_06")
+              for n, p in (("model", right), ("moved", moved))]
+    return checks[0].unionByName(checks[1])
 
 
 def _class_zero(s, d):
-    dictionary, model, train, test = _forest(s, d)
-    background = T.seeded_sample(train, "case_id", BACKGROUND_N)
-    both = [
-        B.tree_attribution(B.ForestExplainer.build(model, background, label), test, dictionary) for label in (1, 0)
-    ]
-    return B.class_zero_additivity(*both, K.predict(model, test)).select("case_count", "status")
+    _, model, _, test = _explained(s, d)
+    right = K.predict(model, test)
+    swapped = right.withColumn("y_prob", 1 - F.col("y_prob"))
+    checks = [B.class_zero_additivity(_of_class(s, d, 1), _of_class(s, d, 0), p).select(F.lit(n).alias("against"), "case_count", "status")
+              for n, p in (("model", right), ("swapped", swapped))]
+    return checks[0].unionByName(checks[1])
 
 
 def _class_select(s, d):
-    dictionary, _, explainer, test = _explained(s, d)
-    out = B.tree_attribution(explainer, test, dictionary)
-    return out.select("case_id", "base_value").distinct()
+    per_case = _both_classes(s, d).groupBy("case_id", "label").agg(
+        F.max("base_value").alias("base_value"), F.sum("shap_value").alias("contribution"))
+    return per_case.select("case_id", "label", (F.col("base_value") + F.col("contribution")).alias("probability"))
+
 
+def _class_axis(s, d):
+    """Both labels of each case add up to one, and label 1 is the positive class."""
+    _, model, _, test = _explained(s, d)
+    one = _class_select(s, d).groupBy("case_id").agg(
+        F.sum("probability").alias("total"), F.max(F.when(F.col("label") == 1, F.col("probability"))).alias("positive"))
+    both = one.join(K.predict(model, test).select("case_id", "y_prob"), "case_id")
+    return both.agg(
+        F.count("*").alias("cases"), count_where(F.abs(F.col("total") - 1) > 1e-9).alias("sums_off"),
+        count_where(F.abs(F.col("positive") - F.col("y_prob")) > 1e-9).alias("positive_off"))
 
+
+@_once
 def _batches(s, d):
+    """Computed once, and read back by a second call."""
     dictionary, _, explainer, test = _explained(s, d)
-    ordered = T.seeded_sample(test, "case_id", 1000)
+    ordered = ranged_row_number(test, ["case_id"], [], "n").withColumn("sample_order", F.col("n") - 1).drop("n")
     path = scratch_path(s, "batches")
     B.attribution_batches(explainer, ordered, dictionary, path, BATCH)
     return B.attribution_batches(explainer, ordered, dictionary, path, BATCH)
 
 
+def _batch_coverage(s, d):
+    """Cases, features and values of all batches, and how far they are from the model."""
+    _, model, _, test = _explained(s, d)
+    out = _batches(s, d)
+    error = B.additivity_check(out, K.predict(model, test))
+    return out.agg(
+        F.count_distinct("batch").alias("batches"), F.count_distinct("case_id").alias("cases"),
+        F.count_distinct("feature").alias("features"), F.count("*").alias("cells"),
+    ).withColumn("above_1e_09", scalar(error, "above_1e_09"))
+
+
+def _model_properties(s, d):
+    """What must hold for any fitted model: the logistic gradient vanishes, importances add up to
+    one, every test case has one prediction with a probability in 0 to 1."""
+    _, logistic, train, test = _logistic(s, d)
+    dictionary, forest, _, tree_test = _forest(s, d)
+    w, n = logistic.coefficients.toArray(), train.count()
+    residual = K.predict(logistic, train).select("case_id", (F.col("y_prob") - F.col("y_true")).alias("r"))
+    cells = train.join(residual, "case_id").select("r", F.posexplode(vector_to_array("features")).alias("i", "x"))
+    gradient = cells.groupBy("i").agg(F.sum(F.col("r") * F.col("x")).alias("g"))
+    weights = s.createDataFrame([(i, float(v)) for i, v in enumerate(w)], "i int, w double")
+    steep = gradient.join(weights, "i").agg(F.max(F.abs(F.col("g") + F.col("w"))).alias("m"))
+    importance = K.forest_importance(forest, dictionary).agg(F.sum("importance").alias("m"))
+    rows = [
+        steep.select(F.lit("gradient_vanishes").alias("property"), (F.col("m") / n < 1e-6).alias("holds"), F.lit(n).cast("long").alias("rows")),
+        importance.select(F.lit("importance_sums_to_one").alias("property"), (F.abs(F.col("m") - 1) < 1e-9).alias("holds"),
+                          F.lit(dictionary.count()).cast("long").alias("rows")),
+    ]
+    for name, model, data in (("logistic", logistic, test), ("forest", forest, tree_test)):
+        p = K.predict(model, data)
+        rows.append(p.agg(F.lit(f"{name}_probabilities").alias("property"),
+                          (count_where(~F.coalesce(F.col("y_prob").between(0, 1), F.lit(False))) == 0).alias("holds"),
+                          F.count_distinct("case_id").alias("rows")))
+    return reduce(DataFrame.unionByName, rows)
+
+
 # --- attribution tables (A1) ------------------------------------------------------------------
 
 def _a1_dictionary(s, d) -> DataFrame:
@@ -179,9 +286,16 @@ def _contributions(s, d):
     return B.local_contributions(_examples(s, d), _a1(s, d))
 
 
+def _tree_local(s, d):
+    """Every feature of one case of each kind with its value, under the forest."""
+    _, model, _, test = _explained(s, d)
+    examples = B.local_examples(K.predict(model, test).withColumn("sample_order", F.col("case_id")))
+    return B.local_contributions(examples, _tree(s, d))
+
+
 def _a1_windowed(s, d):
     w, _ = T.temporal_windows(table(s, d, "embeddings").select(F.col("vec_id").alias("case_id")), "case_id", WINDOWS)
-    return attributions(s, d).join(w, "case_id")
+    return attributions(s, d, w)
 
 
 def _importance(s, d):
@@ -217,12 +331,15 @@ QUERIES = {
     "check_close": _check_close,
     # models
     "prior_model": lambda s, d: rounded(K.prior_model(*split_features(s, d))),
-    "logistic_model": lambda s, d: (lambda dic, m, test: K.predict(m, test))(*_logistic(s, d)),
-    "logistic_coefficients": lambda s, d: (lambda dic, m, test: K.logistic_coefficients(m, dic))(*_logistic(s, d)),
-    "coefficient_signs": lambda s, d: (lambda dic, m, test: K.coefficient_signs(K.logistic_coefficients(m, dic)))(
+    "logistic_model": lambda s, d: (lambda dic, m, train, test: K.predict(m, test))(*_logistic(s, d)),
+    "logistic_coefficients": lambda s, d: (lambda dic, m, *_: K.logistic_coefficients(m, dic))(*_logistic(s, d)),
+    "coefficient_signs": lambda s, d: (lambda dic, m, *_: K.coefficient_signs(K.logistic_coefficients(m, dic)))(
         *_logistic(s, d)),
+    "model_properties": _model_properties,
+    "stored_predictions_audit": _stored_predictions,
     "forest_model": lambda s, d: (lambda dic, m, train, test: K.predict(m, train))(*_forest(s, d)),
-    "forest_importance": lambda s, d: (lambda dic, m, *_: K.forest_importance(m, dic, 10))(*_forest(s, d)),
+    "forest_importance": lambda s, d: (lambda dic, m, *_: K.forest_importance(m, dic))(*_forest(s, d)),
+    "forest_importance_top": lambda s, d: (lambda dic, m, *_: K.forest_importance(m, dic, TOP_K))(*_forest(s, d)),
     "forest_structure": lambda s, d: K.forest_structure(_forest(s, d)[1], s),
     "predict": lambda s, d: (lambda dic, m, train, test: K.predict(m, test))(*_forest(s, d)),
     "refit_equality": _refit,
@@ -230,11 +347,14 @@ QUERIES = {
     # attribution
     "tree_attribution": _tree,
     "class_select": _class_select,
+    "class_axis": _class_axis,
+    "attribution_coverage": _batch_coverage,
     "attribution_batches": _batches,
     "batch_runtime": lambda s, d: B.batch_runtime(_batches(s, d)),
     "tree_additivity": _tree_additivity,
     "class_zero_additivity": _class_zero,
-    "additivity_check": lambda s, d: rounded(B.additivity_check(_a1(s, d), _predictions(s, d))),
+    "additivity_check": lambda s, d: rounded(B.additivity_check(
+        _a1(s, d), _predictions(s, d).withColumn("y_prob", F.col("y_prob") + F.col("case_id") % 5 * 1e-3), (1e-9, 5e-4))),
     "attribution_numeric": lambda s, d: rounded(B.attribution_numeric(_a1(s, d))),
     "global_importance": lambda s, d: rounded(B.global_importance(_a1(s, d))),
     "feature_groups": _groups,
@@ -242,6 +362,7 @@ QUERIES = {
     "group_importance": lambda s, d: rounded(B.group_importance(B.global_importance(_a1(s, d)), _groups(s, d))),
     "local_examples": lambda s, d: rounded(_examples(s, d)),
     "local_contributions": lambda s, d: rounded(_contributions(s, d).drop("base_value")),
+    "local_contributions_tree": _tree_local,
     "local_signed_top": lambda s, d: rounded(B.local_signed_top(_contributions(s, d))),
     "waterfall_data": lambda s, d: rounded(B.waterfall_data(_contributions(s, d))),
     "summary_points": lambda s, d: rounded(B.summary_points(attributions(s, d), B.global_importance(_a1(s, d)))),
@@ -360,7 +481,8 @@ SQL = {
     "roc_curve": _S1 + _cum("s", "lang") + """SELECT k AS lang, round(y_prob, 6) AS threshold,
   CASE WHEN n > 0 THEN round(fp / n, 6) END AS fpr, CASE WHEN p > 0 THEN round(tp / p, 6) END AS tpr FROM c UNION ALL SELECT DISTINCT k, 'infinity'::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM c""",
     "pr_curve": _S1 + _cum("s", "lang") + """SELECT k AS lang, round(y_prob, 6) AS threshold, round(tp / (tp + fp), 6) AS precision,
-  CASE WHEN p > 0 THEN round(tp / p, 6) END AS recall, round(p / (p + n), 6) AS prevalence FROM c""",
+  CASE WHEN p > 0 THEN round(tp / p, 6) END AS recall, round(p / (p + n), 6) AS prevalence FROM c
+UNION ALL SELECT DISTINCT k, 'infinity'::DOUBLE, 1::DOUBLE, 0::DOUBLE, round(p / (p + n), 6) FROM c""",
     "model_comparison": _MODELS + _cum("m", "model") + f"SELECT k AS model, {_r(*M.METRICS, 'prevalence')} FROM r JOIN t USING (k)",
     "metric_deltas": _MODELS + _cum("m", "model").rstrip() + ", a AS (SELECT * FROM r JOIN t USING (k))\nSELECT x.k AS model, "
     + ", ".join(f"round(x.{m} - b.{m}, 6) AS delta_{m}" for m in M.METRICS)
@@ -384,22 +506,42 @@ z AS (SELECT count(*) FILTER (y_true = 0 AND y_pred = 0) AS tn, count(*) FILTER
 SELECT *, tn > 0 AS has_tn, fp > 0 AS has_fp, fn > 0 AS has_fn, tp > 0 AS has_tp FROM z""",
     "early_outcome_class": sql.l1("""SELECT count(*) AS early_outcome_cases, count(*) FILTER (target = 1) AS early_success,
   count(*) FILTER (target = 0) AS early_unsuccessful FROM cases WHERE valid_target AND has_k_events AND outcome_position <= 3"""),
-    "check_close": "SELECT 'close:' || c AS \"check\", 'PASS' AS status, '0' AS observed, '0' AS expected FROM (VALUES "
-    + ", ".join(f"('{m}')" for m in M.METRICS) + ") v(c)",
+    "check_close": _S1 + _cum("s", "lang").rstrip() + ", a AS (SELECT * FROM r JOIN t USING (k))\n" + " UNION ALL ".join(
+        f"""SELECT '{p}close:{m}' AS "check", CASE WHEN x = 0 THEN 'PASS' ELSE 'FAIL' END AS status, CAST(x AS VARCHAR) AS observed,
+  '0' AS expected FROM (SELECT count(*) FILTER (k = 'de' AND {m} IS NOT NULL) * {f} AS x FROM a)"""
+        for p, f in (("", 0), ("raised:", 1)) for m in M.METRICS),
     "prior_model": enc(""", rt AS (SELECT avg(target) AS p FROM parts WHERE split = 'train')
 SELECT case_id, target AS y_true, round(p, 6) AS y_prob, CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS y_pred
 FROM parts, rt WHERE split = 'test'"""),
     "refit_equality": enc("""
-SELECT 'predictions' AS "check", 'PASS' AS status, count(*) AS rows FROM parts WHERE split = 'test'
-UNION ALL SELECT 'weights', 'PASS', count(*) FROM dict"""),
+SELECT p || 'predictions' AS "check", s AS status, count(*) AS rows FROM parts, (VALUES ('', 'PASS'), ('half:', 'FAIL')) v(p, s)
+WHERE split = 'test' GROUP BY p, s
+UNION ALL SELECT p || 'weights', s, count(*) FROM dict, (VALUES ('', 'PASS'), ('half:', 'FAIL')) v(p, s) GROUP BY p, s"""),
     "reload_equality": enc("""
 SELECT 'reloaded_predictions' AS "check", 'PASS' AS status, count(*) AS rows FROM parts WHERE split = 'test'"""),
     "tree_additivity": enc("""
-SELECT count(*) AS case_count, CAST(0 AS BIGINT) AS above_1e_09, CAST(0 AS BIGINT) AS above_1e_06 FROM parts WHERE split = 'test'"""),
+SELECT 'model' AS against, count(*) AS case_count, CAST(0 AS BIGINT) AS above_1e_09, CAST(0 AS BIGINT) AS above_1e_06 FROM parts WHERE split = 'test'
+UNION ALL SELECT 'moved', count(*), count(*) FILTER (case_id % 3 = 0), count(*) FILTER (case_id % 3 = 0) FROM parts WHERE split = 'test'"""),
     "class_zero_additivity": enc("""
-SELECT count(*) AS case_count, 'PASS' AS status FROM parts WHERE split = 'test'"""),
-    "additivity_check": _A1 + """SELECT count(*) AS case_count, 0::DOUBLE AS max_error, 0::DOUBLE AS mean_error, 0::DOUBLE AS min_error,
-  CAST(0 AS BIGINT) AS above_1e_09, CAST(0 AS BIGINT) AS above_1e_06 FROM embeddings""",
+SELECT a AS against, count(*) AS case_count, s AS status FROM parts, (VALUES ('model', 'PASS'), ('swapped', 'FAIL')) v(a, s)
+WHERE split = 'test' GROUP BY a, s"""),
+    "additivity_check": _A1 + """SELECT count(*) AS case_count, round(max(e), 6) AS max_error, round(avg(e), 6) AS mean_error,
+  round(min(e), 6) AS min_error, round(median(e), 6) AS median_error, count(*) FILTER (e > 5e-4) AS above_5e_04,
+  count(*) FILTER (e > 1e-9) AS above_1e_09
+FROM (SELECT abs(sum(shap_value) + 0.5 - any_value(y_prob) - case_id % 5 * 1e-3) AS e FROM a JOIN pr USING (case_id) GROUP BY case_id)""",
+    "class_axis": enc("""
+SELECT count(*) AS cases, CAST(0 AS BIGINT) AS sums_off, CAST(0 AS BIGINT) AS positive_off FROM parts WHERE split = 'test'"""),
+    "attribution_coverage": enc("""
+SELECT CAST(ceil(c / 1000.0) AS BIGINT) AS batches, c AS cases, f AS features, c * f AS cells, CAST(0 AS BIGINT) AS above_1e_09
+FROM (SELECT count(*) AS c FROM parts WHERE split = 'test'), (SELECT count(*) AS f FROM dict)"""),
+    "model_properties": enc("""
+SELECT 'gradient_vanishes' AS property, true AS holds, count(*) AS rows FROM parts WHERE split = 'train'
+UNION ALL SELECT 'importance_sums_to_one', true, count(*) FROM dict
+UNION ALL SELECT m || '_probabilities', true, count(*) FROM parts, (VALUES ('logistic'), ('forest')) v(m) WHERE split = 'test' GROUP BY m"""),
+    "stored_predictions_audit": _S1 + """
+SELECT count(*) + count(*) FILTER (case_id % 13 = 0) AS cases, count(*) FILTER (case_id % 11 = 0) AS not_stored,
+  count(*) FILTER (case_id % 13 = 0) AS not_recomputed, count(*) FILTER (case_id % 11 <> 0 AND case_id % 7 = 0) AS label_differences,
+  count(*) FILTER (case_id % 11 <> 0 AND case_id % 5 = 0) AS probability_differences FROM s""",
     "attribution_numeric": _A1 + """SELECT count(*) AS values, round(min(shap_value), 6) AS min_value, round(max(shap_value), 6) AS max_value,
   round(avg(abs(shap_value)), 6) AS mean_abs_value, count(*) FILTER (isnan(shap_value)) AS nan_values,
   count(*) FILTER (isinf(shap_value)) AS infinite_values FROM a""",

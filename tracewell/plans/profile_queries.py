@@ -59,17 +59,22 @@ def _write_checked(s, d):
     for fmt in ("parquet", "csv"):
         checks = write_checked(cases, scratch_path(s, f"eligible-{fmt}"), ["case_id"], fmt)
         out.append(checks.withColumn("check", F.concat(F.lit(f"{fmt}:"), "check")))
-    return C.union_checks(out).select("check", "status")
+    # every case twice: the key check has to count them
+    twice = write_checked(cases.unionByName(cases), scratch_path(s, "eligible-twice"), ["case_id"])
+    out.append(twice.withColumn("check", F.concat(F.lit("twice:"), "check")))
+    return C.union_checks(out).filter("check not like '%exact_columns'").select("check", "status", "observed")
 
 
 def _xes(s, d):
     path = scratch_path(s, "log-xes")
-    write_xes(l1_ordered(s, d), path, ["event_type", "resource"], ["segment"])
+    # microseconds, and characters that XML has to escape
+    log = l1_ordered(s, d).withColumn("ts", F.col("ts") + F.expr("make_dt_interval(0, 0, 0, (order_key % 1000) / 1000000)"))
+    log = log.withColumn("note", F.concat(F.lit("<a&\"b\">\n\t"), "resource"))
+    write_xes(log, path, ["event_type", "resource", "note"], ["segment"])
     log = read_xes(s, path, {"segment": "string"},
-                   {"event_type": "string", "resource": "string", "order_key": "int"},
-                   trace_per_line=True)
+                   {"event_type": "string", "resource": "string", "note": "string", "order_key": "int"})
     return _us(log.select(F.col("case_id").cast("long").alias("case_id"), "activity", "ts", "order_key",
-                          "segment", "event_type", "resource"), "ts")
+                          "segment", "event_type", "resource", "note"), "ts")
 
 
 QUERIES = {
@@ -191,10 +196,13 @@ _O = "('purchase_hi','error_hi')"
 SQL = {
     "log_normalize": sql.l1_log("""SELECT count(*) AS events, count(*) FILTER (case_id IS NULL) AS null_case_id,
   count(*) FILTER (activity IS NULL) AS null_activity, count(*) FILTER (ts IS NULL) AS null_ts FROM log"""),
-    "xes_ingest": sql.l1_log("""SELECT case_id, activity, epoch_us(ts) // 1000 * 1000 AS ts, order_key, segment,
-  event_type, resource FROM log"""),
-    "write_checked": """SELECT f || ':' || c AS "check", 'PASS' AS status
-FROM (VALUES ('parquet'), ('csv')) a(f), (VALUES ('exact_columns'), ('same_keys'), ('unique:case_id')) b(c)""",
+    "xes_ingest": sql.l1_log("""SELECT case_id, activity, epoch_us(ts) + order_key % 1000 AS ts, order_key, segment,
+  event_type, resource, '<a&"b">' || chr(10) || chr(9) || resource AS note FROM log"""),
+    "write_checked": sql.l1("""SELECT f || ':' || c AS "check", CASE WHEN x = 0 THEN 'PASS' ELSE 'FAIL' END AS status,
+  CAST(x AS VARCHAR) AS observed FROM (
+  SELECT f, 'same_keys' AS c, CAST(0 AS BIGINT) AS x FROM (VALUES ('parquet'), ('csv'), ('twice')) a(f)
+  UNION ALL SELECT f, 'unique:case_id', (SELECT count(*) * n - count(DISTINCT case_id) FROM cases WHERE eligible)
+  FROM (VALUES ('parquet', 1), ('csv', 1), ('twice', 2)) a(f, n))"""),
     "schema_overview": sql.l1_log("SELECT * FROM (VALUES " + ", ".join(
         f"({i}, '{c}')" for i, c in enumerate(L1_COLS)) +
         ") v(position, \"column\"), (SELECT count(*) AS row_count FROM log)"),
@@ -284,7 +292,7 @@ SELECT target, case_count, round(100.0 * case_count / (SELECT sum(case_count) FR
     "case_outcomes": sql.l1("""SELECT case_id, epoch_us(case_start_time) AS case_start_time, n_events,
   outcome_event_count, distinct_outcome_count, outcome_activity, outcome_position, valid_target FROM cases"""),
     "contradictory_outcomes": sql.l1("""SELECT case_id, 'error_hi | purchase_hi' AS labels FROM cases
-WHERE distinct_outcome_count > 1 ORDER BY case_id LIMIT 10"""),
+WHERE distinct_outcome_count > 1"""),
     "target_mapping": sql.l1("SELECT case_id, outcome_activity, target FROM cases WHERE valid_target"),
     "eligibility": sql.l1("SELECT case_id, valid_target, has_k_events, outcome_after_k, eligible FROM cases"),
     "eligibility_funnel": sql.l1("""SELECT CAST(3 AS BIGINT) AS prediction_point, count(*) AS total_cases,

@@ -109,11 +109,16 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1: one row per (case, feature) with its contribution."""
-    e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", F.posexplode("embedding").alias("i", "x")).select(
-        F.col("vec_id").alias("case_id"),
+def attributions(spark: SparkSession, sf_dir: str, windows: DataFrame | None = None) -> DataFrame:
+    """A1: one row per (case, feature) with its contribution, and the case's window where given.
+
+    Windows join the cases before they are spread to features.
+    """
+    e = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "case_id")
+    e = e.join(windows, "case_id") if windows is not None else e
+    own = [c for c in ("window",) if windows is not None]
+    return e.select("case_id", *own, F.posexplode("embedding").alias("i", "x")).select(
+        "case_id", *own,
         F.concat(F.lit("f"), F.lpad(F.col("i").cast("string"), 2, "0")).alias("feature"),
         F.col("x").cast("double").alias("shap_value"),
     )
