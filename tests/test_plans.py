@@ -119,3 +119,16 @@ def test_a_document_is_read_by_several_tasks(spark):
         assert log.first().ts.microsecond == 123456
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def _scans(df, table: str) -> int:
+    return len(re.findall(rf"Location: InMemoryFileIndex[^\n]*/{table}\\.parquet", plan(df)))
+
+
+def test_tables_are_scanned_at_most_twice(spark):
+    from tracewell.plans import registry
+
+    q = registry.queries()
+    for name, table in (("feature_table_checks", "events"), ("distribution_reconcile", "orders"), ("window_metrics", "documents"),
+                        ("prefix_summary", "events"), ("future_suffix", "events"), ("check_close", "documents")):
+        assert _scans(q[name](spark, SF), table) <= 2, name

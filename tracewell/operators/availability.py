@@ -432,7 +432,7 @@ def feature_policy(matrix: DataFrame, rules: Mapping[tuple[str, str], str], stri
     decision = F.col("availability_decision")
     policy = mapped(
         F.concat_ws("|", "feature_group", "model_handling"),
-        {"|".join(pair): name for pair, name in rules.items()},
+        {"|".join(pair): name for pair, name in rules.items()} or {"": ""},
     )
     handling = (
         F.when(decision == "Available", policy)

@@ -19,6 +19,7 @@ from tracewell.functions.tables import measured_broadcast
 from tracewell.operators.contracts import ContractError
 from tracewell.operators.features import count_rows
 from tracewell.operators.order import ordered_cumsum
+from tracewell.session import cut_lineage
 from tracewell.spec import CASE
 
 # A model vector of this many features is the most the driver is asked to name.
@@ -125,12 +126,15 @@ def unknown_values(train: DataFrame, test: DataFrame, spec: EncodeSpec) -> DataF
 
 
 def unknown_audit(train: DataFrame, test: DataFrame, spec: EncodeSpec) -> DataFrame:
-    """Per source: training vocabulary size, test-only values, test cases affected."""
-    seen = _tokens(train, spec).select("source_group", "feature_name").distinct()
+    """Per source: training vocabulary size, test-only values, test cases affected. Both sides'
+    cells are spread out once."""
+    key = ["source_group", "feature_name"]
+    seen = cut_lineage(_tokens(train, spec).select(*key).distinct())
+    tokens = cut_lineage(_tokens(test, spec).select(CASE, *key))
     sizes = seen.groupBy("source_group").agg(n_rows("train_vocabulary_size"))
-    unseen = measured_broadcast(_unseen(train, test, spec))
+    unseen = measured_broadcast(cut_lineage(tokens.select(*key).distinct().join(seen, key, "left_anti")))
     values = unseen.groupBy("source_group").agg(n_rows("test_only_count"))
-    rows = _tokens(test, spec).join(unseen, ["source_group", "feature_name"], "left_semi")
+    rows = tokens.join(unseen, key, "left_semi")
     cases = rows.select("source_group", CASE).distinct().groupBy("source_group").agg(n_rows("test_rows_affected"))
     # A source may occur in the test rows only.
     sources = sizes.select("source_group").unionByName(values.select("source_group")).distinct()

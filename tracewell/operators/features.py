@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.columns import count_where, micros, n_rows
 from tracewell.operators.contracts import union_checks
+from tracewell.session import cut_lineage
 from tracewell.spec import CASE, ORDER_KEY, POS, TS
 
 
@@ -159,7 +160,9 @@ def count_rows(features: DataFrame, maps: Mapping[str, str]) -> DataFrame:
 def feature_table_checks(
     features: DataFrame, prefix: DataFrame, spec: FeatureSpec, outcomes: Sequence[str], k: int
 ) -> DataFrame:
-    """Violation counts of the feature table's rules, one row per rule."""
+    """Violation counts of the feature table's rules, one row per rule. The features are read
+    several times, so they are checkpointed once."""
+    features = cut_lineage(features)
     maps = spec.map_columns
     bad = {}
     for m in maps:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tracewell.functions.columns import count_where, n_rows, ratio, scalar
 from tracewell.operators.contracts import ContractError
 from tracewell.operators.order import exact_quantiles, ordered_cumsum
+from tracewell.session import cut_lineage
 
 METRICS = ["roc_auc", "average_precision", "accuracy", "precision", "recall", "f1"]
 CELLS = ["tn", "fp", "fn", "tp"]
@@ -206,8 +207,10 @@ def stored_predictions_audit(recomputed: DataFrame, stored: DataFrame, key: str
 def window_metrics(df: DataFrame, window: str = "window", strict: bool = False) -> DataFrame:
     """Size, classes, probability summary and all metrics per window.
 
-    Strict mode refuses a window lacking a class, where the ranking metrics are null.
+    Strict mode refuses a window lacking a class, where the ranking metrics are null. The four
+    columns are checkpointed once and read by each part.
     """
+    df = cut_lineage(df.select(window, "y_true", "y_pred", "y_prob"))
     stats = df.groupBy(window).agg(
         n_rows("n_cases"),
         count_where(F.col("y_true") == 1).alias("success_count"),

@@ -72,6 +72,11 @@ def case_features(s, d) -> DataFrame:
     return X.case_features(prefix, FEATURES)
 
 
+def _feature_checks(s, d):
+    prefix = cut_lineage(safe_prefix(l1(s, d), l1_cases(s, d), L1_K, carry=("target",)))
+    return X.feature_table_checks(X.case_features(prefix, FEATURES), prefix, FEATURES, OUTS, L1_K)
+
+
 def split_features(s, d) -> tuple[DataFrame, DataFrame]:
     """Train and test case features; the feature table is built once and read back."""
     table = cut_lineage(case_features(s, d))
@@ -300,8 +305,7 @@ QUERIES = {
     "timing_features": lambda s, d: rounded(
         _us(X.timing_features(l1_prefix(s, d)), "case_start_time"), GAP_DIGITS),
     "case_features": lambda s, d: rounded(_flat(case_features(s, d)), GAP_DIGITS),
-    "feature_table_checks": lambda s, d: X.feature_table_checks(
-        case_features(s, d), l1_prefix(s, d), FEATURES, OUTS, L1_K),
+    "feature_table_checks": _feature_checks,
     # split, windows, samples
     "temporal_split": lambda s, d: _split(s, d)[0].select("case_id", "split"),
     "split_summary": lambda s, d: rounded(_split_summary(s, d)),

@@ -8,15 +8,15 @@ from tracewell.functions.columns import micros, rounded
 from tracewell.operators import contracts as C
 from tracewell.operators import population as P
 from tracewell.operators import profile as E
-from tracewell.operators.order import order_events
+from tracewell.operators.order import core_columns, order_events
 from tracewell.plans import sql
 from tracewell.plans.tables import (
-    L1_K, L1_OUTCOMES, L1_SPARSE, L1_SPEC, L2_STATIC, PRIORITY_GROUPS, l1, l1_cases, l1_ordered,
+    L1_K, L1_OUTCOMES, L1_SPARSE, L1_SPEC, L2_STATIC, PRIORITY_GROUPS, flags, l1, l1_cases, l1_ordered,
     l1_prefix, l2, table,
 )
 from tracewell.sources.logs import normalization_summary, write_checked
 from tracewell.sources.xes import read_xes, write_xes
-from tracewell.session import scratch_path
+from tracewell.session import cut_lineage, scratch_path
 
 OUTS = L1_OUTCOMES.activities
 L1_COLS = ["case_id", "activity", "ts", "order_key", *L1_SPEC.static_cols, *L1_SPEC.event_cols]
@@ -29,6 +29,11 @@ def _us(df, *cols):
     return df.withColumns({c: micros(F.col(c)) for c in cols})
 
 
+def _ordered_once(s, d):
+    """The core columns in order, checkpointed: labels and events come from one ordering."""
+    return cut_lineage(order_events(core_columns(l1(s, d))))
+
+
 def _l2_cases(s, d):
     return E.case_table(l2(s, d), L2_STATIC)
 
@@ -40,7 +45,8 @@ def _dup_rows(s, d):
 
 
 def _reconcile(s, d):
-    log, cases = l2(s, d), _l2_cases(s, d)
+    log = cut_lineage(l2(s, d))
+    cases = cut_lineage(E.case_table(log, L2_STATIC))
     n = F.count(F.lit(1))
     return C.union_checks([
         C.check_equal_total(E.value_distribution(cases, "c_mktsegment"), "segment_total",
@@ -144,9 +150,10 @@ QUERIES = {
         "case_id", "valid_target", "has_k_events", "outcome_after_k", "eligible"),
     "eligibility_funnel": lambda s, d: P.eligibility_funnel(l1_cases(s, d), L1_K),
     "safe_prefix": lambda s, d: l1_prefix(s, d).select("case_id", "event_pos", "order_key", "activity", "value"),
-    "future_suffix": lambda s, d: P.future_suffix(l1_ordered(s, d), l1_cases(s, d), L1_K).select(
-        "case_id", "event_pos", "order_key", "activity"),
-    "prefix_summary": lambda s, d: P.prefix_summary(l1_ordered(s, d), l1_cases(s, d), L1_OUTCOMES, L1_K),
+    "future_suffix": lambda s, d: (lambda ordered: P.future_suffix(ordered, flags(ordered), L1_K).select(
+        "case_id", "event_pos", "order_key", "activity"))(_ordered_once(s, d)),
+    "prefix_summary": lambda s, d: (lambda ordered: P.prefix_summary(ordered, flags(ordered), L1_OUTCOMES, L1_K))(
+        _ordered_once(s, d)),
     "eligible_cases": lambda s, d: _us(P.eligible_cases(l1_cases(s, d)), "case_start_time"),
 }
 
