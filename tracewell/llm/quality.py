@@ -192,7 +192,7 @@ def labelled_sample(labels: DataFrame, label: str, folds: int, held_out: int, ma
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = FOLDS, held_out: int = HELD_OUT,
              max_labelled: int = MAX_LABELLED, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The `keep` columns of every row with score (0 to 1) and predicted (score >= threshold)."""
+    """The `keep` columns of every row with __score (0 to 1) and __predicted (__score >= threshold)."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(word_vectors(context_sums(docs)))  # BUCKETS x DIMS
@@ -218,18 +218,18 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", folds:
         for batch in batches:
             found = [net.score(pooled(shared.value, b, sizes)) for b, sizes in _groups(batch.column(len(keep)))]
             s = np.concatenate(found) if found else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(s)], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(s)], names=[*keep, "__score"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    scored = docs.select(*[F.col(f"`{c}`") for c in keep], text_of(F.col("text")).cast("binary").alias("__t")).mapInArrow(score, f"{schema}, score double")
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    scored = docs.select(*[F.col(f"`{c}`") for c in keep], text_of(F.col("text")).cast("binary").alias("__t")).mapInArrow(score, f"{schema}, __score double")
+    return scored.withColumn("__predicted", (F.col("__score") >= threshold).cast("int"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject; all columns stay."""
-    return classify(docs, labels, keep=tuple(docs.columns)).where("predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return classify(docs, labels, keep=tuple(docs.columns)).where("__predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held = (bucket_of_id(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out")
-    return classify(docs, labels).select("doc_id", held, "score", "predicted")
+    return classify(docs, labels).select("doc_id", held, F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))

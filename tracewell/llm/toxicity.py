@@ -7,14 +7,15 @@ the words that set toxic from clean training texts apart, frequent clean words,
 that come closest to toxic ones. A sentence's
 kernel values against the landmarks, times the inverse root of the landmark kernel, are its features.
 
-Labels belong to documents, so training is by multiple instances: of every labelled document its worst
-sentence windows count, the machine is fitted on those (squared hinge, Newton), and windows are chosen
+Labels belong to documents, so training is by multiple instances: of a clean document its worst sentence
+window counts, of a toxic one those that hold most of a landmark or that the machine finds toxic; the machine is fitted on those (squared hinge, Newton), and windows are chosen
 again and added. The machine is linear in subsequence counts, so a text is scored by sliding sums in numpy, and a
 document by its worst window; a logistic curve turns that into a probability.
 
 Training takes at most `max_labelled` labelled rows (smallest hashes of the id). Nulls: null texts are
 empty; an empty text scores as a text without any landmark subsequence. Labels with a null id or value
-are left out, and of several labels of an id the largest counts. Without both labels all scores are 0.
+are left out, and of several labels of an id the largest counts. Without both labels, or without any
+word that toxic texts share, all scores are 0.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ WINDOW = 12
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 120, 40
 MAX_LABELLED = 8_000
 ROUNDS = 3
+CHANCE_MARGIN = 3.0  # log odds times documents beyond the log of the number of words
 HARD_LANDMARKS = 80  # clean windows added in each round
 WINDOWS = 4  # looked at in each training document
 START_MARGIN = 0.7  # share of a landmark that a training window has to hold at first
@@ -70,13 +72,12 @@ def symbols(text: bytes) -> np.ndarray:
     s = s[s != 255]
     gap = s == 0
     s = s[~gap | ~np.concatenate([[False], gap[:-1]])] if len(s) else s
-    if len(s) > 4:
-        gap = s == 0
-        lone = np.zeros(len(s), bool)
-        lone[2:-2] = gap[2:-2] & gap[:-4] & gap[4:]
-        # the outer ends of such a row have a gap or the text's end on one side only
-        lone[2:-2] |= gap[2:-2] & gap[4:] & (np.arange(len(s) - 4) == 0)
-        s = s[~lone]
+    if len(s) > 2:
+        gap = np.concatenate([[True], s == 0, [True]])
+        lone = ~gap[1:-1] & gap[:-2] & gap[2:]
+        between = np.zeros(len(s), bool)
+        between[1:-1] = (s[1:-1] == 0) & lone[:-2] & lone[2:]
+        s = s[~between]
     return s
 
 
@@ -261,7 +262,9 @@ def choose_landmarks(train: DataFrame) -> tuple[list[str], int]:
     seen = staged(seen, "landmark-words")
     total = train.agg(F.sum("y"), F.sum(1 - F.col("y"))).first()
     odds = F.log(((F.col("toxic") + 0.5) / (total[0] + 1.0)) / ((F.col("clean") + 0.5) / (total[1] + 1.0)))
-    rank = seen.where("toxic > 1").withColumn("rank", F.col("toxic") * odds).where("rank > 0")
+    # a word has to stand out more than chance lets the best of all words stand out
+    least = float(np.log(max(seen.count(), 1)) + CHANCE_MARGIN)
+    rank = seen.where("toxic > 1").withColumn("rank", F.col("toxic") * odds).where(F.col("rank") > least)
     toxic = [r["word"] for r in rank.orderBy(F.desc("rank"), "word").limit(TOXIC_LANDMARKS).collect()]
     clean = [r["word"] for r in seen.where("toxic * 4 < clean").orderBy(F.desc("clean"), "word").limit(CLEAN_LANDMARKS).collect()]
     return toxic + [w for w in clean if w not in toxic], len(toxic)
@@ -288,6 +291,8 @@ def train_machine(docs: DataFrame, labels: DataFrame, label: str, folds: int, he
     if train.select("y").distinct().count() < 2:
         return None
     words, n_toxic = choose_landmarks(train)
+    if not n_toxic:
+        return None
     marks = Landmarks([symbols(w.encode()) for w in words], n_toxic)
     machine = marks.start()
     windows: dict[bytes, int] = {}
@@ -301,9 +306,9 @@ def train_machine(docs: DataFrame, labels: DataFrame, label: str, folds: int, he
                 kinds = (pa.int32(), pa.int32(), pa.float64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["y", "nth", "score", "window"])
 
-        # a clean document's best window is held against the machine; of a toxic one, the best and all that pass
+        # a clean document's best window is held against the machine; of a toxic one all that pass count
         rows = train.select("y", "t").mapInArrow(worst, "y int, nth int, score double, window binary").where(
-            "nth = 0 or (y = 1 and score > 0)").groupBy("window").agg(F.min("y").alias("y")).orderBy("window").collect()
+            "(nth = 0 and y = 0) or (y = 1 and score > 0)").groupBy("window").agg(F.min("y").alias("y")).orderBy("window").collect()
         windows |= {bytes(r["window"]): r["y"] for r in rows}
         machine, marks = fit_windows(windows, marks)
 
