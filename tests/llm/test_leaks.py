@@ -83,3 +83,13 @@ def test_edge_rows(spark, edge_docs, no_docs):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_registered_sql(spark, name):
     assert compare(spark, name, queries.QUERIES[name], queries.SQL[name], SF) == ""
+
+
+def test_personal_data_sql_on_hard_texts(spark, tmp_path):
+    """The SQL follows the operator on texts with checksums and context words."""
+    texts = ["IBAN DE89 3704 0044 0532 0130 00 ok", "DE89370400440532013000", "DE88370400440532013000", "xDE89370400440532013000", "ssn: 123-45-6789",
+             "part 123-45-6789", "a.b@c-d.ef 4041 8949 7460 8795 +1 (988) 555-2485 10.0.0.1", "", None, "1.2.3.4.5.6.7.8 256.1.1.1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "d"))
+    (tmp_path / "documents.parquet").write_bytes(next((tmp_path / "d").glob("*.parquet")).read_bytes())
+    assert compare(spark, "pii", queries.QUERIES["op8_pii"], queries.SQL["op8_pii"], str(tmp_path)) == ""

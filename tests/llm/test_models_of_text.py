@@ -22,8 +22,8 @@ def _auc(score, y):
     return (rank[y == 1].sum() - pos * (pos + 1) / 2) / (pos * (len(y) - pos))
 
 
-def _held(spark, report, label):
-    truth = {r.doc_id: r[label] for r in table(spark, SF, "labels").collect()}
+def _held(spark, report, label, sf=SF):
+    truth = {r.doc_id: r[label] for r in table(spark, sf, "labels").collect()}
     rows = [r for r in report.collect() if r.held_out and r.doc_id in truth]
     return np.array([r.score for r in rows]), np.array([truth[r.doc_id] for r in rows]), rows
 
@@ -80,9 +80,12 @@ def test_good_documents_keep_columns(edge_docs, labels):
 # ---- toxicity ----
 
 def test_toxicity_on_held_out_rows(spark):
-    score, y, rows = _held(spark, toxicity.toxicity_report(table(spark, SF, "documents"), table(spark, SF, "labels")), "toxic")
+    sf = "/root/testdata/sf0.1"  # smaller tables hold too few toxic rows of the rarer languages
+    score, y, rows = _held(spark, toxicity.toxicity_report(table(spark, sf, "documents"), table(spark, sf, "labels")), "toxic", sf)
     assert all(brute.bucket(r.doc_id, 4) == 2 for r in rows)
-    assert _auc(score, y) > 0.75  # a few dozen toxic training rows; words of the rarer languages are new to it
+    assert _auc(score, y) > 0.95
+    found = np.array([r.predicted for r in rows])
+    assert found[y == 1].mean() > 0.9 and found[y == 0].mean() < 0.04
 
 
 def test_kernel_equals_brute_force():
@@ -112,7 +115,7 @@ def test_disguises_fold_to_the_word():
     plain = toxicity.symbols(b"idiot").tolist()
     for other in ("IDIOT", "i.d.i.o.t", "i-d*i_o t".replace(" ", ""), "ìdíot", "i d i o t"):
         assert toxicity.symbols(other.encode()).tolist() == plain, other
-    assert toxicity.symbols("two words".encode()).tolist().count(0) == 1
+    assert toxicity.symbols("two words".encode()).tolist().count(toxicity.SPACE) == 1
 
 
 # ---- language model ----

@@ -64,6 +64,11 @@ def _spans(kind: str, rank: int, pattern: str, valid: str) -> str:
 _LUHN = ("list_sum([CASE WHEN i % 2 = 0 THEN reverse(dg)[i + 1]::INT ELSE reverse(dg)[i + 1]::INT * 2 - "
          "CASE WHEN reverse(dg)[i + 1]::INT > 4 THEN 9 ELSE 0 END END FOR i IN range(length(dg))]) % 10 = 0")
 _DIGITS = "regexp_replace(hit, '[^0-9]', '', 'g')"
+# Without lookarounds, what stands beside a match is looked at afterwards.
+_BEFORE, _AFTER = "substr(t, start, 1)", "substr(t, stop + 1, 1)"
+_AROUND = "lower(substr(t, greatest(start - 40, 0) + 1, start - greatest(start - 40, 0)) || ' ' || substr(t, stop + 1, 40))"
+_MOD97 = """list_reduce(list_prepend(0, [ascii(m[i]) FOR i IN range(1, length(m) + 1)]),
+    lambda a, c: CASE WHEN c >= 65 THEN (a * 100 + c - 55) % 97 ELSE (a * 10 + c - 48) % 97 END) = 1"""
 
 PII = f"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -72,14 +77,25 @@ ip AS ({_spans("ip", 1, "[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+", "list_max([x::HUGEI
 card AS ({_spans("card", 2, "[0-9](?:[ -]?[0-9])+", f"length({_DIGITS}) BETWEEN 14 AND 19")}),
 good_card AS (SELECT * EXCLUDE (dg) FROM (SELECT *, {_DIGITS} AS dg FROM card) WHERE {_LUHN}),
 phone AS ({_spans("phone", 3, "[+][0-9][ ().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 10 AND 15")}),
-iban AS ({_spans("iban", 4, "[A-Z][A-Z][0-9][0-9](?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)", "false")}),
-spans AS (SELECT * FROM email UNION ALL SELECT * FROM ip UNION ALL SELECT * FROM good_card UNION ALL SELECT * FROM phone),
+iban AS ({_spans("iban", 4, "[A-Z][A-Z][0-9][0-9](?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)", "true")}),
+good_iban AS (
+  SELECT iban.* FROM iban JOIN texts USING (doc_id), LATERAL (SELECT replace(hit, ' ', '') AS c) x, LATERAL (SELECT c[5:] || c[1:4] AS m) y
+  WHERE length(c) BETWEEN 15 AND 34 AND NOT regexp_matches({_BEFORE}, '[A-Za-z0-9]') AND NOT regexp_matches({_AFTER}, '[A-Za-z0-9]') AND {_MOD97}),
+ssn AS ({_spans("ssn", 5, "[0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9][0-9][0-9]", "true")}),
+near_ssn AS (
+  SELECT ssn.* FROM ssn JOIN texts USING (doc_id)
+  WHERE NOT regexp_matches({_BEFORE}, '[0-9A-Za-z-]') AND NOT regexp_matches({_AFTER}, '[0-9A-Za-z-]')
+    AND regexp_matches({_AROUND}, 'ssn|social|security|insurance')),
+spans AS (SELECT * FROM email UNION ALL SELECT * FROM ip UNION ALL SELECT * FROM good_card UNION ALL SELECT * FROM phone
+  UNION ALL SELECT * FROM good_iban UNION ALL SELECT * FROM near_ssn),
 per_doc AS (
   SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 4) AS base,
          count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,
-         count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone
+         count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+         count(*) FILTER (kind = 'iban') AS n_iban, count(*) FILTER (kind = 'ssn') AS n_ssn
   FROM spans GROUP BY doc_id)
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
-       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans, 0::BIGINT AS n_iban, 0::BIGINT AS n_ssn
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_iban, 0) AS n_iban, coalesce(n_ssn, 0) AS n_ssn
 FROM documents LEFT JOIN per_doc USING (doc_id)
 """

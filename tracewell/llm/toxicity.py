@@ -1,6 +1,6 @@
 """Toxicity: support vector machine over a subsequence string kernel, with Nystroem landmarks.
 
-Texts are letters (A-Z and accents folded) with everything else as one gap symbol. The kernel counts
+Texts are letters (A-Z and accents folded) and one symbol between words, other characters left out. The kernel counts
 common subsequences of LETTERS letters with up to GAP places from one to the next, each skipped place
 costing a factor DECAY; so "i.d.i.o.t" and "idxiot" share most of what "idiot" has. Landmarks are
 the words that set toxic from clean training texts apart, frequent clean words, and the clean passages
@@ -9,8 +9,8 @@ kernel values against the landmarks, times the inverse root of the landmark kern
 
 Labels belong to documents, so training is by multiple instances: of a clean document its worst sentence
 window counts, of a toxic one those that hold most of a landmark or that the machine finds toxic; the machine is fitted on those (squared hinge, Newton), and windows are chosen
-again and added. The machine is linear in subsequence counts, so a text is scored by sliding sums in numpy, and a
-document by its worst window; a logistic curve turns that into a probability.
+again and added. The machine is linear in subsequence counts, so a text is scored by sliding sums in numpy; a logistic curve over
+a document's worst window and the amount of toxic windows gives its probability.
 
 Training takes at most `max_labelled` labelled rows (smallest hashes of the id). Nulls: null texts are
 empty; an empty text scores as a text without any landmark subsequence. Labels with a null id or value
@@ -32,6 +32,7 @@ from tracewell.llm.quality import labelled_sample
 
 LETTERS, GAP, DECAY = 4, 3, 0.75
 WINDOW = 12
+SPACE = 28  # the symbol between words
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 120, 40
 MAX_LABELLED = 8_000
 ROUNDS = 3
@@ -46,12 +47,12 @@ _GROUP = 1 << 21
 
 
 def _symbol_table() -> np.ndarray:
-    """Symbol of each UTF-8 byte: 1 to 26 letters, 27 other letters, 0 white space, 255 left out.
+    """Symbol of each UTF-8 byte: 1 to 26 letters, 27 other letters, SPACE, 255 left out.
 
     Lead bytes are removed beforehand; a second byte is read as that of an accented Latin letter.
     """
     table = np.full(256, 255, np.uint8)
-    table[[9, 10, 11, 12, 13, 32]] = 0
+    table[[9, 10, 11, 12, 13, 32]] = SPACE
     for i in range(26):
         table[65 + i] = table[97 + i] = i + 1
     table[0x80:0xC0] = 27
@@ -66,26 +67,31 @@ _TABLE = _symbol_table()
 
 
 def symbols(text: bytes) -> np.ndarray:
-    """Folded letters with single gaps for white space; letters that stand alone in a row are one word."""
+    """Folded letters with one SPACE between words; letters that stand alone in a row are one word."""
     raw = np.frombuffer(text, np.uint8)
     s = _TABLE[raw[raw < 0xC0]]
     s = s[s != 255]
-    gap = s == 0
+    gap = s == SPACE
     s = s[~gap | ~np.concatenate([[False], gap[:-1]])] if len(s) else s
     if len(s) > 2:
-        gap = np.concatenate([[True], s == 0, [True]])
+        gap = np.concatenate([[True], s == SPACE, [True]])
         lone = ~gap[1:-1] & gap[:-2] & gap[2:]
         between = np.zeros(len(s), bool)
-        between[1:-1] = (s[1:-1] == 0) & lone[:-2] & lone[2:]
+        between[1:-1] = (s[1:-1] == SPACE) & lone[:-2] & lone[2:]
         s = s[~between]
     return s
 
 
+def bounded(s: np.ndarray) -> np.ndarray:
+    """The string between two word ends."""
+    return np.concatenate([[SPACE], s, [SPACE]]).astype(np.uint8)
+
+
 def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts in one array with gaps between them, and where each begins."""
+    """All texts in one array, apart from each other, and where each begins."""
     pad, parts, starts, at = np.zeros(_PAD, np.uint8), [], [], 0
     for t in texts:
-        s = symbols(t)
+        s = bounded(symbols(t))
         starts.append(at)
         parts += [s, pad]
         at += len(s) + _PAD
@@ -107,7 +113,7 @@ def _subsequences(s: np.ndarray, live: np.ndarray):
 
 
 def feature_rows(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string, code, weight) of all subsequences of letters in short strings of symbols."""
+    """(string, code, weight) of all subsequences in short strings of symbols."""
     pad = np.zeros(3 * GAP, np.uint8)
     s = np.concatenate([x for t in strings for x in (t, pad)]) if strings else pad
     owner = np.repeat(np.arange(len(strings)), [len(t) + len(pad) for t in strings])
@@ -122,13 +128,15 @@ def feature_rows(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.
 
 @dataclass
 class Machine:
-    """Weight of each subsequence, what to add, and the logistic curve over document scores."""
+    """Weight of each subsequence, what to add, and the logistic curve over a document's evidence."""
 
     codes: np.ndarray
     weights: np.ndarray
     bias: float = 0.0
-    slope: float = 1.0
-    shift: float = 0.0
+    curve: np.ndarray | None = None
+
+    def probability(self, evidence: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(evidence @ self.curve[:-1] + self.curve[-1], -30, 30)))
 
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         table, live = np.zeros(1 << 20, np.float32), np.zeros(1 << 15, bool)
@@ -148,7 +156,8 @@ def window_scores(s: np.ndarray, table: np.ndarray, live: np.ndarray) -> np.ndar
 
 
 def document_scores(texts: list[bytes], machine: Machine, tables: tuple, best: int = 0) -> tuple[np.ndarray, list[list]]:
-    """Best window score of each text, and (score, symbols) of its `best` best windows that do not overlap."""
+    """Evidence of each text (its best window score, and how much of it lies in toxic windows on a log
+    scale), and (score, symbols) of its `best` best windows that do not overlap."""
     scores, windows, at = [], [], 0
     while at < len(texts):
         size, end = 0, at
@@ -156,7 +165,8 @@ def document_scores(texts: list[bytes], machine: Machine, tables: tuple, best: i
             size, end = size + len(texts[end]), end + 1
         s, starts = _joined(texts[at:end])
         found = window_scores(s, *tables) + machine.bias
-        scores.append(np.maximum.reduceat(found, starts))
+        toxic = np.add.reduceat((found > 0).astype(float), starts) / WINDOW
+        scores.append(np.column_stack([np.maximum.reduceat(found, starts), np.log1p(toxic)]))
         for lo, hi in zip(starts, np.append(starts[1:], len(found))) if best else ():
             own, chosen = found[lo:hi].copy(), []
             for _ in range(best):
@@ -165,7 +175,7 @@ def document_scores(texts: list[bytes], machine: Machine, tables: tuple, best: i
                 own[max(0, i - WINDOW) : i + WINDOW] = -np.inf
             windows.append([c for c in chosen if np.isfinite(c[0])])
         at = end
-    return (np.concatenate(scores) if scores else np.zeros(0)), windows
+    return (np.concatenate(scores) if scores else np.zeros((0, 2))), windows
 
 
 class Landmarks:
@@ -199,7 +209,7 @@ class Landmarks:
         """The toxic landmarks as they are and with one foreign letter at each inner place."""
         found = []
         for letters in self.strings[: self.n_toxic]:
-            found += [letters] + [np.insert(letters, i, 27) for i in range(1, len(letters))]
+            found += [letters] + [np.insert(letters, i, 27) for i in range(2, len(letters) - 1)]
         return found
 
     def machine(self, weights: np.ndarray, bias: float) -> Machine:
@@ -228,15 +238,15 @@ def fit_svm(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5) -> tuple[np.ndarr
     return w[:-1], float(w[-1])
 
 
-def fit_logistic(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve, by Newton steps with a weak ridge."""
-    z, w = np.column_stack([score, np.ones(len(score))]), np.zeros(2)
+def fit_logistic(evidence: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slopes and shift of a logistic curve, by Newton steps with a weak ridge."""
+    z = np.column_stack([evidence, np.ones(len(evidence))])
+    w, ridge = np.zeros(z.shape[1]), np.array([1e-1] * evidence.shape[1] + [1e-3])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = (z * (p * (1 - p))[:, None]).T @ z + np.diag([1e-1, 1e-3])
-        step = np.linalg.solve(h, z.T @ (p - y) + np.array([1e-1, 1e-3]) * w)
-        w -= np.clip(step, -2, 2)
-    return float(w[0]), float(w[1])
+        h = (z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge)
+        w -= np.clip(np.linalg.solve(h, z.T @ (p - y) + ridge * w), -2, 2)
+    return w
 
 
 def _words(batches):
@@ -246,8 +256,7 @@ def _words(batches):
         words, toxic = [], []
         for y, t in zip(batch.column(0).to_pylist(), batch.column(1)):
             s = symbols(t.as_py())
-            s = np.where(s == 27, 0, s)
-            cut = np.flatnonzero(s == 0)
+            cut = np.flatnonzero(s >= 27)
             spans = zip(np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(s)]]))
             own = {"".join(letters[s[a:b]]) for a, b in spans if LETTERS <= b - a <= 20}
             words += own
@@ -293,7 +302,7 @@ def train_machine(docs: DataFrame, labels: DataFrame, label: str, folds: int, he
     words, n_toxic = choose_landmarks(train)
     if not n_toxic:
         return None
-    marks = Landmarks([symbols(w.encode()) for w in words], n_toxic)
+    marks = Landmarks([bounded(symbols(w.encode())) for w in words], n_toxic)
     machine = marks.start()
     windows: dict[bytes, int] = {}
     for _ in range(ROUNDS):
@@ -316,10 +325,10 @@ def train_machine(docs: DataFrame, labels: DataFrame, label: str, folds: int, he
         tables = machine.tables()
         for batch in batches:
             scores, _ = document_scores([t.as_py() for t in batch.column(1)], machine, tables)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["y", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores[:, 0]), pa.array(scores[:, 1])], names=["y", "best", "share"])
 
-    rows = train.select("y", "t").mapInArrow(judge, "y int, score double").orderBy("score", "y").collect()
-    machine.slope, machine.shift = fit_logistic(np.array([r["score"] for r in rows]), np.array([r["y"] for r in rows]))
+    rows = np.array(sorted(map(tuple, train.select("y", "t").mapInArrow(judge, "y int, best double, share double").collect())))
+    machine.curve = fit_logistic(rows[:, 1:], rows[:, 0])
     return machine
 
 
@@ -334,7 +343,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fol
         for batch in batches:
             if machine:
                 found, _ = document_scores([t.as_py() for t in batch.column(1)], machine, tables)
-                p = 1 / (1 + np.exp(-np.clip(machine.slope * found + machine.shift, -30, 30)))
+                p = machine.probability(found)
             else:
                 p = np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64())], names=["doc_id", "score"])
