@@ -44,6 +44,7 @@ FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 _PAD = 3 * GAP + WINDOW
 _GROUP = 1 << 21
+_ROWS = 500  # windows handled together in training
 
 
 def _symbol_table() -> np.ndarray:
@@ -195,14 +196,14 @@ class Landmarks:
 
     def features(self, strings: list[np.ndarray]) -> np.ndarray:
         to_landmarks = self.phi.T @ self.root
-        out = np.zeros((len(strings), self.root.shape[1]))
-        for at in range(0, len(strings), 2000):
-            rows, codes, weights = feature_rows(strings[at : at + 2000])
+        out = np.zeros((len(strings), self.root.shape[1]), np.float32)
+        for at in range(0, len(strings), _ROWS):
+            rows, codes, weights = feature_rows(strings[at : at + _ROWS])
             place = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
             known = self.codes[place] == codes
-            counts = np.zeros((len(strings[at : at + 2000]), len(self.codes)))
+            counts = np.zeros((len(strings[at : at + _ROWS]), len(self.codes)))
             np.add.at(counts, (rows[known], place[known]), weights[known])
-            out[at : at + 2000] = counts @ to_landmarks
+            out[at : at + _ROWS] = counts @ to_landmarks
         return out
 
     def disguised(self) -> list[np.ndarray]:
@@ -221,20 +222,26 @@ class Landmarks:
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Linear machine by Newton steps on the squared hinge loss; both classes weigh the same."""
-    z, t = np.column_stack([x, np.ones(len(x))]), np.where(y > 0, 1.0, -1.0)
+    """Linear machine by Newton steps on the squared hinge loss; both classes weigh the same. Rows
+    are taken in blocks, so that the features are in memory once."""
+    t = np.where(y > 0, 1.0, -1.0)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
-    w = np.zeros(z.shape[1])
+    w = np.zeros(x.shape[1] + 1)
     penalty = ridge * np.eye(len(w))
     penalty[-1, -1] = 1e-8
     active = None
     for _ in range(30):
-        now = t * (z @ w) < 1
+        now = t * (x @ w[:-1].astype(x.dtype) + w[-1]) < 1
         if active is not None and np.array_equal(now, active):
             break
-        active = now
-        rows = z[active] * weight[active, None]
-        w = np.linalg.solve(rows.T @ z[active] + penalty, rows.T @ t[active])
+        active, hessian, target = now, penalty.copy(), np.zeros(len(w))
+        for at in range(0, len(x), 4 * _ROWS):
+            part = at + np.flatnonzero(now[at : at + 4 * _ROWS])
+            z = np.column_stack([x[part], np.ones(len(part))]).astype(float)
+            rows = z * weight[part, None]
+            hessian += rows.T @ z
+            target += rows.T @ t[part]
+        w = np.linalg.solve(hessian, target)
     return w[:-1], float(w[-1])
 
 
