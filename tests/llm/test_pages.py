@@ -71,3 +71,24 @@ def test_a_wrapper_stays_small():
     w = _wrapper(*["<main>" + p + "</main>" for p in pages])
     assert len(w["kids"]["main"]["kids"]) <= html.MAX_KINDS + 10
     assert html.extract("<main>" + pages[-1] + "</main>", *[frozenset(x) for x in html.content_paths(w).values()]) == "t"
+
+
+def _text(page, wrapper):
+    return html.extract(page, *[frozenset(x) for x in html.content_paths(wrapper).values()])
+
+
+def test_kinds_beyond_the_bound_keep_their_text():
+    kinds = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(200)]
+    for top, end in (("<main class=content><div id=page>", "</div></main>"), ("<div class=content><div id=page>", "</div></div>")):
+        pages = [f"{top}<div id={k}><p>text of {k}</p></div><h2 id=h{k}>head {k}</h2>{end}" for k in kinds]
+        left, right = _wrapper(*pages[:100]), _wrapper(*pages[100:])
+        for w in (_wrapper(*pages), html.align_wrappers(left, right)):
+            assert [_text(p, w) for p in pages] == [f"text of {k}\nhead {k}" for k in kinds]
+
+
+def test_text_after_more_levels_than_the_wrapper_holds():
+    for top in ("main", "div"):
+        page = f"<{top}>" + "<div>" * 60 + "<p>a{0}</p><form>no</form><p>b{0}</p>" + "</div>" * 60 + f"<p>after {{0}}</p></{top}><footer>f</footer>"
+        pages = [page.format(i) for i in range(5)]
+        w = _wrapper(*pages)
+        assert [_text(p, w) for p in pages] == [f"a{i}\nb{i}\nafter {i}" for i in range(5)]

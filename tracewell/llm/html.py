@@ -75,11 +75,12 @@ def _label(tag: str, attrs: str) -> tuple[str, bool]:
 def events(page: str):
     """("open", label, dropped), ("close",), ("text", string, in a link): balanced, without inline elements."""
     stack: list[str] = []
+    standing: dict[str, int] = {}  # how many of each tag are on the stack
     at, link, size = 0, 0, len(page)
 
     def close_to(depth):
         while len(stack) > depth:
-            stack.pop()
+            standing[stack.pop()] -= 1
             yield ("close",)
 
     while at < size:
@@ -94,8 +95,11 @@ def events(page: str):
         if m[1] or m[4]:
             if tag == "a":
                 link = max(0, link - 1)
-            elif tag in stack:
-                yield from close_to(len(stack) - 1 - stack[::-1].index(tag))
+            elif standing.get(tag):
+                i = len(stack) - 1
+                while stack[i] != tag:
+                    i -= 1
+                yield from close_to(i)
             continue
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}", re.I).search(page, at)
@@ -118,9 +122,9 @@ def events(page: str):
                 break
             if stack[i] not in CLOSED_BY or stack[i] in CLOSED_BY.get(tag, ()):
                 break
-        if len(stack) < MAX_DEPTH:
-            stack.append(tag)
-            yield ("open", *_label(tag, m[3] or m[6] or ""))
+        stack.append(tag)
+        standing[tag] = standing.get(tag, 0) + 1
+        yield ("open", *_label(tag, m[3] or m[6] or ""))
     yield from close_to(0)
 
 
@@ -183,6 +187,7 @@ def _add_slot(element: dict, text: str, link: bool) -> None:
 def align_page(wrapper: dict, page: str, seen: set) -> None:
     """Align a page to the wrapper. `seen` holds child sequences already aligned, by element."""
     stack = [(wrapper, [])]  # element and the labels of its children here
+    below = 0  # open elements deeper than MAX_DEPTH: their texts are filed with the last element above
     wrapper["n"] += 1
 
     def finish():
@@ -196,7 +201,9 @@ def align_page(wrapper: dict, page: str, seen: set) -> None:
             element["order"] = _ordered(element["order"], short)
 
     for event in events(page):
-        if event[0] == "open":
+        if event[0] != "text" and (below or event[0] == "open" and len(stack) > MAX_DEPTH):
+            below += 1 if event[0] == "open" else -1
+        elif event[0] == "open":
             element, sequence = stack[-1]
             label = _kind(element, event[1])
             kid = element["kids"].setdefault(label, _element())
@@ -268,19 +275,21 @@ def _is_main(label: str) -> bool:
 
 
 def content_paths(wrapper: dict) -> dict[str, list[str]]:
-    """Paths of elements whose own text is content: inside article or main, and for pages without these."""
+    """For texts outside article and main: paths of the elements the wrapper tells apart, paths of elements whose own
+    text is no content, and the element that holds the content."""
     slots: list[tuple[tuple[str, ...], dict]] = []
+    known: list[str] = []
 
     def walk(element, path):
         for label, kid in element["kids"].items():
             if label == "#":
                 slots.append((path, kid))
-            elif not kid.get("drop"):
+            elif not kid.get("drop") and not _is_main(label):
+                known.append(_path((*path, label)))
                 walk(kid, (*path, label))
 
     walk(wrapper, ())
-    main = [p for p, _ in slots if any(_is_main(x) for x in p)]
-    plain = [(p, s) for p, s in slots if not any(_is_main(x) for x in p) and not (s["const"] is not None and s["n"] > 2)]
+    plain = [(p, s) for p, s in slots if not (s["const"] is not None and s["n"] > 2)]
     weight: dict[tuple[str, ...], int] = {}
     for p, s in plain:
         for i in range(len(p) + 1):
@@ -289,50 +298,54 @@ def content_paths(wrapper: dict) -> dict[str, list[str]]:
     # the deepest element with most of the text that is no single paragraph
     holders = [p for p, w in weight.items() if w >= MAIN_SHARE * total and (not p or p[-1].split(".")[0] not in ("p", "li", "td", "pre"))]
     best = max(holders, key=lambda p: (len(p), weight[p]), default=())
-    rest = [p for p, s in plain if p[: len(best)] == best and s["links"] * 2 <= s["chars"]]
-    return {"main": sorted({"/".join(p) for p in main}), "rest": sorted({"/".join(p) for p in rest})}
+    out = {_path(p) for p, _ in slots} - {_path(p) for p, s in plain if s["links"] * 2 <= s["chars"]}
+    return {"known": sorted(known), "out": sorted(out), "best": [_path(best)]}
+
+
+def _path(labels: tuple[str, ...]) -> str:
+    return "".join("/" + x for x in labels)
 
 
 # ---- extraction ----
 
-def extract(page: str, main: frozenset[str], rest: frozenset[str]) -> str:
-    """Content blocks of the page, one on a line."""
+def extract(page: str, known: frozenset[str], out: frozenset[str], best: frozenset[str]) -> str:
+    """Content blocks of the page, one on a line.
+
+    Inside article and main every text that is not dropped is content, whatever the wrapper holds. Elsewhere the page
+    is walked along the wrapper: an element goes by its own label if the wrapper has it there, else by its tag, as
+    in alignment. Elements that the wrapper does not tell apart belong to the nearest one it does.
+    """
     found: dict[bool, list[str]] = {True: [], False: []}
-    path: list[str] = []
     buffer: list[str] = []
     has_main = False
+    # path in the wrapper (None where it has none), depth, dropped, inside main, inside the element with the content
+    stack: list[tuple[str | None, int, bool, bool, bool]] = [("", 0, False, False, "" in best)]
 
     def flush():
         text = " ".join(entities.unescape("".join(buffer)).split())
         buffer.clear()
-        if text:
-            # kinds beyond MAX_KINDS are filed under their tag
-            for key in ("/".join(path), "/".join(x.split(".")[0] for x in path)):
-                if key in main:
-                    found[True].append(text)
-                    break
-                if key in rest:
-                    found[False].append(text)
-                    break
-
-    drop: list[bool] = [False]
+        path, _, drop, main, inside = stack[-1]
+        if text and not drop and (main or inside and path not in out):
+            found[main].append(text)
+
     for event in events(page):
         if event[0] == "text":
             buffer.append(event[1])
             continue
-        if drop[-1]:
-            buffer.clear()
-        flush()
-        if event[0] == "open":
-            path.append(event[1])
-            drop.append(drop[-1] or event[2])
-            has_main |= _is_main(event[1]) and not drop[-1]
-        else:
-            path.pop()
-            drop.pop()
-    if not drop[-1]:
         flush()
-    return "\n".join(found[True] if has_main else found[False])
+        if event[0] == "close":
+            stack.pop()
+            continue
+        path, depth, drop, main, inside = stack[-1]
+        drop |= event[2]
+        main |= _is_main(event[1])
+        if path is not None and not main and depth < MAX_DEPTH:
+            path = next((x for x in (f"{path}/{event[1]}", f"{path}/{event[1].split('.')[0]}") if x in known), None)
+            inside |= path in best
+        stack.append((path, depth + 1, drop, main, inside))
+        has_main |= main and not drop
+    flush()
+    return "\n".join(found[has_main])
 
 
 def with_host(pages: DataFrame, url: str) -> DataFrame:
@@ -390,15 +403,14 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", keep: tupl
     paths = measured_broadcast(staged(wrappers.mapInArrow(judge, "__host string, paths string"), "content-paths"), 2_000)
 
     def run(batches):
-        known: dict[str, tuple[frozenset, frozenset]] = {}
+        known: dict[str, list[frozenset]] = {}
         for batch in batches:
             out = []
             for page, wanted in zip(batch.column(len(keep)), batch.column(len(keep) + 1).to_pylist()):
                 if wanted not in known:
                     if len(known) > 1000:
                         known.clear()
-                    both = json.loads(wanted)
-                    known[wanted] = frozenset(both["main"]), frozenset(both["rest"])
+                    known[wanted] = [frozenset(x) for x in json.loads(wanted).values()]
                 out.append(extract(page.as_py(), *known[wanted]))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.string())], names=[*keep, "__text"])
 
