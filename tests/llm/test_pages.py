@@ -92,3 +92,19 @@ def test_text_after_more_levels_than_the_wrapper_holds():
         pages = [page.format(i) for i in range(5)]
         w = _wrapper(*pages)
         assert [_text(p, w) for p in pages] == [f"a{i}\nb{i}\nafter {i}" for i in range(5)]
+
+
+def test_one_dropped_instance_leaves_the_others():
+    for top in ("article", "div"):
+        rows = [f"<{top}><p>first {i}</p><div>second {i}</div><section class='a b c d'>third {i}</section></{top}>" for i in range(6)]
+        odd = f"<{top}><p>own</p><p hidden>h</p><div style='display: none'>d</div><section class='a b c d sidebar'>s</section></{top}>"
+        w = _wrapper(odd, *rows)
+        assert [_text(p, w) for p in rows] == [f"first {i}\nsecond {i}\nthird {i}" for i in range(6)]
+        assert _text(odd, w) == "own"
+
+
+def test_attributes_are_read_by_name():
+    kept = ["title='The hidden valley'", 'alt="class=ad"', "data-class=ad", "title='style=\"display:none\"'", "data-hidden", "href=/id=menu"]
+    gone = ["hidden", "HIDDEN=''", "title='x'class=ad", "id = 'menu'", "aria-hidden=true", "data-x style='display:none'"]
+    assert [html._label("p", a) for a in kept] == [("p", False)] * len(kept)
+    assert all(html._label("p", a)[1] for a in gone)

@@ -53,12 +53,15 @@ CLOSED_BY = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("t
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]{0,4096}"|'[^']{0,4096}'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<""",
     re.S)
-_ATTR = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s"'>][^\s>]*))?""")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 def _label(tag: str, attrs: str) -> tuple[str, bool]:
-    """What the element is called in wrappers, and whether it is page furniture."""
+    """What the element is called in wrappers, and whether it is page furniture.
+
+    Furniture is marked with "!", so it is a kind of its own beside kept elements of the same tag and words.
+    """
     words, dropped = [], tag in DROPPED
     for name, value in _ATTR.findall(attrs) if attrs else ():
         name, value = name.lower(), value.strip("\"'").lower()
@@ -66,10 +69,10 @@ def _label(tag: str, attrs: str) -> tuple[str, bool]:
             dropped |= bool(_HIDDEN.search(value))
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
             dropped = True
-        elif name != "aria-hidden":
+        elif name in ("class", "id", "role"):
             words += [w for w in re.split(r"[^a-z]+", value) if w]
     dropped |= any(w in DROPPED_WORDS for w in words)
-    return ".".join([tag, *sorted(set(words))[:4]]), dropped
+    return "!" * dropped + ".".join([tag, *sorted(set(words))[:4]]), dropped
 
 
 def events(page: str):
@@ -130,7 +133,7 @@ def events(page: str):
 
 # ---- wrappers ----
 # An element is {"n": instances, "rep": several in a row, "order": groups of labels, "kids": {label: element}};
-# texts are the kid "#" with {"n", "rep", "const", "chars", "links"}; dropped elements have "drop".
+# texts are the kid "#" with {"n", "rep", "const", "chars", "links"}; labels of dropped elements begin with "!".
 
 def _element() -> dict:
     return {"n": 0, "rep": False, "order": [], "kids": {}}
@@ -208,8 +211,6 @@ def align_page(wrapper: dict, page: str, seen: set) -> None:
             label = _kind(element, event[1])
             kid = element["kids"].setdefault(label, _element())
             kid["n"] += 1
-            if event[2]:
-                kid["drop"] = True
             sequence.append(label)
             stack.append((kid, []))
         elif event[0] == "close":
@@ -240,8 +241,6 @@ def align_wrappers(a: dict, b: dict) -> dict:
             align_wrappers(a["kids"][label], kid)
     a["n"] += b["n"]
     a["rep"] |= b["rep"]
-    if b.get("drop"):
-        a["drop"] = True
     sequence = [_kind(a, x) for g in b["order"] for x in g]
     order = _ordered(a["order"], sequence)
     for g in b["order"]:
@@ -267,6 +266,7 @@ def expression(element: dict, label: str = "") -> str:
         else:
             parts.append(unit(group[0], group[0] != "#" and element["kids"][group[0]]["n"] < element["n"]))
     inner = "".join(parts)
+    label = label.lstrip("!")
     return f"<{label}>{inner}</{label.split('.')[0]}>" if label else inner
 
 
@@ -284,7 +284,7 @@ def content_paths(wrapper: dict) -> dict[str, list[str]]:
         for label, kid in element["kids"].items():
             if label == "#":
                 slots.append((path, kid))
-            elif not kid.get("drop") and not _is_main(label):
+            elif label[0] != "!" and not _is_main(label):
                 known.append(_path((*path, label)))
                 walk(kid, (*path, label))
 
