@@ -108,3 +108,32 @@ def test_attributes_are_read_by_name():
     gone = ["hidden", "HIDDEN=''", "title='x'class=ad", "id = 'menu'", "aria-hidden=true", "data-x style='display:none'"]
     assert [html._label("p", a) for a in kept] == [("p", False)] * len(kept)
     assert all(html._label("p", a)[1] for a in gone)
+
+
+def _words(word, n):
+    return " ".join([f"{word}{n}"] * 12)
+
+
+def test_two_templates_without_article(spark):
+    side = "<section><p>Same on all pages</p></section><div class=links><a href=x>first link {0}</a> <a href=y>second link {0}</a></div><p>note {0}</p>"
+    rows = []
+    for i in range(20):
+        kind = "post" if i % 10 < 7 else "story"
+        rows.append((i, "http://two.org/x", f"<body><div class={kind}><h2>{kind} {i}</h2><p>{_words('long', i)}</p></div>{side.format(i)}</body>", ""))
+    # one page of the host has no text in its template's element, one has most of it elsewhere
+    rows += [(20, "http://two.org/x", f"<body><div class=post></div><div class=rare><p>{_words('rare', 20)}</p></div></body>", ""),
+             (21, "http://two.org/x", f"<body><div class=post><p>brief</p></div><div class=odd><p>{_words('odd', 21)}</p></div></body>", "")]
+    got = _extract(spark, rows)
+    assert [got[i] for i in range(20)] == [f"{'post' if i % 10 < 7 else 'story'} {i}\n{_words('long', i)}" for i in range(20)]
+    assert got[20] == _words("rare", 20) and got[21] == "brief\n" + _words("odd", 21)
+
+
+def test_copies_do_not_make_a_text_fixed(spark):
+    page = "<body><nav>visit {}</nav><div><h2>Short head</h2><p>One short block</p><p>" + _words("text", 1) + "</p></div></body>"
+    rows = [(i, "http://copies.org/", page.format(i), "") for i in range(30)]
+    want = "Short head\nOne short block\n" + _words("text", 1)
+    assert _extract(spark, rows) == {i: want for i in range(30)}
+    # copies of one page do not outweigh the others either
+    rows += [(30 + i, "http://copies.org/", f"<body><div><h2>Head {i}</h2><p>{_words('own', i)}</p></div><ul><li>{_words('more', i)}</ul></body>", "") for i in range(2)]
+    got = _extract(spark, rows)
+    assert got[3] == want and got[30] == f"Head 0\n{_words('own', 0)}\n{_words('more', 0)}"

@@ -8,10 +8,12 @@ Every task aligns its own pages, and partial wrappers of a host are aligned 64 a
 third of all pages is split over all tasks. An element keeps at most MAX_KINDS kinds of children
 (further ones are told apart by their tag alone), which bounds a wrapper.
 
-The slots of the wrapper are then judged: navigation, headers, footers, asides, forms, notices, adverts
-and comments go by element or by words of class, id and role; what is left inside article or main
-elements is content. For pages without such an element, slots that never change go, and content is the
-smallest element with most of the host's text.
+Extraction goes by lists and by slots, not by the expression: navigation, headers, footers, asides, forms,
+notices, adverts and comments go by element or by words of class, id and role, one instance at a time; what is
+left inside article or main elements is content. For pages without such an element, slots that hold one short text
+on all of several distinct pages go, and so do slots that are mostly links. An element is a holder if it has most of the
+text of the distinct pages that have the element (the branch they take), and a page's content is the deepest
+holder with most of the page's own text. The order and repetition of groups serve `expression` alone.
 
 Nulls: a null page is empty and has the text ""; pages without a host form one group. Page ids are
 passed on. Markup that never ends, stray end tags and unfinished pages are read as far as they go.
@@ -22,6 +24,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -33,7 +36,8 @@ from tracewell.llm.common import small_batches, staged, text_of
 
 MAX_KINDS, MAX_DEPTH, FAN_IN = 64, 48, 64
 CONST_CHARS = 120
-MAIN_SHARE = 0.6  # of a host's text, for pages without article or main
+MAIN_SHARE = 0.6  # of a page's text and of its branch's, for pages without article or main
+LEAST_PAGES = 3  # distinct pages that show a text to be fixed or an element to be a holder
 
 # fixed values: elements of HTML by their part in a page
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -133,7 +137,8 @@ def events(page: str):
 
 # ---- wrappers ----
 # An element is {"n": instances, "rep": several in a row, "order": groups of labels, "kids": {label: element}};
-# texts are the kid "#" with {"n", "rep", "const", "chars", "links"}; labels of dropped elements begin with "!".
+# texts are the kid "#" with {"n", "rep", "const", "pages": LEAST_PAGES distinct pages at most}; the root has "bare": pages
+# with text but without article and main; labels of dropped elements begin with "!".
 
 def _element() -> dict:
     return {"n": 0, "rep": False, "order": [], "kids": {}}
@@ -177,20 +182,29 @@ def _kind(element: dict, label: str) -> str:
     return label.split(".")[0]
 
 
-def _add_slot(element: dict, text: str, link: bool) -> None:
+def _add_slot(element: dict, text: str) -> dict:
     short = text if len(text) <= CONST_CHARS else None
-    slot = element["kids"].setdefault("#", {"n": 0, "rep": False, "const": short, "chars": 0, "links": 0})
+    slot = element["kids"].setdefault("#", {"n": 0, "rep": False, "const": short, "pages": []})
     slot["n"] += 1
-    slot["chars"] += len(text)
-    slot["links"] += len(text) * link
     if slot["const"] != short:
         slot["const"] = None
+    return slot
+
+
+def _some(pages: list[int], more: list[int]) -> list[int]:
+    return sorted({*pages, *more})[:LEAST_PAGES]
+
+
+def _digest(texts: list[str]) -> int:
+    return int.from_bytes(blake2b("\0".join(texts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
 def align_page(wrapper: dict, page: str, seen: set) -> None:
     """Align a page to the wrapper. `seen` holds child sequences already aligned, by element."""
     stack = [(wrapper, [])]  # element and the labels of its children here
     below = 0  # open elements deeper than MAX_DEPTH: their texts are filed with the last element above
+    dropped = 0  # open elements from a dropped one on
+    has_main, texts, slots = False, [], {}
     wrapper["n"] += 1
 
     def finish():
@@ -204,6 +218,11 @@ def align_page(wrapper: dict, page: str, seen: set) -> None:
             element["order"] = _ordered(element["order"], short)
 
     for event in events(page):
+        if event[0] == "open":
+            dropped += bool(dropped or event[2])
+            has_main |= not dropped and _is_main(event[1])
+        elif event[0] == "close":
+            dropped -= bool(dropped)
         if event[0] != "text" and (below or event[0] == "open" and len(stack) > MAX_DEPTH):
             below += 1 if event[0] == "open" else -1
         elif event[0] == "open":
@@ -219,11 +238,18 @@ def align_page(wrapper: dict, page: str, seen: set) -> None:
             text = " ".join(event[1].split())
             if text:
                 element, sequence = stack[-1]
-                _add_slot(element, text, event[2])
+                slot = _add_slot(element, text)
+                slots[id(slot)] = slot
+                if not dropped:
+                    texts.append(text)
                 if sequence[-1:] != ["#"]:
                     sequence.append("#")
     while stack:
         finish()
+    page_is = [_digest(texts)]
+    for slot in slots.values():
+        slot["pages"] = _some(slot["pages"], page_is)
+    wrapper["bare"] = wrapper.get("bare", 0) + (not has_main and bool(texts))
 
 
 def align_wrappers(a: dict, b: dict) -> dict:
@@ -235,12 +261,14 @@ def align_wrappers(a: dict, b: dict) -> dict:
         elif label == "#":
             own = a["kids"]["#"]
             own["const"] = own["const"] if own["const"] == kid["const"] else None
-            for k in ("n", "chars", "links"):
-                own[k] += kid[k]
+            own["n"] += kid["n"]
+            own["pages"] = _some(own["pages"], kid["pages"])
         else:
             align_wrappers(a["kids"][label], kid)
     a["n"] += b["n"]
     a["rep"] |= b["rep"]
+    if "bare" in b:
+        a["bare"] = a.get("bare", 0) + b["bare"]
     sequence = [_kind(a, x) for g in b["order"] for x in g]
     order = _ordered(a["order"], sequence)
     for g in b["order"]:
@@ -275,77 +303,110 @@ def _is_main(label: str) -> bool:
 
 
 def content_paths(wrapper: dict) -> dict[str, list[str]]:
-    """For texts outside article and main: paths of the elements the wrapper tells apart, paths of elements whose own
-    text is no content, and the element that holds the content."""
-    slots: list[tuple[tuple[str, ...], dict]] = []
+    """For texts outside article and main: paths of the elements the wrapper tells apart, and paths of elements whose
+    own text never changes."""
     known: list[str] = []
+    fixed: list[str] = []
 
     def walk(element, path):
         for label, kid in element["kids"].items():
             if label == "#":
-                slots.append((path, kid))
+                if kid["const"] is not None and len(kid["pages"]) >= LEAST_PAGES:
+                    fixed.append(path)
             elif label[0] != "!" and not _is_main(label):
-                known.append(_path((*path, label)))
-                walk(kid, (*path, label))
+                known.append(f"{path}/{label}")
+                walk(kid, f"{path}/{label}")
 
-    walk(wrapper, ())
-    plain = [(p, s) for p, s in slots if not (s["const"] is not None and s["n"] > 2)]
-    weight: dict[tuple[str, ...], int] = {}
-    for p, s in plain:
-        for i in range(len(p) + 1):
-            weight[p[:i]] = weight.get(p[:i], 0) + s["chars"] - s["links"]
-    total = weight.get((), 0)
-    # the deepest element with most of the text that is no single paragraph
-    holders = [p for p, w in weight.items() if w >= MAIN_SHARE * total and (not p or p[-1].split(".")[0] not in ("p", "li", "td", "pre"))]
-    best = max(holders, key=lambda p: (len(p), weight[p]), default=())
-    out = {_path(p) for p, _ in slots} - {_path(p) for p, s in plain if s["links"] * 2 <= s["chars"]}
-    return {"known": sorted(known), "out": sorted(out), "best": [_path(best)]}
-
-
-def _path(labels: tuple[str, ...]) -> str:
-    return "".join("/" + x for x in labels)
+    walk(wrapper, "")
+    return {"known": sorted(known), "out": sorted(fixed)}
 
 
 # ---- extraction ----
 
-def extract(page: str, known: frozenset[str], out: frozenset[str], best: frozenset[str]) -> str:
-    """Content blocks of the page, one on a line.
+def _blocks(page: str, known: frozenset[str]) -> tuple[list[tuple], set[str], bool]:
+    """Kept texts as (text, characters in links, inside main, path, paths from the root down), all paths of the page,
+    and whether it has an article or main.
 
-    Inside article and main every text that is not dropped is content, whatever the wrapper holds. Elsewhere the page
-    is walked along the wrapper: an element goes by its own label if the wrapper has it there, else by its tag, as
-    in alignment. Elements that the wrapper does not tell apart belong to the nearest one it does.
+    An element goes by its own label if the wrapper has it there, else by its tag, as in alignment. One that the
+    wrapper does not tell apart has no path (None) and belongs to the nearest one above.
     """
-    found: dict[bool, list[str]] = {True: [], False: []}
-    buffer: list[str] = []
+    blocks: list[tuple] = []
+    opened: set[str] = {""}
+    buffer: list[tuple[str, bool]] = []
     has_main = False
-    # path in the wrapper (None where it has none), depth, dropped, inside main, inside the element with the content
-    stack: list[tuple[str | None, int, bool, bool, bool]] = [("", 0, False, False, "" in best)]
+    # path, paths from the root down, depth, dropped, inside main
+    stack: list[tuple[str | None, tuple[str, ...], int, bool, bool]] = [("", ("",), 0, False, False)]
 
     def flush():
-        text = " ".join(entities.unescape("".join(buffer)).split())
+        text = " ".join(entities.unescape("".join(x for x, _ in buffer)).split())
+        path, down, _, drop, main = stack[-1]
+        if text and not drop:
+            blocks.append((text, sum(len(" ".join(x.split())) for x, link in buffer if link), main, path, down))
         buffer.clear()
-        path, _, drop, main, inside = stack[-1]
-        if text and not drop and (main or inside and path not in out):
-            found[main].append(text)
 
     for event in events(page):
         if event[0] == "text":
-            buffer.append(event[1])
+            buffer.append(event[1:])
             continue
         flush()
         if event[0] == "close":
             stack.pop()
             continue
-        path, depth, drop, main, inside = stack[-1]
+        path, down, depth, drop, main = stack[-1]
         drop |= event[2]
         main |= _is_main(event[1])
-        if path is not None and not main and depth < MAX_DEPTH:
-            path = next((x for x in (f"{path}/{event[1]}", f"{path}/{event[1].split('.')[0]}") if x in known), None)
-            inside |= path in best
-        stack.append((path, depth + 1, drop, main, inside))
+        if path is not None and not main and not drop:
+            path = next((x for x in (f"{path}/{event[1]}", f"{path}/{event[1].split('.')[0]}") if x in known), None) if depth < MAX_DEPTH else None
+            if path is not None:
+                down = (*down, path)
+                opened.add(path)
+        stack.append((path, down, depth + 1, drop, main))
         has_main |= main and not drop
     flush()
-    return "\n".join(found[has_main])
+    return blocks, opened, has_main
+
+
+def _weights(plain: list[tuple]) -> dict[str, int]:
+    """Characters outside links at and below each path."""
+    weight = {"": 0}
+    for text, links, _, _, down in plain:
+        for p in down:
+            weight[p] = weight.get(p, 0) + max(0, len(text) - links)
+    return weight
+
+
+def page_slots(page: str, known: frozenset[str], out: frozenset[str]) -> tuple[int, list[tuple[str, int, int, int]]] | None:
+    """For a page with text but without article and main: a number that copies share, and for each of its paths the
+    characters outside links at and below it, its own characters, and those of them in links."""
+    blocks, opened, has_main = _blocks(page, known)
+    if has_main or not blocks:
+        return None
+    plain = [b for b in blocks if b[3] not in out]
+    weight = _weights(plain)
+    own: dict[str, list[int]] = {}
+    for text, links, _, path, _ in plain:
+        if path is not None:
+            mine = own.setdefault(path, [0, 0])
+            mine[0] += len(text)
+            mine[1] += links
+    rows = [(p, weight.get(p, 0), *own.get(p, (0, 0))) for p in sorted(opened)]
+    return _digest([x for b in blocks for x in (b[4][-1], b[0])] + [r[0] for r in rows]), rows
+
+
+def extract(page: str, known: frozenset[str], out: frozenset[str] = frozenset(), holders: frozenset[str] = frozenset()) -> str:
+    """Content blocks of the page, one on a line.
+
+    Inside article and main every kept text is content, whatever the wrapper holds. For other pages it is what the
+    deepest of the holders with most of the page's own text has in slots that are not `out`.
+    """
+    blocks, _, has_main = _blocks(page, known)
+    if has_main:
+        return "\n".join(b[0] for b in blocks if b[2])
+    plain = [b for b in blocks if b[3] not in out]
+    weight = _weights(plain)
+    most = [p for p, w in weight.items() if p in holders and w >= MAIN_SHARE * weight[""] > 0]
+    best = max(most, key=lambda p: (p.count("/"), p), default="")
+    return "\n".join(b[0] for b in plain if best in b[4])
 
 
 def with_host(pages: DataFrame, url: str) -> DataFrame:
@@ -392,26 +453,74 @@ def host_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
     return wrappers.select("host", "wrapper")
 
 
+def bare_slots(pages: DataFrame, paths: DataFrame, url: str, html: str) -> DataFrame:
+    """(__host, links, holders) of hosts with pages without article and main: slots mostly of links, and holders."""
+    def weigh(batches):
+        known: dict[str, list[frozenset]] = {}
+        for batch in batches:
+            rows: list[tuple] = []
+            for host, page, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                found = page_slots(page.as_py(), *_judged(known, wanted))
+                if found:
+                    rows.append((host, found[0], *(list(x) for x in zip(*found[1]))))
+            longs = pa.list_(pa.int64())
+            types = [pa.string(), pa.int64(), pa.list_(pa.string()), longs, longs, longs]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, types)], names=names)
+
+    names = ["__host", "page", "path", "under", "chars", "links"]
+    schema = "__host string, page bigint, path array<string>, under array<bigint>, chars array<bigint>, links array<bigint>"
+    source = with_host(pages, url).select("__host", text_of(F.col(f"`{html}`")).alias("h")).join(paths, "__host").select("__host", "h", "paths")
+    distinct = source.mapInArrow(weigh, schema).dropDuplicates(["__host", "page"])
+    each = distinct.withColumn("total", F.element_at("under", 1)).select("__host", "total", F.explode(F.arrays_zip("path", "under", "chars", "links")).alias("s"))
+    slots = staged(each.groupBy("__host", "s.path").agg(
+        F.count("*").alias("n"), *[F.sum(c).alias(c.split(".")[-1]) for c in ("s.under", "total", "s.chars", "s.links")]), "bare-slots")
+    whole = slots.where("path = ''").select("__host", F.least("n", F.lit(LEAST_PAGES)).alias("least"))
+    # an element that holds most of the text and is no single paragraph
+    holds = (F.col("n") >= F.col("least")) & (F.col("under") >= MAIN_SHARE * F.col("total")) & ~F.col("path").rlike(r"/(p|li|td|pre)(\.[^/]*)?$")
+    return slots.join(whole, "__host").groupBy("__host").agg(
+        F.sort_array(F.collect_list(F.when(F.col("links") * 2 > F.col("chars"), F.col("path")))).alias("links"),
+        F.sort_array(F.collect_list(F.when(holds, F.col("path")))).alias("holders"))
+
+
+def _judged(known: dict[str, list[frozenset]], wanted: str) -> list[frozenset]:
+    if wanted not in known:
+        if len(known) > 1000:
+            known.clear()
+        known[wanted] = [frozenset(x) for x in json.loads(wanted).values()]
+    return known[wanted]
+
+
 def main_text(pages: DataFrame, url: str = "url", html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The `keep` columns and the main text of every page."""
     def judge(batches):
         for batch in batches:
-            paths = [json.dumps(content_paths(json.loads(w.as_py()))) for w in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string())], names=["__host", "paths"])
+            wrappers = [json.loads(w.as_py()) for w in batch.column(1)]
+            paths = [json.dumps(content_paths(w)) for w in wrappers]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(paths, pa.string()), pa.array([w["bare"] for w in wrappers], pa.int64())], names=["__host", "paths", "bare"])
 
-    wrappers = host_wrappers(pages, url, html)
-    paths = measured_broadcast(staged(wrappers.mapInArrow(judge, "__host string, paths string"), "content-paths"), 2_000)
+    def extend(batches):
+        for batch in batches:
+            rows = []
+            for paths, links, holders in zip(*[c.to_pylist() for c in batch.columns[1:]]):
+                both = json.loads(paths)
+                rows.append(json.dumps({"known": both["known"], "out": both["out"] + (links or []), "holders": holders or []}))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.string())], names=["__host", "paths"])
+
+    judged = staged(host_wrappers(pages, url, html).mapInArrow(judge, "__host string, paths string, bare bigint"), "content-paths")
+    bare = judged.where("bare > 0").select("__host", "paths")
+    paths = judged.select("__host", "paths")
+    if not bare.isEmpty():
+        slots = bare_slots(pages, measured_broadcast(bare, 2_000), url, html)
+        paths = staged(paths.join(slots, "__host", "left").mapInArrow(extend, "__host string, paths string"), "judged-paths")
+    paths = measured_broadcast(paths, 2_000)
 
     def run(batches):
         known: dict[str, list[frozenset]] = {}
         for batch in batches:
             out = []
             for page, wanted in zip(batch.column(len(keep)), batch.column(len(keep) + 1).to_pylist()):
-                if wanted not in known:
-                    if len(known) > 1000:
-                        known.clear()
-                    known[wanted] = [frozenset(x) for x in json.loads(wanted).values()]
-                out.append(extract(page.as_py(), *known[wanted]))
+                out.append(extract(page.as_py(), *_judged(known, wanted)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.string())], names=[*keep, "__text"])
 
     schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
