@@ -290,9 +290,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return marked.join(per_fp, "fp").select("doc_id", "row", "fp", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", find=near_duplicates, **how) -> DataFrame:
     """The rows whose id is the smallest of their component; rows equal in id and text count once. All columns stay."""
-    groups = near_duplicates(docs.select(doc_id, text), doc_id, text, **how)
+    groups = find(docs.select(doc_id, text), doc_id, text, **how)
     stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("row").alias("__stay")).distinct()
     marked = docs.withColumn("__row", F.xxhash64(text_of(F.col(f"`{text}`"))))
     kept = marked.join(staged(stay, "representatives"), F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__stay")), "left_semi")
