@@ -36,6 +36,13 @@ def test_several_images_for_a_large_payload():
     assert (frames[0].width, frames[0].height) == (512, 8 * 8191)
 
 
+def test_the_feature_covers_every_image(spark):
+    start = "a" * jpeg.IMAGE_SAMPLES
+    df = spark.createDataFrame([(0, start + "b" * 64 + "z" * 640), (1, start + "z" * 640 + "b" * 64)], "doc_id long, text string")
+    features = [r.feature for r in jpeg.media_report(df).collect()]
+    assert len(set(features)) == 2 and all(f.startswith(f"2:512x{8 * 8191 + 88}:") for f in features)
+
+
 class _Bits:
     def __init__(self):
         self.bits = ""

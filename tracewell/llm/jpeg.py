@@ -367,8 +367,9 @@ def read_media(media: DataFrame, column: str = "media") -> DataFrame:
                         rows.append((None, None, None, None))
                         continue
                     frames, thumbs = found
-                    rows.append((frames[0].width, sum(f.height for f in frames), b"".join(t.tobytes() for t in thumbs),
-                                 f"{len(frames)}:{frames[0].width}x{frames[0].height}:{thumbnail_hash(thumbs[0])}"))
+                    height = sum(f.height for f in frames)
+                    rows.append((frames[0].width, height, b"".join(t.tobytes() for t in thumbs),
+                                 f"{len(frames)}:{frames[0].width}x{height}:{'+'.join(thumbnail_hash(t) for t in thumbs)}"))
             added = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, (pa.int64(), pa.int64(), pa.binary(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=names)
 
