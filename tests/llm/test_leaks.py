@@ -80,6 +80,14 @@ def test_edge_rows(spark, edge_docs, no_docs):
     assert decontaminate.drop_contaminated(edge_docs, none).count() == edge_docs.count()
 
 
+def test_items_without_id(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(20)) for c in "abc"]
+    docs, items = [(i, f"before {t} after") for i, t in enumerate([*texts, "nothing here"])], [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2])]
+    assert _found(spark, docs, items) == {(0, None): (1.0, 1), (1, None): (1.0, 1), (2, 7): (1.0, 1)}
+    kept = decontaminate.drop_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert [r.doc_id for r in kept.collect()] == [3]
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_registered_sql(spark, name):
     assert compare(spark, name, queries.QUERIES[name], queries.SQL[name], SF) == ""

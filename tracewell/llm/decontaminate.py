@@ -127,7 +127,10 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, similarity: floa
 
     `docs` has doc_id and text; `row` is a hash of the text and `start` counts words from 0.
     """
-    items = staged(benchmark_items(benchmark, k=k), "benchmark-items")
+    # inside, an item goes by a key that is never null
+    items = benchmark_items(benchmark, k=k).withColumnRenamed("item", "item_id")
+    items = items.withColumn("item", F.xxhash64("item_id", F.col("item_id").isNull(), "size", "item_hashes")).dropDuplicates(["item"])
+    items = staged(items, "benchmark-items")
     shape = items.agg(F.max(F.size("item_hashes")).alias("longest"), F.collect_set("k").alias("ks")).first()  # at most k sizes
     rows = docs.select(F.col("doc_id").alias("doc"), F.xxhash64(text_of(F.col("text"))).alias("row"), F.col("text").alias("body"))
     ks = shape["ks"] or [k]
@@ -168,8 +171,8 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, similarity: floa
     near = near.where(F.col("block") == first_block)
 
     # 3. exact similarity
-    checked = near.join(items.select("item", "item_hashes", F.col("size").alias("item_size")), "item").select(
-        "doc", "row", "item", "start", weighted_overlap(F.col("window_hashes"), F.col("item_hashes")).alias("o"),
+    checked = near.join(items.select("item", "item_id", "item_hashes"), "item").select(
+        "doc", "row", F.col("item_id").alias("item"), "start", weighted_overlap(F.col("window_hashes"), F.col("item_hashes")).alias("o"),
         (F.size("window_hashes") + F.size("item_hashes")).alias("both"))
     return checked.withColumn("similarity", F.col("o") / (F.col("both") - F.col("o"))).where(F.col("similarity") >= similarity).select(
         "doc", "row", "item", "start", "similarity")
