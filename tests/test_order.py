@@ -49,6 +49,21 @@ def test_ranged_row_number(spark):
     assert got.exceptAll(want).count() == 0 and got.count() == want.count()
 
 
+def test_ranges_follow_the_rows_and_any_number_of_cuts_agrees(spark, monkeypatch):
+    import tracewell.operators.order as order
+
+    df = skewed(spark)
+    monkeypatch.setattr(order, "ROWS_PER_RANGE", 40)
+    nested, ranges = order.range_number(df, ["k", "v", "id"])
+    assert ranges == 75
+    monkeypatch.setattr(order, "_NESTED_CUTS", 3)
+    searched, _ = order.range_number(df, ["k", "v", "id"])
+    both = df.select(nested.alias("a"), searched.alias("b"), "k", "v", "id")
+    assert both.where("a <> b").count() == 0 and both.groupBy("a").count().agg(F.max("count")).first()[0] == 40
+    bounds = both.groupBy("a").agg(F.min(F.struct("k", "v", "id")).alias("lo"), F.max(F.struct("k", "v", "id")).alias("hi")).orderBy("a").collect()
+    assert all(x.hi < y.lo for x, y in zip(bounds, bounds[1:]))
+
+
 def test_huge_case_is_ordered_by_ranges(spark):
     rows = [("hot" if i % 3 else f"c{i % 40}", "a", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i % 97), i)
             for i in range(2000)]

@@ -21,43 +21,53 @@ from tracewell.spec import ACTIVITY, CASE, ORDER_KEY, POS, TS
 MAX_ROWS_PER_TASK = 5_000_000
 
 _PART = "__range"
-# Ranges of a global order at most, and sampled rows for each when their bounds are chosen.
-MAX_RANGES, SAMPLED = 512, 100
+# Rows a range holds on average at most, and sampled rows for each range when its bounds are chosen.
+ROWS_PER_RANGE, SAMPLED = 5_000_000, 100
+# Up to this many cuts are compiled as nested comparisons; more are searched in a literal array.
+_NESTED_CUTS = 512
 
 
-def _range_of(key: Column, cuts: Sequence, lit) -> Column:
+def _range_of(key: Column, cuts: Sequence[Column]) -> Column:
     """Number of cuts at or below the key, by halving."""
     def search(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(key < lit(cuts[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
+        return F.when(key < cuts[mid], search(lo, mid)).otherwise(search(mid + 1, hi))
 
-    return search(0, len(cuts))
+    if len(cuts) <= _NESTED_CUTS:
+        return search(0, len(cuts))
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
+    table = F.array(*cuts)
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(table, at + step - 1) <= key, step).otherwise(0))
 
 
-def _with_range_number(df: DataFrame, sort_cols: Sequence[str]) -> DataFrame:
-    """Rows spread over sorted ranges of `sort_cols`, with the number of the range, by one shuffle.
+def range_number(df: DataFrame, sort_cols: Sequence[str], ranges: int | None = None) -> tuple[Column, int]:
+    """(range number of a row with columns `sort_cols`, number of ranges): sorted ranges of about equal size.
 
     The bounds are literals from a sample of SAMPLED rows a range, so a range is a function of
-    the row's own values and the same in every run of the plan; each range is a task of its own.
+    the row's own values and the same in every run of the plan, and for every table with these
+    columns. There are as many ranges as shuffle partitions, and more where ROWS_PER_RANGE asks for them.
     """
     spark = df.sparkSession
-    ranges = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_RANGES)
     narrow = df.select(*[F.col(f"`{c}`") for c in sort_cols])
     rows = narrow.count()
+    ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_RANGE))
     sample = narrow.sample(min(1.0, SAMPLED * ranges / max(rows, 1)), 7) if rows > SAMPLED * ranges else narrow
     ordered = sample.orderBy(*sort_cols).collect()
     step = len(ordered) / ranges
     cuts = list(dict.fromkeys(ordered[int(i * step)] for i in range(1, ranges))) if ordered else []
     kinds = [f.dataType for f in narrow.schema.fields]
+    literals = [F.struct(*[F.lit(v).cast(kind) for v, kind in zip(row, kinds)]) for row in cuts]
+    # structs compare field by field with nulls first, as the sort does
+    return _range_of(F.struct(*[F.col(f"`{c}`") for c in sort_cols]), literals).cast("int"), ranges
 
-    def literal(row):
-        return F.struct(*[F.lit(v).cast(kind) for v, kind in zip(row, kinds)])
 
-    # structs compare field by field with nulls first, as the sort does
-    number = _range_of(F.struct(*[F.col(f"`{c}`") for c in sort_cols]), cuts, literal)
-    return df.withColumn(_PART, number.cast("int")).repartitionById(ranges, _PART)
+def _with_range_number(df: DataFrame, sort_cols: Sequence[str]) -> DataFrame:
+    """Rows spread over sorted ranges of `sort_cols`, with the number of the range, by one shuffle;
+    each range is a task of its own."""
+    number, ranges = range_number(df, sort_cols)
+    return df.withColumn(_PART, number).repartitionById(ranges, _PART)
 
 
 def _add_offsets(
