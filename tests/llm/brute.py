@@ -112,3 +112,53 @@ def sha(s: str | bytes) -> str:
 
 def bucket(doc_id, m: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % m
+
+
+def sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def record(*values) -> str:
+    return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+
+def merkle_levels(nodes: list[str]) -> list[list[str]]:
+    levels = [nodes]
+    while len(levels[-1]) > 1:
+        last = levels[-1]
+        levels.append([sha("".join(last[i:i + 3])) for i in range(0, len(last), 3)])
+    return levels
+
+
+def merkle_proof(levels: list[list[str]], place: int) -> list[tuple[str, str]]:
+    out = []
+    for level in levels[:-1]:
+        begin = place - place % 3
+        out.append(("".join(level[begin:place]), "".join(level[place + 1:begin + 3])))
+        place //= 3
+    return out
+
+
+def merkle(rows: list[tuple]) -> list[tuple]:
+    """(doc_id, leaf, subroot, root, proof digest, folded root) of rows (doc_id, source, lang, n_chars, text)."""
+    first = lambda v: (v is not None, v or 0)
+    named = lambda s: (s is not None, (s or "").encode())
+    trees = {}
+    for r in rows:
+        trees.setdefault(r[1], []).append((first(r[0]), record(*r), r))
+    sources = sorted(trees, key=named)
+    levels = {}
+    for s in sources:
+        trees[s].sort(key=lambda x: x[:2])
+        levels[s] = merkle_levels([leaf for _, leaf, _ in trees[s]])
+    top = merkle_levels([levels[s][-1][0] for s in sources])
+    out = []
+    for k, s in enumerate(sources):
+        for i, (_, leaf, r) in enumerate(trees[s]):
+            segments = merkle_proof(levels[s], i) + merkle_proof(top, k)
+            even = zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 2 == 0
+            node = record(*r[:4], None if r[4] is None else r[4].replace("\n", "")) if even else leaf
+            for left, right in segments:
+                node = sha(left + node + right)
+            out.append((r[0], leaf, levels[s][-1][0], top[-1][0], sha("".join(a + b for a, b in segments)), node))
+    return out

@@ -99,3 +99,58 @@ SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coale
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_iban, 0) AS n_iban, coalesce(n_ssn, 0) AS n_ssn
 FROM documents LEFT JOIN per_doc USING (doc_id)
 """
+
+
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of ASCII text, bit by bit."""
+    step = "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
+    byte = f"list_reduce(list_prepend(xor(a, b), [0::BIGINT FOR i IN range(8)]), lambda c, z: {step})"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT FOR x IN string_split({text}, '')]), lambda a, b: {byte}), 4294967295)"
+
+
+def _record(text: str) -> str:
+    fields = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+# Runs of three nodes; a document's path is cut out of the strings of its runs and folded by a list.
+MERKLE = f"""
+WITH RECURSIVE leaf AS (
+  SELECT doc_id, coalesce('s' || source, '-') AS tree, {_record("text")} AS node,
+         CASE WHEN {_crc32("doc_id::VARCHAR")} % 2 = 0 THEN {_record("replace(text, chr(10), '')")} END AS altered
+  FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, node) - 1 AS place, count(*) OVER (PARTITION BY tree) AS size FROM leaf
+), nodes AS (
+  SELECT 0 AS level, tree, place, node, size FROM placed
+  UNION ALL
+  SELECT level + 1, tree, place // 3, sha256(string_agg(node, '' ORDER BY place)), any_value((size + 2) // 3)
+  FROM nodes WHERE size > 1 GROUP BY level, tree, place // 3
+), subroot AS (
+  SELECT tree, node, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS size FROM nodes WHERE size = 1
+), tops AS (
+  SELECT 0 AS level, place, node, size FROM subroot
+  UNION ALL
+  SELECT level + 1, place // 3, sha256(string_agg(node, '' ORDER BY place)), any_value((size + 2) // 3)
+  FROM tops WHERE size > 1 GROUP BY level, place // 3
+), runs AS (
+  SELECT level, tree, place // 3 AS run, string_agg(node, '' ORDER BY place) AS s FROM nodes WHERE size > 1 GROUP BY ALL
+), top_runs AS (
+  SELECT level, place // 3 AS run, string_agg(node, '' ORDER BY place) AS s FROM tops WHERE size > 1 GROUP BY ALL
+), path AS (
+  SELECT p.doc_id, p.tree, p.node AS leaf, r.level AS step, (p.place // (3 ** r.level)::BIGINT) % 3 AS nth, r.s
+  FROM placed p JOIN runs r ON r.tree = p.tree AND r.run = p.place // (3 ** (r.level + 1))::BIGINT
+  UNION ALL
+  SELECT p.doc_id, p.tree, p.node, 100 + r.level, (t.place // (3 ** r.level)::BIGINT) % 3, r.s
+  FROM placed p JOIN subroot t USING (tree) JOIN top_runs r ON r.run = t.place // (3 ** (r.level + 1))::BIGINT
+), proofs AS (
+  SELECT doc_id, leaf, list({{'l': s[: nth * 64], 'r': s[(nth + 1) * 64 + 1 :]}} ORDER BY step) AS segments FROM path GROUP BY ALL
+), folded AS (
+  SELECT p.doc_id, p.node AS leaf, t.node AS subroot, (SELECT node FROM tops WHERE size = 1) AS root,
+         sha256(coalesce(array_to_string([x.l || x.r FOR x IN segments], ''), '')) AS proof_sha256,
+         list_reduce(list_prepend({{'l': coalesce(p.altered, p.node), 'r': ''}}, coalesce(segments, [])),
+                     lambda a, x: {{'l': sha256(x.l || a.l || x.r), 'r': ''}}).l AS folded_root
+  FROM placed p JOIN subroot t USING (tree) LEFT JOIN (SELECT doc_id, segments FROM proofs) USING (doc_id)
+)
+SELECT *, folded_root = root AS verified FROM folded
+"""
