@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import decontaminate, html, jpeg, line_dedup, lm, merkle, packing, pii, quality, simhash, toxicity
+from tracewell.llm import decontaminate, fim, fingerprint, html, jpeg, line_dedup, lm, merkle, packing, pii, quality, simhash, toxicity
 from tracewell.llm import sql as oracle
 from tracewell.llm.common import table
 
@@ -49,13 +49,22 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_report(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest_report(table(spark, sf_dir, "documents"))
 
 
+def op13_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     q.__name__: q
     for q in (op1_line_dedup, op2_lm_score, op3_toxicity, op4_html_extract, op5_simhash_dedup, op6_media, op7_decontaminate,
-              op8_pii, op9_quality, op10_pack, op12_merkle_manifest)
+              op8_pii, op9_quality, op10_pack, op11_fim, op12_merkle_manifest, op13_fingerprint)
 }
-SQL = {"op1_line_dedup": oracle.LINES, "op7_decontaminate": oracle.LEAKS, "op8_pii": oracle.PII, "op12_merkle_manifest": oracle.MERKLE}
+SQL = {"op1_line_dedup": oracle.LINES, "op7_decontaminate": oracle.LEAKS, "op8_pii": oracle.PII, "op11_fim": oracle.FIM,
+       "op12_merkle_manifest": oracle.MERKLE, "op13_fingerprint": oracle.FINGERPRINTS}

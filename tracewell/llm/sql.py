@@ -154,3 +154,57 @@ WITH RECURSIVE leaf AS (
 )
 SELECT *, folded_root = root AS verified FROM folded
 """
+
+# Bins by the first two hex digits of a run's md5, donors by the bin's own order, one hex digit stored.
+FINGERPRINTS = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, lead(doc_id) OVER (ORDER BY doc_id DESC) AS below, max(doc_id) OVER () AS highest FROM documents
+), pairs AS (
+  SELECT a.doc_id, a.t, length(a.t) AS n_chars, b.doc_id AS next_id,
+         substr(a.t, 1, length(a.t) - length(a.t) // 3) || substr(b.t, 1, length(a.t) // 3) AS edited
+  FROM d a JOIN d b ON b.doc_id = coalesce(a.below, a.highest)
+), texts AS (
+  SELECT doc_id, 0 AS kind, t FROM pairs UNION ALL SELECT doc_id, 1, edited FROM pairs
+), w AS (
+  SELECT doc_id, kind, [x FOR x IN regexp_split_to_array(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM texts
+), runs AS (
+  SELECT doc_id, kind, md5(array_to_string(w[i : i + 4], ' ')) AS h
+  FROM (SELECT doc_id, kind, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM w)
+), least_of AS (
+  SELECT doc_id, kind, ('0x' || h[1:2])::INT AS bin, min(h)[32] AS digit FROM runs GROUP BY ALL
+), bins AS (
+  SELECT j, ('0x' || md5(j::VARCHAR)[1:2])::INT | 1 AS step, ('0x' || md5(j::VARCHAR)[3:4])::INT AS start FROM range(256) AS r(j)
+), filled AS (
+  SELECT doc_id, kind, j, arg_min(digit, CASE WHEN bin = j THEN -1 ELSE (bin * step + start) % 256 END) AS digit
+  FROM least_of, bins GROUP BY ALL
+), fp AS (
+  SELECT doc_id, kind, string_agg(digit, '' ORDER BY j) AS f FROM filled GROUP BY ALL
+), met AS (
+  SELECT p.*, coalesce(x.f, '') AS a, coalesce(y.f, '') AS e, coalesce(z.f, '') AS n
+  FROM pairs p LEFT JOIN fp x ON x.doc_id = p.doc_id AND x.kind = 0 LEFT JOIN fp y ON y.doc_id = p.doc_id AND y.kind = 1
+  LEFT JOIN fp z ON z.doc_id = p.next_id AND z.kind = 0
+)
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, a AS fingerprint, e AS edited_fingerprint,
+       CASE WHEN a = '' OR e = '' THEN (a = e)::INT::DOUBLE ELSE greatest(((256 - hamming(a, e)) / 256 - 1 / 16) / (15 / 16), 0) END AS near_edited,
+       CASE WHEN a = '' OR n = '' THEN (a = n)::INT::DOUBLE ELSE greatest(((256 - hamming(a, n)) / 256 - 1 / 16) / (15 / 16), 0) END AS near_next
+FROM met
+"""
+
+FIM = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id) AS h, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u FROM documents
+), cuts AS (
+  SELECT doc_id, t, u, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS c1, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS c2,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+              WHEN ('0x' || h[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d
+), parts AS (
+  SELECT *, array_to_string(u[1 : least(c1, c2)], '') AS prefix, array_to_string(u[least(c1, c2) + 1 : greatest(c1, c2)], '') AS middle,
+         array_to_string(u[greatest(c1, c2) + 1 :], '') AS suffix FROM cuts
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
+"""
