@@ -186,16 +186,19 @@ def check_equal_total(df: DataFrame, name: str, total: Column, expected: DataFra
     return _row(one, name, F.col("t") == F.col("e"), F.col("t"), F.col("e"))
 
 
+def row_digest(columns: Sequence[str]) -> Column:
+    """md5 of a row: each field as its length and text, null as `n`, so different rows have different texts."""
+    cols = [F.col(f"`{c}`").cast("string") for c in columns]
+    fields = [F.when(c.isNull(), "n").otherwise(F.concat(F.length(c).cast("string"), F.lit(":"), c)) for c in cols]
+    return F.md5(F.concat_ws("|", *fields))
+
+
 def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Order-insensitive content hash: row count and two sums over the md5 of each row.
+    """Order-insensitive content hash: row count and two sums over the digest of each row.
 
-    A field is written as its length and text, null as `n`, so different rows have different
-    texts. The sums are decimals, so they cannot overflow at any realistic row count.
+    The sums are decimals, so they cannot overflow at any realistic row count.
     """
-    cols = [F.col(c).cast("string") for c in (columns or df.columns)]
-    fields = [F.when(c.isNull(), "n").otherwise(F.concat(F.length(c).cast("string"), F.lit(":"), c)) for c in cols]
-    digest = F.md5(F.concat_ws("|", *fields))
-    return df.select(digest.alias("d")).agg(
+    return df.select(row_digest(columns or df.columns).alias("d")).agg(
         n_rows("row_count"),
         F.coalesce(F.sum(F.conv(F.substring("d", 1, 8), 16, 10).cast("decimal(20,0)")), F.lit(0))
         .cast("string").alias("hash_a"),

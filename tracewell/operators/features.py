@@ -42,7 +42,7 @@ class FeatureSpec:
         return [*self.uniques, "prefix_duration_seconds", "mean_event_gap_seconds"]
 
 
-def _count_map(values: Column) -> Column:
+def count_map(values: Column) -> Column:
     """value -> occurrences, keys sorted."""
     keys = F.array_sort(F.array_distinct(values))
     counts = F.transform(keys, lambda v: F.size(F.filter(values, lambda x: x == v)).cast("long"))
@@ -79,7 +79,7 @@ def count_maps(prefix: DataFrame, sources: Mapping[str, str], strict: bool = Tru
     lists = [F.collect_list(F.col(s).cast("string")).alias(f"__{ns}") for s, ns in sources.items()]
     per_case = prefix.groupBy(CASE).agg(n_rows("__n"), *lists)
     return per_case.select(CASE, *[
-        _count_map(_complete(F.col(f"__{ns}"), s) if strict else F.col(f"__{ns}")).alias(f"{ns}_counts")
+        count_map(_complete(F.col(f"__{ns}"), s) if strict else F.col(f"__{ns}")).alias(f"{ns}_counts")
         for s, ns in sources.items()
     ])
 
@@ -109,10 +109,15 @@ def timing_features(prefix: DataFrame) -> DataFrame:
 
 def _with_timing(per_case: DataFrame) -> DataFrame:
     duration = _seconds(F.col("case_start_time"), F.col("__end"))
-    gap = F.when(F.col("__n") > 1, duration / (F.col("__n") - 1)).otherwise(F.lit(0.0))
+    gap = mean_gap(duration, F.col("__n"))
     return per_case.withColumns({"prefix_duration_seconds": duration, "mean_event_gap_seconds": gap})
 
 
+def mean_gap(duration: Column, events: Column) -> Column:
+    """Mean time between ordered events, 0 where there are no two."""
+    return F.when(events > 1, duration / (events - 1)).otherwise(F.lit(0.0))
+
+
 def timing_by_gaps(prefix: DataFrame) -> DataFrame:
     """The same timing from each event's gap to the one before: the independent check."""
     w = W.partitionBy(CASE).orderBy(TS, ORDER_KEY)
@@ -142,7 +147,7 @@ def case_features(prefix: DataFrame, spec: FeatureSpec) -> DataFrame:
     timed = _with_timing(per_case.withColumn("target", F.coalesce(guard, F.col("target"))))
     return timed.select(
         CASE, "case_start_time", "target", "__static.*",
-        *[_count_map(_complete(F.col(f"__{ns}"), s)).alias(spec.map_column(ns)) for s, ns in spec.count_maps.items()],
+        *[count_map(_complete(F.col(f"__{ns}"), s)).alias(spec.map_column(ns)) for s, ns in spec.count_maps.items()],
         *spec.numeric_summary,
     )
 

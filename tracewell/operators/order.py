@@ -27,7 +27,7 @@ ROWS_PER_RANGE, SAMPLED = 5_000_000, 100
 _NESTED_CUTS = 512
 
 
-def _range_of(key: Column, cuts: Sequence[Column]) -> Column:
+def range_of(key: Column, cuts: Sequence[Column]) -> Column:
     """Number of cuts at or below the key, by halving."""
     def search(lo: int, hi: int) -> Column:
         if lo == hi:
@@ -60,7 +60,7 @@ def range_number(df: DataFrame, sort_cols: Sequence[str], ranges: int | None = N
     kinds = [f.dataType for f in narrow.schema.fields]
     literals = [F.struct(*[F.lit(v).cast(kind) for v, kind in zip(row, kinds)]) for row in cuts]
     # structs compare field by field with nulls first, as the sort does
-    return _range_of(F.struct(*[F.col(f"`{c}`") for c in sort_cols]), literals).cast("int"), ranges
+    return range_of(F.struct(*[F.col(f"`{c}`") for c in sort_cols]), literals).cast("int"), ranges
 
 
 def _with_range_number(df: DataFrame, sort_cols: Sequence[str]) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewell.plans import feature_queries, model_queries, profile_queries
+from tracewell.plans import extended_queries, feature_queries, model_queries, profile_queries
 
-_MODULES = [profile_queries, feature_queries, model_queries]
+_MODULES = [profile_queries, feature_queries, model_queries, extended_queries]
 
 
 def queries() -> dict:
