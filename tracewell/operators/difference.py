@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.functions.columns import n_rows
 from tracewell.operators.contracts import row_digest
@@ -40,9 +41,10 @@ class Version:
     columns: tuple[str, ...]
     cuts: str
     levels: int
+    schema: str
 
     def rows(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/rows")
+        return spark.read.schema(T.StructType.fromJson(json.loads(self.schema))).parquet(f"{self.path}/rows")
 
     def digests(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema(_DIGEST).parquet(f"{self.path}/digests")
@@ -91,15 +93,15 @@ def write_version(df: DataFrame, path: str, keys: Sequence[str], like: Version |
         level = cut_lineage(level)
         whole = whole.unionByName(level)
     whole.write.partitionBy("level").parquet(f"{path}/digests")
-    version = Version(path, tuple(keys), tuple(columns), cuts, height)
-    described = spark.createDataFrame([(json.dumps(list(keys)), json.dumps(columns), cuts, height)], "keys string, columns string, cuts string, levels int")
+    version = Version(path, tuple(keys), tuple(columns), cuts, height, placed.schema.json())
+    described = spark.createDataFrame([(json.dumps(list(keys)), json.dumps(columns), cuts, height, version.schema)], "keys string, columns string, cuts string, levels int, schema string")
     described.write.parquet(f"{path}/ranges")
     return version
 
 
 def open_version(spark: SparkSession, path: str) -> Version:
     r = spark.read.parquet(f"{path}/ranges").first()
-    return Version(path, tuple(json.loads(r["keys"])), tuple(json.loads(r["columns"])), r["cuts"], r["levels"])
+    return Version(path, tuple(json.loads(r["keys"])), tuple(json.loads(r["columns"])), r["cuts"], r["levels"], r["schema"])
 
 
 def differing_ranges(spark: SparkSession, a: Version, b: Version) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.functions.tables import measured_broadcast
 from tracewell.session import cut_lineage
@@ -42,6 +43,12 @@ def range_of(key: Column, cuts: Sequence[Column]) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(table, at + step - 1) <= key, step).otherwise(0))
 
 
+def _literal(value, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType) and value is not None:
+        return F.struct(*[_literal(v, f.dataType).alias(f.name) for v, f in zip(value, kind.fields)])
+    return F.lit(value).cast(kind)
+
+
 def range_number(df: DataFrame, sort_cols: Sequence[str], ranges: int | None = None) -> tuple[Column, int]:
     """(range number of a row with columns `sort_cols`, number of ranges): sorted ranges of about equal size.
 
@@ -58,7 +65,7 @@ def range_number(df: DataFrame, sort_cols: Sequence[str], ranges: int | None = N
     step = len(ordered) / ranges
     cuts = list(dict.fromkeys(ordered[int(i * step)] for i in range(1, ranges))) if ordered else []
     kinds = [f.dataType for f in narrow.schema.fields]
-    literals = [F.struct(*[F.lit(v).cast(kind) for v, kind in zip(row, kinds)]) for row in cuts]
+    literals = [F.struct(*[_literal(v, kind) for v, kind in zip(row, kinds)]) for row in cuts]
     # structs compare field by field with nulls first, as the sort does
     return range_of(F.struct(*[F.col(f"`{c}`") for c in sort_cols]), literals).cast("int"), ranges
 

@@ -63,9 +63,12 @@ def _candidates(prints: DataFrame, similarity: float, width: int) -> DataFrame:
     total = BANDS * width
     share = math.acos(similarity) / math.pi
     radius = math.ceil(total * share + 5 * math.sqrt(total * share * (1 - share)))
-    # a band is compared up to turning its bits
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.transform(F.slice("bits", i * width + 1, width), lambda b, i=i: b.bitwiseXOR(
-        F.get("bits", F.lit(i * width)))).alias("key")) for i in range(BANDS)])
+
+    def band(i: int) -> Column:  # compared up to turning its bits
+        first = F.get("bits", F.lit(i * width))
+        return F.struct(F.lit(i).alias("band"), F.transform(F.slice("bits", i * width + 1, width), lambda b: b.bitwiseXOR(first)).alias("key"))
+
+    bands = F.array(*[band(i) for i in range(BANDS)])
     filed = heads.select("f", "bits", F.explode(bands).alias("e")).select("f", "bits", "e.*")
     left, right = filed.alias("l"), filed.alias("r")
     near = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.f") < F.col("r.f")))

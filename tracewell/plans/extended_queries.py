@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.columns import micros, rounded
+from tracewell.operators import cube as CU
+from tracewell.operators import difference as DF
 from tracewell.operators import encode as N
+from tracewell.operators import exact_forest as X
 from tracewell.operators import linear_attribution as LA
 from tracewell.operators import models as K
+from tracewell.operators import redundancy as RD
+from tracewell.operators import sketches as SK
+from tracewell.operators import temporal_join as TJ
 from tracewell.operators import uncertainty as U
 from tracewell.plans import model_queries as M
 from tracewell.plans import sql
 from tracewell.plans.feature_queries import ENCODE, FEATURES, GAP_DIGITS, _NUM, _STATS, _encoded, enc, split_features
-from tracewell.plans.tables import L1_K, WINDOWS, l1, scores
+from tracewell.plans.tables import L1_K, WINDOWS, l1, table
 from tracewell.session import cut_lineage, scratch_path
 from tracewell.spec import ACTIVITY, CASE, ORDER_KEY, TS
 from tracewell.streaming.prefixes import run_available, stream_features
@@ -109,6 +117,122 @@ def _models_by_window(s, d) -> DataFrame:
     return windowed.withColumn("model", F.lit("length")).unionByName(other.withColumn("model", F.lit("turned")))
 
 
+# --- exact forest ------------------------------------------------------------------------------------
+
+@M._once
+def _exact(s, d):
+    dictionary, train, test = M._tree_vectors(s, d)
+    return dictionary, X.fit_exact_forest(train), train, test
+
+
+@M._once
+def _whole_tree(s, d):
+    """One tree over all cases and features."""
+    _, train, _ = M._tree_vectors(s, d)
+    width = len(train.first()["features"])
+    return X.fit_exact_forest(train, trees=1, candidates=width, bootstrap=False, local_rows=max(50, train.count() // 2)), train
+
+
+def _root_split(s, d) -> DataFrame:
+    """Cases and positives of the root, and the purity of its best split."""
+    forest, _ = _whole_tree(s, d)
+    top = forest.nodes.filter("depth <= 1").select("depth", F.col("cases").cast("double").alias("n"), F.col("positives").cast("double").alias("p"))
+    pure = (F.col("p") * F.col("p") + (F.col("n") - F.col("p")) * (F.col("n") - F.col("p"))) / F.col("n")
+    of = lambda c, depth: F.sum(F.when(F.col("depth") == depth, c))
+    return rounded(top.agg(of(F.col("n"), 0).cast("long").alias("cases"), of(F.col("p"), 0).cast("long").alias("positives"), of(pure, 1).alias("purity")))
+
+
+def _training_errors(s, d) -> DataFrame:
+    """A tree grown to purity errs only where cases with the same features have different labels."""
+    forest, train = _whole_tree(s, d)
+    scored = X.predict_exact(forest, train)
+    return scored.agg(F.count(F.lit(1)).alias("cases"), F.count(F.when(F.col("y_true") != F.col("y_pred"), 1)).alias("errors"))
+
+
+# --- versions, states in force, trailing time, cubes ----------------------------------------------------
+
+def _difference(s, d) -> DataFrame:
+    """The orders against a version with some changed, some removed and some added, all in a few stretches of keys."""
+    orders = table(s, d, "orders")
+    key, planted = F.col("o_orderkey"), F.col("o_orderkey") % 4000 < 60
+    changed = orders.filter(~planted | (key % 3 != 1)).withColumn("o_totalprice", F.when(planted & (key % 3 == 0), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    added = orders.filter(planted & (key % 3 == 2)).withColumn("o_orderkey", -key - 1)
+    a = DF.write_version(orders, scratch_path(s, "version-a"), ["o_orderkey"], rows_per_range=500)
+    b = DF.write_version(changed.unionByName(added), scratch_path(s, "version-b"), ["o_orderkey"], like=a)
+    out = DF.differences(s, a, b)
+    return rounded(out.withColumn("o_orderdate", micros(F.col("o_orderdate"))))
+
+
+def _state_in_force(s, d) -> DataFrame:
+    """The item that each event's case handled last, and by which activity."""
+    log = l1(s, d).select(CASE, ACTIVITY, TS, ORDER_KEY, "item_id")
+    states = log.filter("item_id is not null")
+    return TJ.as_of_join(log.drop("item_id"), states, [CASE], TS, TS, {ACTIVITY: "state", "item_id": "item"}, tie=[ORDER_KEY]).drop(TS, ACTIVITY)
+
+
+def _after_purchase(s, d) -> DataFrame:
+    """What a user did in the six hours from each purchase on."""
+    events = table(s, d, "events").select("user_id", F.col("ts").alias("at"), "event_type", "value")
+    bought = table(s, d, "events").filter("event_type = 'purchase'").select(
+        "user_id", "event_id", F.col("ts").alias("start"), (F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("end"))
+    pairs = TJ.interval_join(events, bought, ["user_id"], "at", "start", "end", unit_seconds=600)
+    return rounded(pairs.groupBy("user_id", "event_id").agg(
+        F.count(F.lit(1)).alias("events"), F.count(F.when(F.col("event_type") == "error", 1)).alias("errors"), F.max("value").alias("largest")))
+
+
+def _trailing_load(s, d) -> DataFrame:
+    """The load of each event's resource over the day before it; a few resources have all the events."""
+    log = l1(s, d).select(ORDER_KEY, TS, "resource", "value")
+    out = TJ.trailing(log, ["resource"], TS, 86_400, {"events": F.count(F.lit(1)), "total": F.sum("value"), "largest": F.max("value")})
+    return rounded(out.select(ORDER_KEY, "resource", "events", "total", "largest"), 4)
+
+
+def _case_cube(s, d) -> DataFrame:
+    return CU.cube_distinct(l1(s, d), ["event_type", "resource", "segment"])
+
+
+# --- sketches and redundant features ---------------------------------------------------------------------
+
+QUANTILES = {"q10": 0.1, "q50": 0.5, "q90": 0.9, "q99": 0.99}
+
+
+def _sketched(s, d) -> tuple[DataFrame, DataFrame]:
+    """Profiles of weeks from stored sketches of days, and the rows they stand for."""
+    events = table(s, d, "events").withColumn("day", F.datediff("ts", F.lit("2024-01-01")))
+    path = scratch_path(s, "sketches")
+    SK.build_sketches(events, F.col("day"), ["value"], ["user_id", "value"]).write.parquet(path)
+    week = F.floor(F.col("period") / 7).cast("long")
+    profile = SK.sketch_profile(SK.merge_sketches(s.read.parquet(path), week), QUANTILES)
+    return cut_lineage(profile), events.select(F.floor(F.col("day") / 7).cast("long").alias("span"), "user_id", "value")
+
+
+def _sketch_profile(s, d) -> DataFrame:
+    """What sketches keep exactly, and whether distinct counts are within four standard errors of the exact ones."""
+    profile, rows = _sketched(s, d)
+    exact = rows.groupBy("span").agg(F.count_distinct("user_id").alias("user_id"), F.count_distinct("value").alias("value"))
+    exact = exact.unpivot("span", ["user_id", "value"], "column", "exact")
+    close = F.abs(F.col("distinct") - F.col("exact")) <= 1 + 4 * SK.distinct_error() * F.col("exact")
+    return rounded(profile.join(exact, ["span", "column"]).select("span", "column", "rows", "non_null", "smallest", "largest", close.alias("distinct_within")))
+
+
+def _sketch_quantiles(s, d) -> DataFrame:
+    profile, rows = _sketched(s, d)
+    return SK.rank_violations(profile, rows, "value", QUANTILES, SK.rank_error()).groupBy("span").agg(
+        F.count(F.lit(1)).alias("quantiles"), F.count(F.when(~F.col("within"), 1)).alias("violations"))
+
+
+def _redundant(s, d) -> DataFrame:
+    """The dimensions of the vectors and four linear copies of some, one of a copy."""
+    base = table(s, d, "embeddings").select(F.col("vec_id").alias(CASE), F.posexplode("embedding").alias("feature_index", "v"))
+    base = cut_lineage(base.select(CASE, F.col("feature_index").cast("long").alias("feature_index"), F.col("v").cast("double").alias("value")))
+    copies = [(3, 1000, 2.0, 1.0), (3, 1001, -0.5, 0.0), (7, 1002, 10.0, -3.0), (11, 1003, -1.0, 0.25)]
+    cells = base
+    for source, index, a, b in copies:
+        cells = cells.unionByName(base.filter(F.col("feature_index") == source).select(CASE, F.lit(index).cast("long").alias("feature_index"), (F.col("value") * a + b).alias("value")))
+    dictionary = cells.select("feature_index").distinct().select("feature_index", F.concat(F.lit("f"), F.lpad(F.col("feature_index").cast("string"), 4, "0")).alias("feature_name"))
+    return rounded(RD.redundant_features(cells, base.select(CASE).distinct(), dictionary, 0.999))
+
+
 QUERIES = {
     "stream_prefix_features": _stream_features,
     "linear_attribution": _linear,
@@ -118,6 +242,21 @@ QUERIES = {
     "auc_intervals": lambda s, d: rounded(U.auc_intervals(M._windowed(s, d), ["window"])),
     "auc_findings": lambda s, d: rounded(U.auc_changes(M._windowed(s, d), WINDOWS)),
     "auc_model_differences": lambda s, d: rounded(U.auc_differences(_models_by_window(s, d), ["length", "turned"], ["window"]), 5),
+    "exact_forest": lambda s, d: X.predict_exact(_exact(s, d)[1], _exact(s, d)[3]),
+    "exact_forest_structure": lambda s, d: X.exact_structure(_exact(s, d)[1]),
+    "exact_forest_importance": lambda s, d: X.exact_importance(_exact(s, d)[1], _exact(s, d)[0]),
+    "exact_forest_checks": lambda s, d: X.exact_checks(_exact(s, d)[1]),
+    "exact_forest_roots": lambda s, d: _exact(s, d)[1].nodes.filter("depth = 0").select("tree", "cases", "positives"),
+    "exact_root_split": _root_split,
+    "exact_training_errors": _training_errors,
+    "table_difference": _difference,
+    "state_in_force": _state_in_force,
+    "events_after_purchase": _after_purchase,
+    "trailing_load": _trailing_load,
+    "case_cube": _case_cube,
+    "sketch_profile": _sketch_profile,
+    "sketch_quantiles": _sketch_quantiles,
+    "redundant_features": _redundant,
 }
 
 
@@ -204,4 +343,51 @@ SELECT "window", 'length' AS model_a, 'turned' AS model_b, positives, negatives,
   round(difference, 5) AS difference, round(covariance, 5) AS covariance, round(variance, 5) AS variance, round(sqrt(variance), 5) AS standard_error,
   round(greatest(difference - {_Z95} * sqrt(variance), -1), 5) AS "lower", round(least(difference + {_Z95} * sqrt(variance), 1), 5) AS "upper",
   round(difference / sqrt(variance), 5) AS z FROM e""",
+    "exact_forest_checks": "SELECT property, 0::BIGINT AS violations FROM (VALUES "
+        "('leaves_hold_the_root'), ('no_empty_node'), ('no_pure_node_is_split'), ('names_are_unique')) v(property)",
+    "exact_forest_roots": enc(f""", drawn AS (SELECT t.tree, p.case_id, p.target, CAST('0x' || md5('42:' || t.tree || ':' || p.case_id)[1:13] AS BIGINT)::DOUBLE / 16::DOUBLE ** 13 AS u
+  FROM parts p CROSS JOIN (SELECT unnest(range(300)) AS tree) t WHERE split = 'train'),
+counted AS (SELECT tree, target, {" + ".join(f"(u >= {sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))!r})::INT" for k in range(12))} AS w FROM drawn)
+SELECT tree::INT AS tree, sum(w)::BIGINT AS cases, sum(w * target)::BIGINT AS positives FROM counted GROUP BY tree"""),
+    "exact_root_split": enc(""", x AS (SELECT p.case_id, p.target, d.feature_index, coalesce(c.value, 0) AS v
+  FROM parts p CROSS JOIN dict d LEFT JOIN cells c ON c.case_id = p.case_id AND c.source_group = d.source_group AND c.feature_name = d.feature_name
+  WHERE p.split = 'train'),
+g AS (SELECT feature_index, v, count(*) AS n, sum(target) AS p FROM x GROUP BY ALL),
+r AS (SELECT sum(n) OVER w AS ln, sum(p) OVER w AS lp, sum(n) OVER f AS n, sum(p) OVER f AS p FROM g
+  WINDOW w AS (PARTITION BY feature_index ORDER BY v), f AS (PARTITION BY feature_index))
+SELECT max(n)::BIGINT AS cases, max(p)::BIGINT AS positives,
+  round(max((lp * lp + (ln - lp) * (ln - lp)) / ln + ((p - lp) * (p - lp) + (n - ln - p + lp) * (n - ln - p + lp)) / (n - ln)), 6) AS purity
+FROM r WHERE ln < n"""),
+    "exact_training_errors": enc(""", same AS (SELECT count(*) AS n, sum(target) AS p FROM parts JOIN (
+    SELECT case_id, string_agg(namespace || j, '|' ORDER BY namespace) AS s FROM jsons GROUP BY case_id) USING (case_id)
+  WHERE split = 'train' GROUP BY s, segment, """ + ", ".join(_NUM) + """)
+SELECT sum(n)::BIGINT AS cases, sum(least(p, n - p))::BIGINT AS errors FROM same"""),
+    "table_difference": """WITH a AS (SELECT * REPLACE (epoch_us(o_orderdate) AS o_orderdate, round(o_totalprice, 6) AS o_totalprice) FROM orders),
+b AS (SELECT * REPLACE (CASE WHEN o_orderkey % 4000 < 60 AND o_orderkey % 3 = 0 THEN round(o_totalprice + 1, 6) ELSE o_totalprice END AS o_totalprice)
+    FROM a WHERE o_orderkey % 4000 >= 60 OR o_orderkey % 3 <> 1
+  UNION ALL SELECT * REPLACE (-o_orderkey - 1 AS o_orderkey) FROM a WHERE o_orderkey % 4000 < 60 AND o_orderkey % 3 = 2),
+n AS (SELECT *, 'a' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'b' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)),
+c AS (SELECT *, count(*) AS copies FROM n GROUP BY ALL)
+SELECT *, CASE WHEN count(DISTINCT side) OVER (PARTITION BY o_orderkey) = 2 THEN 'changed' WHEN side = 'a' THEN 'removed' ELSE 'added' END AS change FROM c""",
+    "state_in_force": sql.l1_log("""SELECT l.case_id, l.order_key, r.activity AS state, r.item_id AS item
+FROM log l ASOF LEFT JOIN (SELECT case_id, ts, arg_max(activity, order_key) AS activity, arg_max(item_id, order_key) AS item_id
+  FROM log WHERE item_id IS NOT NULL GROUP BY case_id, ts) r ON l.case_id = r.case_id AND l.ts >= r.ts"""),
+    "events_after_purchase": """SELECT b.user_id, b.event_id, count(*) AS events, count(*) FILTER (e.event_type = 'error') AS errors, round(max(e.value), 6) AS largest
+FROM events b JOIN events e ON e.user_id = b.user_id AND e.ts >= b.ts AND e.ts < b.ts + INTERVAL 6 HOURS WHERE b.event_type = 'purchase' GROUP BY ALL""",
+    "trailing_load": sql.l1_log("""SELECT order_key, resource, count(*) OVER w AS events, round(sum(value) OVER w, 4) AS total, max(value) OVER w AS largest
+FROM log WINDOW w AS (PARTITION BY resource ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW)"""),
+    "case_cube": sql.l1_log("""SELECT event_type, resource, segment, grouping_id(event_type, resource, segment)::BIGINT AS grouping_id,
+  count(*) AS rows, count(DISTINCT case_id) AS cases FROM log GROUP BY CUBE (event_type, resource, segment)"""),
+    "sketch_profile": """WITH r AS (SELECT date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 7 AS span, value, user_id FROM events)
+SELECT span, 'value' AS "column", count(*) AS rows, count(value) AS non_null, round(min(value), 6) AS smallest, round(max(value), 6) AS largest,
+  true AS distinct_within FROM r GROUP BY span
+UNION ALL SELECT span, 'user_id', count(*), count(user_id), NULL, NULL, true FROM r GROUP BY span""",
+    "sketch_quantiles": """SELECT date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 7 AS span, 4::BIGINT AS quantiles, 0::BIGINT AS violations
+FROM events GROUP BY span""",
+    "redundant_features": """WITH base AS (SELECT vec_id AS case_id, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
+x AS (SELECT * FROM base UNION ALL SELECT case_id, 1000, 2 * v + 1 FROM base WHERE i = 3 UNION ALL SELECT case_id, 1001, -0.5 * v FROM base WHERE i = 3
+  UNION ALL SELECT case_id, 1002, 10 * v - 3 FROM base WHERE i = 7 UNION ALL SELECT case_id, 1003, 0.25 - v FROM base WHERE i = 11),
+p AS (SELECT a.i AS a, b.i AS b, corr(a.v, b.v) AS r FROM x a JOIN x b ON a.case_id = b.case_id AND a.i < b.i GROUP BY ALL HAVING abs(corr(a.v, b.v)) >= 0.999)
+SELECT 'f' || lpad(b::VARCHAR, 4, '0') AS feature_name, 'f' || lpad(min(a)::VARCHAR, 4, '0') AS earlier_feature, round(arg_min(r, a), 6) AS correlation,
+  'f' || lpad(min(a)::VARCHAR, 4, '0') AS kept_feature FROM p GROUP BY b""",
 }
