@@ -147,53 +147,151 @@ def test_counts_and_base_scores(spark):
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and r.score < 0
 
 
-def test_chunks_do_not_change_counts(spark, monkeypatch):
+def test_chunks_and_ranges_do_not_change_scores(spark, monkeypatch):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
-    whole = {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in lm.score_documents(docs).collect()}
-    spread = {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in lm.score_documents(docs.repartition(7)).collect()}
-    assert whole == spread
-
-
-def test_probabilities_add_up_to_one():
+    whole = {r.doc_id: (r.n_known, round(r.base_score, 6), round(r.score, 2)) for r in lm.score_documents(docs).collect()}
+    monkeypatch.setattr(lm, "RANGE_BYTES", 1 << 14)  # many ranges, and chunks of a few documents
+    monkeypatch.setattr(lm.Sizes, "of", staticmethod(lambda n, of=lm.Sizes.of: lm.Sizes(of(n).rows, 5, of(n).pair_bits)))
+    spread = {r.doc_id: (r.n_known, round(r.base_score, 6), round(r.score, 2)) for r in lm.score_documents(docs.repartition(7)).collect()}
+    assert whole.keys() == spread.keys() and all(abs(whole[i][2] - spread[i][2]) < 0.05 and whole[i][:2] == spread[i][:2] for i in whole)
+
+
+def brute_scores(rows, updates):
+    """The model by dictionaries and plain loops; rows are (id, text)."""
+    sizes = lm.Sizes.of(sum(len((t or "").encode()) for _, t in rows))
+    tokens = {i: [lm.word_hash(w) for w in (*(x.encode() for x in brute.words(t)), lm.END)] for i, t in rows}
+    held = {i: brute.bucket(i, 10) == 0 for i, _ in rows}
+    bucket = {h: int(lm.bucket_of(np.array([h], np.uint64))[0]) for ts in tokens.values() for h in ts}
+    count, pairs, context = Counter(), Counter(), Counter()
+    for i, ts in tokens.items():
+        if not held[i]:
+            count.update(ts)
+            pairs.update(zip([None, *ts], ts))
+            context.update([None, *ts[:-1]])
+    in_bucket, kinds = Counter(), Counter()
+    for h, n in count.items():
+        in_bucket[bucket[h]] += n
+        kinds[bucket[h]] += 1
+    shares = np.array([in_bucket[b] + 1.0 for b in range(256)]).reshape(16, 16)
+    bias1, bias2 = np.log(shares.sum(1) / shares.sum()), np.log(shares / shares.sum(1, keepdims=True))
+    active = {}
+    for i, ts in tokens.items():
+        rows5 = lm.feature_rows(np.array(ts, np.uint64), np.array([0]), sizes.rows)
+        active[i] = [[int(r[t]) for r in rows5] for t in range(len(ts))]
+    w1, w2 = np.zeros((sizes.rows, 16)), np.zeros((sizes.rows, 16))
+
+    def second(r, c):
+        return int(lm._second(np.array([r]), np.array([c]), sizes.rows)[0])
+
+    def softmax(z):
+        e = np.exp(z - z.max())
+        return e / e.sum()
+
+    for step in range(updates):
+        o1, e1, o2, e2 = (np.zeros((sizes.rows, 16)) for _ in range(4))
+        mean2 = np.exp(bias1) @ np.exp(bias2)
+        for i, ts in tokens.items():
+            if held[i]:
+                continue
+            for h, rs in zip(ts, active[i]):
+                c, s = divmod(bucket[h], 16)
+                rs2 = [second(r, c) for r in rs]
+                p1 = softmax(bias1 + sum(w1[r] for r in rs))
+                p2 = softmax(bias2[c] + sum(w2[r] for r in rs2)) if step else mean2
+                for r, r2 in zip(rs, rs2):
+                    o1[r, c] += 1
+                    o2[r2, s] += 1
+                    e1[r] += p1
+                    e2[r2] += p2
+        w1 += np.clip((o1 - e1) / (lm.FEATURES * 0.5 * (e1 + lm.PRIOR)), -1, 1)
+        w2 += np.clip((o2 - e2) / (lm.FEATURES * 0.5 * (e2 + lm.PRIOR)), -1, 1)
+    out = {}
+    for i, ts in tokens.items():
+        total = 0.0
+        for h, before, rs in zip(ts, [None, *ts], active[i]):
+            c, s = divmod(bucket[h], 16)
+            q = softmax(bias1 + sum(w1[r] for r in rs))[c] * softmax(bias2[c] + sum(w2[second(r, c)] for r in rs))[s]
+            q *= (count[h] + 0.1) / (in_bucket[bucket[h]] + 0.1 * (kinds[bucket[h]] + 1))
+            total += math.log10((pairs[before, h] + lm.KAPPA * q) / (context[before] + lm.KAPPA))
+        out[i] = total
+    return out
+
+
+def test_scores_equal_brute_force(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice(["The", "the", "cat", "sat", "é", f"w{rng.randrange(30)}"]) for _ in range(rng.randrange(25)))) for i in range(70)]
+    rows += [(200, None), (201, "new words only here")]
+    for updates in (1, 3):
+        got = {r.doc_id: r.score for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), updates).collect()}
+        want = brute_scores(rows, updates)
+        assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-4, abs_tol=1e-4) for i in want)
+
+
+def test_words_after_any_history_add_up_to_one(spark):
+    """Over all known words and one unseen event a bucket, with pair counts that are there, few and none."""
     rng = np.random.default_rng(3)
-    model = lm.first_model(rng.integers(1, 100, lm.CLASSES**2))
-    model.w1 += rng.normal(0, 1, model.w1.shape).astype(np.float32)
-    model.w2 += rng.normal(0, 1, model.w2.shape).astype(np.float32)
-    words = rng.integers(0, 2**32, 50).astype(np.uint32)
-    rows = lm.feature_rows(words, np.array([0, 20]))
-    for c in range(lm.CLASSES):
-        one, two = model.log_softmax(rows, np.full(50, c))
-        assert np.allclose(np.exp(one).sum(1), 1, atol=1e-4) and np.allclose(np.exp(two).sum(1), 1, atol=1e-4)
+    hashes = np.unique(rng.integers(1, 2**63, 3000).astype(np.uint64))
+    counts = rng.integers(1, 9, len(hashes))
+    bucket = lm.bucket_of(hashes)
+    stats = np.stack([np.bincount(bucket, counts, lm.BUCKETS), np.bincount(bucket, minlength=lm.BUCKETS)]).astype(np.int64)
+    model = lm.first_model(stats[0], 4096)
+    model.w1 += rng.normal(0, 0.5, model.w1.shape).astype(np.float32)
+    model.w2 += rng.normal(0, 0.5, model.w2.shape).astype(np.float32)
+    inside = stats[0] + lm.SMOOTHING * (stats[1] + 1)
+    at = lm.feature_rows(hashes[[5, 6, 7, 8]], np.array([0]), 4096)
+    here = [np.repeat(r[3:], lm.BUCKETS) for r in at]  # the features of one place, for every bucket
+    b = np.arange(lm.BUCKETS)
+    one, two = model.probabilities(here, b // 16)
+    share = one[b, b // 16].astype(float) * two[b, b % 16]
+    known = share[bucket] * (counts + lm.SMOOTHING) / inside[bucket]
+    unseen = share * lm.SMOOTHING / inside
+    assert np.isclose(known.sum() + unseen.sum(), 1, atol=1e-5)
+    n = np.zeros(len(hashes))
+    n[:50] = rng.integers(1, 5, 50)
+    assert np.isclose(((n + lm.KAPPA * known) / (n.sum() + lm.KAPPA)).sum() + (lm.KAPPA * unseen / (n.sum() + lm.KAPPA)).sum(), 1, atol=1e-5)
 
 
 def test_features_do_not_cross_documents():
-    words = np.arange(10, dtype=np.uint32) + 7
-    both, alone = lm.feature_rows(words, np.array([0, 4])), lm.feature_rows(words[4:], np.array([0]))
+    words = np.arange(10, dtype=np.uint64) + np.uint64(7)
+    both, alone = lm.feature_rows(words, np.array([0, 4]), 4096), lm.feature_rows(words[4:], np.array([0]), 4096)
     assert all((b[4:] == a).all() for b, a in zip(both, alone))
+    assert (lm.pair_keys(words, np.array([0, 4]), 40)[4:] == lm.pair_keys(words[4:], np.array([0]), 40)).all()
 
 
-def test_gradient_equals_brute_force():
-    rng = np.random.default_rng(4)
-    model = lm.first_model(rng.integers(1, 50, lm.CLASSES**2))
-    words, starts = rng.integers(0, 6, 40).astype(np.uint32), np.array([0, 15])
-    g = lm.Gradient()
-    g.add(model, words, starts)
-    cls, sub = lm.word_codes(words)
-    rows = lm.feature_rows(words, starts)
-    one, two = model.log_softmax(rows, cls)
-    want = np.zeros((lm.ROWS1, lm.CLASSES))
-    for r in rows:
-        for t in range(len(words)):
-            want[r[t]] -= np.exp(one[t])
-            want[r[t], cls[t]] += 1
-    assert np.allclose(g.diff[0], want, atol=1e-4)
+@pytest.mark.parametrize("top", [0, 1, 255, 256, 2**40, 2**63])
+def test_numbers_keep_their_value_as_bytes(top):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.integers(0, top + 1, 100, dtype=np.uint64), np.array([0, top], np.uint64)])
+    assert (lm.unpack(lm.pack(x)) == x).all() and (lm.unpack_sorted(lm.pack_sorted(np.sort(x))) == np.sort(x)).all()
+    assert len(lm.unpack(lm.pack(x[:0]))) == 0
+
+
+def test_sizes_follow_the_text():
+    small, large = lm.Sizes.of(10**8), lm.Sizes.of(10**11)
+    assert large.rows > 16 * small.rows and 2**large.range_bits >= 500 * 2**small.range_bits and large.pair_bits > small.pair_bits
 
 
 def test_training_helps_held_out_text(spark):
+    """At least 0.3 in log10 a token over words alone, on a small table."""
     rows = lm.score_documents(table(spark, SF, "documents")).where("held_out").collect()
-    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+    assert sum(r.score - r.base_score for r in rows) / sum(r.n_tokens for r in rows) > 0.3
+
+
+def test_ids_are_kept_exactly(spark):
+    ids = [9007199254740993, 9007199254740995, -1152921504606846969, 2**63 - 1, 0, None]
+    docs = spark.createDataFrame([(i, "some words") for i in ids], "doc_id long, text string")
+    assert sorted((r.doc_id for r in lm.score_documents(docs).collect()), key=repr) == sorted(ids, key=repr)
+    named = docs.selectExpr("concat('id ', doc_id) AS doc_id", "text")
+    assert {r.doc_id for r in lm.score_documents(named).collect()} == {None if i is None else f"id {i}" for i in ids}
 
 
 def test_edge_rows(edge_docs, no_docs):
-    assert len(lm.score_documents(edge_docs).collect()) == len(EDGE_TEXTS)
+    clash = edge_docs.selectExpr("*", "'x' AS chunk", "'x' AS ids", "'x' AS held", "'x' AS keys", "'x' AS kind")
+    rows = lm.score_documents(clash).collect()
+    want = sorted(((i, len(brute.words(t)) + 1) for i, t in EDGE_TEXTS), key=repr)
+    assert sorted(((r.doc_id, r.n_tokens) for r in rows), key=repr) == want
+    by_text = {}
+    for r in rows:
+        by_text.setdefault(r.n_tokens, set()).add(round(r.score, 6))
+    assert len(by_text[1]) == 1  # all empty texts score alike
     assert lm.score_documents(no_docs).collect() == []
