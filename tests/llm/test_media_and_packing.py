@@ -125,14 +125,14 @@ def _tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
 
 
 def test_ids_are_the_tokenizers(spark):
     t, encoder = _tokenizer(), packing._encoder(packing.TOKENIZER)
     texts = [x or "" for _, x in EDGE_TEXTS] + ["don't  WE'LL\t\tgo \n\n on<|endoftext|>", "a\x1cb\x85c\xa0d", " lead and trail ", "½²³ 12ab34", "\n" * 500]
+    texts += ["<|endoftext|>", "a <|endoftext|> b<|endoftext|>", "<|endoftext|", "x" * 300_000 + " <|endoftext|>"]
+    assert 50256 in t.encode(texts[-4], add_special_tokens=False).ids
     for x in texts:
         assert encoder.encode(x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), x[:50]
 

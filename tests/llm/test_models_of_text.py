@@ -125,7 +125,19 @@ def test_disguises_fold_to_the_word():
     plain = toxicity.symbols(b"idiot").tolist()
     for other in ("IDIOT", "i.d.i.o.t", "i-d*i_o t".replace(" ", ""), "ìdíot", "i d i o t"):
         assert toxicity.symbols(other.encode()).tolist() == plain, other
+    for other in ("1d10t", "id1ot", "!d1ot".replace("!", "1"), "1D1O7"):
+        assert toxicity.symbols(other.encode()).tolist() == plain, other
     assert toxicity.symbols("two words".encode()).tolist().count(toxicity.SPACE) == 1
+    assert toxicity.symbols("l'idiot d’un".encode()).tolist().count(toxicity.SPACE) == 3
+    assert toxicity.symbols("in 2024, 350 of 10".encode()).tolist() == [*toxicity.symbols("in of".encode()).tolist(), toxicity.SPACE]
+
+
+def test_scripts_are_kept_apart():
+    for other in ("идиот", "ηλίθιος", "日本語", "אידיוט"):
+        s = toxicity.symbols(other.encode()).tolist()
+        assert len(s) >= 3 and set(s) <= set(toxicity.OTHER), other
+    assert toxicity.symbols("😀 — …".encode()).tolist() in ([], [toxicity.SPACE])
+    assert toxicity.symbols("идиот".encode()).tolist() != toxicity.symbols("дурак".encode()).tolist()
 
 
 # ---- language model ----

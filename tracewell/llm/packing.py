@@ -64,14 +64,16 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # texts that hold one of these are left to the tokenizer as a whole
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
         self.merge = self.tokenizer.model.tokenize
         self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         try:
             text.encode("latin-1")
-            plain = not _UNSURE.search(text)
+            plain = not _UNSURE.search(text) and not self.added.search(text)
         except UnicodeEncodeError:
             plain = False
         if not plain:

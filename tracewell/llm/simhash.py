@@ -293,10 +293,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", find=near_duplicates, **how) -> DataFrame:
     """The rows whose id is the smallest of their component; rows equal in id and text count once. All columns stay."""
     groups = find(docs.select(doc_id, text), doc_id, text, **how)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("row").alias("__stay")).distinct()
-    marked = docs.withColumn("__row", F.xxhash64(text_of(F.col(f"`{text}`"))))
-    kept = marked.join(staged(stay, "representatives"), F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__stay")), "left_semi")
-    return kept.dropDuplicates([doc_id, "__row"]).drop("__row")
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id"), F.col("row").alias("stay")).distinct()
+    # the given row as one value: its names stay apart from those used here
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{doc_id}`").alias("given"), F.xxhash64(text_of(F.col(f"`{text}`"))).alias("row"))
+    kept = marked.join(staged(stay, "representatives"), F.col("given").eqNullSafe(F.col("id")) & (F.col("row") == F.col("stay")), "left_semi")
+    return kept.dropDuplicates(["given", "row"]).select("doc.*")
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Toxicity: support vector machine over a subsequence string kernel, with Nystroem landmarks.
 
-Texts are letters (A-Z and accents folded) and one symbol between words, other characters left out. The kernel counts
+Texts are letters and one symbol between words. Latin letters are folded to A-Z; digits and signs that stand for a letter
+count as that letter beside another one; letters of other scripts are four symbols of their own, by their code point; an
+apostrophe after one or two letters parts words; other characters are left out. The kernel counts
 common subsequences of LETTERS letters with up to GAP places from one to the next, each skipped place
 costing a factor DECAY; so "i.d.i.o.t" and "idxiot" share most of what "idiot" has. Landmarks are
 the words that set toxic from clean training texts apart, frequent clean words, and the clean passages
@@ -20,7 +22,9 @@ word that toxic texts share, all scores are 0.
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,31 +51,55 @@ _GROUP = 1 << 21
 _ROWS = 500  # windows handled together in training
 
 
-def _symbol_table() -> np.ndarray:
-    """Symbol of each UTF-8 byte: 1 to 26 letters, 27 other letters, SPACE, 255 left out.
+OTHER = (27, 29, 30, 31)  # letters of other scripts
+_OUT, _LIKE, _APOSTROPHE, _CODES = 255, 64, 128, 0x30000
+# fixed values: letters that Unicode does not take apart, and what is written for a letter
+_WHOLE = {"ß": "s", "æ": "a", "œ": "o", "ø": "o", "đ": "d", "ð": "d", "þ": "t", "ł": "l", "ı": "i", "ħ": "h"}
+_ALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
+
 
-    Lead bytes are removed beforehand; a second byte is read as that of an accented Latin letter.
-    """
-    table = np.full(256, 255, np.uint8)
-    table[[9, 10, 11, 12, 13, 32]] = SPACE
+@cache
+def _symbol_table() -> np.ndarray:
+    """Symbol of each code point: 1 to 26 letters, OTHER ones, SPACE; _LIKE and a letter; _APOSTROPHE; _OUT."""
+    table = np.full(_CODES + 1, _OUT, np.uint8)
+    for code in range(0x80, _CODES):
+        if not 0xD800 <= code < 0xE000 and unicodedata.category(chr(code))[0] == "L":
+            base = unicodedata.normalize("NFKD", chr(code))[0].lower()
+            base = _WHOLE.get(base, base)
+            table[code] = ord(base) - 96 if "a" <= base <= "z" else OTHER[code % len(OTHER)]
     for i in range(26):
         table[65 + i] = table[97 + i] = i + 1
-    table[0x80:0xC0] = 27
-    # fixed values: base letters of U+00C0 to U+00FF
-    base = "aaaaaaaceeeeiiiidnooooo ouuuuyts" * 2
-    for i, ch in enumerate(base):
-        table[0x80 + i] = ord(ch) - 96 if ch != " " else 255
+    table[[9, 10, 11, 12, 13, 32, 0xA0]] = SPACE
+    for sign, letter in _ALIKE.items():
+        table[ord(sign)] = _LIKE + ord(letter) - 96
+    table[[ord("'"), 0x2019]] = _APOSTROPHE
     return table
 
 
-_TABLE = _symbol_table()
+def _between_words(s: np.ndarray) -> np.ndarray:
+    """Apostrophes after one or two letters become spaces, as in l'ami; others go."""
+    for at in np.flatnonzero(s == _APOSTROPHE):
+        before = s[max(0, at - 3) : at]
+        gap = np.flatnonzero(before >= SPACE)  # a space or another apostrophe; letters of other scripts do not matter here
+        letters = len(before) - 1 - gap[-1] if len(gap) else len(before)
+        s[at] = SPACE if 1 <= letters <= 2 else _OUT
+    return s[s != _OUT]
 
 
 def symbols(text: bytes) -> np.ndarray:
     """Folded letters with one SPACE between words; letters that stand alone in a row are one word."""
-    raw = np.frombuffer(text, np.uint8)
-    s = _TABLE[raw[raw < 0xC0]]
-    s = s[s != 255]
+    codes = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), "<u4")
+    s = _symbol_table()[np.minimum(codes, _CODES)]
+    s = s[s != _OUT]
+    if (s == _APOSTROPHE).any():
+        s = _between_words(s)
+    like = s > _LIKE
+    if like.any():
+        for _ in range(2):  # beside a letter, or beside one that stands beside a letter
+            letter = (s < 27) & (s > 0)
+            beside = np.concatenate([letter[1:], [False]]) | np.concatenate([[False], letter[:-1]])
+            s = np.where(like & beside & (s > _LIKE), s - _LIKE, s).astype(np.uint8)
+        s = s[s < _LIKE]
     gap = s == SPACE
     s = s[~gap | ~np.concatenate([[False], gap[:-1]])] if len(s) else s
     if len(s) > 2:
