@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,6 +40,38 @@ def test_copies_and_near_copies_equal_brute_force(spark):
     assert all(got[k][1] == want[k][1] for k in got)
 
 
+def test_long_items_take_few_windows(spark, monkeypatch):
+    """A copy of a 5,000-word item and one with some words changed: work grows with the length, not its square."""
+    rng = random.Random(11)
+    item = [f"w{rng.randrange(20_000)}" for _ in range(5000)]
+    changed = [w if rng.random() < 0.985 else "changed" for w in item]
+    around = [f"v{rng.randrange(20_000)}" for _ in range(5000)]
+    docs = [(1, " ".join(around[:2000] + item + around[2000:])), (2, " ".join(around + changed)), (3, " ".join(around)), (4, " ".join(item[:2000] + around))]
+    built = []
+    real = decontaminate.simhash
+    monkeypatch.setattr(decontaminate, "simhash", lambda df, *a: (built.append(df.count()), real(df, *a))[1])
+    found = _found(spark, docs, [(9, " ".join(item))])
+    grams = [tuple(item[i:i + 5]) for i in range(4996)]
+    same = len(set(grams) & {tuple(changed[i:i + 5]) for i in range(4996)})
+    assert found[1, 9] == (1.0, 2000) and found[2, 9] == (round(same / (2 * 4996 - same), 6), 5000) and set(found) == {(1, 9), (2, 9)}
+    assert max(built) < 3 * decontaminate.GRID
+
+
+@pytest.mark.parametrize("size", [1, 4, 30, 200])
+def test_exact_overlaps_equal_brute_force(spark, size):
+    """Shingles that recur, in documents shorter and longer than the item."""
+    rng = random.Random(size)
+    item = [rng.randrange(12) for _ in range(size)]
+    docs = {i: [rng.randrange(14) for _ in range(rng.choice([1, size, size + 1, 3 * size, 100]))] for i in range(20)}
+    rows = [(d, 0, len(hs), p, 5, h) for d, hs in docs.items() for p, h in enumerate(hs)]
+    shingles = spark.createDataFrame(rows, "doc long, row long, n int, pos int, k int, h long")
+    wanted = spark.createDataFrame([(d, 0, 7, 5, size, h, item.count(h)) for d in docs for h in set(item)], "doc long, row long, item long, k int, m int, h long, times long")
+    got = {r.doc: (round(r.similarity, 9), r.start) for r in decontaminate.exact_overlaps(shingles, wanted).collect()}
+    for d, hs in docs.items():
+        best = max(((lambda o: o / (size + min(size, len(hs)) - o))(sum((Counter(item) & Counter(hs[s:s + size])).values())), -s) for s in range(max(1, len(hs) - size + 1)))
+        assert got.get(d, (0, 0)) == (round(best[0], 9), -best[1]) or best[0] == 0
+
+
 def test_every_pair_within_the_radius_meets(spark):
     """The block index against all pairs of fingerprints."""
     rng = random.Random(4)

@@ -110,6 +110,22 @@ def test_attributes_are_read_by_name():
     assert all(html._label("p", a)[1] for a in gone)
 
 
+def test_names_count_as_a_whole():
+    gone = ["ad-box", "adBox", "cookie-notice", "sidebar", "nav_links", "related-posts", "share-buttons", "newsletter-signup", "top ad-slot", "comments-area"]
+    kept = ["social-history", "related-work", "notice-of-1789", "search-tree", "share-price", "ad-free", "headerless", "commentary", "advertising-law"]
+    assert all(html._label("div", f'class="{c}"')[1] and html._label("section", f"id='{c.split()[-1]}'")[1] for c in gone)
+    assert not any(html._label("div", f'class="{c}"')[1] or html._label("section", f"id='{c}'")[1] for c in kept)
+    assert not any(html._label("h2", f"id='{c.split()[-1]}'")[1] for c in gone + kept)
+
+
+def test_sections_and_headings_with_any_id_keep_their_text(spark):
+    page = ('<article><h2 id="social-history">Social history</h2><p>one {0}</p><section id="related-work"><p>two</p></section><h3 id="comments">On comments</h3>'
+            '<div id="search-tree"><p>three</p></div><p class="share-price">four</p><p>Sum <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here</p>'
+            '<section id="comments"><p>a reader</p></section></article><article class="teaser"><p>other story</p></article>')
+    rows = [(i, "http://ids.org/", page.format(i), "") for i in range(4)]
+    assert _extract(spark, rows) == {i: f"Social history\none {i}\ntwo\nOn comments\nthree\nfour\nSum x=2 here" for i in range(4)}
+
+
 def _words(word, n):
     return " ".join([f"{word}{n}"] * 12)
 

@@ -5,16 +5,19 @@ with fewer words is one shingle). A window has as many shingles as an item (a sh
 window), so a copied item is one whole window. Window and item are compared by weighted Jaccard
 similarity, each shingle weighing its number of occurrences.
 
-1. A window that reaches the similarity holds a known share of shingles of items of its size, so
-   windows with fewer are never built: the document shingles are looked up among the item shingles.
-2. The windows left get a SimHash. 64 bits in BLOCKS blocks: fingerprints within RADIUS bits agree on
-   one block up to RADIUS // BLOCKS bits, and items are filed under all such block values, so every
-   pair within the radius meets.
-3. Pairs within the radius are checked exactly on their shingles.
-
-The radius leaves a margin: at similarity 0.8 two windows differ in about 9.7 of 64 bits (standard
-deviation 2.9), copies in none. The first table is broadcast only after its rows are counted, and
-so is the second; beyond that both joins shuffle. Documents are joined again only where windows are left.
+1. A window that reaches the similarity holds a known share of shingles of items of its size, so windows with
+   fewer are never built: the document shingles are looked up among the item shingles, each one found raises the count of
+   the windows that hold it, and a running sum over these rises and falls gives the runs of windows with enough.
+2. Of each run the fullest window and those at a grid of GRID steps an item get a SimHash (all of them for items of up
+   to GRID shingles); the window that holds an item best is at most half a step away. 64 bits in BLOCKS blocks:
+   fingerprints within RADIUS bits agree on one block up to RADIUS // BLOCKS bits, and items are filed under all
+   such block values, so every pair within the radius meets.
+3. Pairs of a document and an item within the radius are checked exactly, for all windows at once: a shingle counts
+   in the windows that hold it and not too many of the same before it, and a running sum gives every window's overlap.
+
+So work is linear in the length of documents and items. The radius leaves a margin: at similarity 0.8 two windows differ
+in about 9.7 of 64 bits (standard deviation 2.9), copies in none. The first table is broadcast only after its rows
+are counted, and so is the second; beyond that both joins shuffle. Documents are joined again only where windows are left.
 
 Nulls: a null text or item has no words and matches nothing; null ids are kept. Rows that repeat an id
 give one result row if any of them holds the item.
@@ -25,7 +28,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.tables import measured_broadcast
@@ -35,6 +38,7 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 RADIUS = 17
 BLOCKS = 6
+GRID = 32
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -106,11 +110,58 @@ def _probes(windows: DataFrame, blocks: int) -> DataFrame:
     return windows.withColumn("e", F.explode(F.array(*entries))).select("*", "e.block", "e.value").drop("e")
 
 
-def weighted_overlap(a: Column, b: Column) -> Column:
-    """Sum over shingles of the smaller number of occurrences."""
-    def times(h, xs):
-        return F.size(F.filter(xs, lambda x: x == h))
-    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, h: acc + F.least(times(h, a), times(h, b)))
+def _running(events: DataFrame, keys: list[str], end: str) -> DataFrame:
+    """(keys, lo, hi, total): stretches of window starts from `at` to the next event, the last one to `end`, with the sum of the
+    deltas up to there. Groups are as long as one document at most."""
+    summed = events.groupBy(*keys, end, "at").agg(F.sum("delta").alias("delta"))
+    order = Window.partitionBy(*keys).orderBy("at")
+    return summed.select(*keys, F.col("at").alias("lo"), F.coalesce(F.lead("at").over(order) - 1, F.col(end)).alias("hi"), F.sum("delta").over(order).alias("total"))
+
+
+def _rise_and_fall(first: Column, last: Column) -> Column:
+    """One more from `first` on, one less after `last`."""
+    return F.explode(F.array(F.struct(first.alias("at"), F.lit(1).alias("delta")), F.struct((last + 1).alias("at"), F.lit(-1).alias("delta"))))
+
+
+def window_runs(hits: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc, row, k, size, m, lo, hi, best): runs of starts of windows with enough hits, and the first one with most of them.
+
+    `hits` has doc, row, k, size, m, n (shingles of the document) and pos, once for each place of a shingle that items of
+    the size have.
+    """
+    keys = ["doc", "row", "k", "size", "m", "n"]
+    end = F.greatest(F.lit(0), F.col("n") - F.col("m"))
+    first, last = F.greatest(F.lit(0), F.col("pos") - F.col("m") + 1), F.least("pos", end)
+    events = hits.select(*keys, end.alias("end"), _rise_and_fall(first, last).alias("e")).select(*keys, "end", "e.*")
+    enough = F.col("total") * (1 + similarity) >= similarity * (F.col("m") + F.least("m", "n")) - 1e-9
+    full = _running(events, keys, "end").where(enough & (F.col("hi") >= F.col("lo")))
+    order = Window.partitionBy(*keys).orderBy("lo")
+    parted = full.withColumn("new", F.coalesce(F.lag("hi").over(order) + 1 < F.col("lo"), F.lit(True)).cast("int"))
+    runs = parted.withColumn("run", F.sum("new").over(order)).groupBy(*keys, "run").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max_by("lo", F.struct("total", -F.col("lo"))).alias("best"))
+    return runs.drop("run", "n")
+
+
+def exact_overlaps(shingles: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc, row, item, similarity, start): the best weighted similarity over all windows, and the first window that reaches it.
+
+    `shingles` has doc, row, n, pos, k and h; `wanted` has doc, row, item, k, m and h with its `times` in the item.
+    """
+    same = [F.col("s.doc").eqNullSafe(F.col("w.doc")), F.col("s.row") == F.col("w.row"), F.col("s.k") == F.col("w.k"), F.col("s.h") == F.col("w.h")]
+    met = shingles.alias("s").join(wanted.alias("w"), same).select("w.doc", "w.row", "w.item", "w.m", "w.h", "w.times", "s.n", "s.pos")
+    places = met.groupBy("doc", "row", "item", "m", "h", "times", "n").agg(F.sort_array(F.collect_list("pos")).alias("places"))
+    # a place counts in a window that holds it, unless the window holds as many of them before it as the item has
+    before = F.transform("places", lambda p, i: F.struct(p.alias("pos"), F.coalesce(F.when(i >= F.col("times"), F.get(F.col("places"), i - F.col("times").cast("int"))), F.lit(-1)).alias("before")))
+    each = places.select("doc", "row", "item", "m", "n", F.explode(before).alias("p"))
+    end = F.greatest(F.lit(0), F.col("n") - F.col("m"))
+    first, last = F.greatest(F.lit(0), F.col("p.pos") - F.col("m") + 1, F.col("p.before") + 1), F.least("p.pos", end)
+    events = each.where(first <= last).select("doc", "row", "item", "m", "n", end.alias("end"), _rise_and_fall(first, last).alias("e")).select(
+        "doc", "row", "item", "m", "n", "end", "e.*")
+    level = _running(events, ["doc", "row", "item", "m", "n"], "end").where("hi >= lo")
+    value = F.col("total") / (F.col("m") + F.least("m", "n") - F.col("total"))
+    scored = level.withColumn("similarity", value)
+    return scored.groupBy("doc", "row", "item").agg(
+        F.max("similarity").alias("similarity"), F.max_by("lo", F.struct("similarity", -F.col("lo"))).alias("start"))
 
 
 def benchmark_items(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", k: int = SHINGLE_WORDS) -> DataFrame:
@@ -123,7 +174,7 @@ def benchmark_items(benchmark: DataFrame, item_id: str = "item_id", text: str =
 
 def contaminated_windows(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS,
                          blocks: int = BLOCKS, k: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc, row, item, start, similarity): windows of documents that reach the similarity to an item.
+    """(doc, row, item, start, similarity): items that a window of a document reaches the similarity to, with the best window.
 
     `docs` has doc_id and text; `row` is a hash of the text and `start` counts words from 0.
     """
@@ -143,13 +194,14 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, similarity: floa
         hashed = split.select("doc", "row", shingle_hashes(F.col("words"), n).alias("hs"))
         # outer: otherwise a filter on the array's size is pushed below and computes it again
         each = hashed.select("doc", "row", F.size("hs").alias("n"), F.posexplode_outer("hs").alias("pos", "h"))
-        found.append(each.join(grams.where(F.col("k") == n).drop("k"), "h").withColumn("k", F.lit(n)).select("doc", "row", "n", "pos", "k", "size", "m"))
-    hits = reduce(DataFrame.unionByName, found)
-    first, last = F.greatest(F.lit(0), F.col("pos") - F.col("m") + 1), F.least("pos", F.greatest(F.lit(0), F.col("n") - F.col("m")))
-    window = ["doc", "row", "k", "size", "m", "start"]
-    enough = F.col("hits") * (1 + similarity) >= similarity * (F.col("m") + F.least("m", "n")) - 1e-9
-    windows = hits.withColumn("start", F.explode(F.sequence(first, last))).groupBy(*window, "n").agg(F.count("*").alias("hits")).where(enough)
-    per_row = staged(windows.groupBy("doc", "row").agg(F.collect_list(F.struct("k", "size", "m", "start")).alias("windows")), "benchmark-windows")
+        met = each.join(grams.where(F.col("k") == n).drop("k"), "h").withColumn("k", F.lit(n))
+        found.append(met.select("doc", "row", "n", "pos", "k", "size", "m"))
+    runs = window_runs(reduce(DataFrame.unionByName, found), similarity)
+    step = F.greatest(F.lit(1), F.floor(F.col("m") / GRID).cast("int"))
+    from_grid = F.ceil(F.col("lo") / step).cast("int") * step
+    grid = F.when(from_grid <= F.col("hi"), F.sequence(from_grid, F.col("hi"), step)).otherwise(F.array().cast("array<int>"))
+    starts = runs.select("doc", "row", "k", "size", "m", F.explode(F.array_union(F.array("best"), grid)).alias("start"))
+    per_row = staged(starts.groupBy("doc", "row").agg(F.collect_list(F.struct("k", "size", "m", "start")).alias("windows")), "benchmark-windows")
 
     # 2. fingerprints of these windows, and items within the radius
     joined = rows.join(per_row.withColumnRenamed("doc", "d").withColumnRenamed("row", "r"), F.col("doc").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")))
@@ -171,11 +223,17 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, similarity: floa
     near = near.where(F.col("block") == first_block)
 
     # 3. exact similarity
-    checked = near.join(items.select("item", "item_id", "item_hashes"), "item").select(
-        "doc", "row", F.col("item_id").alias("item"), "start", weighted_overlap(F.col("window_hashes"), F.col("item_hashes")).alias("o"),
-        (F.size("window_hashes") + F.size("item_hashes")).alias("both"))
-    return checked.withColumn("similarity", F.col("o") / (F.col("both") - F.col("o"))).where(F.col("similarity") >= similarity).select(
-        "doc", "row", "item", "start", "similarity")
+    pairs = staged(near.select("doc", "row", "item").distinct(), "benchmark-pairs")
+    counts = items.select("item", "k", F.size("item_hashes").alias("m"), F.explode("item_hashes").alias("h")).groupBy("item", "k", "m", "h").agg(F.count("*").alias("times"))
+    wanted = pairs.join(counts, "item")
+    again = rows.join(pairs.select(F.col("doc").alias("d"), F.col("row").alias("r")).distinct(), F.col("doc").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left_semi")
+    again = again.dropDuplicates(["doc", "row"]).select("doc", "row", words_of(F.col("body")).alias("words"))
+    parts = []
+    for n in ks:
+        hashed = again.select("doc", "row", shingle_hashes(F.col("words"), n).alias("hs"))
+        parts.append(hashed.select("doc", "row", F.size("hs").alias("n"), F.lit(n).alias("k"), F.posexplode_outer("hs").alias("pos", "h")))
+    checked = exact_overlaps(reduce(DataFrame.unionByName, parts), wanted).where(F.col("similarity") >= similarity)
+    return checked.join(items.select("item", "item_id"), "item").select("doc", "row", F.col("item_id").alias("item"), "start", "similarity")
 
 
 def leak_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

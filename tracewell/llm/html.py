@@ -9,8 +9,9 @@ third of all pages is split over all tasks. An element keeps at most MAX_KINDS k
 (further ones are told apart by their tag alone), which bounds a wrapper.
 
 Extraction goes by lists and by slots, not by the expression: navigation, headers, footers, asides, forms,
-notices, adverts and comments go by element or by words of class, id and role, one instance at a time; what is
-left inside article or main elements is content. For pages without such an element, slots that hold one short text
+notices, adverts and comments go by element or by names of class, id and role, one instance at a time; a name counts only as
+a whole, so "ad-box" is furniture and "ad-free" is not, and ids of headings do not count. What is left inside article or
+main elements is content. For pages without such an element, slots that hold one short text
 on all of several distinct pages go, and so do slots that are mostly links. An element is a holder if it has most of the
 text of the distinct pages that have the element (the branch they take), and a page's content is the deepest
 holder with most of the page's own text. The order and repetition of groups serve `expression` alone.
@@ -41,16 +42,24 @@ LEAST_PAGES = 3  # distinct pages that show a text to be fixed or an element to
 
 # fixed values: elements of HTML by their part in a page
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object select canvas audio video".split())
+RAW = frozenset("script style noscript template iframe textarea title svg object select canvas audio video".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike "
-    "strong sub sup time tt u var".split())
+    "strong sub sup time tt u var math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd "
+    "mfenced menclose mspace mpadded mphantom mstyle merror semantics annotation".split())
 DROPPED = frozenset("head nav header footer aside form button menu dialog fieldset".split())
 DROPPED_WORDS = frozenset(
     "ad ads advert advertisement advertising adverts sponsor sponsored promo promotion banner sidebar menu nav navbar navigation "
     "breadcrumb breadcrumbs footer header comment comments disqus notice notices alert cookie cookies consent gdpr popup modal overlay "
     "newsletter subscribe subscription signup login share sharing social related recommended widget toolbar pager pagination masthead "
-    "contentinfo complementary search".split())
+    "contentinfo complementary search teaser teasers".split())
+# words that say nothing beside those above; any other word beside them names a subject, as in social-history or ad-free
+NEUTRAL = frozenset(
+    "area articles bar block body bottom box button buttons btn card center col column container content count desktop feed fixed floating "
+    "footer form global grid group header heading holder icon icons inner item items js layout left level link links list main message "
+    "mobile module one outer page panel post posts primary right row secondary section site slot small space static sticky stories "
+    "strip text thread title top two unit view wrap wrapper zone".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset(["article", "main"])
 CLOSED_BY = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
 
@@ -58,24 +67,32 @@ _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]{0,4096}"|'[^']{0,4096}'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<""",
     re.S)
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s"'>][^\s>]*))?""")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+def _is_furniture(name: str) -> bool:
+    """Whether a class name or an id as a whole names page furniture: such words and neutral ones, nothing else."""
+    words = [w for w in re.split(r"[^a-z]+", _CAMEL.sub("-", name).lower()) if w]
+    return any(w in DROPPED_WORDS for w in words) and all(len(w) == 1 or w in DROPPED_WORDS or w in NEUTRAL for w in words)
+
+
 def _label(tag: str, attrs: str) -> tuple[str, bool]:
     """What the element is called in wrappers, and whether it is page furniture.
 
-    Furniture is marked with "!", so it is a kind of its own beside kept elements of the same tag and words.
+    Furniture is marked with "!", so it is a kind of its own beside kept elements of the same tag and words. The id of
+    a heading is made of its text and says nothing about its part in the page.
     """
     words, dropped = [], tag in DROPPED
     for name, value in _ATTR.findall(attrs) if attrs else ():
-        name, value = name.lower(), value.strip("\"'").lower()
+        name, value = name.lower(), value.strip("\"'")
         if name == "style":
             dropped |= bool(_HIDDEN.search(value))
-        elif name == "hidden" or (name == "aria-hidden" and value == "true"):
+        elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             dropped = True
         elif name in ("class", "id", "role"):
-            words += [w for w in re.split(r"[^a-z]+", value) if w]
-    dropped |= any(w in DROPPED_WORDS for w in words)
+            words += [w for w in re.split(r"[^a-z]+", value.lower()) if w]
+            dropped |= not (name == "id" and tag in HEADINGS) and any(map(_is_furniture, value.split()))
     return "!" * dropped + ".".join([tag, *sorted(set(words))[:4]]), dropped
 
 
