@@ -146,7 +146,7 @@ def brute_shapley(f, x, background):
 def test_forest_shapley_equals_brute_force(four):
     df, _ = four
     model = K.fit_forest(df, num_trees=6, max_depth=6)
-    leaves = B.forest_leaves(model)
+    leaves = B.forest_trees(model)
     x = np.array([r.x for r in df.orderBy("case_id").limit(12).collect()])
     rows, bg = x[:4], x[4:]
     got = B.forest_shapley(leaves, 6, rows, bg)
@@ -172,7 +172,7 @@ def test_tree_attribution_adds_up(spark, four):
 
 def test_blocks_do_not_change_values(four, monkeypatch):
     df, _ = four
-    leaves = B.forest_leaves(K.fit_forest(df, num_trees=3, max_depth=5))
+    leaves = B.forest_trees(K.fit_forest(df, num_trees=3, max_depth=5))
     x = np.array([r.x for r in df.collect()])
     whole = B.forest_shapley(leaves, 3, x, x[:20])
     monkeypatch.setattr(B, "ROWS_PER_BLOCK", 7)

@@ -39,25 +39,29 @@ BATCH_TOLERANCE = 1e-9
 
 
 @dataclass
-class Leaves:
-    """All leaves of a forest in flat arrays: leaf i is the box low < x[feature] <= high over the
-    conditions offsets[i] to offsets[i + 1], with a probability per label."""
+class Trees:
+    """The trees of a forest in flat arrays: tree i has the nodes offsets[i] to offsets[i + 1], its root first. A row goes left when
+    its value is at most the threshold; children are places inside the tree, -1 at a leaf, which has a probability per label."""
 
+    left: np.ndarray
+    right: np.ndarray
     features: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
-    offsets: np.ndarray
+    thresholds: np.ndarray
     values: np.ndarray
+    offsets: np.ndarray
 
     def __len__(self) -> int:
-        return len(self.values)
+        return int((self.left < 0).sum())
 
-    def box(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def tree(self, i: int) -> Trees:
         part = slice(self.offsets[i], self.offsets[i + 1])
-        return self.features[part], self.low[part], self.high[part]
+        return Trees(self.left[part], self.right[part], self.features[part], self.thresholds[part], self.values[part], np.array([0, part.stop - part.start]))
+
+    def count(self) -> int:
+        return len(self.offsets) - 1
 
     def arrays(self) -> list[np.ndarray]:
-        return [self.features, self.low, self.high, self.offsets, self.values]
+        return [self.left, self.right, self.features, self.thresholds, self.values, self.offsets]
 
 
 def forest_nodes(model) -> DataFrame:
@@ -73,47 +77,40 @@ def forest_nodes(model) -> DataFrame:
     )
 
 
-def _tree_leaves(nodes: pd.DataFrame) -> pd.DataFrame:
-    """One tree's leaves as packed arrays. Conditions on one feature along a path merge into one
-    interval; a row goes left when its value is at most the threshold."""
+def _packed_tree(nodes: pd.DataFrame) -> pd.DataFrame:
+    """One tree's nodes as packed arrays, in the order of a walk from the root."""
     nodes = nodes.set_index("id")
     left, right, feature, threshold = (nodes[c].to_dict() for c in ("left", "right", "feature", "threshold"))
     stats = nodes["stats"].to_dict()
-    features, low, high, lengths, values = [], [], [], [], []
-    stack = [(0, {})]
+    order, stack = [], [0]
     while stack:
-        node, box = stack.pop()
-        if left[node] < 0:
-            for f in sorted(box):
-                features.append(f)
-                low.append(box[f][0])
-                high.append(box[f][1])
-            lengths.append(len(box))
-            values.append(np.asarray(stats[node]) / sum(stats[node]))
-            continue
-        f, t = feature[node], threshold[node]
-        lo, hi = box.get(f, (-np.inf, np.inf))
-        stack.append((left[node], {**box, f: (lo, min(hi, t))}))
-        stack.append((right[node], {**box, f: (max(lo, t), hi)}))
-    packed = [np.array(features, "<i4"), np.array(low, "<f8"), np.array(high, "<f8"), np.array(lengths, "<i4"), np.array(values, "<f8")]
+        node = stack.pop()
+        order.append(node)
+        if left[node] >= 0:
+            stack += [right[node], left[node]]
+    place = {n: i for i, n in enumerate(order)} | {-1: -1}
+    inner = [left[n] >= 0 for n in order]
+    packed = [
+        np.array([place[left[n]] if i else -1 for n, i in zip(order, inner)], "<i4"), np.array([place[right[n]] if i else -1 for n, i in zip(order, inner)], "<i4"),
+        np.array([feature[n] if i else -1 for n, i in zip(order, inner)], "<i4"), np.array([threshold[n] if i else 0.0 for n, i in zip(order, inner)], "<f8"),
+        np.array([np.asarray(stats[n]) / sum(stats[n]) for n in order], "<f8")]
     return pd.DataFrame({"tree": [int(nodes["tree"].iloc[0])], **{c: [x.tobytes()] for c, x in zip("abcde", packed)}})
 
 
-def forest_leaves(model) -> Leaves:
-    """All leaves of a fitted Spark forest with the probabilities of all labels.
+def forest_trees(model) -> Trees:
+    """All trees of a fitted Spark forest with the probabilities of all labels.
 
-    Executors pack the leaves tree by tree; the size is checked before they come to the driver,
-    where the model is anyway.
+    Executors pack the nodes tree by tree; the size is checked before they come to the driver, where the model is anyway.
     """
     trees = cut_lineage(forest_nodes(model).groupBy("tree").applyInPandas(
-        _tree_leaves, "tree int, a binary, b binary, c binary, d binary, e binary"))
+        _packed_tree, "tree int, a binary, b binary, c binary, d binary, e binary"))
     size = trees.agg(F.sum(sum(F.octet_length(c) for c in "abcde"))).first()[0]
     if size > MAX_EXPLAINER_BYTES:
         raise ContractError(f"forest of {size} bytes, more than {MAX_EXPLAINER_BYTES}")
     rows = trees.orderBy("tree").collect()
-    flat = [np.frombuffer(b"".join(r[c] for r in rows), kind) for c, kind in zip("abcde", ("<i4", "<f8", "<f8", "<i4", "<f8"))]
-    offsets = np.concatenate([[0], np.cumsum(flat[3], dtype=np.int64)])
-    return Leaves(flat[0], flat[1], flat[2], offsets, flat[4].reshape(len(flat[3]), -1))
+    flat = [np.frombuffer(b"".join(r[c] for r in rows), kind) for c, kind in zip("abcde", ("<i4", "<i4", "<i4", "<f8", "<f8"))]
+    offsets = np.concatenate([[0], np.cumsum([len(r["a"]) // 4 for r in rows], dtype=np.int64)])
+    return Trees(*flat[:4], flat[4].reshape(len(flat[0]), -1), offsets)
 
 
 def _shapley_weights(depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,70 +126,118 @@ def _shapley_weights(depth: int) -> tuple[np.ndarray, np.ndarray]:
     return w_in, w_out
 
 
-def _codes(x: np.ndarray, box: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Which path conditions each row meets, as one integer per row; distinct codes first."""
-    features, low, high = box
-    part = x[:, features]
-    met = (part > low) & (part <= high)
-    bits = (met.astype(np.uint64) << np.arange(met.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-    return np.unique(bits, return_inverse=True)
-
-
 def _bits(codes: np.ndarray, d: int) -> np.ndarray:
     return ((codes[:, None] >> np.arange(d, dtype=np.uint64)) & np.uint64(1)).astype(float)
 
 
-def forest_shapley(leaves: Leaves, trees: int, x: np.ndarray, background: np.ndarray) -> np.ndarray:
+@dataclass
+class _Group:
+    """Rows that are still of interest at a node: their places, and for each the conditions of the path that it meets, as bits."""
+
+    rows: np.ndarray
+    codes: np.ndarray
+
+    def below(self, met: np.ndarray, bit: int, again: bool) -> _Group:
+        """After one more condition, on a feature that is new on the path or was met before."""
+        one = np.uint64(1 << bit)
+        return _Group(self.rows, np.where(met, self.codes, self.codes & ~one) if again else self.codes | (met.astype(np.uint64) << np.uint64(bit)))
+
+
+def _partners(x: _Group, background: _Group, full: np.uint64) -> tuple[_Group, _Group] | None:
+    """Without the rows that no row of the other side makes up for: every condition has to be met by one of a pair."""
+    own, own_of = np.unique(x.codes, return_inverse=True)
+    other, other_of = np.unique(background.codes, return_inverse=True)
+    pairs = (own[:, None] | other[None, :]) == full
+    if not pairs.any():
+        return None
+    keep, kept = pairs.any(1), pairs.any(0)
+    if not keep.all():
+        alive = keep[own_of]
+        x = _Group(x.rows[alive], x.codes[alive])
+    if not kept.all():
+        alive = kept[other_of]
+        background = _Group(background.rows[alive], background.codes[alive])
+    return x, background
+
+
+def _leaf_values(x: _Group, background: _Group, d: int, weights: tuple[np.ndarray, np.ndarray], scale: float) -> np.ndarray:
+    """Contributions of the leaf's conditions, rows x conditions, for a leaf of value one."""
+    w_in, w_out = weights
+    row_codes, row_of = np.unique(x.codes, return_inverse=True)
+    bg_codes, bg_of = np.unique(background.codes, return_inverse=True)
+    weight = np.bincount(bg_of) * scale
+    i, j = np.nonzero((row_codes[:, None] | bg_codes[None, :]) == np.uint64((1 << d) - 1))
+    u = np.bitwise_count(row_codes[i] & ~bg_codes[j])
+    v = np.bitwise_count(bg_codes[j] & ~row_codes[i])
+    row_bits, bg_bits = _bits(row_codes, d), _bits(bg_codes, d)
+    # pairs come ordered by row code, so each code's sum does not depend on the other rows
+    first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+    met = i[first]
+    gain = np.add.reduceat((w_in[u, v] * weight[j])[:, None] * (1.0 - bg_bits)[j], first, axis=0)
+    loss = np.add.reduceat((w_out[u, v] * weight[j])[:, None] * bg_bits[j], first, axis=0)
+    per_code = np.zeros((len(row_codes), d))
+    per_code[met] = row_bits[met] * gain - (1.0 - row_bits[met]) * loss
+    return per_code[row_of]
+
+
+def _walk(tree: Trees, x: np.ndarray, background: np.ndarray, weights, scale: float, phi: np.ndarray) -> None:
+    """Adds a tree's contributions to phi (rows x features x labels), by one walk: nodes share the path above them, and rows
+    without a partner are left behind on the way."""
+    every = [_Group(np.arange(len(r)), np.zeros(len(r), np.uint64)) for r in (x, background)]
+    stack = [(0, (), *every)]
+    while stack:
+        node, path, rows, others = stack.pop()
+        if tree.left[node] < 0:
+            if path:
+                found = _leaf_values(rows, others, len(path), weights, scale)
+                at = np.ix_(rows.rows, np.array(path))
+                for k, value in enumerate(tree.values[node]):
+                    if value:
+                        phi[*at, k] += found * value
+            continue
+        f, threshold = int(tree.features[node]), tree.thresholds[node]
+        again = f in path
+        bit = path.index(f) if again else len(path)
+        below = path if again else (*path, f)
+        full = np.uint64((1 << len(below)) - 1)
+        left = [r[g.rows, f] <= threshold for r, g in ((x, rows), (background, others))]
+        for child, met in ((tree.right[node], [~m for m in left]), (tree.left[node], left)):
+            pair = _partners(rows.below(met[0], bit, again), others.below(met[1], bit, again), full)
+            if pair:
+                stack.append((int(child), below, *pair))
+
+
+def forest_shapley(forest: Trees, trees: int, x: np.ndarray, background: np.ndarray) -> np.ndarray:
     """Exact interventional Shapley values, rows x features x labels, averaged over background and
     trees.
 
     For a row and a background row only the conditions met by one and not the other matter: U
     met by the row alone, V by the background alone. A condition met by neither closes the
-    leaf. Rows with the same met conditions share the work, and so do the labels.
+    leaf. Rows with the same met conditions share the work, and so do the labels and the leaves below a node. A condition
+    is all that a path asks of one feature.
     """
     if len(x) > ROWS_PER_BLOCK:
         blocks = [x[i:i + ROWS_PER_BLOCK] for i in range(0, len(x), ROWS_PER_BLOCK)]
-        return np.concatenate([forest_shapley(leaves, trees, b, background) for b in blocks])
-    labels = leaves.values.shape[1]
-    phi = np.zeros((x.shape[0], x.shape[1], labels))
-    w_in, w_out = _shapley_weights(int(np.diff(leaves.offsets).max(initial=0)))
-    scale = 1.0 / (background.shape[0] * trees)
-    for leaf in range(len(leaves)):
-        box = leaves.box(leaf)
-        d = len(box[0])
-        if d == 0:
-            continue
-        full = np.uint64((1 << d) - 1)
-        row_codes, row_of = _codes(x, box)
-        bg_codes, bg_of = _codes(background, box)
-        weight = np.bincount(bg_of) * scale
-        i, j = np.nonzero((row_codes[:, None] | bg_codes[None, :]) == full)
-        if not len(i):
-            continue
-        u = np.bitwise_count(row_codes[i] & ~bg_codes[j])
-        v = np.bitwise_count(bg_codes[j] & ~row_codes[i])
-        row_bits, bg_bits = _bits(row_codes, d), _bits(bg_codes, d)
-        # Pairs come ordered by row code, so each code's sum does not depend on the other rows.
-        first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
-        met = i[first]
-        gain = np.add.reduceat((w_in[u, v] * weight[j])[:, None] * (1.0 - bg_bits)[j], first, axis=0)
-        loss = np.add.reduceat((w_out[u, v] * weight[j])[:, None] * bg_bits[j], first, axis=0)
-        per_code = np.zeros((len(row_codes), d))
-        per_code[met] = row_bits[met] * gain - (1.0 - row_bits[met]) * loss
-        rows = per_code[row_of]
-        for k in range(labels):
-            if leaves.values[leaf, k]:
-                phi[:, box[0], k] += rows * leaves.values[leaf, k]
+        return np.concatenate([forest_shapley(forest, trees, b, background) for b in blocks])
+    phi = np.zeros((x.shape[0], x.shape[1], forest.values.shape[1]))
+    weights = _shapley_weights(min(x.shape[1], 63))
+    for i in range(forest.count()):
+        _walk(forest.tree(i), x, background, weights, 1.0 / (background.shape[0] * trees), phi)
     return phi
 
 
-def forest_probability(leaves: Leaves, trees: int, x: np.ndarray) -> np.ndarray:
+def forest_probability(forest: Trees, trees: int, x: np.ndarray) -> np.ndarray:
     """Probabilities, rows x labels."""
-    out = np.zeros((x.shape[0], leaves.values.shape[1]))
-    for leaf in range(len(leaves)):
-        features, low, high = leaves.box(leaf)
-        part = x[:, features]
-        out += ((part > low) & (part <= high)).all(axis=1)[:, None] * leaves.values[leaf]
+    out = np.zeros((x.shape[0], forest.values.shape[1]))
+    for i in range(forest.count()):
+        tree, at, active = forest.tree(i), np.zeros(len(x), np.int64), np.arange(len(x))
+        while len(active):
+            here = at[active]
+            inner = tree.left[here] >= 0
+            active, here = active[inner], here[inner]
+            goes_left = x[active, tree.features[here]] <= tree.thresholds[here]
+            at[active] = np.where(goes_left, tree.left[here], tree.right[here])
+        out += tree.values[at]
     return out / trees
 
 
@@ -200,7 +245,7 @@ def forest_probability(leaves: Leaves, trees: int, x: np.ndarray) -> np.ndarray:
 class ForestExplainer:
     """A forest and its background, ready to explain rows anywhere."""
 
-    leaves: Leaves
+    leaves: Trees
     trees: int
     background: np.ndarray
 
@@ -211,16 +256,17 @@ class ForestExplainer:
         if rows == 0 or rows * model.numFeatures * 8 > MAX_EXPLAINER_BYTES:
             raise ContractError(f"background of {rows} rows x {model.numFeatures} features is empty or too large")
         b = np.array([r[0] for r in background.select(vector_to_array("features")).collect()])
-        return cls(forest_leaves(model), model.getNumTrees, b)
+        return cls(forest_trees(model), model.getNumTrees, b)
 
     def part(self, index: int, count: int) -> ForestExplainer:
-        """Every count-th leaf: the parts' values add up to the whole forest's."""
+        """Every count-th tree: the parts' values add up to the whole forest's."""
         if count == 1:
             return self
-        e, lengths = self.leaves, np.diff(self.leaves.offsets)[index::count]
-        offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-        at = np.repeat(e.offsets[:-1][index::count] - offsets[:-1], lengths) + np.arange(offsets[-1])
-        return ForestExplainer(Leaves(e.features[at], e.low[at], e.high[at], offsets, e.values[index::count]), self.trees, self.background)
+        chosen = [self.leaves.tree(i) for i in range(index, self.leaves.count(), count)]
+        empty = self.leaves.tree(0) if self.leaves.count() else self.leaves
+        flat = [np.concatenate([getattr(t, n) for t in chosen]) if chosen else getattr(empty, n)[:0] for n in ("left", "right", "features", "thresholds", "values")]
+        offsets = np.concatenate([[0], np.cumsum([t.offsets[-1] for t in chosen], dtype=np.int64)]).astype(np.int64)
+        return ForestExplainer(Trees(*flat, offsets), self.trees, self.background)
 
     @cached_property
     def base_values(self) -> np.ndarray:
@@ -252,7 +298,7 @@ def tree_attribution(
     """(case_id, label, feature, feature_value, shap_value, base_value) for every row of `data` and
     each of `labels`, all from one pass.
 
-    The values are sums over leaves, so few rows are spread by slices of the forest and many
+    The values are sums over trees, so few rows are spread by slices of the forest and many
     rows by blocks; each task holds blocks and one slice. Forest and background travel once
     per executor.
     """
@@ -373,10 +419,9 @@ def _faulty_batches(rows: DataFrame, base: float) -> DataFrame:
 
 
 def _ledger(spark, path: str) -> DataFrame:
+    """The batches that are done; an empty table where no run has been."""
     schema = "batch int, case_count long, fingerprint string, attempt string"
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        return spark.createDataFrame([], schema)
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -266,6 +266,15 @@ def _contracts(s, d):
     return prefix, split, train, test
 
 
+def _finite(s, d):
+    """The training cells as they are, and with values of some cases that are no numbers."""
+    cells = cut_lineage(_encoded(s, d, "linear", "train")[0])
+    case = F.col("case_id")
+    spoilt = cells.withColumn("value", F.when(case % 5 == 0, float("nan")).when(case % 7 == 0, float("-inf")).otherwise(F.col("value")))
+    rows = [N.finite_check(c).select(F.lit(n).alias("table"), "*") for n, c in (("cells", cells), ("spoilt", spoilt))]
+    return rows[0].unionByName(rows[1])
+
+
 QUERIES = {
     # availability
     "case_attr_availability": lambda s, d: rounded(A.case_attr_availability(elog(s, d), L1_STATIC, L1_K)),
@@ -330,7 +339,7 @@ QUERIES = {
     "encode_tree": lambda s, d: rounded(_encoded(s, d, "tree", "test")[0], GAP_DIGITS),
     "matrix_stats": lambda s, d: rounded(N.matrix_stats(*_encoded(s, d, "tree", "train"))),
     "constant_features": lambda s, d: N.constant_features(*_encoded(s, d, "tree", "train")),
-    "finite_check": lambda s, d: N.finite_check(_encoded(s, d, "linear", "train")[0]),
+    "finite_check": _finite,
     # contracts
     "check_required_columns": _stored_columns,
     "check_not_null": lambda s, d: C.check_not_null(l1(s, d), ["case_id", "activity", "ts", "amount"]),
@@ -341,6 +350,7 @@ QUERIES = {
     "check_strict_time_order": _time_order,
     "check_domain": lambda s, d: C.union_checks([
         C.check_domain(l1_cases(s, d).filter("eligible"), "target", values=[0, 1]),
+        _named(C.check_domain(l1_cases(s, d), "target", values=[1]), "all"),
         C.check_domain(l1(s, d), "value", low=0, high=100)]),
     "check_leakage": _leaks,
     "check_counts": _counts,
@@ -661,9 +671,10 @@ SELECT *, round(nonzero_entries / (rows * columns), 6) AS density, round(1 - non
   WHERE split = 'train' AND value <> 0 GROUP BY 1, 2)
 SELECT d.* FROM dict d LEFT JOIN z USING (source_group, feature_name)
 WHERE nnz IS NULL OR (nnz = (SELECT count(*) FROM parts WHERE split = 'train') AND lo = hi)"""),
-    "finite_check": enc(_STATS + """SELECT count(*) AS cells, CAST(0 AS BIGINT) AS nan_cells, CAST(0 AS BIGINT) AS infinite_cells
-FROM cells JOIN dict USING (source_group, feature_name), st WHERE split = 'train' AND CASE feature_name """ + " ".join(
-        f"WHEN '{c}' THEN (value - m_{c}) / s_{c}" for c in _NUM) + " ELSE value END <> 0"),
+    "finite_check": enc(_STATS + """, x AS (SELECT case_id FROM cells JOIN dict USING (source_group, feature_name), st
+  WHERE split = 'train' AND CASE feature_name """ + " ".join(f"WHEN '{c}' THEN (value - m_{c}) / s_{c}" for c in _NUM) + """ ELSE value END <> 0)
+SELECT 'cells' AS "table", count(*) AS cells, CAST(0 AS BIGINT) AS nan_cells, CAST(0 AS BIGINT) AS infinite_cells FROM x
+UNION ALL SELECT 'spoilt', count(*), count(*) FILTER (case_id % 5 = 0), count(*) FILTER (case_id % 5 <> 0 AND case_id % 7 = 0) FROM x"""),
     "check_required_columns": sql.l1("""SELECT * FROM (VALUES ('stored:required_columns', 'PASS', '', ''),
   ('missing:required_columns', 'FAIL', 'outcome', ''),
   ('order:exact_columns', 'FAIL', 'case_id,event_pos,activity', 'activity,case_id,event_pos')) v("check", status, observed, expected)
@@ -673,9 +684,8 @@ FROM (VALUES ('stored'), ('missing'), ('order')) v(c), (SELECT count(*) AS n FRO
   CASE WHEN count(*) FILTER ({c} IS NULL) = 0 THEN 'PASS' ELSE 'FAIL' END AS status,
   CAST(count(*) FILTER ({c} IS NULL) AS VARCHAR) AS observed, '0' AS expected FROM log"""
                                         for c in ("case_id", "activity", "ts", "amount"))),
-    "check_unique": f"""SELECT 'unique:case_id' AS "check", 'PASS' AS status, '0' AS observed, '0' AS expected
-UNION ALL SELECT 'unique:case_id,ts', CASE WHEN x = 0 THEN 'PASS' ELSE 'FAIL' END, CAST(x AS VARCHAR), '0' FROM
-  (SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT o_custkey, o_orderdate FROM orders)) AS x FROM orders)""",
+    "check_unique": sql.l1(_verdict("""SELECT 'unique:case_id' AS c, count(*) - count(DISTINCT case_id) AS x FROM cases
+UNION ALL SELECT 'unique:case_id,ts', count(*) - (SELECT count(*) FROM (SELECT DISTINCT o_custkey, o_orderdate FROM orders)) FROM orders""")),
     "check_disjoint": _L2_SPLIT + _verdict("""SELECT 'disjoint:case_id' AS c, count(*) AS x FROM parts a JOIN parts b
   USING (case_id) WHERE a.split <> b.split
 UNION ALL SELECT 'sixths:disjoint:case_id', count(*) FROM parts WHERE case_id % 6 = 0"""),
@@ -691,9 +701,9 @@ SELECT 'time_order:' || a.p || '<' || b.p AS "check", CASE WHEN a.hi < b.lo THEN
   CAST(a.hi < b.lo AS VARCHAR) AS observed, 'true' AS expected
 FROM (VALUES ('train', 'test'), ('T1', 'T2'), ('T2', 'T3'), ('even', 'odd')) v(x, y)
 JOIN every a ON a.p = v.x JOIN every b ON b.p = v.y""",
-    "check_domain": """SELECT 'domain:target' AS "check", 'PASS' AS status, '0' AS observed, '0' AS expected
-UNION ALL SELECT 'domain:value', CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END, CAST(count(*) AS VARCHAR), '0'
-FROM events WHERE value < 0 OR value > 100""",
+    "check_domain": sql.l1(_verdict("""SELECT 'domain:target' AS c, count(*) FILTER (target IS NULL OR target NOT IN (0, 1)) AS x FROM cases WHERE eligible
+UNION ALL SELECT 'all:domain:target', count(*) FILTER (target IS NULL OR target <> 1) FROM cases
+UNION ALL SELECT 'domain:value', count(*) FILTER (value IS NULL OR value < 0 OR value > 100) FROM events""")),
     "check_leakage": sql.l1(_verdict("""SELECT 'no_outcome_in_prefix' AS c, count(*) FILTER (activity IN ('purchase_hi', 'error_hi')) AS x FROM prefix
 UNION ALL SELECT 'no_future_event', count(*) FILTER (event_pos > 3) FROM prefix
 UNION ALL SELECT 'forbidden_columns_absent', 0
