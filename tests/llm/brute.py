@@ -114,10 +114,6 @@ def bucket(doc_id, m: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % m
 
 
-def sha(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
-
-
 def record(*values) -> str:
     return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
 

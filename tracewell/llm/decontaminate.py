@@ -245,7 +245,7 @@ def leak_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item; all columns stay. Rows are judged one by one."""
-    key = F.xxhash64(text_of(F.col("text")))
-    leaks = contaminated_windows(docs.select("doc_id", "text"), benchmark).select(F.col("doc").alias("__doc"), F.col("row").alias("__row")).distinct()
-    leaks = staged(leaks, "leaks")
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("__doc")) & (key == F.col("__row")), "left_anti")
+    leaks = staged(contaminated_windows(docs.select("doc_id", "text"), benchmark).select(F.col("doc").alias("id"), F.col("row").alias("leak")).distinct(), "leaks")
+    # the given row as one value: its names stay apart from those used here
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"), F.col("doc_id").alias("own"), F.xxhash64(text_of(F.col("text"))).alias("row"))
+    return marked.join(leaks, F.col("own").eqNullSafe(F.col("id")) & (F.col("row") == F.col("leak")), "left_anti").select("given.*")
