@@ -127,3 +127,56 @@ def test_small_inputs(spark, labels):
     r = forest.nodes.collect()
     assert len(r) == 1 and (r[0].cases, r[0].positives, r[0].feature) == (len(labels), sum(labels), None)
     assert {p.y_prob for p in X.predict_exact(forest, _frame(spark, rows)).collect()} == {sum(labels) / len(labels)}
+
+
+def test_nodes_do_not_pass_through_the_driver(spark, monkeypatch):
+    """Scores and importance come from packed trees; a chunk of trees and a block of rows meet in a task."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    df = _frame(spark, _data(200, 5, seed=2))
+    forest = X.fit_exact_forest(df, trees=6, seed=3)
+    want = {r.case_id: r.y_prob for r in X.predict_exact(forest, df).collect()}
+
+    def refuse(self):
+        raise AssertionError("a table came to the driver")
+
+    monkeypatch.setattr(DataFrame, "toPandas", refuse)
+    monkeypatch.setattr(X, "ROWS_PER_BLOCK", 30)
+    monkeypatch.setattr(X, "MAX_SENT_NODES", 100)
+    assert len(X.tree_chunks(forest)) > 2
+    got = {r.case_id: r.y_prob for r in X.predict_exact(forest, df).collect()}
+    assert got.keys() == want.keys() and np.allclose([got[i] for i in want], list(want.values()), atol=1e-12)
+
+
+def test_a_tree_is_grown_a_level_at_a_time(monkeypatch):
+    """Features of a node are ordered once a node, and rows are sorted once a level and candidate."""
+    rng = np.random.default_rng(1)
+    x, y, w = rng.random((3000, 6)), rng.integers(0, 2, 3000), np.ones(3000, np.int64)
+    sorts = []
+    monkeypatch.setattr(X.np, "lexsort", lambda keys, f=np.lexsort: sorts.append(1) or f(keys))
+    levels = list(X.grow(0, 5, 0, x, y, w, 2))
+    inner = sum(int((v["feature"] >= 0).sum()) for v in levels)
+    assert inner > 500 and len(sorts) <= 6 * len(levels)
+
+
+def test_bins_and_depth_bound_a_forest(spark):
+    rows = [(i, int(i * 7 % 10 < 4), Vectors.dense([i / 3, float(i % 3)])) for i in range(900)]
+    df = _frame(spark, rows)
+    forest = X.fit_exact_forest(df, trees=4, seed=1, max_depth=5, bins=16)
+    nodes = forest.nodes.collect()
+    assert max(r.depth for r in nodes) == 5 and {r.property: r.violations for r in X.exact_checks(forest).collect()}["leaves_hold_the_root"] == 0
+    cuts = {f: {r.threshold for r in nodes if r.feature == f} for f in (0, 1)}
+    assert 2 < len(cuts[0]) <= 15 and cuts[1] <= {0.5, 1.5}
+    # a threshold sends the training rows where the grower sent them
+    by = {(r.tree, r.node): r for r in nodes}
+    whole = X.fit_exact_forest(df, trees=1, bootstrap=False, max_depth=3, bins=16)
+    by = {r.node: r for r in whole.nodes.collect()}
+
+    def count(name, part):
+        r = by[name]
+        assert (len(part), sum(y for _, y, _ in part)) == (r.cases, r.positives)
+        if r.feature is not None:
+            count(r.left, [p for p in part if p[2][r.feature] <= r.threshold])
+            count(r.right, [p for p in part if p[2][r.feature] > r.threshold])
+
+    count(X.root_of(42, 0), rows)
