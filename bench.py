@@ -58,7 +58,7 @@ def _models(spark, sf_dir: str) -> tuple[dict, dict]:
     M._both_classes(spark, sf_dir).count()
     spent = time.perf_counter() - start
     return seconds, {"seconds": round(spent, 3), "cases": cases, "seconds_per_case": round(spent / max(cases, 1), 5),
-                     "leaves": len(explainer.leaves), "background_rows": len(explainer.background), "labels": 2}
+                     "leaves": explainer.forest.leaves().count(), "background_rows": len(explainer.background), "labels": 2}
 
 
 def main() -> None:

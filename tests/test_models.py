@@ -245,3 +245,32 @@ def test_refit_and_reload(spark, four):
     assert K.reload_equality(fit(df), scratch_path(spark, "m"), df).first().status == "PASS"
     s = K.forest_structure(fit(df), spark).first()
     assert s.trees == 4 and s.depth_max <= 4 and s.leaves_min >= 2
+
+
+def test_a_stored_forest_is_explained_by_chunks(spark, four, monkeypatch):
+    """The forest stays in a table: no task and no driver holds all trees, and the values still add up."""
+    from tracewell.operators import exact_forest as X
+
+    df, dic = four
+    model = K.fit_stored_forest(df, num_trees=6, max_depth=6)
+    monkeypatch.setattr(X, "MAX_SENT_NODES", 60)
+    monkeypatch.setattr(B, "STORED_BLOCK", 90)
+    e = B.StoredExplainer.build(model, df.limit(20))
+    assert len(X.tree_chunks(model)) > 2
+    both = B.tree_attribution(e, df, dic, labels=(0, 1)).cache()
+    one, other = both.filter("label = 1"), both.filter("label = 0")
+    p = K.predict(model, df)
+    assert both.count() == 300 * 4 * 2 and B.additivity_check(one, p).first().max_error < 1e-9
+    assert B.class_zero_additivity(one, other, p).first().status == "PASS"
+    x = np.array([r.x for r in df.orderBy("case_id").collect()])
+    whole = B.forest_shapley(B._trees(model.packed.toPandas()), 6, x, e.background)
+    got = {(r.case_id, r.feature): r.shap_value for r in one.collect()}
+    names = {r.feature_index: r.feature_name for r in dic.collect()}
+    for i, r in enumerate(df.orderBy("case_id").collect()):
+        assert all(abs(got[r.case_id, names[f]] - whole[i, f, 1]) < 1e-12 for f in range(4))
+    path = scratch_path(spark, "stored")
+    data = df.filter("case_id < 95").withColumn("sample_order", F.col("case_id").cast("long"))
+    rows = B.attribution_batches(e, data, dic, path, 25).collect()
+    assert len(rows) == 95 * 4 and all(abs(r.shap_value - got[r.case_id, r.feature]) < 1e-12 for r in rows)
+    assert {r.status for r in K.refit_equality(lambda d: K.fit_stored_forest(d, 3, 4), df, df, dic).collect()} == {"PASS"}
+    assert K.reload_equality(model, scratch_path(spark, "stored-model"), df).first().status == "PASS"
