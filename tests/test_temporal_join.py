@@ -128,3 +128,19 @@ def test_more_cases_than_a_bitmap_holds(spark):
     df = spark.range(100_000).selectExpr("id AS case_id", "id % 3 AS g", "id % 2 AS h").repartition(2)
     got = {(r.g, r.h): r.cases for r in cube_distinct(df, ["g", "h"]).collect()}
     assert got[None, None] == 100_000 and got[None, 0] == 50_000 and got[0, None] == 33_334 and sum(got[g, h] for g in range(3) for h in range(2)) == 100_000
+
+
+def test_trailing_by_blocks_is_linear_and_equals_range_frames(spark):
+    rows = [(k, t, i, None if i % 5 == 0 else i % 17) for i, (k, t, *_) in enumerate(_events(1500, seed=8, hot=0.7))]
+    df = spark.createDataFrame([(k, None if t is None else at(t), i, v) for k, t, i, v in rows], "k string, ts timestamp, id long, v long")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE e (k VARCHAR, t BIGINT, id BIGINT, v BIGINT)")
+    con.executemany("INSERT INTO e VALUES (?, ?, ?, ?)", rows)
+    for width in (1, 700):
+        out = TJ.trailing(df, ["k"], "ts", width, {"n": F.count("*"), "s": F.sum("v"), "hi": F.max("v"), "lo": F.min("id")}, {"n": "count", "s": "sum", "hi": "max", "lo": "min"})
+        want = con.sql("SELECT id, count(*) OVER w, sum(v) OVER w, max(v) OVER w, min(id) OVER w FROM e "
+                       f"WINDOW w AS (PARTITION BY k ORDER BY t RANGE BETWEEN {width} PRECEDING AND CURRENT ROW)").fetchall()
+        assert {r.id: (r.n, r.s, r.hi, r.lo) for r in out.collect()} == {i: tuple(v) for i, *v in want}
+    # no frame is read anew for each row: all of them begin at the start of a block
+    frames = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in line]
+    assert frames and all("unboundedpreceding" in f and "RangeFrame, -" not in f for f in frames)

@@ -133,14 +133,26 @@ def interval_join(
 
 # --- trailing time -------------------------------------------------------------------------------------------
 
+def _added(a: Column, b: Column) -> Column:
+    return F.coalesce(a + b, a, b)
+
+
+# How values over two parts of the rows make the value over all of them.
+MERGES = {"count": _added, "sum": _added, "max": F.greatest, "min": F.least}
+
+
 def trailing(
-    df: DataFrame, by: Sequence[str], time: str, seconds: float, aggregates: Mapping[str, Column],
+    df: DataFrame, by: Sequence[str], time: str, seconds: float, aggregates: Mapping[str, Column], kinds: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Each row with aggregates over the rows of its key from `seconds` before it up to its own time, rows of the same
     time included, as a RANGE frame has it.
 
     A range of (key, time) also gets the earlier rows that its first moments reach back to: its halo. A row goes
     to as many ranges as the trailing time after it covers. Rows without a time see only each other.
+
+    `kinds` names the aggregates as in MERGES. With all of them named the work is linear in the rows, however many a frame
+    has: time is cut into blocks of the frame's width, so a frame is the beginning of its own block and the end of the one
+    before. Otherwise Spark's sliding frame reads each frame anew.
     """
     by, width = list(by), round(seconds * 1_000_000)
     names = df.columns
@@ -154,5 +166,29 @@ def trailing(
     reach = F.col(_KEY).eqNullSafe(F.col("__first")) & (F.col(_PART) < F.col("__to")) & (F.col(_T) >= F.col("__from") - F.lit(width))
     halo = rows.join(firsts, reach).drop(_PART, "__first", "__from").withColumnRenamed("__to", _PART)
     dealt = rows.withColumn("__own", F.lit(True)).unionByName(halo.withColumn("__own", F.lit(False))).repartitionById(ranges, _PART)
+    if width > 0 and kinds is not None and set(aggregates) <= set(kinds):
+        return _by_blocks(dealt, names, width, aggregates, kinds)
     frame = W.partitionBy(_PART, _KEY).orderBy(_T).rangeBetween(-width, W.currentRow)
     return dealt.select(*names, "__own", *[a.over(frame).alias(n) for n, a in aggregates.items()]).filter("__own").drop("__own")
+
+
+def _by_blocks(dealt: DataFrame, names: Sequence[str], width: int, aggregates: Mapping[str, Column], kinds: Mapping[str, str]) -> DataFrame:
+    """The frames of `trailing` from running values: up to each row in its block, and from each row to the end of its block."""
+    block = "__block"
+    frame = W.partitionBy(_PART, _KEY, block)
+    up = frame.orderBy(_T).rangeBetween(W.unboundedPreceding, W.currentRow)
+    down = frame.orderBy(F.desc(_T)).rangeBetween(W.unboundedPreceding, W.currentRow)
+    state = lambda over: F.struct(*[a.over(over).alias(n) for n, a in aggregates.items()])
+    cut = dealt.withColumn(block, F.floor(F.col(_T) / F.lit(width)).cast("long"))
+    running = cut.withColumn("__head", state(up)).withColumn("__tail", state(down))
+    # a row stands in its block with its tail, and asks at its frame's start in the block before
+    stands = F.struct(F.lit(False).alias("asks"), F.col(block).alias("b"), F.col(_T).alias("t"))
+    asks = F.struct(F.lit(True).alias("asks"), (F.col(block) - 1).alias("b"), (F.col(_T) - F.lit(width)).alias("t"))
+    twice = running.withColumn("__as", F.explode(F.when(F.col("__own"), F.array(stands, asks)).otherwise(F.array(stands))))
+    placed = twice.withColumns({block: F.col("__as.b"), _T: F.col("__as.t"), "__asks": F.col("__as.asks")})
+    # rows of one time have one tail
+    met = F.last(F.when(~F.col("__asks") & F.col(_T).isNotNull(), F.col("__tail")), ignorenulls=True).over(down)
+    found = placed.withColumn("__met", met).filter("__asks")
+    return found.select(*names, *[
+        F.when(F.col("__met").isNull(), F.col(f"__head.{n}")).otherwise(MERGES[kinds[n]](F.col(f"__head.{n}"), F.col(f"__met.{n}"))).alias(n)
+        for n in aggregates])

@@ -183,7 +183,8 @@ def _after_purchase(s, d) -> DataFrame:
 def _trailing_load(s, d) -> DataFrame:
     """The load of each event's resource over the day before it; a few resources have all the events."""
     log = l1(s, d).select(ORDER_KEY, TS, "resource", "value")
-    out = TJ.trailing(log, ["resource"], TS, 86_400, {"events": F.count(F.lit(1)), "total": F.sum("value"), "largest": F.max("value")})
+    out = TJ.trailing(log, ["resource"], TS, 86_400, {"events": F.count(F.lit(1)), "total": F.sum("value"), "largest": F.max("value")},
+                      {"events": "count", "total": "sum", "largest": "max"})
     return rounded(out.select(ORDER_KEY, "resource", "events", "total", "largest"), 4)
 
 
