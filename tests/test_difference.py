@@ -1,3 +1,4 @@
+import json
 import re
 
 import pytest
@@ -64,3 +65,19 @@ def test_empty_tables(spark, tmp_path):
     a = _write(spark, _table(spark, 10).filter("false"), tmp_path, "a")
     b = _write(spark, _table(spark, 3), tmp_path, "b", like=a)
     assert DF.differences(spark, a, a).count() == 0 and DF.differences(spark, a, b).filter("change = 'added'").count() == 3
+
+
+def test_one_row_a_range_comes_to_the_driver(spark, tmp_path, monkeypatch):
+    """The cuts are chosen where the sample is; ranges share tasks."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    seen, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: seen.append(len(rows := collect(self))) or rows)
+    base = _table(spark, 20_000)
+    a = _write(spark, base, tmp_path, "a")
+    ranges = 20_000 // 50
+    assert len(json.loads(a.cuts)) == ranges - 1 and max(seen) < 20 * ranges
+    sizes = [r["row_count"] for r in collect(a.digests(spark).filter("level = 0"))]
+    assert sum(sizes) == 20_000 and len(sizes) == ranges and max(sizes) < 150
+    stored = a.rows(spark).withColumn("f", F.regexp_extract(F.input_file_name(), "part-([0-9]+)", 1))
+    assert stored.select("f").distinct().count() <= 10

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from tracewell.functions.columns import n_rows
 from tracewell.operators.contracts import row_digest
-from tracewell.operators.order import SAMPLED, range_of
+from tracewell.operators.order import SAMPLED, ordered_cumsum, range_of
 from tracewell.session import cut_lineage
 
 FANOUT = 16
@@ -60,9 +60,13 @@ def _choose_cuts(df: DataFrame, keys: Sequence[str], rows_per_range: int) -> str
     rows = narrow.count()
     ranges = -(-rows // rows_per_range)
     sample = narrow.sample(min(1.0, SAMPLED * ranges / max(rows, 1)), 7) if rows > SAMPLED * ranges else narrow
-    ordered = sample.select(*[F.col(k).cast("string").alias(k) for k in keys], F.struct(*keys).alias("__order")).orderBy("__order").collect()
-    step = len(ordered) / max(ranges, 1)
-    cuts = dict.fromkeys(tuple(ordered[int(i * step)][:len(keys)]) for i in range(1, ranges)) if ordered else {}
+    cum = ordered_cumsum(sample, list(keys), {"n": F.lit(1)})
+    step = F.col("total_n") / F.lit(max(ranges, 1))
+    # how many of the places i * step, i = 1 to ranges - 1, come before a row's last and its first place
+    before = lambda place: F.greatest(F.lit(0), F.least(F.lit(ranges - 1), F.ceil(place / step) - 1))
+    chosen = cum.filter(before(F.col("cum_n")) > before(F.col("cum_n") - F.col("n")))
+    # one row a range comes to the driver, not the sample
+    cuts = chosen.orderBy("cum_n").select(*[F.col(k).cast("string").alias(k) for k in keys]).collect()
     return json.dumps([list(c) for c in cuts])
 
 
@@ -75,7 +79,10 @@ def write_version(df: DataFrame, path: str, keys: Sequence[str], like: Version |
     bounds = _literals(df, keys, cuts)
     count = len(bounds) + 1
     placed = df.select(*columns).withColumn(_RANGE, range_of(F.struct(*keys), bounds).cast("int"))
-    placed.repartitionById(count, _RANGE).sortWithinPartitions(*keys).write.partitionBy(_RANGE).parquet(f"{path}/rows")
+    # neighbouring ranges share a task, so tasks follow the rows and not the ranges
+    tasks = min(count, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS_PER_RANGE)))
+    task = F.floor(F.col(_RANGE).cast("long") * tasks / count).cast("int")
+    placed.withColumn("__task", task).repartitionById(tasks, "__task").drop("__task").sortWithinPartitions(_RANGE, *keys).write.partitionBy(_RANGE).parquet(f"{path}/rows")
     digest = row_digest(columns)
     part = lambda i: F.sum(F.conv(F.substring("d", 1 + 12 * i, 12), 16, 10).cast("decimal(20,0)")).cast("string")
     stored = spark.read.schema(placed.schema).parquet(f"{path}/rows")
