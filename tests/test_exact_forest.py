@@ -180,3 +180,31 @@ def test_bins_and_depth_bound_a_forest(spark):
             count(r.right, [p for p in part if p[2][r.feature] > r.threshold])
 
     count(X.root_of(42, 0), rows)
+
+
+def test_a_draw_takes_one_hash(spark):
+    from pyspark.sql import functions as F
+
+    assert str(X.bootstrap_count(F.col("case_id"), F.col("t"), 1)).count("md5") == 1
+
+
+def test_rows_go_to_a_task_and_not_to_each_tree(spark, monkeypatch):
+    """Rows sent to the growers of small forests, in multiples of the table, and the trees they make."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    df, sent = _frame(spark, _data(100, 5, seed=6)), []
+    monkeypatch.setattr(DataFrame, "repartitionById", lambda self, n, *c, f=DataFrame.repartitionById: sent.append((n, self.count())) or f(self, n, *c))
+    forest = X.fit_exact_forest(df, trees=100, seed=3)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    assert len(sent) == 1 and sent[0][0] <= tasks < 50 and sent[0][1] == 100 * sent[0][0]
+    assert forest.nodes.select("tree").distinct().count() == 100
+
+
+@pytest.mark.parametrize("dense", [0, 1, 8])
+def test_counted_and_sorted_values_give_one_tree(monkeypatch, dense):
+    rng = np.random.default_rng(2)
+    x = np.stack([rng.integers(0, k, 500) / 3 for k in (2, 5, 60, 10**6)], axis=1)
+    y, w = rng.integers(0, 2, 500), rng.integers(0, 3, 500)
+    want = [{k: np.asarray(v).tolist() for k, v in level.items() if k != "threshold"} for level in X.grow(0, 5, 0, x[w > 0], y[w > 0], w[w > 0], 2)]
+    monkeypatch.setattr(X, "DENSE", dense)
+    assert [{k: np.asarray(v).tolist() for k, v in level.items() if k != "threshold"} for level in X.grow(0, 5, 0, x, y, w, 2)] == want

@@ -24,6 +24,8 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,12 +44,13 @@ MAX_WIDE_NODES = 1_000_000
 MAX_SENT_NODES = 1_000_000
 ROWS_PER_BLOCK = 100_000
 MAX_TASKS = 20_000
+# A node's values are counted if it has at most so many possible ones a row, else sorted.
+DENSE = 8
 NODES = ("tree int, node long, depth int, cases long, positives long, feature int, threshold double, left long, right long")
+_NODES = pa.schema([(f.split()[0], {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}[f.split()[1]]) for f in NODES.split(", ")])
 
 
 def _hash(text: str) -> int:
-    import xxhash
-
     h = xxhash.xxh64_intdigest(text, seed=42)
     return h - (1 << 64) if h >> 63 else h
 
@@ -60,20 +63,20 @@ def child_of(node: int, side: int) -> int:
     return _hash(f"{node}/{side}")
 
 
-def feature_order(node: int, features: int) -> np.ndarray:
-    """The order in which a node looks at the features."""
-    return np.argsort(np.array([_hash(f"{node}:{f}") for f in range(features)]), kind="stable")
+def feature_orders(nodes: Sequence[int], features: int) -> np.ndarray:
+    """The order in which each node looks at the features, a row a node."""
+    digest, numbers = xxhash.xxh64_intdigest, [str(f) for f in range(features)]
+    hashes = np.fromiter((digest(name + f, 42) for name in (f"{int(n)}:" for n in nodes) for f in numbers), np.uint64, len(nodes) * features)
+    return np.argsort(hashes.view(np.int64).reshape(len(nodes), features), axis=1, kind="stable")
 
 
 def bootstrap_count(case: Column, tree: Column, seed: int) -> Column:
     """How often a case counts in a tree: Poisson of mean one by a uniform number from the md5 of seed, tree and case."""
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), tree.cast("string"), case.cast("string")))
     uniform = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(16**13)
-    count, total = F.lit(0), 0.0
-    for k in range(12):
-        total += math.exp(-1) / math.factorial(k)
-        count = count + (uniform >= total).cast("int")
-    return count
+    totals = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)]).tolist()
+    # the number is bound to a name, else every comparison would take its md5 anew
+    return F.get(F.transform(F.array(uniform), lambda u: sum(((u >= t).cast("int") for t in totals), F.lit(0))), 0)
 
 
 # --- one node in one task ----------------------------------------------------------------------
@@ -90,45 +93,101 @@ def _midpoint(low: float, high: float) -> float:
     return low if middle >= high or not math.isfinite(middle) else middle
 
 
-def _level_splits(at: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, orders: np.ndarray, n: np.ndarray, pos: np.ndarray, candidates: int):
+@dataclass
+class _Ranked:
+    """A table of rows with each value as its place among the distinct values of its feature: those of feature f start at first[f]."""
+
+    ranks: np.ndarray
+    values: np.ndarray
+    first: np.ndarray
+    distinct: np.ndarray
+
+    @classmethod
+    def of(cls, parts: Sequence[np.ndarray]) -> _Ranked:
+        """Of the rows of all parts, rows x features."""
+        width = parts[0].shape[1]
+        ranks, values = np.empty((sum(map(len, parts)), width), np.int32), []
+        for f in range(width):
+            found, ranks[:, f] = np.unique(np.concatenate([p[:, f] for p in parts]), return_inverse=True)
+            values.append(found)
+        distinct = np.array([len(v) for v in values])
+        return cls(ranks, np.concatenate(values), np.cumsum(distinct) - distinct, distinct)
+
+    def value(self, feature: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        return self.values[self.first[feature] + rank]
+
+
+def _sums(at: np.ndarray, own: np.ndarray, w: np.ndarray, wy: np.ndarray, distinct: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(node, rank, weight, positive weight) of each value that occurs in a node, in order. A node has `distinct` possible values."""
+    base = np.cumsum(distinct) - distinct
+    key = base[at] + own
+    if distinct.sum() <= DENSE * len(at):
+        n = np.bincount(key, w, int(distinct.sum()))
+        met = np.flatnonzero(n)
+        n, p = n[met], np.bincount(key, wy, int(distinct.sum()))[met]
+    else:
+        by = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(key[by]) > 0])
+        met, n, p = key[by[first]], np.add.reduceat(w[by], first).astype(float), np.add.reduceat(wy[by], first).astype(float)
+    node = np.searchsorted(base, met, "right") - 1
+    return node, met - base[node], n, p
+
+
+def _level_splits(at: np.ndarray, rows: np.ndarray, table: _Ranked, y: np.ndarray, w: np.ndarray, orders: np.ndarray, n: np.ndarray, pos: np.ndarray, candidates: int):
     """The splits of many nodes at once: (feature or -1, low, high) by node, -1 where all features are constant. `at` is the node of a row, `orders` a row a node."""
     nodes, width = orders.shape
     gains, feature = np.full(nodes, -np.inf), np.full(nodes, -1)
     low, high = np.zeros(nodes), np.zeros(nodes)
+    wy = w * y
     for rank in range(width):
         if rank >= candidates:
             open_ = feature < 0
             if not open_.any():
                 break
             keep = open_[at]
-            at, x, y, w = at[keep], x[keep], y[keep], w[keep]
-        v = x[np.arange(len(at)), orders[at, rank]]
-        by = np.lexsort((v, at))
-        v, a = v[by], at[by]
-        last = np.flatnonzero((v[1:] > v[:-1]) & (a[1:] == a[:-1]))  # of each distinct value but a node's greatest
-        if not len(last):
-            continue
-        begin = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-        own = a[last]
-        sums = []
-        for total in (np.cumsum(w[by]), np.cumsum((w * y)[by])):
-            before = np.zeros(nodes, total.dtype)
-            before[a[begin]] = np.r_[0, total[begin[1:] - 1]]
-            sums.append((total[last] - before[own]).astype(float))
-        gain = _gain(*sums, n[own], pos[own])
-        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        most = np.maximum.reduceat(gain, first)
-        place = np.where(gain == np.repeat(most, np.diff(np.r_[first, len(own)])), np.arange(len(own)), len(own))
-        i, who = last[np.minimum.reduceat(place, first)], own[first]
-        better = most > gains[who]
-        i, who = i[better], who[better]
-        gains[who], feature[who], low[who], high[who] = most[better], orders[who, rank], v[i], v[i + 1]
+            at, rows, w, wy = at[keep], rows[keep], w[keep], wy[keep]
+        looked = orders[:, rank]
+        distinct = table.distinct[looked]
+        # nodes with few rows for their values are sorted, the others counted
+        counted = distinct <= DENSE * np.bincount(at, minlength=nodes)
+        for some in (counted, ~counted):
+            inside = some[at]
+            if not inside.any():
+                continue
+            which, part = np.flatnonzero(some), rows[inside]
+            slot = (np.cumsum(some) - 1)[at[inside]]
+            own = table.ranks[part, looked[which][slot]]
+            a, r, left, left_pos = _sums(slot, own, w[inside], wy[inside], distinct[which])
+            a = which[a]
+            last = np.flatnonzero(a[1:] == a[:-1])  # each distinct value but a node's greatest
+            if not len(last):
+                continue
+            begin = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+            of = a[last]
+            sums = []
+            for total in (np.cumsum(left), np.cumsum(left_pos)):
+                before = np.zeros(nodes)
+                before[a[begin]] = np.r_[0, total[begin[1:] - 1]]
+                sums.append(total[last] - before[of])
+            gain = _gain(*sums, n[of], pos[of])
+            first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            most = np.maximum.reduceat(gain, first)
+            place = np.where(gain == np.repeat(most, np.diff(np.r_[first, len(of)])), np.arange(len(of)), len(of))
+            i, who = last[np.minimum.reduceat(place, first)], of[first]
+            better = most > gains[who]
+            i, who = i[better], who[better]
+            f = looked[who]
+            gains[who], feature[who], low[who], high[who] = most[better], f, table.value(f, r[i]), table.value(f, r[i + 1])
     return feature, low, high
 
 
-def grow(tree: int, node: int, depth: int, x: np.ndarray, y: np.ndarray, w: np.ndarray, candidates: int, max_depth: int | None = None) -> Iterator[dict]:
-    """The nodes below and including one, a level at a time, as columns of NODES; a leaf has feature -1."""
-    names, rows, at = np.array([node], np.int64), np.arange(len(y)), np.zeros(len(y), np.int64)
+def grow(
+    tree: int, node: int, depth: int, x: np.ndarray | _Ranked, y: np.ndarray, w: np.ndarray, candidates: int, max_depth: int | None = None,
+) -> Iterator[dict]:
+    """The nodes below and including one, a level at a time, as columns of NODES; a leaf has feature -1. Rows of weight zero are not in it."""
+    table = x if isinstance(x, _Ranked) else _Ranked.of([x])
+    names, rows = np.array([node], np.int64), np.flatnonzero(w)
+    at, width = np.zeros(len(rows), np.int64), len(table.distinct)
     while len(names):
         yr, wr = y[rows], w[rows]
         n, pos = np.bincount(at, wr, len(names)), np.bincount(at, wr * yr, len(names))
@@ -136,9 +195,8 @@ def grow(tree: int, node: int, depth: int, x: np.ndarray, y: np.ndarray, w: np.n
         mixed = (pos > 0) & (pos < n) & (max_depth is None or depth < max_depth)
         if mixed.any():
             keep, slot = mixed[at], np.cumsum(mixed) - 1
-            orders = np.array([feature_order(int(name), x.shape[1]) for name in names[mixed]])
-            part = rows[keep]
-            found, low, high = _level_splits(slot[at[keep]], x[part], yr[keep], wr[keep], orders, n[mixed], pos[mixed], candidates)
+            orders = feature_orders(names[mixed].tolist(), width)
+            found, low, high = _level_splits(slot[at[keep]], rows[keep], table, yr[keep], wr[keep], orders, n[mixed], pos[mixed], candidates)
             middle = low / 2 + high / 2
             feature[mixed], threshold[mixed] = found, np.where((middle >= high) | ~np.isfinite(middle), low, middle)
         split = feature >= 0
@@ -147,27 +205,56 @@ def grow(tree: int, node: int, depth: int, x: np.ndarray, y: np.ndarray, w: np.n
                "threshold": np.where(split, threshold, np.nan), "left": sides[0], "right": sides[1]}
         keep, slot = split[at], np.cumsum(split) - 1
         rows, at = rows[keep], at[keep]
-        at = 2 * slot[at] + (x[rows, feature[at]] > threshold[at])
+        f = feature[at]
+        at = 2 * slot[at] + (table.value(f, table.ranks[rows, f]) > threshold[at])
         names, depth = np.stack(sides, axis=1)[split].ravel(), depth + 1
 
 
+def _grown(*given) -> pd.DataFrame:
+    """The nodes of `grow` as a table; what a leaf lacks is null."""
+    out = pd.concat([pd.DataFrame(level) for level in grow(*given)])
+    leaf = (out["feature"] < 0).to_numpy()
+    for c in ("feature", "left", "right"):
+        out[c] = pd.array(out[c], "Int64")
+        out.loc[leaf, c] = pd.NA
+    out["threshold"] = pd.arrays.FloatingArray(out["threshold"].to_numpy(float), leaf)
+    return out
+
+
 def _grow_group(candidates: int, max_depth: int | None):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]
         x, y, w = np.stack(pdf["x"].to_list()), pdf["y"].to_numpy(np.int64), pdf["w"].to_numpy(np.int64)
         name = int(first["tree"]), int(first["node"]), int(first["depth"])
         del pdf
-        out = pd.concat([pd.DataFrame(level) for level in grow(*name, x, y, w, candidates, max_depth)])
-        leaf = (out["feature"] < 0).to_numpy()
-        for c in ("feature", "left", "right"):
-            out[c] = pd.array(out[c], "Int64")
-            out.loc[leaf, c] = pd.NA
-        out["threshold"] = pd.arrays.FloatingArray(out["threshold"].to_numpy(float), leaf)
-        return out
+        return _grown(*name, x, y, w, candidates, max_depth)
 
     return run
 
 
+def _grow_whole(rows: DataFrame, roots: Sequence[tuple[int, int]], candidates: int, max_depth: int | None, tasks: int) -> DataFrame:
+    """The nodes of whole trees, (tree, root) in `roots`, several in a task: the rows (x, y, counts by tree) go once to a task and not to each tree."""
+    size = -(-len(roots) // tasks)
+    chunks = [roots[i : i + size] for i in range(0, len(roots), size)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        chunk = chunks[held[0].column(0)[0].as_py()]
+        flat = lambda c: [b.column(c).flatten().to_numpy().reshape(b.num_rows, -1) for b in held]
+        y = np.concatenate([b.column(2).to_numpy() for b in held]).astype(np.int64)
+        counts, table = np.concatenate(flat(3)), _Ranked.of(flat(1))
+        del held
+        for i, (tree, root) in enumerate(chunk):
+            nodes = _grown(tree, root, 0, table, y, counts[:, i].astype(np.int64), candidates, max_depth)
+            yield pa.RecordBatch.from_pandas(nodes, _NODES, preserve_index=False)
+
+    numbers = [F.array(*[F.get(F.col("counts"), F.lit(tree)) for tree, _ in chunk]) for chunk in chunks]
+    dealt = F.explode(F.array(*[F.struct(F.lit(i).alias("chunk"), c.alias("counts")) for i, c in enumerate(numbers)])).alias("d")
+    return rows.select("x", "y", dealt).select("d.chunk", "x", "y", "d.counts").repartitionById(len(chunks), "chunk").mapInArrow(run, NODES)
+
+
 # --- wide nodes ------------------------------------------------------------------------------------
 
 @dataclass
@@ -260,25 +347,28 @@ def fit_exact_forest(
     cuts = _bin_cuts(train, features, bins) if bins else None
     candidates = candidates or max(1, math.isqrt(features))
     local_rows = local_rows or max(1, LOCAL_CELLS // features)
-    number = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-    drawn = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
-        t.alias("slot"), t.alias("tree"), F.lit(None).cast("long").alias("node"), F.lit(0).alias("depth"),
-        (bootstrap_count(F.col(CASE), t, seed) if bootstrap else F.lit(1)).alias("w")))
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: bootstrap_count(F.col(CASE), t, seed) if bootstrap else F.lit(1))
     vector = vector_to_array("features") if cuts is None else _binned(vector_to_array("features"), F.col("cuts"))
     given = train if cuts is None else train.withColumn("cuts", _listed(spark, [(c,) for c in cuts], "values array<double>"))
-    rows = cut_lineage(given.select(
-        vector.alias("x"), F.col(target).cast("int").alias("y"), F.filter(drawn, lambda t: t["w"] > 0).alias("tags")))
-    sums = {r["tree"]: r for r in rows.select("y", F.explode("tags").alias("t")).groupBy("t.tree").agg(
-        F.sum("t.w").alias("n"), F.sum(F.col("t.w") * F.col("y")).alias("p")).collect()}
+    rows = cut_lineage(given.select(vector.alias("x"), F.col(target).cast("int").alias("y"), drawn.alias("counts")))
+    sums = {r["tree"]: r for r in rows.select("y", F.posexplode("counts").alias("tree", "w")).filter("w > 0").groupBy("tree").agg(
+        F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("p")).collect()}
     level = [_Wide(t, root_of(seed, t), 0, sums[t]["n"] if t in sums else 0, sums[t]["p"] if t in sums else 0) for t in range(trees)]
     # the first step sorts the roots into wide ones, small ones and leaves
     done: list[tuple] = []
     plan, level = _dispatch(level, local_rows, done, max_depth)
-    rows = _moved(rows, [(None, None, p, p) for p in plan])
+    # a number of its own: small rows are much work, so tasks are not merged by their bytes
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    whole = [(tree, node) for tree, (slot, node, _) in enumerate(plan) if slot == -1] if not level else []
+    if level:
+        tags = F.filter(F.transform("counts", lambda w, t: F.struct(
+            t.alias("slot"), t.alias("tree"), F.lit(None).cast("long").alias("node"), F.lit(0).alias("depth"), w.alias("w"))), lambda t: t["w"] > 0)
+        rows = _moved(rows.select("x", "y", tags.alias("tags")), [(None, None, p, p) for p in plan])
+    wide = bool(level)
     while level:
         if len(level) > MAX_WIDE_NODES:
             raise ContractError(f"{len(level)} wide nodes in a level, more than {MAX_WIDE_NODES}; raise local_rows")
-        orders = [feature_order(w.node, features).tolist() for w in level]
+        orders = feature_orders([w.node for w in level], features).tolist()
         splits = _wide_splits(rows, [o[:candidates] for o in orders], False)
         rest = [[] if i in splits else o[candidates:] for i, o in enumerate(orders)]
         splits |= _wide_splits(rows, rest, True)
@@ -297,11 +387,12 @@ def fit_exact_forest(
         plan, level = _dispatch(children, local_rows, done, max_depth)
         ended = (-2, None, 0)
         rows = _moved(rows, [(f, t, plan[a] if a >= 0 else ended, plan[b] if b >= 0 else ended) for f, t, a, b in moves])
-    small = rows.select("x", "y", F.explode("tags").alias("t")).select("x", "y", "t.tree", "t.node", "t.depth", "t.w")
-    # a number of its own: small rows are much work, so tasks are not merged by their bytes
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
-    grown = small.repartition(tasks, "tree", "node").groupBy("tree", "node").applyInPandas(_grow_group(candidates, max_depth), NODES)
-    nodes = grown.unionByName(spark.createDataFrame(done, NODES))
+    nodes = spark.createDataFrame(done, NODES)
+    if wide:
+        small = rows.select("x", "y", F.explode("tags").alias("t")).select("x", "y", "t.tree", "t.node", "t.depth", "t.w")
+        nodes = nodes.unionByName(small.repartition(tasks, "tree", "node").groupBy("tree", "node").applyInPandas(_grow_group(candidates, max_depth), NODES))
+    elif whole:
+        nodes = nodes.unionByName(_grow_whole(rows, whole, candidates, max_depth, tasks))
     if cuts is not None:  # a threshold between two bins is the cut above the lower one
         table = _listed(spark, [(c,) for c in cuts], "values array<double>")
         cut = F.get(F.get(F.col("cuts"), F.col("feature"))["values"], F.floor("threshold").cast("int"))
