@@ -132,3 +132,13 @@ def test_tables_are_scanned_at_most_twice(spark):
     for name, table in (("feature_table_checks", "events"), ("distribution_reconcile", "orders"), ("window_metrics", "documents"),
                         ("prefix_summary", "events"), ("future_suffix", "events"), ("check_close", "documents")):
         assert _scans(q[name](spark, SF), table) <= 2, name
+
+
+def test_the_models_share_one_split(spark, monkeypatch):
+    """The case features are built once for a fit and for what is checked against it."""
+    from tracewell.plans import registry
+
+    made = []
+    monkeypatch.setattr(Q, "case_features", lambda s, d, f=Q.case_features: made.append(d) or f(s, d))
+    rows = {r.against: r for r in registry.queries()["linear_additivity"](spark, SF + "/.").collect()}
+    assert len(made) == 1 and rows["model"].above_1e_09 == 0 and rows["moved"].above_1e_09 > 0

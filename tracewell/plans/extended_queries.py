@@ -20,7 +20,7 @@ from tracewell.operators import temporal_join as TJ
 from tracewell.operators import uncertainty as U
 from tracewell.plans import model_queries as M
 from tracewell.plans import sql
-from tracewell.plans.feature_queries import ENCODE, FEATURES, GAP_DIGITS, _NUM, _STATS, _encoded, enc, split_features
+from tracewell.plans.feature_queries import ENCODE, FEATURES, GAP_DIGITS, _NUM, _STATS, _encoded, enc
 from tracewell.plans.tables import L1_K, WINDOWS, l1, table
 from tracewell.session import cut_lineage, scratch_path
 from tracewell.spec import ACTIVITY, CASE, ORDER_KEY, TS
@@ -68,8 +68,7 @@ INTERCEPT = 0.25
 
 def _stored_coefficients(s, d):
     """(explainer, test cells, test cases): a written coefficient table, the difference of class means per feature."""
-    train, test = (cut_lineage(x) for x in split_features(s, d))
-    dictionary = N.frozen_dictionary(N.vocabulary_fit(train, ENCODE))
+    dictionary, train, test = M._encoded_split(s, d)
     cells = cut_lineage(N.encode_linear(train, train, dictionary, ENCODE))
     sizes = {r["target"]: r["n"] for r in train.groupBy("target").agg(F.count("*").alias("n")).collect()}
     of = lambda t: F.coalesce(F.sum(F.when(F.col("target") == t, F.col("value"))), F.lit(0.0)) / max(sizes.get(t, 0), 1)
@@ -96,9 +95,9 @@ def _linear_importance(s, d) -> DataFrame:
 
 def _linear_additivity(s, d) -> DataFrame:
     """Of the fitted logistic model: rebuilt from its coefficients, and against probabilities moved for every third case."""
-    dictionary, model, _, _ = M._logistic(s, d)
-    train, test = (cut_lineage(x) for x in split_features(s, d))
-    scored = K.predict(model, M._logistic(s, d)[3])
+    dictionary, model, _, vectors = M._logistic(s, d)
+    _, train, test = M._encoded_split(s, d)
+    scored = cut_lineage(K.predict(model, vectors))
     cells = N.encode_linear(train, train, dictionary, ENCODE)
     explainer = LA.LinearExplainer.build(K.logistic_coefficients(model, dictionary), model.intercept, cells, train.count())
     totals = cut_lineage(LA.case_totals(explainer, N.encode_linear(train, test, dictionary, ENCODE), test))

@@ -92,11 +92,6 @@ def _stored_predictions(s, d):
 KEEP = ["case_id", "target"]
 
 
-def _encoded_split(s, d):
-    train, test = split_features(s, d)
-    return N.frozen_dictionary(N.vocabulary_fit(train, ENCODE)), train, test
-
-
 _shared: dict[tuple, object] = {}
 _lock = threading.RLock()
 
@@ -113,17 +108,24 @@ def _once(make):
     return get
 
 
+@_once
+def _encoded_split(s, d):
+    """Dictionary, train and test: written once, since every fit, score and table of cells reads them."""
+    train, test = (cut_lineage(x) for x in split_features(s, d))
+    return N.frozen_dictionary(N.vocabulary_fit(train, ENCODE)), train, test
+
+
 @_once
 def _logistic(s, d):
     dictionary, train, test = _encoded_split(s, d)
-    linear = [N.assemble(N.scale_numeric(train, x, ENCODE.numeric), dictionary, ENCODE, KEEP) for x in (train, test)]
+    linear = [cut_lineage(N.assemble(N.scale_numeric(train, x, ENCODE.numeric), dictionary, ENCODE, KEEP)) for x in (train, test)]
     return dictionary, K.fit_logistic(linear[0]), *linear
 
 
 @_once
 def _tree_vectors(s, d):
     dictionary, train, test = _encoded_split(s, d)
-    return dictionary, *[N.assemble(x, dictionary, ENCODE, KEEP) for x in (train, test)]
+    return dictionary, *[cut_lineage(N.assemble(x, dictionary, ENCODE, KEEP)) for x in (train, test)]
 
 
 @_once
