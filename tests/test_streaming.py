@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.operators.features import FeatureSpec
-from tracewell.streaming.prefixes import STORE_KEY, completed_prefixes, run_available, stream_features
+from tracewell.streaming.prefixes import STORE, STORE_KEY, _set, completed_prefixes, run_available, stream_features
 
 SCHEMA = "case_id string, activity string, ts timestamp, order_key long, goal string"
 SPEC = FeatureSpec(statics={"goal": "goal"}, count_maps={"activity": "activity"}, uniques={"n_activities": "activity"})
@@ -105,3 +105,39 @@ def test_features_and_the_session_keeps_its_settings(feed, spark):
     assert (row.case_id, row.goal, row.activity_counts, row.n_activities) == ("a", "g", {"x": 2, "y": 1}, 2)
     assert (row.prefix_duration_seconds, row.mean_event_gap_seconds) == (240.0, 120.0)
     assert spark.conf.get(STORE_KEY) == before
+
+
+def test_cases_of_one_bucket_leave_each_at_its_own_time(feed):
+    feed.send(("a", "x", 0, 1, "g"), ("a", "y", 1, 2, "g"), ("b", "x", 2, 3, "g"), ("b", "y", 25, 4, "g"), ("c", "x", 3, 5, "g"))
+    feed.send(("z", "x", 30, 6, "g"))  # the watermark is at minute 20: a leaves, b waits
+    shared = lambda events: completed_prefixes(events, 2, ["activity", "goal"], "10 minutes", buckets=1)
+    feed.run(shared)
+    assert feed.prefixes() == {"a": [("x", 1), ("y", 2)]}
+    feed.send(("b", "before", 22, 7, "g"), ("a", "again", 31, 8, "g"), ("a", "again", 32, 9, "g"))
+    feed.send(("z", "x", 60, 10, "g"))
+    feed.run(shared)
+    assert feed.prefixes() == {"a": [("x", 1), ("y", 2)], "b": [("x", 3), ("before", 7)]}
+    feed.send(("c", "y", 61, 11, "g"), ("z", "x", 200, 12, "g"))
+    feed.run(shared)
+    assert feed.prefixes() == {"a": [("x", 1), ("y", 2)], "b": [("x", 3), ("before", 7)], "z": [("x", 6), ("x", 10)], "c": [("x", 5), ("y", 11)]}
+
+
+def test_values_leave_as_they_came(feed, spark):
+    feed.send(("a", "null", 0, 1, "g"), ("a", "nan", 1, 2, None), ("z", "x", 100, 3, "g"))
+    big, real = F.when(F.col("activity") == "nan", F.lit(2**53 + 1)), F.when(F.col("activity") == "nan", F.lit(float("nan")))
+    feed.run(lambda e: completed_prefixes(e.withColumns({"big": big, "real": real, "at": F.col("ts")}), 2, ["goal", "big", "real", "at"], "10 minutes"))
+    (row,) = spark.read.parquet(feed.out).collect()
+    first, last = row.events
+    assert (first.goal, first.big, first.real, last.goal, last.big, str(last.real)) == ("g", None, None, None, 2**53 + 1, "nan")
+    sent = spark.read.parquet(feed.path).filter("case_id = 'a'").orderBy("ts").collect()
+    assert [e["at"] for e in row.events] == [r.ts for r in sent]
+
+
+def test_the_keys_of_the_state_do_not_grow_with_the_cases(feed, spark):
+    feed.send(*[(f"c{i}", "x", i / 100, i, "g") for i in range(300)])
+    events = spark.readStream.schema(SCHEMA).parquet(feed.path)
+    prefixes = completed_prefixes(events, 2, ["activity"], "10 minutes", buckets=4)
+    with _set(spark, {STORE_KEY: STORE}):
+        query = prefixes.writeStream.format("parquet").option("path", feed.out).option("checkpointLocation", feed.checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert 0 < max(p.stateOperators[0].numRowsTotal for p in query.recentProgress) <= 4
