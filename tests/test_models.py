@@ -3,11 +3,13 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tracewell.operators import attribution as B
+from tracewell.operators import exact_forest as X
 from tracewell.operators import encode as N
 from tracewell.operators import models as K
 from tracewell.session import scratch_path
@@ -237,6 +239,23 @@ def test_a_batch_that_does_not_add_up_is_not_done(spark, four):
     assert B.attribution_batches(e, data, dic, path, 25).select("case_id").distinct().count() == 95
 
 
+
+def test_thousands_of_rows_take_one_walk(monkeypatch):
+    """A leaf is worked out once for all rows of a block, and a row's values are the same to the bit in any company."""
+    rng, seen = np.random.default_rng(2), []
+    x = rng.integers(0, 12, (3000, 5)).astype(float)
+    y = ((x[:, 0] > 5) ^ (x[:, 1] * x[:, 2] > 30)).astype(float)
+    nodes = list(X.grow(0, X.root_of(1, 0), 0, x, y, np.ones(3000), 3, 8))
+    frame = pd.concat([pd.DataFrame(level) for level in nodes])
+    trees = B._trees(X._pack(5)(frame))
+    monkeypatch.setattr(B, "_leaf_values", lambda *a, real=B._leaf_values: seen.append(1) or real(*a))
+    whole = B.forest_shapley(trees, 1, x, x[:50])
+    assert 50 < len(seen) <= len(trees)
+    assert np.array_equal(B.forest_shapley(trees, 1, x[17:29], x[:50]), whole[17:29])
+    gap = whole.sum(1) + B.forest_probability(trees, 1, x[:50]).mean(0) - B.forest_probability(trees, 1, x)
+    assert np.abs(gap).max() < 1e-12
+
+
 def test_refit_and_reload(spark, four):
     df, dic = four
     fit = lambda d: K.fit_forest(d, num_trees=4, max_depth=4)
