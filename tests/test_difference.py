@@ -81,3 +81,24 @@ def test_one_row_a_range_comes_to_the_driver(spark, tmp_path, monkeypatch):
     assert sum(sizes) == 20_000 and len(sizes) == ranges and max(sizes) < 150
     stored = a.rows(spark).withColumn("f", F.regexp_extract(F.input_file_name(), "part-([0-9]+)", 1))
     assert stored.select("f").distinct().count() <= 10
+
+
+def test_many_ranges_share_folders(spark, tmp_path, monkeypatch):
+    """Folders do not grow with the ranges, nor the plan with the cuts; the ranges, their rows and what differs stay the same."""
+    base = _table(spark).withColumn("k", F.when(F.col("k") > 0, F.col("k")))  # one null key
+    other = base.filter("k is null or k <> 1234").withColumn("b", F.when(F.col("k") == 78, F.lit(None)).otherwise(F.col("b"))).unionByName(
+        spark.createDataFrame([(9999, "new", 1.0), (-5, "new", 2.0)], "k long, a string, b double"))
+    found, sizes = [], []
+    for name, folders, cuts in (("own", 128, 512), ("shared", 10, 7)):
+        monkeypatch.setattr(DF, "MAX_FOLDERS", folders, raising=False)
+        monkeypatch.setattr(DF, "CUTS_PER_ROW", cuts, raising=False)
+        a = _write(spark, base, tmp_path, f"{name}-a")
+        b = _write(spark, other, tmp_path, f"{name}-b", like=a)
+        assert len(list((tmp_path / f"{name}-a" / "rows").glob("__range=*"))) <= folders
+        assert DF.open_version(spark, a.path) == a and DF.differing_ranges(spark, a, b).count() == 4
+        sizes.append(sorted((r.level, r.node, r.row_count, r.digest) for v in (a, b) for r in v.digests(spark).collect()))
+        found.append(sorted(map(str, DF.differences(spark, a, b).collect())))
+        monkeypatch.setattr(DF, "MAX_LISTED", 2)
+        assert sorted(map(str, DF.differences(spark, a, b).collect())) == found[-1] and len(found[-1]) == 5
+        monkeypatch.undo()
+    assert found[0] == found[1] and sizes[0] == sizes[1] and a.per_folder == 10
